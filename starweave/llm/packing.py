@@ -35,7 +35,7 @@ from starweave.llm.common import doc_id, keep, keyed, table
 LATIN = "À-ÖØ-öø-ÿ"
 #: Of how many words a worker remembers the ids.
 WORDS_KEPT = 500_000
-ROWS_PER_BLOCK = 50_000
+ROWS_PER_BLOCK = 1000
 LETTER, DIGIT, OTHER, SPACE, STOP = range(5)
 BYTES_AT_ONCE = 4_000_000
 
@@ -248,10 +248,9 @@ def pack(found: DataFrame, capacity: int = 1024) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to the rows of ``pieces`` (kept as a table: they are read more than once)."""
     spark = found.sparkSession
     histogram = {r[0]: r[1] for r in found.groupBy("length").count().collect()}  # at most ``capacity`` rows
-    total = sum(histogram.values())
-    blocks = max(1, total // ROWS_PER_BLOCK)
+    blocks = spark.createDataFrame([(n, c // ROWS_PER_BLOCK + 1) for n, c in histogram.items()], "length long, _blocks long")
     plan = spark.createDataFrame(slots(plan_bins(histogram, capacity)), "_length long, _from long, _to long, _sequence long, offset long")
-    ranked = found.withColumn("_block", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.lit(blocks)))
+    ranked = found.join(F.broadcast(blocks), "length").withColumn("_block", F.pmod(F.xxhash64("_id", "piece", "ids_crc32"), F.col("_blocks")))
     # where each block's ranks begin: one row for each length and block
     begins = (
         ranked.groupBy("length", "_block").agg(F.count(F.lit(1)).alias("_n"))
