@@ -7,6 +7,7 @@ import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,11 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, also where ``use`` reads it inside a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """``_id`` (null ids last), ``_text`` (null: empty) and the asked-for columns, whatever else the input has.
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from starweave.llm import licenses, media, packing, simhash
+from starweave.llm import chat, licenses, lpf, media, packing, simhash, urls
 
 
 def queries() -> dict:
-    found = [packing.op3_best_fit_packing, licenses.op4_license_scan, media.op5_media_columns, simhash.op9_simhash_near_dedup]
+    found = [
+        chat.op1_chat_formatting,
+        urls.op2_url_filter,
+        packing.op3_best_fit_packing,
+        licenses.op4_license_scan,
+        media.op5_media_columns,
+        simhash.op9_simhash_near_dedup,
+        lpf.op10_longest_previous_factors,
+    ]
     return {f.__name__: f for f in found}
 
 
