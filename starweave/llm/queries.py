@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starweave.llm import chat, licenses, lpf, media, packing, simhash, urls
+from starweave.llm import chat, decontam, licenses, linededup, lpf, media, packing, quality, simhash, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,9 @@ def queries() -> dict:
         packing.op3_best_fit_packing,
         licenses.op4_license_scan,
         media.op5_media_columns,
+        decontam.op6_benchmark_decontamination,
+        linededup.op7_line_dedup,
+        quality.op8_quality_classifier,
         simhash.op9_simhash_near_dedup,
         lpf.op10_longest_previous_factors,
     ]

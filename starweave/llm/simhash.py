@@ -129,7 +129,7 @@ def pivot_table(distinct: DataFrame) -> DataFrame:
 
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (src, dst) whose components are those of all pairs of distinct ``fp`` within ``RADIUS`` bits."""
-    pivots = pivot_table(distinct)
+    pivots = keep(pivot_table(distinct), "pivots")
     slim = pivots.select("fp", F.explode("cells").alias("cell"))
     crowd = slim.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     cells = keep(crowd, "cells")
@@ -158,8 +158,11 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     distinct = keep(found.groupBy("fp").agg(F.min("_id").alias("least")), "distinct")
     roots = components(links(distinct), distinct.sparkSession)  # fp -> root, of linked fingerprints only
     rooted = keep(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "root"), "rooted")
-    best = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("best"))
-    named = rooted.join(best, "root", "left").select("fp", F.coalesce("best", "least").alias("component"))
+    linked = rooted.where("root is not null")
+    best = linked.groupBy("root").agg(F.min("least").alias("best"))
+    named = linked.join(best, "root").select("fp", F.col("best").alias("component"))
+    # a fingerprint without links is its own component, and takes no part in the join
+    named = named.unionByName(rooted.where("root is null").select("fp", F.col("least").alias("component")))
     named = keep(named, "named")
     return found.join(named, "fp")
 
