@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starweave.llm.common import doc_id, keep, keyed, table
+from starweave.llm.common import NULL_ID, ascii_lower, bind, doc_id, keep, keyed, table
 from starweave.llm.graph import components
 
 BLOCKS, WIDTH = 4, 16
@@ -167,6 +167,103 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     return found.join(named, "fp")
 
 
+# --- near duplicates by shingle similarity, for corpora in which "near" reaches further than two bits
+
+
+SIMILAR_BLOCKS, SIMILAR_AGREE, SIMILAR_BITS = 9, 3, 12
+
+
+def similar_cells(distinct: DataFrame) -> DataFrame:
+    """``fp``, ``dist`` and ``cell``: pivots of the nine blocks, a cell for each three blocks.
+
+    Up to 6 differing bits leave three of nine blocks alone, so such a pair always shares a cell; further ones mostly do.
+    """
+    n = SIMILAR_BLOCKS
+    cuts = [64 * k // n for k in range(n + 1)]
+    rng = random.Random(5)
+    near = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(p))))
+    zero = near(0)
+    masks = [[1 << i for i in range(a, b)] for a, b in zip(cuts, cuts[1:], strict=False)]  # pivots one bit from zero
+    more = [rng.getrandbits(64) for _ in range(16)]  # and distant ones, for the coordinate differences
+    block = [F.array(*[(near(p) - zero).cast("tinyint") for p in ps]) for ps in masks]
+    rows = distinct.select("fp", F.array(zero.cast("tinyint"), *[near(p).cast("tinyint") for p in more]).alias("dist"), *[F.xxhash64(F.lit(k), b).alias(f"b{k}") for k, b in enumerate(block)])
+    rows = keep(rows, "pivots")
+    cells = F.array(*[F.xxhash64(*[f"b{k}" for k in c]) for c in combinations(range(n), SIMILAR_AGREE)])
+    return rows.select("fp", "dist", F.explode(cells).alias("cell"))
+
+
+def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the pairs (src, dst) of fingerprints whose texts' shingle sets are similar enough."""
+    wanted = pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")).distinct()
+    sets = keep(texts.join(wanted, "fp").select("fp", shingle_set(F.col("_text"), words).alias("s")), "sets")
+    a = sets.select(F.col("fp").alias("src"), F.col("s").alias("a"))
+    b = sets.select(F.col("fp").alias("dst"), F.col("s").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    close = both >= F.lit(similarity) * (F.size("a") + F.size("b") - both) - 1e-9
+    return pairs.join(a, "src").join(b, "dst").where(close).select("src", "dst")
+
+
+def shingle_set(text: Column, words: int) -> Column:
+    """Hashes of the distinct shingles of a text (fewer words: the whole; none: an empty set)."""
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        at = F.when(n > words, F.sequence(F.lit(0), n - words)).otherwise(F.when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
+        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)])))
+
+    split = F.split(F.trim(F.regexp_replace(ascii_lower(text), "[ \\t-\\r]+", " ")), " ")
+    return bind(F.filter(split, lambda x: x != ""), of)
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3) -> DataFrame:
+    """Each row's ``_id``, ``_tag`` and ``group``, a number: documents linked by similarity of their shingle sets.
+
+    Candidates come from shared cells and are verified exactly. A crowded cell forms no pairs: its members are compared
+    with a few leaders at a time, and those that are similar to one are linked to it and leave the cell, until the
+    rest is small enough for pairs.
+    """
+    rows = keyed(docs)
+    found = keep(fingerprints(docs, fingerprint_words), "fingerprints")
+    first = keep(found.groupBy("fp").agg(F.min(F.struct("_id", "_tag")).alias("best")), "distinct")
+    texts = rows.dropDuplicates(["_id", "_tag"]).join(first.select("fp", "best._id", "best._tag"), ["_id", "_tag"]).select("fp", "_text")
+    cells = similar_cells(first.select("fp"))
+    shared_cells = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
+    member = keep(cells.join(shared_cells, "cell").select("cell", "fp", "dist"), "members")
+    apart = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
+    edges: list[DataFrame] = []
+    while True:
+        sizes = keep(member.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", "cell")).alias("lead")), "sizes")
+        few = member.join(sizes.where(F.col("n") <= CROWDED).select("cell"), "cell")
+        a, b = few.alias("a"), few.alias("b")
+        pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))).where(apart("a.dist", "b.dist") <= SIMILAR_BITS)
+        pairs = pairs.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= SIMILAR_BITS).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
+        many = sizes.where(F.col("n") > CROWDED).select("cell", "lead")
+        crowd = keep(member.join(many, "cell"), "crowd")
+        stars = crowd.where("fp != lead").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= SIMILAR_BITS).select(F.col("lead").alias("src"), F.col("fp").alias("dst"))
+        todo = keep(pairs.union(stars).distinct(), "pairs")
+        linked = keep(verified_links(todo, texts, words, similarity), "linked")
+        edges.append(linked)
+        if not crowd.limit(1).count():
+            break
+        gone = linked.select(F.col("src").alias("lead"), F.col("dst").alias("fp"))
+        member = keep(crowd.join(gone, ["lead", "fp"], "left_anti").where("fp != lead").select("cell", "fp", "dist"), "members")
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.union(more)
+    roots = components(every, found.sparkSession)
+    named = first.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("group"))
+    return found.join(keep(named, "named"), "fp").select("_id", "_tag", "group")
+
+
+def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The input without its near duplicates: of each group the row with the smallest (doc_id, hash of text) stays."""
+    groups = similar_groups(docs, words, similarity)
+    stay = keep(groups.groupBy("group").agg(F.min(F.struct("_id", "_tag")).alias("best")).select(F.col("best._id").alias("_stay_id"), F.col("best._tag").alias("_stay_tag")), "stay")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == stay["_stay_id"]) & (F.xxhash64(text) == stay["_stay_tag"])
+    return docs.join(stay, same).dropDuplicates(["_stay_id", "_stay_tag"]).drop("_stay_id", "_stay_tag")
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(table(spark, sf_dir, "documents"))
     return rows.select(doc_id(), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), doc_id("component").alias("component_id"))
