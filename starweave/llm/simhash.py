@@ -195,7 +195,7 @@ def similar_cells(distinct: DataFrame) -> DataFrame:
 def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of the pairs (src, dst) of fingerprints whose texts' shingle sets are similar enough."""
     wanted = pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")).distinct()
-    sets = keep(texts.join(wanted, "fp").select("fp", shingle_set(F.col("_text"), words).alias("s")), "sets")
+    sets = keep(texts.join(wanted, "fp").dropDuplicates(["fp"]).select("fp", shingle_set(F.col("_text"), words).alias("s")), "sets")
     a = sets.select(F.col("fp").alias("src"), F.col("s").alias("a"))
     b = sets.select(F.col("fp").alias("dst"), F.col("s").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
@@ -218,26 +218,28 @@ def shingle_set(text: Column, words: int) -> Column:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3) -> DataFrame:
     """Each row's ``_id``, ``_tag`` and ``group``, a number: documents linked by similarity of their shingle sets.
 
-    Candidates come from shared cells and are verified exactly. A crowded cell forms no pairs: its members are compared
-    with a few leaders at a time, and those that are similar to one are linked to it and leave the cell, until the
-    rest is small enough for pairs.
+    Candidates come from shared cells and are verified exactly. A crowded cell forms no pairs at first: its members are
+    compared with its leader, the first in one order of all fingerprints. A member that is similar to a leader is
+    linked to it and leaves all cells: the leader stands for it. So a family of copies shrinks to its leaders at once; what
+    remains crowded are different texts, and the size up to which a cell forms pairs grows fourfold each round.
     """
     rows = keyed(docs)
     found = keep(fingerprints(docs, fingerprint_words), "fingerprints")
     first = keep(found.groupBy("fp").agg(F.min(F.struct("_id", "_tag")).alias("best")), "distinct")
-    texts = rows.dropDuplicates(["_id", "_tag"]).join(first.select("fp", "best._id", "best._tag"), ["_id", "_tag"]).select("fp", "_text")
+    texts = keep(rows.join(first.select("fp", "best._id", "best._tag"), ["_id", "_tag"]).select("fp", "_text"), "texts")
     cells = similar_cells(first.select("fp"))
     shared_cells = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
     member = keep(cells.join(shared_cells, "cell").select("cell", "fp", "dist"), "members")
     apart = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
     edges: list[DataFrame] = []
+    crowded = CROWDED
     while True:
-        sizes = keep(member.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", "cell")).alias("lead")), "sizes")
-        few = member.join(sizes.where(F.col("n") <= CROWDED).select("cell"), "cell")
+        sizes = keep(member.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("lead")), "sizes")
+        few = member.join(sizes.where(F.col("n") <= crowded).select("cell"), "cell")
         a, b = few.alias("a"), few.alias("b")
         pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))).where(apart("a.dist", "b.dist") <= SIMILAR_BITS)
         pairs = pairs.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= SIMILAR_BITS).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
-        many = sizes.where(F.col("n") > CROWDED).select("cell", "lead")
+        many = sizes.where(F.col("n") > crowded).select("cell", "lead")
         crowd = keep(member.join(many, "cell"), "crowd")
         stars = crowd.where("fp != lead").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= SIMILAR_BITS).select(F.col("lead").alias("src"), F.col("fp").alias("dst"))
         todo = keep(pairs.union(stars).distinct(), "pairs")
@@ -245,8 +247,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, fin
         edges.append(linked)
         if not crowd.limit(1).count():
             break
-        gone = linked.select(F.col("src").alias("lead"), F.col("dst").alias("fp"))
-        member = keep(crowd.join(gone, ["lead", "fp"], "left_anti").where("fp != lead").select("cell", "fp", "dist"), "members")
+        leaders = crowd.select(F.col("lead").alias("src")).distinct()
+        gone = linked.join(leaders, "src", "left_semi").where(F.xxhash64("src") < F.xxhash64("dst")).select(F.col("dst").alias("fp")).distinct()
+        member = keep(crowd.where("fp != lead").join(gone, "fp", "left_anti").select("cell", "fp", "dist"), "members")
+        crowded *= 4
     every = edges[0]
     for more in edges[1:]:
         every = every.union(more)
