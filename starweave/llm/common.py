@@ -69,8 +69,9 @@ def _delete(spark: SparkSession, path: str) -> None:
 def _released_shuffles(spark: SparkSession):
     """Queries run inside drop their shuffle files when they end; nothing reads these again."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    if before is None:  # a Spark without this setting: the garbage collector gets to them later
+    try:
+        before = spark.conf.get(name)
+    except Exception:  # a Spark without this setting: the garbage collector gets to them later
         yield
         return
     spark.conf.set(name, "true")
