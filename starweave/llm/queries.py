@@ -1,4 +1,4 @@
-"""The ten queries of this subpackage and the SQL of those that SQL can express."""
+"""The ten queries of this subpackage, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -21,5 +21,51 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+ESCAPED = r"replace(replace(replace({0}, '\', '\b'), '###', '\h'), '</turn>', '\t')"
+
+CHAT = rf"""
+WITH t AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, k, CASE k WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(k)
+)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(length('### ' || replace({ESCAPED.format("role")}, ':', '\c') || ': ' || {ESCAPED.format("text")} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+
+def licence_sql() -> str:
+    """The scan without an index: every position of every phrase."""
+    all_phrases = licenses.phrases()
+    name = {p: f"p{k}" for k, p in enumerate(all_phrases)}
+
+    def places(phrase: str) -> str:
+        test = " AND ".join(f"w[i + {k + 1}] = '{part}'" for k, part in enumerate(phrase.split()))
+        return f"list_filter(range(len(w)), lambda i: {test}) AS {name[phrase]}"
+
+    def near(a: str, b: str, apart: int) -> str:
+        return f"len(list_filter({name[a]}, lambda i: len(list_filter({name[b]}, lambda j: abs(i - j) <= {apart})) > 0)) > 0"
+
+    base = [f"CASE WHEN len({name[p]}) > 0 THEN '{label}' END" for p, label in licenses.BASE.items()]
+    labels, scores = list(base), []
+    for label, (mandatory, supporting, apart) in licenses.TEMPLATES.items():
+        hit = " AND ".join([f"len({name[mandatory[0]]}) > 0", *[near(mandatory[0], m, apart) for m in mandatory[1:]]])
+        labels.append(f"CASE WHEN {hit} THEN '{label}' END")
+        share = " + ".join(f"CASE WHEN {near(mandatory[0], s, apart)} THEN 1.0::DOUBLE ELSE 0.0 END" for s in supporting)
+        scores.append(f"CASE WHEN {hit} THEN " + (f"0.7::DOUBLE + 0.3::DOUBLE * (({share}) / {len(supporting)})" if supporting else "1.0::DOUBLE") + " ELSE 0.0 END")
+    joined = lambda xs: f"array_to_string(list_sort(list_distinct(list_filter([{', '.join(xs)}], lambda x: x IS NOT NULL))), ',')"
+    every = " || ".join(name[p] for p in licenses.BASE)
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return rf"""
+WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+placed AS (SELECT doc_id, len(w) AS n, {", ".join(map(places, all_phrases))} FROM words)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT) AS n_base, CAST(list_min({every}) AS BIGINT) AS first_word, CAST(list_max({every}) AS BIGINT) AS last_word,
+    {joined(base)} AS base_labels, {joined(labels)} AS labels,
+    greatest(CASE WHEN len({every}) > 0 THEN 0.5::DOUBLE ELSE 0.0 END, {", ".join(scores)}) AS score
+FROM placed"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat_formatting": CHAT, "op4_license_scan": licence_sql()}
