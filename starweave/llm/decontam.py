@@ -111,7 +111,7 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
 
             return F.array_distinct(F.flatten(F.transform("places", each)))
 
-        held = rows.dropDuplicates(["_id", "_tag"]).join(wanted, ["_id", "_tag"])
+        held = rows.dropDuplicates(["_id", "_tag"]).join(wanted.hint("merge"), ["_id", "_tag"])  # at every size: no plan of its own for few places
         found = held.select("_id", "_tag", F.explode(bind(shingle_hashes(words_of(F.col("_text")), size), cut)).alias("x")).select("_id", "_tag", "x.*")
         found = keep(found, "windows").withColumn("fp", F.expr(SIMHASH.format("window")))
         found = keep(found, "windows")

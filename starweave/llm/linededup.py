@@ -6,7 +6,8 @@ Chunks of two or more lines that occur again, anywhere, are removed after a comp
 the first occurrence, which stays (in the order of doc_id, then of place).
 
 Only hashes travel at first; texts are fetched for hashes that repeat. A frequent chunk meets its first occurrence in a
-plain equi-join of two tables, which Spark splits where it is skewed.
+plain equi-join of two tables, which Spark splits where it is skewed. Joins that carry texts are sort-merge joins at
+every size: what a corpus needs grows with it, and no size has a plan of its own.
 
 * null text is empty; chunks of white space alone stay. A null doc_id comes after all others.
 * rows that agree in id and text are one document: all its copies keep the same chunks.
@@ -64,7 +65,7 @@ def repeats(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     both = keep(chunk.join(again, "hash").select("_id", "_tag", "pos", "hash", (place == F.col("first")).alias("first")), "candidates")
     # the texts of these chunks, one pass over the documents
     wanted = both.groupBy("_id", "_tag").agg(F.collect_set(F.struct("pos", "hash", "first")).alias("wanted"))
-    found = rows.dropDuplicates(["_id", "_tag"]).join(wanted, ["_id", "_tag"]).select(
+    found = rows.dropDuplicates(["_id", "_tag"]).join(wanted.hint("merge"), ["_id", "_tag"]).select(
         "_id", "_tag", bind(line_chunks(F.col("_text")), lambda c: F.transform("wanted", lambda w: F.struct(w["hash"].alias("hash"), w["pos"].alias("pos"), w["first"].alias("first"), F.get(c, w["pos"])["text"].alias("text")))).alias("c")
     )
     texts = keep(found.select("_id", "_tag", F.inline("c")), "texts")
@@ -77,7 +78,7 @@ def dedup_lines(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     gone = keep(repeats(docs, least_lines), "gone").groupBy(F.col("_id").alias("_gone_id"), F.col("_tag").alias("_gone_tag")).agg(F.collect_set("pos").alias("_gone"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["_gone_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["_gone_tag"])
-    left = docs.join(gone, same, "left").drop("_gone_id", "_gone_tag")
+    left = docs.join(gone.hint("merge"), same, "left").drop("_gone_id", "_gone_tag")
 
     def rest(c: Column) -> Column:
         kept = F.filter(c, lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))

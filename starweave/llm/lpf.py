@@ -177,7 +177,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                 blob = pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.append(0, upto).astype(np.int32)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[row]), pa.array(tags[row]), pa.array(inside), blob], ["h", "_id", "_tag", "at", "bytes"])
 
-    both = docs.join(lists, "_id").select("_id", "_tag", F.col("_text").cast("binary").alias("b"), "hs")
+    both = docs.join(lists.hint("merge"), "_id").select("_id", "_tag", F.col("_text").cast("binary").alias("b"), "hs")
     return both.mapInArrow(run, "h long, _id long, _tag long, at long, bytes binary")
 
 
@@ -340,7 +340,7 @@ def cut(docs: DataFrame, ranges: DataFrame, with_text: bool = False) -> DataFram
     schema = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     names = [x.split()[0] for x in schema.split(", ")]
     lists = ranges.groupBy("_id", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return docs.join(lists, ["_id", "_tag"], "left").select("_id", F.col("_text").cast("binary").alias("b"), "spans").mapInArrow(run, schema)
+    return docs.join(lists.hint("merge"), ["_id", "_tag"], "left").select("_id", F.col("_text").cast("binary").alias("b"), "spans").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, with_text: bool = False, most_group: int = MOST_GROUP) -> DataFrame:

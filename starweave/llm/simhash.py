@@ -226,7 +226,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, fin
     rows = keyed(docs)
     found = keep(fingerprints(docs, fingerprint_words), "fingerprints")
     first = keep(found.groupBy("fp").agg(F.min(F.struct("_id", "_tag")).alias("best")), "distinct")
-    texts = keep(rows.join(first.select("fp", "best._id", "best._tag"), ["_id", "_tag"]).select("fp", "_text"), "texts")
+    texts = keep(rows.join(first.select("fp", "best._id", "best._tag").hint("merge"), ["_id", "_tag"]).select("fp", "_text"), "texts")
     cells = similar_cells(first.select("fp"))
     shared_cells = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
     member = keep(cells.join(shared_cells, "cell").select("cell", "fp", "dist"), "members")
@@ -265,7 +265,7 @@ def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Data
     stay = keep(groups.groupBy("group").agg(F.min(F.struct("_id", "_tag")).alias("best")).select(F.col("best._id").alias("_stay_id"), F.col("best._tag").alias("_stay_tag")), "stay")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == stay["_stay_id"]) & (F.xxhash64(text) == stay["_stay_tag"])
-    return docs.join(stay, same).dropDuplicates(["_stay_id", "_stay_tag"]).drop("_stay_id", "_stay_tag")
+    return docs.join(stay.hint("merge"), same).dropDuplicates(["_stay_id", "_stay_tag"]).drop("_stay_id", "_stay_tag")
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
