@@ -19,7 +19,8 @@ def stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def windowed(view: MetricView, rows: DataFrame, time: str, measures: list[str], dims: list[str] = (), width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Measures for each window and dimension; late rows count until the watermark passes."""
     fact = view.fact.name
-    named = rows.select(*[F.col(c.name).alias(qualified(fact, c.name)) for c in view.fact.columns if c.name in rows.columns])
+    moment = lambda c: F.col(c).cast("timestamp") if c == time else F.col(c)  # noqa: E731  watermarks need a time zone
+    named = rows.select(*[moment(c.name).alias(qualified(fact, c.name)) for c in view.fact.columns if c.name in rows.columns])
     plan = Plan()
     out = [(m, view.measure(parse(view.measures_by_name[m.lower()]), Context(), plan, (m.lower(),))) for m in measures]
     used: set[str] = set()
