@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,21 @@ def runs_of(texts: list[bytes], span: int) -> Iterator[tuple[bytes, np.ndarray,
         yield data, h[at].view(np.int64), row[at], place[at], inside[at], count
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(_id, _tag, z): texts compressed one by one, for the exchanges that carry them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        zip_ = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(map(zip_, batch.column(2).to_pylist()), pa.binary())], ["_id", "_tag", "z"])
+
+    return docs.select("_id", "_tag", F.col("_text").cast("binary").alias("b")).mapInArrow(run, "_id long, _tag long, z binary")
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    return [*map(zstandard.ZstdDecompressor().decompress, column.to_pylist())]
+
+
 def sketch(docs: DataFrame, span: int) -> DataFrame:
     """(h, _id) for each run; a document's adjacent repeats are left out."""
 
@@ -161,7 +177,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             ids, tags, hs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
             sets = [np.sort(x.values.to_numpy()) for x in hs]
-            for data, h, row, place, inside, count in runs_of(batch.column(2).to_pylist(), span):
+            for data, h, row, place, inside, count in runs_of(unpacked(batch.column(2)), span):
                 cuts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
                 ok = np.zeros(len(h), dtype=bool)
                 for a, b in zip(cuts, np.append(cuts[1:], len(row)), strict=True):
@@ -177,7 +193,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                 blob = pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.append(0, upto).astype(np.int32)), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[row]), pa.array(tags[row]), pa.array(inside), blob], ["h", "_id", "_tag", "at", "bytes"])
 
-    both = docs.join(lists.hint("merge"), "_id").select("_id", "_tag", F.col("_text").cast("binary").alias("b"), "hs")
+    both = packed(docs).join(lists.hint("merge"), "_id").select("_id", "_tag", "z", "hs")
     return both.mapInArrow(run, "h long, _id long, _tag long, at long, bytes binary")
 
 
@@ -316,8 +332,7 @@ def cut(docs: DataFrame, ranges: DataFrame, with_text: bool = False) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-                text = text.as_py()
+            for text, spans in zip(unpacked(batch.column(1)), batch.column(2), strict=True):
                 kept, removed, n, end, begin = [], 0, 0, 0, None
                 if spans.is_valid:
                     both = spans.values.flatten()
@@ -340,7 +355,7 @@ def cut(docs: DataFrame, ranges: DataFrame, with_text: bool = False) -> DataFram
     schema = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     names = [x.split()[0] for x in schema.split(", ")]
     lists = ranges.groupBy("_id", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return docs.join(lists.hint("merge"), ["_id", "_tag"], "left").select("_id", F.col("_text").cast("binary").alias("b"), "spans").mapInArrow(run, schema)
+    return packed(docs).join(lists.hint("merge"), ["_id", "_tag"], "left").select("_id", "z", "spans").mapInArrow(run, schema)
 
 
 def remove_repeats(docs: DataFrame, span: int = SPAN, with_text: bool = False, most_group: int = MOST_GROUP) -> DataFrame:
