@@ -22,6 +22,7 @@ fingerprints with rows in proportion to the members. Components are then the con
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Iterator
 from itertools import combinations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starweave.llm.common import NULL_ID, ascii_lower, bind, doc_id, keep, keyed, table
+from starweave.llm.common import NULL_ID, discard, doc_id, keep, keyed, table
 from starweave.llm.graph import components
 
 BLOCKS, WIDTH = 4, 16
@@ -170,93 +171,166 @@ def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
 # --- near duplicates by shingle similarity, for corpora in which "near" reaches further than two bits
 
 
-SIMILAR_BLOCKS, SIMILAR_AGREE, SIMILAR_BITS = 9, 3, 12
+def least_shared(n: Column, similarity: float) -> Column:
+    """How many of its ``n`` shingles a set shares with any set that is similar enough."""
+    return F.ceil(n * F.lit(similarity) - 1e-6).cast("int")
 
 
-def similar_cells(distinct: DataFrame) -> DataFrame:
-    """``fp``, ``dist`` and ``cell``: pivots of the nine blocks, a cell for each three blocks.
+def shingle_sets(rows: DataFrame, words: int, similarity: float | None = None) -> DataFrame:
+    """``_id``, ``_tag``, ``node`` (a hash of the shingle set), ``n`` (its size) and ``s``, sorted hashes of the shingles.
 
-    Up to 6 differing bits leave three of nine blocks alone, so such a pair always shares a cell; further ones mostly do.
+    With a similarity, ``s`` is only the set's smallest part: n - least + n // 10 hashes (with 1 at least for the last term),
+    where ``least`` is what the set shares with a similar one. Two similar sets share ``n // 10`` hashes of these parts,
+    n being the smaller size: at most n - least hashes of either are missing in the other.
     """
-    n = SIMILAR_BLOCKS
-    cuts = [64 * k // n for k in range(n + 1)]
-    rng = random.Random(5)
-    near = lambda p: F.bit_count(F.col("fp").bitwiseXOR(F.lit(signed(p))))
-    zero = near(0)
-    masks = [[1 << i for i in range(a, b)] for a, b in zip(cuts, cuts[1:], strict=False)]  # pivots one bit from zero
-    more = [rng.getrandbits(64) for _ in range(16)]  # and distant ones, for the coordinate differences
-    block = [F.array(*[(near(p) - zero).cast("tinyint") for p in ps]) for ps in masks]
-    rows = distinct.select("fp", F.array(zero.cast("tinyint"), *[near(p).cast("tinyint") for p in more]).alias("dist"), *[F.xxhash64(F.lit(k), b).alias(f"b{k}") for k, b in enumerate(block)])
-    rows = keep(rows, "pivots")
-    cells = F.array(*[F.xxhash64(*[f"b{k}" for k in c]) for c in combinations(range(n), SIMILAR_AGREE)])
-    return rows.select("fp", "dist", F.explode(cells).alias("cell"))
-
-
-def verified_links(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of the pairs (src, dst) of fingerprints whose texts' shingle sets are similar enough."""
-    wanted = pairs.select(F.col("src").alias("fp")).union(pairs.select("dst")).distinct()
-    sets = keep(texts.join(wanted, "fp").dropDuplicates(["fp"]).select("fp", shingle_set(F.col("_text"), words).alias("s")), "sets")
-    a = sets.select(F.col("fp").alias("src"), F.col("s").alias("a"))
-    b = sets.select(F.col("fp").alias("dst"), F.col("s").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    close = both >= F.lit(similarity) * (F.size("a") + F.size("b") - both) - 1e-9
-    return pairs.join(a, "src").join(b, "dst").where(close).select("src", "dst")
-
 
-def shingle_set(text: Column, words: int) -> Column:
-    """Hashes of the distinct shingles of a text (fewer words: the whole; none: an empty set)."""
-
-    def of(w: Column) -> Column:
-        n = F.size(w)
-        at = F.when(n > words, F.sequence(F.lit(0), n - words)).otherwise(F.when(n > 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>")))
-        return F.array_distinct(F.transform(at, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)])))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        odd, mix = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+        def shingles(text: bytes) -> np.ndarray:
+            w = text.lower().split()  # bytes: A-Z only, and white space \x20 \x09-\x0D only
+            if not w:
+                return np.zeros(0, dtype=np.uint64)
+            h = np.fromiter(map(digest, w), dtype=np.uint64, count=len(w))
+            wide = min(words, len(w))
+            m = len(w) - wide + 1
+            out = np.full(m, wide, dtype=np.uint64)
+            for j in range(wide):
+                out = (out ^ h[j : j + m]) * odd
+                out ^= out >> np.uint64(32)
+                out *= mix
+                out ^= out >> np.uint64(29)
+            return np.unique(out)
+
+        def flush(batch: pa.RecordBatch, begin: int, nodes: list[int], sizes: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+            at = np.cumsum([0, *map(len, parts)], dtype=np.int32)
+            values = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint64)
+            s = pa.ListArray.from_arrays(pa.array(at), pa.array(values.view(np.int64)))
+            own = [c.slice(begin, len(nodes)) for c in batch.columns[:-1]]
+            return pa.RecordBatch.from_arrays([*own, pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), s], ["_id", "_tag", "node", "n", "s"])
 
-    split = F.split(F.trim(F.regexp_replace(ascii_lower(text), "[ \\t-\\r]+", " ")), " ")
-    return bind(F.filter(split, lambda x: x != ""), of)
+        for batch in batches:
+            begin, held = 0, 0
+            nodes, sizes, parts = [], [], []
+            for k, text in enumerate(batch.column("_bytes")):
+                s = shingles(text.as_py())
+                n = len(s)
+                nodes.append(digest(s.tobytes(), 42))
+                sizes.append(n)
+                if similarity is not None:
+                    s = s[: n - math.ceil(n * similarity - 1e-6) + max(1, n // 10)]
+                parts.append(s)
+                held += len(s)
+                if held >= HASHES_AT_ONCE:
+                    yield flush(batch, begin, nodes, sizes, parts)
+                    begin, held = k + 1, 0
+                    nodes, sizes, parts = [], [], []
+            if nodes:
+                yield flush(batch, begin, nodes, sizes, parts)
+
+    bytes_ = rows.select("_id", "_tag", F.col("_text").cast("binary").alias("_bytes"))
+    return bytes_.mapInArrow(run, "_id long, _tag long, node long, n int, s array<long>")
+
+
+def possible_nodes(found: DataFrame, similarity: float) -> DataFrame:
+    """``node`` of the sets whose smallest parts share as many hashes with other sets as those of similar sets must."""
+    part = found.select("node", "n", F.explode("s").alias("h"))
+    shared = keep(part.groupBy("h").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a != b").select(F.col("h").alias("shared")), "shared")
+    # rows of one node are copies: its hits are counted for all of them and divided
+    hits = part.join(shared, F.col("h") == F.col("shared"), "left_semi").groupBy("node", "n").agg(F.count(F.lit(1)).alias("hits"))
+    rows = found.groupBy("node").agg(F.count(F.lit(1)).alias("rows"))
+    need = F.greatest(F.lit(1), F.floor(least_shared(F.col("n"), similarity) / 10))
+    return hits.join(rows, "node").where(F.col("hits") >= need * F.col("rows")).select("node")
+
+
+def prefix_cells(sets: DataFrame, similarity: float) -> DataFrame:
+    """``cell``, ``node``, ``n``: each set under its n - least + 1 rarest shingles; similar sets share one of them.
+
+    Shingles of one set alone are the rarest; they take their places but open no cell.
+    """
+    each = sets.select("node", "n", F.explode("s").alias("h"))
+    often = keep(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("h").alias("shared"), "df"), "often")
+    ranked = each.join(often, F.col("h") == F.col("shared")).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("c"))
+    take = F.size("c") - least_shared(F.col("n"), similarity) + 1
+    rare = ranked.where(take > 0).select("node", "n", F.explode(F.slice("c", F.lit(1), F.greatest(take, F.lit(1)))).alias("c"))
+    return rare.select(F.col("c.h").alias("cell"), "node", "n")
+
+
+def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (src, dst) of nodes whose shingle sets are similar enough."""
+    a = sets.select(F.col("node").alias("src"), F.col("s").alias("a"))
+    b = sets.select(F.col("node").alias("dst"), F.col("s").alias("b"))
+    both = F.size(F.array_intersect("a", "b"))
+    close = both >= F.lit(similarity) * (F.size("a") + F.size("b") - both) - 1e-9
+    return pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(close).select("src", "dst")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, fingerprint_words: int = 3) -> DataFrame:
-    """Each row's ``_id``, ``_tag`` and ``group``, a number: documents linked by similarity of their shingle sets.
+def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Edges (src, dst) whose components are those of all pairs of similar ``sets`` (``node``, ``n``, ``s``).
 
-    Candidates come from shared cells and are verified exactly. A crowded cell forms no pairs at first: its members are
-    compared with its leader, the first in one order of all fingerprints. A member that is similar to a leader is
-    linked to it and leaves all cells: the leader stands for it. So a family of copies shrinks to its leaders at once; what
-    remains crowded are different texts, and the size up to which a cell forms pairs grows fourfold each round.
+    Pairs that share a cell are verified, except those whose components are joined already. A cell with few such pairs
+    for its members forms all of them. Any other compares one member, that with the most links so far, with all the rest;
+    this member's pairs are then settled here and it leaves this cell, no other does. Then components are taken anew, so a
+    family of copies becomes one component in a few rounds, and the number of pairs a member may form grows fourfold each round.
     """
-    rows = keyed(docs)
-    found = keep(fingerprints(docs, fingerprint_words), "fingerprints")
-    first = keep(found.groupBy("fp").agg(F.min(F.struct("_id", "_tag")).alias("best")), "distinct")
-    texts = keep(rows.join(first.select("fp", "best._id", "best._tag").hint("merge"), ["_id", "_tag"]).select("fp", "_text"), "texts")
-    cells = similar_cells(first.select("fp"))
-    shared_cells = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell")
-    member = keep(cells.join(shared_cells, "cell").select("cell", "fp", "dist"), "members")
-    apart = lambda a, b: F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y)))
-    edges: list[DataFrame] = []
+    cells = keep(prefix_cells(sets, similarity), "cells")
+    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cell")
+    fresh = cells.join(shared, "cell").select("cell", "node", "n", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
+    member = keep(fresh, "members")
+    sized = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-6
+    ordered = lambda x, y: (F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
+    every: DataFrame | None = None
     crowded = CROWDED
     while True:
-        sizes = keep(member.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("lead")), "sizes")
-        few = member.join(sizes.where(F.col("n") <= crowded).select("cell"), "cell")
-        a, b = few.alias("a"), few.alias("b")
-        pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp"))).where(apart("a.dist", "b.dist") <= SIMILAR_BITS)
-        pairs = pairs.where(F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= SIMILAR_BITS).select(F.col("a.fp").alias("src"), F.col("b.fp").alias("dst"))
-        many = sizes.where(F.col("n") > crowded).select("cell", "lead")
-        crowd = keep(member.join(many, "cell"), "crowd")
-        stars = crowd.where("fp != lead").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("lead"))) <= SIMILAR_BITS).select(F.col("lead").alias("src"), F.col("fp").alias("dst"))
+        first = F.struct("links", F.xxhash64("node").alias("r"), "node", "n", "label")
+        by_label = member.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k"), F.max(first).alias("lead"))
+        by_cell = by_label.groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max("lead").alias("lead"), F.max(F.struct("k", "label"))["label"].alias("most"))
+        open_ = by_cell.where("same < k * k").withColumn("many", (F.col("k") * F.col("k") - F.col("same")) / 2 > F.col("k") * crowded)
+        sizes = keep(open_.select("cell", "lead", "most", "many"), "sizes")
+        few = sizes.where("not many").select("cell", "most")
+        a = member.join(few, "cell").where("label != most").select("cell", "node", "n", "label", "most").alias("a")
+        b = member.join(few.select("cell"), "cell").select("cell", "node", "n", "label").alias("b")
+        # both outside the largest component of the cell: such a pair is met from both sides and taken once
+        once = (F.col("b.label") == F.col("a.most")) | (F.col("a.node") < F.col("b.node"))
+        pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.label") != F.col("b.label")) & once & sized).select(*ordered("a.node", "b.node"))
+        crowd = keep(member.join(sizes.where("many").select("cell", "lead"), "cell"), "crowd")
+        fits = F.least("n", "lead.n") >= F.lit(similarity) * F.greatest("n", "lead.n") - 1e-6
+        stars = crowd.where((F.col("label") != F.col("lead.label")) & fits).select(*ordered(F.col("node"), F.col("lead.node")))
         todo = keep(pairs.union(stars).distinct(), "pairs")
-        linked = keep(verified_links(todo, texts, words, similarity), "linked")
-        edges.append(linked)
+        linked = keep(verified_links(todo, sets, similarity), "linked")
+        every = linked if every is None else every.union(linked)
+        for old in (todo, sizes, member):
+            discard(old)
         if not crowd.limit(1).count():
-            break
-        leaders = crowd.select(F.col("lead").alias("src")).distinct()
-        gone = linked.join(leaders, "src", "left_semi").where(F.xxhash64("src") < F.xxhash64("dst")).select(F.col("dst").alias("fp")).distinct()
-        member = keep(crowd.where("fp != lead").join(gone, "fp", "left_anti").select("cell", "fp", "dist"), "members")
+            return every
+        roots = components(every, sets.sparkSession)
+        ends = every.select(F.col("src").alias("end")).union(every.select("dst")).groupBy("end").agg(F.count(F.lit(1)).alias("more"))
+        state = keep(roots.join(ends, F.col("node") == F.col("end")).select(F.col("node").alias("end"), "root", "more"), "state")
+        rest = crowd.where(F.col("node") != F.col("lead.node")).select("cell", "node", "n")
+        labelled = rest.join(state, F.col("node") == F.col("end"), "left")
+        member = keep(labelled.select("cell", "node", "n", F.coalesce("root", "node").alias("label"), F.coalesce("more", F.lit(0)).cast("long").alias("links")), "members")
+        discard(crowd)
         crowded *= 4
-    every = edges[0]
-    for more in edges[1:]:
-        every = every.union(more)
-    roots = components(every, found.sparkSession)
-    named = first.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("group"))
-    return found.join(keep(named, "named"), "fp").select("_id", "_tag", "group")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Each row's ``_id``, ``_tag`` and ``group``, a number: documents linked by similarity of their shingle sets.
+
+    Exact: no pair of similar sets is lost. Nodes are the distinct shingle sets, so copies are one node. Two prefix filters
+    find candidates: the smallest hashes of all sets leave the sets that may have a partner, then the rarest shingles
+    of these sets are cells.
+    """
+    rows = keyed(docs)
+    found = keep(shingle_sets(rows, words, similarity), "parts")
+    likely = keep(possible_nodes(found, similarity), "likely")
+    best = found.groupBy("node").agg(F.min(F.struct("_id", "_tag")).alias("best"))
+    wanted = keep(best.join(likely, "node").select("best._id", "best._tag"), "wanted")
+    texts = rows.join(wanted.hint("merge"), ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"])
+    sets = keep(shingle_sets(texts, words).select("node", "n", "s"), "sets")
+    roots = components(similar_links(sets, similarity), docs.sparkSession).select(F.col("node").alias("linked"), "root")
+    slim = found.select("_id", "_tag", "node")
+    return slim.join(roots, F.col("node") == F.col("linked"), "left").select("_id", "_tag", F.coalesce("root", "node").alias("group"))
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

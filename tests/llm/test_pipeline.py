@@ -79,3 +79,34 @@ def test_stages_on_odd_rows(spark, sf, tricky, tmp_path):
         assert corpus_pipeline.keep(stage(spark, docs, str(tmp_path)), name).columns == docs.columns
         assert stage(spark, docs.where("false"), str(tmp_path)).count() == 0
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()} >= {1, 2, 6, 7, 9, 10, None}
+
+
+def groups_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    groups = {}
+    for r in simhash.similar_groups(docs).collect():
+        groups.setdefault(r.group, set()).add(r._id)
+    return sorted(groups.values(), key=min)
+
+
+def edited(rng, base, least):
+    """A copy of ``base`` with replaced words, no further from it than ``least``."""
+    copy, source = list(base), " ".join(base)
+    while True:
+        more = list(copy)
+        more[rng.randrange(len(base))] = f"w{rng.getrandbits(40)}"
+        x, y = shingles(source), shingles(" ".join(more))
+        if len(x & y) < least * len(x | y):
+            return " ".join(copy)
+        copy = more
+
+
+def test_large_family_around_one_original(spark):
+    """Copies that are similar to the original and hardly to each other, in thousands, among other texts."""
+    rng = random.Random(21)
+    base = [f"word{rng.randrange(5000)}" for _ in range(250)]
+    texts = [" ".join(base)] + [edited(rng, base, 0.82) for _ in range(2000)]
+    texts += [" ".join(f"word{rng.randrange(5000)}" for _ in range(120)) for _ in range(50)]
+    order = rng.sample(range(len(texts)), len(texts))
+    found = groups_of(spark, [texts[k] for k in order])
+    assert sorted(sorted(order[k] for k in g) for g in found) == [list(range(2001)), *[[k] for k in range(2001, 2051)]]
