@@ -110,3 +110,17 @@ def test_large_family_around_one_original(spark):
     order = rng.sample(range(len(texts)), len(texts))
     found = groups_of(spark, [texts[k] for k in order])
     assert sorted(sorted(order[k] for k in g) for g in found) == [list(range(2001)), *[[k] for k in range(2001, 2051)]]
+
+
+def test_no_pair_above_the_similarity_is_lost(spark):
+    """Pairs of 0.80 to 0.90, with scattered edits or an appended block, and pairs right below 0.8 that stay apart."""
+    rng = random.Random(22)
+    pairs = []
+    while len(pairs) < 150:
+        base = [f"word{rng.randrange(5000)}" for _ in range(rng.randrange(150, 400))]
+        more = [f"word{rng.randrange(5000)}" for _ in range(int(len(base) * (1 / rng.uniform(0.77, 0.9) - 1)))]
+        pairs.append((" ".join(base), rng.choice([edited(rng, base, rng.uniform(0.8, 0.88)), " ".join(base + more)])))
+    near = [similar(a, b) for a, b in pairs]
+    assert 100 < sum(near) < 150
+    found = groups_of(spark, [t for p in pairs for t in p])
+    assert found == sorted((g for k, n in enumerate(near) for g in ([{2 * k, 2 * k + 1}] if n else [{2 * k}, {2 * k + 1}])), key=min)
