@@ -124,3 +124,13 @@ def test_no_pair_above_the_similarity_is_lost(spark):
     assert 100 < sum(near) < 150
     found = groups_of(spark, [t for p in pairs for t in p])
     assert found == sorted((g for k, n in enumerate(near) for g in ([{2 * k, 2 * k + 1}] if n else [{2 * k}, {2 * k + 1}])), key=min)
+
+
+def test_equal_fingerprints_are_no_proof(spark):
+    """A repeated phrase decides the fingerprints of texts that share little else."""
+    rng = random.Random(23)
+    phrase = " ".join(f"p{k}" for k in range(21))
+    texts = [" ".join([phrase] * 100 + [f"own{rng.getrandbits(40)}" for _ in range(300)]) for _ in range(40)]
+    texts += [texts[0].upper(), "  ".join(texts[1].split(" "))]
+    found = groups_of(spark, texts)
+    assert found == [{0, 40}, {1, 41}, *[{k} for k in range(2, 40)]]
