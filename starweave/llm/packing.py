@@ -1,9 +1,9 @@
 """Best-fit packing of tokenised documents into fixed-length training sequences.
 
 The instance is its histogram of piece lengths: at most ``capacity`` numbers, whatever the corpus size. A
-Martello-Toth dominance reduction runs on it first: an item for which some set of at most two partners provably
-dominates every other bin that could hold it is fixed with these partners for good and leaves the instance. What
-remains is packed best-fit over the histogram. The plan is a list of bin patterns with multiplicities; pieces find
+Martello-Toth dominance reduction runs on it first, in part: an item that is provably best alone or with one certain
+partner is fixed with it for good and leaves the instance. Bins of two partners are not tested: the reduction ends at an
+item beside which the two smallest others fit, unless one partner fills its bin. What remains is packed best-fit over the histogram. The plan is a list of bin patterns with multiplicities; pieces find
 their place by their rank among the pieces of their length, counted in hashed blocks so that no length lands in
 one task.
 
