@@ -4,18 +4,25 @@ A byte is removed if a string of ``span`` bytes that covers it also starts in a
 suffix array of a whole corpus fits anywhere, so the suffixes are first dealt out such that equal strings meet:
 
 1. every string of ``span`` bytes is represented by the least hash among its ``GRAM``-byte substrings. Neighbouring strings
-   mostly share it, so a document gives about one row (hash, doc_id) for 18 bytes. One exchange by hash, sorted, finds
-   the hashes that several documents have; groups are streamed, so their size doesn't matter;
+   mostly share it, so a document gives about one row (hash, doc_id) for 18 bytes. One exchange by hash finds the hashes
+   that several documents have; groups are streamed;
 2. for these hashes alone the surrounding bytes (contexts) of each document are dealt out by hash. A block of whole
-   groups gets a suffix array, sorted to ``span`` bytes with ties by document. In this order the previous smaller document
-   shares at least ``span`` bytes exactly if the longest previous factor of the suffix reaches ``span``; in a tie run no
-   smaller document follows, so the next smaller one can't be longer;
-3. a group whose contexts exceed ``MOST_GROUP`` bytes isn't gathered: its strings go through a plain aggregation
-   (least doc_id of each string, combined before the exchange), which gives the same answer;
-4. the covered ranges of each document are merged, and cut from its text.
+   groups gets its suffix order (ties by document) and the array of longest common prefixes. Previous and next smaller
+   documents in this order, with the least common prefix on the way, give each suffix its longest previous factor; both are
+   found for all suffixes at once by pointer jumping. Where the factor reaches ``span`` the string goes;
+3. the covered ranges of each document are merged, and cut from its text.
+
+Order and factors are cut off at ``span`` bytes: longer factors change nothing.
+
+A passage that very many documents have is combined before each exchange, as partial sums are: of the documents that a
+worker has seen with a hash, two travel to the hash's task and the others are known to share it; of equal contexts, only
+that of the least document travels, the others are covered whole. What is known already is dealt out at random, not by its
+hash. A group whose different contexts exceed ``GROUP_BYTES`` (around one very common substring) is dealt out anew by longer
+substrings, up to whole strings of ``span`` bytes, of which all contexts are equal. So no task holds or reads an unbounded group.
 
 * null text is empty. A null doc_id counts as a document after all others; two of these don't match each other.
 * rows of one doc_id don't match each other either; each row is cut on its own, and repeated rows alike.
+* very long texts are cut into overlapping parts before they are hashed; the parts' strings are those of the whole text.
 * an empty table gives no rows; extra columns are ignored.
 """
 
@@ -31,16 +38,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starweave.llm.common import doc_id, keep, keyed, partitions, table
+from starweave.llm.common import NULL_ID, discard, doc_id, keep, keyed, partitions, table
 
 SPAN = 50
 GRAM = 16
-#: Bytes of text hashed at a time, of contexts in one suffix array, and of one group's contexts at most.
+#: Bytes of text hashed at a time, of contexts in one suffix array, and of one group's different contexts.
 TEXT_AT_ONCE = 2_000_000
 BLOCK_BYTES = 3_000_000
-MOST_GROUP = 12_000_000
+GROUP_BYTES = 12_000_000
 #: Starts in one context at most.
 LONGEST_RUN = 2048
+#: Hashes that a worker remembers as shared; forgetting one only lets its rows travel.
+REMEMBERED = 100_000
 U = np.uint64
 
 
@@ -49,16 +58,16 @@ def words_at(data: bytes, n: int, offset: int, big: bool = False) -> np.ndarray:
     return np.ndarray((n,), dtype=">u8" if big else "<u8", buffer=data, offset=offset, strides=(1,)).astype(U)
 
 
-def least_hashes(data: bytes, n: int, span: int) -> np.ndarray:
-    """For each of ``n`` starts the least hash of the substrings of its ``span`` bytes. data: n + span + 8 bytes."""
-    grams = span - GRAM + 1
+def least_hashes(data: bytes, n: int, span: int, gram: int = GRAM) -> np.ndarray:
+    """For each of ``n`` starts the least hash of the ``gram``-byte substrings of its ``span`` bytes. data: n + span + 8 bytes."""
+    grams = span - gram + 1
     m = n + grams - 1
-    h = words_at(data, m, 0) * U(0x9E3779B97F4A7C15)
-    h ^= h >> U(29)
-    h += words_at(data, m, GRAM - 8)
-    h *= U(0xC2B2AE3D27D4EB4F)
-    h ^= h >> U(32)
-    h *= U(0x165667B19E3779F9)
+    h = np.zeros(m, dtype=U)
+    for at in [*range(0, gram - 8, 8), gram - 8]:
+        h = (h ^ words_at(data, m, at)) * U(0x9E3779B97F4A7C15)
+        h ^= h >> U(29)
+        h *= U(0xC2B2AE3D27D4EB4F)
+        h ^= h >> U(32)
     width = 1
     while width * 2 <= grams:
         h = np.minimum(h[:-width], h[width:])
@@ -94,10 +103,10 @@ def joined(parts: list[tuple[int, int, bytes]], span: int) -> tuple[bytes, np.nd
     return data, row, np.repeat(begin, starts) + inner, np.repeat(np.array([a for _, a, _ in parts], dtype=np.int64), starts) + inner
 
 
-def runs_of(texts: list[bytes], span: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def runs_of(texts: list[bytes], span: int, gram: int = GRAM) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Runs of starts with one least hash: (bytes, hash, row, place in bytes, place in text, number of starts)."""
     for data, row, place, inside in segments(texts, span):
-        h = least_hashes(data, len(data) - span - 8, span)[place]
+        h = least_hashes(data, len(data) - span - 8, span, gram)[place]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
         at = np.flatnonzero(new)
@@ -126,52 +135,90 @@ def unpacked(column: pa.Array) -> list[bytes]:
 
 
 def sketch(docs: DataFrame, span: int) -> DataFrame:
-    """(h, _id) for each run; a document's adjacent repeats are left out."""
+    """(h, _id, _tag, sure) for each document and hash of its runs; ``sure``: this worker knows that several ids have the hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared_here = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for _, h, row, *_ in runs_of(batch.column(1).to_pylist(), span):
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[row])], ["h", "_id"])
-
-    return docs.select("_id", F.col("_text").cast("binary").alias("b")).mapInArrow(run, "h long, _id long")
+            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for _, h, row, *_ in runs_of(batch.column(2).to_pylist(), span):
+                order = np.lexsort((row, ids[row], h))
+                h, row = h[order], row[order]
+                new = np.append(True, (h[1:] != h[:-1]) | (row[1:] != row[:-1]))
+                h, row = h[new], row[new]
+                d = ids[row]
+                head = np.append(True, h[1:] != h[:-1])
+                other = np.cumsum(np.append(False, d[1:] != d[:-1]) & ~head)  # the ids of a hash are numbered from 0
+                nth = other - other[np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))]
+                at = np.minimum(np.searchsorted(shared_here, h), max(0, len(shared_here) - 1))
+                sure = nth >= 2
+                if len(shared_here):
+                    sure |= shared_here[at] == h
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(d), pa.array(tags[row]), pa.array(sure)], ["h", "_id", "_tag", "sure"])
+                more = np.unique(h[nth >= 2])
+                shared_here = more[:REMEMBERED] if len(shared_here) + len(more) > REMEMBERED else np.union1d(shared_here, more)
+
+    return docs.select("_id", "_tag", F.col("_text").cast("binary").alias("b")).mapInArrow(run, "h long, _id long, _tag long, sure boolean")
+
+
+def dealt(rows: DataFrame, settled: str) -> DataFrame:
+    """Rows in order of (h, _id), those of one hash in one partition; settled ones anywhere."""
+    key = F.when(F.expr(settled), F.xxhash64("_id", "_tag", "h")).otherwise(F.col("h"))
+    return rows.repartition(partitions(rows.sparkSession), key).sortWithinPartitions("h", "_id")
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The distinct (h, _id) whose hash several ids have; groups are streamed in order of (h, _id)."""
-
-    return rows.repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h", "_id").mapInArrow(several_ids, "h long, _id long")
+    """The (h, _id, _tag) whose hash several ids have; groups are streamed."""
+    return dealt(rows, "sure").mapInArrow(several_ids, "h long, _id long, _tag long")
 
 
 def several_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    h0 = d0 = None  # the last pair
-    several = False  # its group has two ids, so the pair itself is out already
+    """Of rows (h, _id, _tag, sure) in order of (h, _id), those whose hash has another id too."""
+    held = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int64, bool)]  # the last group's rows while it has one id
+    known = None  # the last group's hash, once it has several
     for batch in batches:
-        h, d = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        held = h0 is not None
-        if held:
-            h, d = np.append(np.int64(h0), h), np.append(np.int64(d0), d)
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        h, d = h[new], d[new]
+        h, d, t, s = (np.append(a, batch.column(k).to_numpy(zero_copy_only=False)) for k, a in enumerate(held))
         if not len(h):
             continue
-        at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-        size = np.diff(np.append(at, len(h)))
-        many = size > 1
-        if held and several:
+        begin = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+        size = np.diff(np.append(begin, len(h)))
+        many = (d[begin] != d[begin + size - 1]) | np.logical_or.reduceat(s, begin)
+        if known is not None and h[0] == known:
             many[0] = True
+        last = begin[-1]
+        known = h[-1] if many[-1] else None
+        # rows of one id wait for another one; no other comes after a null id
+        to = last if many[-1] else last + 1 if d[last] == NULL_ID else len(h)
+        held = [x[last:to] for x in (h, d, t, s)]
         out = np.repeat(many, size)
-        if held and several:
-            out[0] = False
-        h0, d0, several = h[-1], d[-1], bool(many[-1])
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(d[out])], ["h", "_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[out]), pa.array(d[out]), pa.array(t[out])], ["h", "_id", "_tag"])
+
+
+CONTEXT = "h long, _id long, _tag long, a long, b long, bytes binary"
+
+
+def context_rows(h: np.ndarray, ids: np.ndarray, tags: np.ndarray, a: np.ndarray, blob: pa.Array) -> pa.RecordBatch:
+    """Contexts that travel (bytes) or, where an equal context of a smaller id is at hand, ranges covered whole (no bytes)."""
+    coded = blob.dictionary_encode()
+    which = coded.indices.to_numpy()
+    least = np.full(len(coded.dictionary), NULL_ID, dtype=np.int64)
+    np.minimum.at(least, which, ids)
+    size = pa.compute.binary_length(blob).to_numpy().astype(np.int64)
+    bytes_ = blob.take(pa.array(np.arange(len(ids)), mask=ids > least[which]))
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(tags), pa.array(a), pa.array(a + size), bytes_], ["h", "_id", "_tag", "a", "b", "bytes"])
+
+
+def cut_out(data: bytes, place: np.ndarray, size: np.ndarray) -> pa.Array:
+    upto = np.cumsum(size)
+    take = np.arange(upto[-1]) + np.repeat(place - (upto - size), size)
+    flat = np.frombuffer(data, dtype=np.uint8)[take]
+    return pa.BinaryArray.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, upto).astype(np.int32)), pa.py_buffer(flat)])
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(h, _id, _tag, at, bytes): the bytes that cover each run of a wanted hash."""
-    lists = wanted.groupBy("_id").agg(F.collect_list("h").alias("hs"))
+    """(h, _id, _tag, a, b, bytes): the bytes from a to b that cover each run of a wanted hash; without bytes: covered whole."""
+    lists = wanted.groupBy("_id", "_tag").agg(F.collect_list("h").alias("hs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,147 +230,209 @@ def contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                 for a, b in zip(cuts, np.append(cuts[1:], len(row)), strict=True):
                     known = sets[row[a]]
                     ok[a:b] = known[np.minimum(np.searchsorted(known, h[a:b]), len(known) - 1)] == h[a:b]
-                h, row, place, inside, count = h[ok], row[ok], place[ok], inside[ok], count[ok]
-                if not len(h):
-                    continue
-                size = count + span - 1
-                upto = np.cumsum(size)
-                take = np.arange(upto[-1]) + np.repeat(place - (upto - size), size)
-                flat = np.frombuffer(data, dtype=np.uint8)[take]
-                blob = pa.BinaryArray.from_buffers(pa.binary(), len(h), [None, pa.py_buffer(np.append(0, upto).astype(np.int32)), pa.py_buffer(flat)])
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids[row]), pa.array(tags[row]), pa.array(inside), blob], ["h", "_id", "_tag", "at", "bytes"])
+                if ok.any():
+                    row = row[ok]
+                    yield context_rows(h[ok], ids[row], tags[row], inside[ok], cut_out(data, place[ok], count[ok] + span - 1))
 
-    both = packed(docs).join(lists.hint("merge"), "_id").select("_id", "_tag", "z", "hs")
-    return both.mapInArrow(run, "h long, _id long, _tag long, at long, bytes binary")
+    both = packed(docs).join(lists.hint("merge"), ["_id", "_tag"]).select("_id", "_tag", "z", "hs")
+    return both.mapInArrow(run, CONTEXT)
 
 
-def longest_previous(data: bytes, starts: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
-    """Whether each start's longest previous factor, among smaller documents, reaches ``span`` bytes.
+def finer_contexts(rows: DataFrame, span: int, gram: int) -> DataFrame:
+    """Contexts that are left over, dealt out anew by the least hash of longer substrings."""
 
-    Sorts the suffixes to ``span`` bytes, ties by document; a tie run's first suffix is its smallest document.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, tags, at = (batch.column(k).to_numpy() for k in range(3))
+            for data, h, row, place, inside, count in runs_of(batch.column(3).to_pylist(), span, gram):
+                yield context_rows(h, ids[row], tags[row], at[row] + inside, cut_out(data, place, count + span - 1))
+
+    return rows.select("_id", "_tag", "a", "bytes").mapInArrow(run, CONTEXT)
+
+
+def common_prefix(keys: list[np.ndarray], offsets: list[int], depth: int) -> np.ndarray:
+    """Length of the common prefix of each suffix with the one before it in order, up to ``depth``; 0 for the first."""
+    n = len(keys[0])
+    out = np.full(n, depth, dtype=np.int64)
+    out[0] = 0
+    same = np.ones(n, dtype=bool)
+    same[0] = False
+    for k, at in zip(keys, offsets, strict=True):
+        differ = np.zeros(n, dtype=U)
+        differ[1:] = k[1:] ^ k[:-1]
+        ends = np.flatnonzero(same & (differ != 0))
+        x = differ[ends]
+        out[ends] = at + sum((x < U(1) << U(8 * b)).astype(np.int64) for b in range(1, 8))
+        same[ends] = False
+    return out
+
+
+def nearest_smaller(doc: np.ndarray, prefix: np.ndarray, least: int) -> np.ndarray:
+    """For each place the common prefix with the nearest place before it whose document is smaller; 0 if there is none.
+
+    Pointer jumping: everything between a place and its candidate has no smaller document, so a candidate that isn't smaller
+    hands on its own. Candidates whose prefix has fallen below ``least`` are given up.
+    """
+    candidate = np.arange(-1, len(doc) - 1)
+    shares = prefix.copy()
+    active = np.flatnonzero((candidate >= 0) & (shares >= least))
+    active = active[doc[candidate[active]] >= doc[active]]
+    while len(active):
+        at = candidate[active]
+        less, further = np.minimum(shares[active], shares[at]), candidate[at]
+        shares[active], candidate[active] = less, further
+        active = active[(further >= 0) & (less >= least)]
+        active = active[doc[candidate[active]] >= doc[active]]
+    found = (candidate >= 0) & (shares >= least)
+    found[found] = doc[candidate[found]] < doc[found]
+    return np.where(found, shares, 0)
+
+
+def longest_previous(data: bytes, starts: np.ndarray, doc: np.ndarray, depth: int, least: int = 1) -> np.ndarray:
+    """The longest previous factor of each start: the longest string, up to ``depth`` bytes, that begins here and at a start of a
+    smaller document; 0 if it is shorter than ``least``. data: ``depth`` bytes from each start on.
+
+    The suffix order's previous and next smaller documents have it: anything further away shares no more.
     """
-    offsets = [*range(0, span - 8, 8), span - 8]
-    keys = [words_at(data, len(data) - span + 1, o, big=True)[starts] for o in offsets]
-    order = np.lexsort((doc, *reversed(keys)))
+    offsets = [*range(0, depth - 8, 8), depth - 8]
+    keys = [words_at(data, len(data) - depth + 1, o, big=True)[starts] for o in offsets]
+    order = np.argsort(keys[0])
+    first = keys[0][order]
     tie = np.zeros(len(order), dtype=bool)
-    tie[1:] = True
-    for k in keys:
-        k = k[order]
-        tie[1:] &= k[1:] == k[:-1]
-    head = np.maximum.accumulate(np.where(tie, 0, np.arange(len(order))))
-    out = np.empty(len(order), dtype=bool)
-    out[order] = doc[order] > doc[order][head]
+    tie[1:] = first[1:] == first[:-1]
+    tie[:-1] |= tie[1:]
+    among = np.flatnonzero(tie)  # only these need the rest of their keys
+    sub = order[among]
+    order[among] = sub[np.lexsort((doc[sub], *(k[sub] for k in reversed(keys))))]
+    prefix = common_prefix([k[order] for k in keys], offsets, depth)
+    by_order = doc[order]
+    before = nearest_smaller(by_order, prefix, least)
+    after = nearest_smaller(by_order[::-1], np.append(prefix[1:], 0)[::-1], least)[::-1]
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
-def matched(rows: DataFrame, span: int, most_group: int) -> DataFrame:
-    """(_id, _tag, a, b, bytes): covered ranges; or, of groups that are too large, the context from ``a`` on."""
-
-    def resolve(h: np.ndarray, ids: np.ndarray, tags: np.ndarray, at: np.ndarray, blob: pa.Array) -> pa.RecordBatch | None:
-        coded = blob.dictionary_encode()
-        which, texts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        # of equal contexts the first in order of id stands for all: later ids are matched at every start
-        first = np.full(len(texts), len(h))
-        np.minimum.at(first, which, np.arange(len(h)))
-        size = np.array([len(t) for t in texts], dtype=np.int64)
-        count = size - span + 1
-        begin = np.cumsum(size) - size
-        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        own = longest_previous(b"".join(texts), np.repeat(begin, count) + inner, np.repeat(ids[first], count), span)
-        # runs of matched starts in each distinct context
-        edge = np.zeros(len(own) + 1, dtype=bool)
-        edge[np.cumsum(count) - count] = True
-        up = own & (~np.append(False, own[:-1]) | edge[:-1])
-        down = own & (~np.append(own[1:], False) | edge[1:])
-        text_of = np.repeat(np.arange(len(texts)), count)
-        a, b, of = inner[up], inner[down] + span, text_of[up]
-        later = ids > ids[first][which]
-        each = np.flatnonzero(~later)
-        # rows that stand for themselves take their context's runs; the others are covered whole
-        per = np.bincount(of, minlength=len(texts))
-        row = np.repeat(each, per[which[each]])
-        skip = np.arange(len(row)) - np.repeat(np.cumsum(per[which[each]]) - per[which[each]], per[which[each]])
-        k = (np.cumsum(per) - per)[which[row]] + skip
-        whole = np.flatnonzero(later)
-        row_all = np.append(row, whole)
-        from_ = np.append(at[row] + a[k], at[whole])
-        to = np.append(at[row] + b[k], at[whole] + size[which[whole]])
-        if not len(row_all):
-            return None
-        return ranges(ids[row_all], tags[row_all], from_, to, pa.nulls(len(row_all), pa.binary()))
-
-    def ranges(ids: np.ndarray, tags: np.ndarray, a: np.ndarray, b: np.ndarray, blob: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags), pa.array(a), pa.array(b), blob], ["_id", "_tag", "a", "b", "bytes"])
+RANGE = "_id long, _tag long, a long, b long, bytes binary"
+
+
+def ranges(ids: np.ndarray, tags: np.ndarray, a: np.ndarray, b: np.ndarray, blob: pa.Array | None = None) -> pa.RecordBatch:
+    blob = pa.nulls(len(ids), pa.binary()) if blob is None else blob
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tags), pa.array(a), pa.array(b), blob], ["_id", "_tag", "a", "b", "bytes"])
+
+
+def resolve(ids: np.ndarray, tags: np.ndarray, at: np.ndarray, blob: pa.Array, span: int) -> pa.RecordBatch:
+    """The covered ranges of whole groups' contexts, in order of id within a group."""
+    coded = blob.dictionary_encode()
+    which, texts = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    # of equal contexts the first in order of id stands for all: those of later ids are covered whole
+    first = np.full(len(texts), len(ids))
+    np.minimum.at(first, which, np.arange(len(ids)))
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    count = size - span + 1
+    begin = np.cumsum(size) - size
+    inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    factor = longest_previous(b"".join(texts), np.repeat(begin, count) + inner, np.repeat(ids[first], count), span, span)
+    own = factor >= span
+    # runs of matched starts in each different context
+    edge = np.zeros(len(own) + 1, dtype=bool)
+    edge[np.cumsum(count) - count] = True
+    edge[-1] = True
+    up = own & (~np.append(False, own[:-1]) | edge[:-1])
+    down = own & (~np.append(own[1:], False) | edge[1:])
+    a, b, of = inner[up], inner[down] + span, np.repeat(np.arange(len(texts)), count)[up]
+    later = ids > ids[first][which]
+    each = np.flatnonzero(~later)
+    # rows that stand for themselves take their context's runs
+    per = np.bincount(of, minlength=len(texts))
+    times = per[which[each]]
+    row = np.repeat(each, times)
+    k = np.repeat((np.cumsum(per) - per)[which[each]] - (np.cumsum(times) - times), times) + np.arange(len(row))
+    whole = np.flatnonzero(later)
+    rows = np.append(row, whole)
+    return ranges(ids[rows], tags[rows], np.append(at[row] + a[k], at[whole]), np.append(at[row] + b[k], at[whole] + size[which[whole]]))
+
+
+def matched(rows: DataFrame, span: int) -> DataFrame:
+    """(_id, _tag, a, b, bytes): covered ranges; with bytes, contexts of groups that are to be dealt out anew."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, large = 0, None  # large: the hash of a group that is too large, once known
+        size, large = 0, None  # large: the hash of a group that doesn't fit, once known
 
-        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def arrays(parts: list[pa.RecordBatch]) -> tuple:
             t = pa.Table.from_batches(parts).combine_chunks()
-            h, ids, tags, at = (t.column(i).to_numpy() for i in range(4))
-            if found := resolve(h, ids, tags, at, t.column(4).chunk(0)):
-                yield found
+            return (*(t.column(i).to_numpy() for i in range(4)), t.column(5).chunk(0))
 
-        def passed(part: pa.RecordBatch) -> pa.RecordBatch:
-            return ranges(*(part.column(i).to_numpy() for i in (1, 2, 3, 3)), part.column(4))
+        def left(part: pa.RecordBatch) -> pa.RecordBatch:
+            return ranges(*(part.column(i).to_numpy() for i in (1, 2, 3, 4)), part.column(5))
+
+        def weight(parts: list[pa.RecordBatch]) -> int:
+            return sum(pa.compute.sum(pa.compute.binary_length(p.column(5))).as_py() or 0 for p in parts)
 
         for whole in batches:
             for k in range(0, whole.num_rows, 2000):
                 batch = whole.slice(k, 2000)
+                known = batch.column(5).is_null()
+                if pa.compute.any(known).as_py():
+                    part = batch.filter(known)
+                    yield ranges(*(part.column(i).to_numpy() for i in (1, 2, 3, 4)))
+                    batch = batch.filter(pa.compute.invert(known))
                 h = batch.column(0).to_numpy()
-                if large is not None:
+                if large is not None and len(h):
                     n = int(np.searchsorted(h, large, side="right"))
                     if n:
-                        yield passed(batch.slice(0, n))
+                        yield left(batch.slice(0, n))
                         batch, h = batch.slice(n), h[n:]
-                    if not len(h):
-                        continue
-                    large = None
+                    large = large if not len(h) else None
+                if not len(h):
+                    continue
                 held.append(batch)
-                size += int(pa.compute.sum(pa.compute.binary_length(batch.column(4))).as_py())
+                size += weight([batch])
                 if size < BLOCK_BYTES:
                     continue
-                cut = int(np.searchsorted(h, h[-1]))  # the last group may go on
-                last = h[-1]
-                if cut or held[0].column(0)[0].as_py() != last:
-                    parts = held[:-1] + [batch.slice(0, cut)] if cut else None
-                    if parts is None:  # the open group began in an earlier batch
-                        parts, rest = [], []
-                        for p in held:
-                            c = int(np.searchsorted(p.column(0).to_numpy(), last))
-                            parts += [p.slice(0, c)] if c else []
-                            rest += [p.slice(c)] if c < p.num_rows else []
-                        held = rest
-                    else:
-                        held = [batch.slice(cut)]
-                    yield from flush(parts)
-                    size = sum(int(pa.compute.sum(pa.compute.binary_length(p.column(4))).as_py()) for p in held)
-                if size >= most_group:
-                    yield from map(passed, held)
-                    held, size, large = [], 0, last
+                # the last group may go on; those before it are whole
+                last, done, open_ = h[-1], [], []
+                for p in held:
+                    n = int(np.searchsorted(p.column(0).to_numpy(), last))
+                    done += [p.slice(0, n)] if n else []
+                    open_ += [p.slice(n)] if n < p.num_rows else []
+                if done:
+                    _, ids, tags, at, blob = arrays(done)
+                    yield resolve(ids, tags, at, blob, span)
+                held, size = open_, weight(open_)
+                if size >= BLOCK_BYTES:
+                    # one group: only different contexts need to wait, equal ones of later ids are covered whole
+                    slim = context_rows(*arrays(held))
+                    known = slim.column(5).is_null()
+                    part = slim.filter(known)
+                    yield ranges(*(part.column(i).to_numpy() for i in (1, 2, 3, 4)))
+                    held = [slim.filter(pa.compute.invert(known))]
+                    size = weight(held)
+                    if size >= GROUP_BYTES:
+                        yield from map(left, held)
+                        held, size, large = [], 0, last
         if held:
-            yield from flush(held)
+            _, ids, tags, at, blob = arrays(held)
+            yield resolve(ids, tags, at, blob, span)
 
-    dealt = rows.repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h", "_id")
-    return dealt.mapInArrow(run, "_id long, _tag long, a long, b long, bytes binary")
+    return dealt(rows, "bytes is null").mapInArrow(run, RANGE)
 
 
-def by_string(rows: DataFrame, span: int) -> DataFrame:
-    """The covered ranges of contexts too many to gather: the least id of each string, by a combining aggregation."""
-    each = rows.select("_id", "_tag", "a", F.explode(F.sequence(F.lit(0), F.octet_length("bytes") - span)).alias("i"), "bytes")
-    each = each.select("_id", "_tag", (F.col("a") + F.col("i")).alias("a"), F.substring("bytes", F.col("i") + 1, F.lit(span)).alias("s"))
-    least = keep(each.groupBy("s").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most").drop("most"), "strings")
-    return each.join(least, "s").where("_id > least").select("_id", "_tag", "a", (F.col("a") + span).alias("b"))
-
-
-def repeated_ranges(docs: DataFrame, span: int = SPAN, most_group: int = MOST_GROUP) -> DataFrame:
+def repeated_ranges(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """(_id, _tag, a, b): ranges of bytes (from 0, end excluded) that are to go; they may overlap."""
     wanted = keep(shared(sketch(docs, span)), "hashes")
-    found = keep(matched(contexts(docs, wanted, span), span, most_group), "ranges")
-    out = found.where("bytes is null").drop("bytes")
-    large = found.where("bytes is not null")
-    return out.unionByName(by_string(large, span)) if large.limit(1).count() else out
+    done = [keep(matched(contexts(docs, wanted, span), span), "ranges")]
+    discard(wanted)
+    for gram in ((span + GRAM) // 2, span):
+        over = done[-1].where("bytes is not null")
+        if not over.limit(1).count():
+            break
+        done.append(keep(matched(finer_contexts(over, span, gram), span), "ranges"))
+    out = done[0].where("bytes is null").drop("bytes")
+    for more in done[1:]:
+        out = out.unionByName(more.where("bytes is null").drop("bytes"))
+    return out
 
 
 def cut(docs: DataFrame, ranges: DataFrame, with_text: bool = False) -> DataFrame:
@@ -354,13 +463,13 @@ def cut(docs: DataFrame, ranges: DataFrame, with_text: bool = False) -> DataFram
 
     schema = "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     names = [x.split()[0] for x in schema.split(", ")]
-    lists = ranges.groupBy("_id", "_tag").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    lists = ranges.groupBy("_id", "_tag").agg(F.collect_set(F.struct("a", "b")).alias("spans"))  # repeated rows bring theirs again
     return packed(docs).join(lists.hint("merge"), ["_id", "_tag"], "left").select("_id", "z", "spans").mapInArrow(run, schema)
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, with_text: bool = False, most_group: int = MOST_GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = SPAN, with_text: bool = False) -> DataFrame:
     rows = keyed(docs)
-    return cut(rows, repeated_ranges(rows, span, most_group), with_text)
+    return cut(rows, repeated_ranges(rows, span), with_text)
 
 
 def op10_longest_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
