@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from starweave.plans.dax import DaxError
+
 _ten = lambda n: F.pow(F.lit(10.0), n)
 
 
@@ -33,7 +35,7 @@ def _weekday(d: Column, kind: int = 1) -> Column:
         return F.weekday(d) + 1
     if kind == 3:
         return F.weekday(d)
-    raise ValueError(f"weekday type {kind}")
+    raise DaxError(f"weekday type {kind}")
 
 
 def _weeknum(d: Column, kind: int = 1) -> Column:
@@ -47,7 +49,7 @@ def _weeknum(d: Column, kind: int = 1) -> Column:
 def _datediff(a: Column, b: Column, unit: str) -> Column:
     """Boundaries crossed between two dates."""
     months = (F.year(b) * 12 + F.month(b)) - (F.year(a) * 12 + F.month(a))
-    return {
+    kinds = {
         "DAY": lambda: F.datediff(b, a),
         "MONTH": lambda: months,
         "QUARTER": lambda: (F.year(b) * 4 + F.quarter(b)) - (F.year(a) * 4 + F.quarter(a)),
@@ -56,7 +58,10 @@ def _datediff(a: Column, b: Column, unit: str) -> Column:
         "HOUR": lambda: ((F.unix_timestamp(F.date_trunc("hour", b)) - F.unix_timestamp(F.date_trunc("hour", a))) / 3600).cast("long"),
         "MINUTE": lambda: ((F.unix_timestamp(F.date_trunc("minute", b)) - F.unix_timestamp(F.date_trunc("minute", a))) / 60).cast("long"),
         "SECOND": lambda: F.unix_timestamp(b) - F.unix_timestamp(a),
-    }[unit]()
+    }
+    if unit not in kinds:
+        raise DaxError(f"DATEDIFF by {unit}")
+    return kinds[unit]()
 
 
 # Number and date formats that FORMAT knows.
@@ -73,7 +78,29 @@ FORMATS: dict[str, Callable[[Column], Column]] = {
     "MMMM": lambda x: F.date_format(x, "MMMM"),
     "yyyy": lambda x: F.date_format(x, "yyyy"),
 }
+KINDS = {"INTEGER": "bigint", "DOUBLE": "double", "STRING": "string", "BOOLEAN": "boolean", "CURRENCY": "decimal(19,4)", "DATETIME": "timestamp"}
+
+
+def _format(x: Column, form: str) -> Column:
+    if form not in FORMATS:
+        raise DaxError(f"FORMAT with {form!r}; known are {', '.join(FORMATS)}")
+    return FORMATS[form](x)
+
+
+def _convert(x: Column, kind: str) -> Column:
+    if str(kind).upper() not in KINDS:
+        raise DaxError(f"CONVERT to {kind}")
+    return x.cast(KINDS[str(kind).upper()])
+
+
+def _found(what: Column, s: Column, start: int, miss: object) -> Column:
+    """The place of the first occurrence from ``start`` on, from 1."""
+    return F.coalesce(F.nullif(F.position(what, s, F.lit(int(start))), F.lit(0)), F.lit(miss))
+
 
+def _unichar(n: Column) -> Column:
+    """The character of a code point, beyond the first 256 too."""
+    return F.decode(F.unhex(F.lpad(F.hex(n.cast("bigint")), 8, "0")), "UTF-32")
 
 
 
@@ -97,7 +124,7 @@ FUNCTIONS: dict[str, tuple[Callable[..., Column], tuple[int, ...]]] = {
     "MOD": (lambda a, b: a - b * F.floor(F.try_divide(a, b)), ()),
     "QUOTIENT": (lambda a, b: _toward(F.try_divide(a, b), F.lit(0)), ()),
     "CURRENCY": (lambda x: x.cast("decimal(19,4)"), ()),
-    "CONVERT": (lambda x, kind: x.cast({"INTEGER": "bigint", "DOUBLE": "double", "STRING": "string", "BOOLEAN": "boolean", "CURRENCY": "decimal(19,4)", "DATETIME": "timestamp"}[str(kind).upper()]), (1,)),
+    "CONVERT": (_convert, (1,)),
     "DIVIDE": (lambda a, b, other=None: F.try_divide(a, b) if other is None else F.coalesce(F.try_divide(a, b), other), ()),
     "MIN": (F.least, ()),
     "MAX": (F.greatest, ()),
@@ -113,13 +140,13 @@ FUNCTIONS: dict[str, tuple[Callable[..., Column], tuple[int, ...]]] = {
     "REPT": (lambda s, n: F.repeat(s, n), ()),
     "SUBSTITUTE": (lambda s, old, new: F.replace(s, old, new), ()),
     "REPLACE": (lambda s, i, n, new: F.overlay(s, new, i, n), ()),
-    "SEARCH": (lambda what, s, start=1, miss=None: F.coalesce(F.nullif(F.locate(str(what).lower(), F.lower(s), int(start)), F.lit(0)), F.lit(miss)), (0, 2, 3)),
-    "FIND": (lambda what, s, start=1, miss=None: F.coalesce(F.nullif(F.locate(str(what), s, int(start)), F.lit(0)), F.lit(miss)), (0, 2, 3)),
+    "SEARCH": (lambda what, s, start=1, miss=None: _found(F.lower(what), F.lower(s), start, miss), (2, 3)),
+    "FIND": (lambda what, s, start=1, miss=None: _found(what, s, start, miss), (2, 3)),
     "EXACT": (lambda a, b: a == b, ()),
-    "UNICHAR": (lambda n: F.char(n), ()),
+    "UNICHAR": (_unichar, ()),
     "UNICODE": (F.ascii, ()),
     "PATHITEM": (lambda p, n: F.get(F.split(p, "\\|"), n - 1), ()),
-    "FORMAT": (lambda x, form: FORMATS[form](x), (1,)),
+    "FORMAT": (_format, (1,)),
     "TODAY": (F.current_date, ()),
     "NOW": (F.current_timestamp, ()),
     "YEAR": (F.year, ()),

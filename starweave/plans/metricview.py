@@ -2,13 +2,19 @@
 
 ``MetricView.query(dims, measures, where)`` compiles each measure to leaf aggregates and an expression over them. All
 leaves of one filter context share one aggregation of one scan: a filtered measure is a conditional aggregate. Other contexts
-(totals that ignore a filter, shifted periods, another relationship) are further aggregations of the same frame, joined on
-the dimensions that they keep. Only the dimension tables that the query touches are joined: relationships are
+(totals that ignore a filter, other periods, another relationship) are joined on the dimensions that they keep. Where the same
+additive leaves are asked for in several contexts over the same rows, all contexts are derived from one aggregate at the finest
+grain, whose exchange Spark reuses. Only the dimension tables that the query touches are joined: relationships are
 many-to-one left joins on a unique key, so leaving one out changes no row.
+
+Time functions change the set of visible days, as they do in the language: the calendar's days are grouped by the date dimensions
+of the query and moved, widened or cut; facts, aggregated by day, then join these days. The sets are of the calendar's
+size, whatever the facts' number. Filters on the date table choose the visible days, and never the facts of other periods.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -17,15 +23,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from starweave.functions.scalar import FUNCTIONS, switch
-from starweave.model import Relationship, SemanticModel, Table
+from starweave.model import Relationship, SemanticModel, Table, identifier
 from starweave.plans.dax import Bin, Call, DaxError, Items, Lit, Neg, Ref, TableRef, parse, snake, walk
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"SUM": F.sum, "AVERAGE": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count, "COUNTA": F.count}
 ITERATORS = {"SUMX": F.sum, "AVERAGEX": F.avg, "MINX": F.min, "MAXX": F.max, "COUNTX": F.count}
-ADDITIVE = {"SUM", "SUMX", "COUNT", "COUNTA", "COUNTX", "COUNTROWS", "COUNTBLANK"}
-UNITS = {"DAY": 0, "MONTH": 1, "QUARTER": 3, "YEAR": 12}
-PERIOD_SHIFTS = {f"{w}{u}": (-1 if w == "PREVIOUS" else 1) * UNITS[u] for w in ("PREVIOUS", "NEXT") for u in ("MONTH", "QUARTER", "YEAR")}
-RUNNING = {"TOTALYTD": "year", "TOTALQTD": "quarter", "TOTALMTD": "month", "DATESYTD": "year", "DATESQTD": "quarter", "DATESMTD": "month"}
+COUNTS = {"COUNT", "COUNTA", "COUNTX", "COUNTROWS"}
+ADDITIVE = {"SUM", "SUMX", "COUNTBLANK", *COUNTS}
+#: How partial results of a leaf are put together; other leaves need the rows.
+MERGE: dict[str, Callable[[Column], Column]] = dict.fromkeys(ADDITIVE, F.sum) | {"MIN": F.min, "MINX": F.min, "FIRSTDATE": F.min, "MAX": F.max, "MAXX": F.max, "LASTDATE": F.max, "HASBLANK": F.max}
+MERGE |= {k: (lambda c: F.coalesce(F.sum(c), F.lit(0))) for k in COUNTS}
+MONTHS = {"MONTH": 1, "QUARTER": 3, "YEAR": 12}
+PERIODS = ("DAY", *MONTHS)
+TO_DATE = {"YTD": "YEAR", "QTD": "QUARTER", "MTD": "MONTH"}
+VIRTUAL = ("VALUES", "DISTINCT", "SUMMARIZE", "SUMMARIZECOLUMNS", "ADDCOLUMNS", "CROSSJOIN", "GENERATE", "FILTER", "TOPN")
 REJECTED = {
     "SELECTEDVALUE": "depends on the consumer's selection", "HASONEVALUE": "depends on the consumer's selection", "ALLSELECTED": "depends on the consumer's selection",
     "ISFILTERED": "depends on the consumer's filters", "ISCROSSFILTERED": "depends on the consumer's filters", "EARLIER": "nested row context", "EARLIEST": "nested row context",
@@ -42,12 +53,28 @@ class Context:
     semi: tuple = ()  # (column of the fact, table, column): restricted to keys that a table's rows hold
     removed: frozenset = frozenset()  # lower-case "table" or "table[column]" whose filters are ignored; "*" for all
     kept: frozenset | None = None  # ALLEXCEPT: all but these are ignored
-    shift: int = 0  # months
-    running: str | None = None
-    rolling: int | None = None  # months of a trailing period
+    time: tuple = ()  # steps from the visible days to those that count, outermost first
+    axis: tuple | None = None  # (table, column) of these days
     role: tuple | None = None  # (from table, from column, to table, to column) of the inactive relationship in use
 
 
+@dataclass(frozen=True)
+class Bound:
+    """A column of the frame at hand."""
+
+    name: str
+
+
+@dataclass(frozen=True)
+class Virtual:
+    """A table expression over the values of columns."""
+
+    keys: tuple = ()  # (table, column)
+    filters: tuple = ()
+    tops: tuple = ()  # (n, expression, ascending)
+    names: tuple = ()  # (name, expression) of added columns
+
+
 @dataclass(frozen=True)
 class Dimension:
     name: str
@@ -70,8 +97,10 @@ class Plan:
 class MetricView:
     """A fact table of a model with the dimensions reachable from it and the measures defined over it."""
 
-    def __init__(self, model: SemanticModel, fact: str, source: Callable[[Table], DataFrame], base_filter: str | None = None, join: str = "left", calculation_items: dict[str, str] | None = None):
+    def __init__(self, model: SemanticModel, fact: str, source: Callable[[Table], DataFrame], base_filter: str | None = None, join: str = "left", calculation_items: dict[str, str] | None = None, joins: dict[str, str] | None = None):
+        """``join`` is the kind of all joins, ``joins`` that of single tables."""
         self.model, self.fact, self.source, self.join = model, model.table(fact), source, join
+        self.joins = {k.lower(): v for k, v in (joins or {}).items()}
         if self.fact is None:
             raise DaxError(f"unknown table {fact}")
         self.base_filter = parse(base_filter) if base_filter else None
@@ -131,23 +160,38 @@ class MetricView:
         names = [c.name for c in t.columns] or rows.columns
         return rows.select(*[F.col(f"`{lower[n.lower()]}`").alias(qualified(t.name, n)) for n in names if n.lower() in lower])
 
-    def frame(self, tables: set[str], role: tuple | None = None, semi: tuple = ()) -> DataFrame:
-        """The fact with left joins to just the tables asked for and those on the way."""
+    def frame(self, used: set, role: tuple | None = None, semi: tuple = ()) -> DataFrame:
+        """The fact with left joins to just the tables asked for and those on the way, then to the lookups."""
         paths = self.paths(role)
         joined, out = {self.fact.name.lower()}, self.load(self.fact.name)
         for key, table, column in semi:
             keys = self.load(table).select(F.col(qualified(table, column)).alias("_key")).where("_key is not null").distinct()
             out = out.join(keys, F.col(key) == F.col("_key"), "left_semi")
-        for t in sorted(tables):
+        for t in sorted(u for u in used if isinstance(u, str)):
             if t not in paths:
                 raise DaxError(f"table {t} is not reachable from {self.fact.name}")
             for r in paths[t]:
                 if r.to_table.lower() not in joined:
                     joined.add(r.to_table.lower())
                     on = F.col(qualified(r.from_table, r.from_column)) == F.col(qualified(r.to_table, r.to_column))
-                    out = out.join(self.load(r.to_table), on, self.join)
+                    out = out.join(self.load(r.to_table), on, self.joins.get(r.to_table.lower(), self.join))
+        for node in sorted((u for u in used if isinstance(u, Call)), key=repr):
+            out = self.looked_up(out, node)
         return out
 
+    def looked_up(self, rows: DataFrame, node: Call) -> DataFrame:
+        """LOOKUPVALUE(result, search, value, ...): the result where it is the only one, else null (or the alternative)."""
+        name, pairs = lookup_name(node), list(zip(node.args[1::2], node.args[2::2], strict=False))
+        result = node.args[0]
+        found = self.load(result.table).groupBy(*[F.col(qualified(k.table, k.name)).alias(f"{name}_{i}") for i, (k, _) in enumerate(pairs)])
+        c = F.col(qualified(result.table, result.name))
+        found = found.agg(F.when(F.min(c).eqNullSafe(F.max(c)), F.max(c)).alias(name))
+        on = None
+        for i, (_, value) in enumerate(pairs):
+            same = self.row(value, set()) == F.col(f"{name}_{i}")
+            on = same if on is None else on & same
+        return rows.join(found, on, "left")
+
     # --- compilation
 
     def resolve(self, ref: Ref) -> tuple[str, object]:
@@ -155,15 +199,15 @@ class MetricView:
         if ref.table is None:
             if ref.name.lower() in self.measures_by_name:
                 return "measure", self.measures_by_name[ref.name.lower()]
-            own = [t for t in [self.fact, *self.reachable()] if any(c.name.lower() == ref.name.lower() for c in t.columns)]
+            own = [(t.name, c.name) for t in [self.fact, *self.reachable()] for c in t.columns if c.name.lower() == ref.name.lower()]
             if not own:
                 raise DaxError(f"unknown measure or column [{ref.name}]")
-            return "column", (own[0].name, ref.name)
+            return "column", own[0]
         t = self.model.table(ref.table)
         if t is None:
             raise DaxError(f"unknown table {ref.table}")
-        if any(c.name.lower() == ref.name.lower() for c in t.columns):
-            return "column", (t.name, ref.name)
+        if (own := next((c.name for c in t.columns if c.name.lower() == ref.name.lower()), None)) is not None:
+            return "column", (t.name, own)
         if ref.name.lower() in self.measures_by_name:
             return "measure", self.measures_by_name[ref.name.lower()]
         raise DaxError(f"unknown column {ref.table}[{ref.name}]")
@@ -178,11 +222,19 @@ class MetricView:
                 raise DaxError(f"measure [{node.name}] in a row context")
             used.add(at[0].lower())
             return F.col(qualified(*at))
-        if isinstance(node, Call) and node.name in ("RELATED", "LOOKUPVALUE"):
+        if isinstance(node, Call) and node.name == "RELATED":
             return self.row(node.args[0], used)
+        if isinstance(node, Call) and node.name == "LOOKUPVALUE":
+            used.add(node)
+            for value in node.args[2::2]:
+                self.row(value, used)
+            found = F.col(lookup_name(node))
+            return found if len(node.args) % 2 else F.coalesce(found, self.row(node.args[-1], used))
         return self.operation(node, lambda n: self.row(n, used))
 
     def operation(self, node, go: Callable) -> Column:
+        if isinstance(node, Bound):
+            return F.col(node.name)
         if isinstance(node, Neg):
             return -go(node.value)
         if isinstance(node, Bin):
@@ -231,26 +283,20 @@ class MetricView:
         if name in AGGREGATES and len(args) == 1 and isinstance(args[0], Ref):
             return self.aggregate(AGGREGATES[name], args[0], context, plan, name)
         if name in ITERATORS:
-            table, extra = args[0], ()
-            if isinstance(table, Call) and table.name == "FILTER":
-                table, extra = table.args[0], (table.args[1],)
-            if isinstance(table, Call) and table.name in ("VALUES", "DISTINCT", "SUMMARIZE"):
-                return self.nested(name, table, args[1], context, plan)
-            if isinstance(table, TableRef):
+            table, extra = self.real_table(args[0])
+            if table is not None:
                 return self.aggregate(ITERATORS[name], args[1], replace(context, filters=context.filters + extra), plan, name)
-            raise DaxError(f"{name} over {getattr(table, 'name', table)}")
+            return self.nested(ITERATORS[name], self.virtual(args[0]), args[1], context, plan)
         if name == "COUNTROWS":
-            table, extra = args[0], ()
-            if isinstance(table, Call) and table.name == "FILTER":
-                table, extra = table.args[0], (table.args[1],)
+            table, extra = self.real_table(args[0])
             inner = replace(context, filters=context.filters + extra)
-            if isinstance(table, TableRef) and table.name.lower() == self.fact.name.lower():
+            if table is not None and table.name.lower() == self.fact.name.lower():
                 return self.aggregate(F.count, Lit(1), inner, plan, name)
-            if isinstance(table, TableRef):  # rows of a dimension that the facts reach
+            if table is not None:  # rows of a dimension that the facts reach
                 return self.aggregate(F.count_distinct, Ref(table.name, self.paths()[table.name.lower()][-1].to_column), inner, plan, "DISTINCTCOUNT")
-            if isinstance(table, Call) and table.name in ("VALUES", "DISTINCT"):
-                return self.aggregate(F.count_distinct, table.args[0], inner, plan, "DISTINCTCOUNT")
-            raise DaxError("COUNTROWS of this table")
+            if args[0].name in ("VALUES", "DISTINCT") and isinstance(args[0].args[0], Ref):
+                return self.measure(Call("DISTINCTCOUNT", args[0].args), inner, plan, seen)
+            return self.nested(lambda v: F.count_if(v > 0), self.virtual(args[0]), Call("COUNTROWS", (TableRef(self.fact.name),)), context, plan)
         if name == "DISTINCTCOUNTNOBLANK":
             return self.aggregate(F.count_distinct, args[0], context, plan, name)
         if name == "DISTINCTCOUNT":
@@ -259,19 +305,93 @@ class MetricView:
             return self.aggregate(lambda c: F.count_if(c.isNull()), args[0], context, plan, name)
         if name in ("FIRSTDATE", "LASTDATE"):
             return self.aggregate(F.min if name == "FIRSTDATE" else F.max, args[0], context, plan, name)
-        if name in ("LASTNONBLANKVALUE", "FIRSTNONBLANKVALUE"):
-            return self.ordered(name, args, context, plan)
+        if name in ("LASTNONBLANKVALUE", "FIRSTNONBLANKVALUE", "LASTNONBLANK", "FIRSTNONBLANK"):
+            pick = F.max_by if name.startswith("LAST") else F.min_by
+            key = lambda v, at: F.when(v.isNotNull(), at)
+            value = (lambda v: pick(v, key(v, F.col("_key0")))) if name.endswith("VALUE") else (lambda v: pick(F.col("_key0"), key(v, F.col("_key0"))))
+            return self.nested(value, self.virtual(Call("VALUES", args[:1])), args[1], context, plan)
         if name == "CONCATENATEX":
-            sep = constant(args[2]) if len(args) > 2 else ""
-            return self.aggregate(lambda c: F.array_join(F.array_sort(F.collect_set(c)), sep), args[1], context, plan, f"CONCATENATEX{sep}")
+            return self.concatenated(args, context, plan)
+        if name == "RANKX":
+            return self.rank_leaf(args, context, plan)
         if name == "CALCULATE":
+            for k, a in enumerate(args[1:], 1):
+                if isinstance(a, Call) and a.name in ("LASTNONBLANK", "FIRSTNONBLANK"):
+                    pick, rest = F.max_by if a.name.startswith("LAST") else F.min_by, Call(name, (args[0], *args[1:k], *args[k + 1 :]))
+                    return self.nested(lambda v, pick=pick: pick(v, F.when(F.col("_given").isNotNull(), F.col("_key0"))), self.virtual(Call("VALUES", a.args[:1])), rest, context, plan, given=a.args[1])
+                if isinstance(a, Call) and (a.name == "TOPN" or a.name == "FILTER" and self.real_table(a)[0] is None and self.has_measure(a.args[1])):
+                    rest = Call(name, (args[0], *args[1:k], *args[k + 1 :]))
+                    if not self.additive(args[0]):
+                        raise DaxError(f"CALCULATE over {a.name} needs an additive measure")
+                    return self.nested(F.sum, self.virtual(a), rest, context, plan)
             for a in args[1:]:
                 context = self.modified(a, context)
             return self.measure(args[0], context, plan, seen)
         if name in ("TOTALYTD", "TOTALQTD", "TOTALMTD"):
-            return self.measure(args[0], replace(context, running=RUNNING[name]), plan, seen)
+            more = tuple(a for a in args[2:] if not isinstance(a, Lit))
+            return self.measure(Call("CALCULATE", (args[0], Call(f"DATES{name[5:]}", args[1:2]), *more)), context, plan, seen)
+        if name.startswith(("OPENINGBALANCE", "CLOSINGBALANCE")):
+            unit = name[14:]
+            edge = Call(f"ENDOF{unit}", args[1:2]) if name.startswith("CLOSING") else Call("PREVIOUSDAY", (Call(f"STARTOF{unit}", args[1:2]),))
+            return self.measure(Call("CALCULATE", (args[0], edge, *[a for a in args[2:] if not isinstance(a, Lit)])), context, plan, seen)
         return self.operation(node, go)
 
+    # --- tables inside expressions
+
+    def real_table(self, node) -> tuple[TableRef | None, tuple]:
+        """A table of the model under FILTERs, and their predicates; None for tables of values."""
+        extra: tuple = ()
+        while isinstance(node, Call) and node.name in ("FILTER", "RELATEDTABLE") and node.args:
+            extra += node.args[1:2] if node.name == "FILTER" else ()
+            node = node.args[0]
+        return (node, extra) if isinstance(node, TableRef) else (None, ())
+
+    def virtual(self, node) -> Virtual:
+        if not isinstance(node, Call) or node.name not in VIRTUAL:
+            raise DaxError(f"an iterator over {getattr(node, 'name', node)}")
+        a, columns = node.args, []
+        if node.name in ("FILTER", "TOPN"):
+            inner = self.virtual(a[0] if node.name == "FILTER" else a[1])
+            if node.name == "FILTER":
+                return replace(inner, filters=(*inner.filters, a[1]))
+            rising = len(a) > 3 and str(a[3].name if isinstance(a[3], TableRef) else a[3].value).upper() in ("ASC", "1", "TRUE")
+            return replace(inner, tops=(*inner.tops, (int(constant(a[0])), a[2], rising)))
+        if node.name in ("CROSSJOIN", "GENERATE"):
+            parts = [self.virtual(x) for x in a]
+            return Virtual(*(tuple(dict.fromkeys(x for p in parts for x in getattr(p, f))) for f in ("keys", "filters", "tops", "names")))
+        if node.name == "ADDCOLUMNS":
+            inner, rest = self.virtual(a[0]), a[1:]
+            return replace(inner, names=inner.names + tuple((n.value.lower(), e) for n, e in zip(rest[::2], rest[1::2], strict=True)))
+        names, filters = [], ()
+        if node.name == "SUMMARIZE" and not self.is_column(a[0]):
+            filters, a = self.real_table(a[0])[1], a[1:]
+        k = 0
+        while k < len(a):
+            if self.is_column(a[k]):
+                columns.append(self.resolve(a[k])[1])
+            elif isinstance(a[k], Lit) and k + 1 < len(a):
+                names.append((a[k].value.lower(), a[k + 1]))
+                k += 1
+            elif isinstance(a[k], Call) and a[k].name == "FILTER":
+                filters += (a[k].args[1],)
+            else:
+                raise DaxError(f"{node.name} over {a[k]}")
+            k += 1
+        return Virtual(tuple(columns), filters, (), tuple(names))
+
+    def is_column(self, node) -> bool:
+        return isinstance(node, Ref) and self.resolve(node)[0] == "column"
+
+    def has_measure(self, node) -> bool:
+        return any(isinstance(n, Ref) and self.resolve(n)[0] == "measure" or isinstance(n, Call) and n.name in (AGGREGATES | ITERATORS) and n.name not in ("MIN", "MAX") for n in walk(node))
+
+    def additive(self, node) -> bool:
+        while isinstance(node, Ref) and self.resolve(node)[0] == "measure":
+            node = parse(self.resolve(node)[1])
+        return isinstance(node, Call) and (node.name in ADDITIVE and self.real_table(node.args[0])[0] is not None or node.name in ("SUM", "COUNT", "COUNTA") or node.name == "CALCULATE" and self.additive(node.args[0]))
+
+    # --- filter arguments
+
     def modified(self, arg, context: Context) -> Context:
         """The context under one filter argument of CALCULATE."""
         if isinstance(arg, (Bin, Items)) or isinstance(arg, Call) and arg.name in ("NOT", "AND", "OR", "ISBLANK"):
@@ -294,28 +414,52 @@ class MetricView:
             return replace(context, removed=context.removed | names)
         if n == "ALLEXCEPT":
             return replace(context, kept=frozenset(f"{x.table}[{x.name}]".lower() for x in a[1:]))
-        if n == "SAMEPERIODLASTYEAR":
-            return replace(context, shift=context.shift - 12)
-        if n in ("DATEADD", "PARALLELPERIOD"):
-            months = UNITS[a[2].name.upper() if isinstance(a[2], TableRef) else str(a[2].value).upper()]
-            if not months:
-                raise DaxError("shifts by days need a date dimension at day grain")
-            return replace(context, shift=context.shift + int(constant(a[1])) * months)
-        if n in PERIOD_SHIFTS:
-            return replace(context, shift=context.shift + PERIOD_SHIFTS[n])
-        if n in ("DATESYTD", "DATESQTD", "DATESMTD"):
-            return replace(context, running=RUNNING[n])
-        if n == "DATESINPERIOD":
-            unit = a[3].name if isinstance(a[3], TableRef) else str(a[3].value)
-            return replace(context, rolling=abs(int(constant(a[2]))) * UNITS[unit.upper()])
         if n == "DATESBETWEEN":
-            return replace(context, filters=(*context.filters, Bin(">=", a[0], a[1]), Bin("<=", a[0], a[2])))
+            bounds = [Bin(op, a[0], v) for op, v in ((">=", a[1]), ("<=", a[2])) if v not in (Lit(None), Call("BLANK"))]
+            return replace(context, filters=(*context.filters, *bounds))
         if n == "USERELATIONSHIP":
             return replace(context, role=(a[0].table.lower(), a[0].name.lower(), a[1].table.lower(), a[1].name.lower()))
         if n == "TREATAS":
             table, column = a[0].args[0].table, a[0].args[0].name
             return replace(context, semi=(*context.semi, (qualified(a[1].table, a[1].name), table, column)))
-        raise DaxError(f"{n} as a filter: {REJECTED.get(n, 'not known')}")
+        steps, axis = self.time_steps(arg)
+        if context.axis not in (None, axis):
+            raise DaxError("time functions over two date columns at once")
+        return replace(context, time=(*context.time, *steps), axis=axis)
+
+    def time_steps(self, node) -> tuple[tuple, tuple]:
+        """The steps of a time function, innermost first, and the column that they go over."""
+        if isinstance(node, Ref):
+            kind, at = self.resolve(node)
+            if kind != "column":
+                raise DaxError(f"[{node.name}] where a date column is needed")
+            return (), at
+        if not isinstance(node, Call) or not node.args:
+            raise DaxError("this filter argument isn't known")
+        n, a = node.name, node.args
+        unit = lambda x: str(x.name if isinstance(x, TableRef) else x.value).upper()
+        if n == "SAMEPERIODLASTYEAR":
+            step = ("shift", -1, "YEAR")
+        elif n == "DATEADD":
+            step = ("shift", int(constant(a[1])), unit(a[2]))
+        elif n == "PARALLELPERIOD":
+            step = ("parallel", int(constant(a[1])), unit(a[2]))
+        elif n.startswith(("PREVIOUS", "NEXT")):
+            step = ("neighbour", -1 if n[0] == "P" else 1, n.removeprefix("PREVIOUS").removeprefix("NEXT"))
+        elif n in ("DATESYTD", "DATESQTD", "DATESMTD"):
+            step = ("to_date", None, TO_DATE[n[5:]])
+        elif n == "DATESINPERIOD":
+            step = ("trailing", (a[1], int(constant(a[2]))), unit(a[3]))
+        elif n in ("LASTDATE", "FIRSTDATE"):
+            step = ("edge", n[0] == "L", "DAY")
+        elif n.startswith(("STARTOF", "ENDOF")):
+            step = ("edge", n[0] == "E", n.removeprefix("STARTOF").removeprefix("ENDOF"))
+        else:
+            raise DaxError(f"{n} as a filter: {REJECTED.get(n, 'not known')}")
+        if step[2] not in PERIODS or step[0] == "parallel" and step[2] == "DAY":
+            raise DaxError(f"{n} by {step[2]}")
+        steps, axis = self.time_steps(a[0])
+        return (*steps, step), axis
 
     def aggregate(self, function: Callable, expression, context: Context, plan: Plan, kind: str) -> Column:
         def build(used: set[str]) -> Column:
@@ -332,23 +476,49 @@ class MetricView:
 
         return F.col(plan.leaf(expression, context, build, kind in ADDITIVE, kind))
 
-    def ordered(self, name: str, args: tuple, context: Context, plan: Plan) -> Column:
-        """The value at the last or first date that has one."""
-        inner = args[1]
-        if not (isinstance(inner, Call) and inner.name in AGGREGATES):
-            raise DaxError(f"{name} of this expression")
-
-        def build(used: set[str]) -> Column:
-            day, value = self.row(args[0], used), self.row(inner.args[0], used)
-            pick = F.max_by if name.startswith("LAST") else F.min_by
-            return pick(value, F.when(value.isNotNull(), day))
-
-        return F.col(plan.leaf((name, args), context, build, False, name))
-
-    def nested(self, name: str, table: Call, expression, context: Context, plan: Plan) -> Column:
+    def nested(self, function: Callable, table: Virtual, expression, context: Context, plan: Plan, given=None) -> Column:
         """An iterator over the values of columns: the inner measure at their grain first, then the outer aggregate."""
-        keys = [a for a in table.args if isinstance(a, Ref) and self.resolve(a)[0] == "column"]
-        return F.col(plan.leaf((name, table, expression), context, (ITERATORS[name], keys, expression), False, "NESTED"))
+        kind = f"NESTED{len(plan.leaves)}"
+        return F.col(plan.leaf((table, expression, given), context, (function, table, expression, given), False, kind))
+
+    def concatenated(self, args: tuple, context: Context, plan: Plan) -> Column:
+        """CONCATENATEX: the rows of a table, or the different values of columns; in the order asked for, else of the values."""
+        sep = constant(args[2]) if len(args) > 2 else ""
+        falls = len(args) > 4 and constant(args[4]) in ("DESC", 0, False)
+        real, extra = self.real_table(args[0])
+        order = args[3] if len(args) > 3 else None
+
+        def text(pairs: Column) -> Column:
+            return F.array_join(F.transform(F.sort_array(pairs, not falls), lambda x: x["v"].cast("string")), sep)
+
+        if real is None:
+            held = (lambda v: text(F.collect_list(F.when(v.isNotNull(), F.struct((v if order is None else F.col("_given")).alias("k"), v.alias("v"))))))
+            return self.nested(held, self.virtual(args[0]), args[1], context, plan, given=order)
+        inner = replace(context, filters=context.filters + extra)
+
+        def build(used: set) -> Column:
+            v = self.row(args[1], used)
+            pair = F.struct((v if order is None else self.row(order, used)).alias("k"), v.alias("v"))
+            return text(F.collect_list(F.when(self.holds(inner, used) & v.isNotNull(), pair)))
+
+        return F.col(plan.leaf(args, inner, build, False, "CONCATENATEX"))
+
+    def holds(self, context: Context, used: set) -> Column:
+        out = F.lit(True)
+        for p in context.filters:
+            out = out & self.row(p, used)
+        return out
+
+    def rank_leaf(self, args: tuple, context: Context, plan: Plan) -> Column:
+        """RANKX(ALL(columns or table), measure, , order, ties)."""
+        if not (isinstance(args[0], Call) and args[0].name in ("ALL", "VALUES", "ALLSELECTED") and args[0].args):
+            raise DaxError("RANKX needs ALL or VALUES of columns or a table")
+        over = frozenset(x.name.lower() if isinstance(x, TableRef) else f"{x.table}[{x.name}]".lower() for x in args[0].args)
+        if len(args) > 2 and args[2] != Lit(None):
+            raise DaxError("RANKX of another value")
+        rising = len(args) > 3 and args[3] != Lit(None) and str(constant(args[3])).upper() in ("ASC", "1", "TRUE")
+        dense = len(args) > 4 and str(constant(args[4])).upper() == "DENSE"
+        return F.col(plan.leaf(args, context, (over, args[1], rising, dense, args[0].name == "ALL"), False, "RANKX"))
 
     # --- queries
 
@@ -366,89 +536,225 @@ class MetricView:
             out = out.orderBy(*[F.desc(f"`{o[1:]}`") if o.startswith("-") else F.asc(f"`{o}`") for o in order_by])
         return out if limit is None else out.limit(limit)
 
-    def evaluate(self, dims: list[Dimension], plan: Plan, where) -> DataFrame:
+    def evaluate(self, dims: list[Dimension], plan: Plan, where, anchor: Context | None = None, keys: list[Dimension] = ()) -> DataFrame:
+        """All leaves at the grain of ``dims`` and ``keys``; the groups are those that the anchor's context has."""
+        anchor = replace(anchor or Context(), filters=())
         groups: dict[tuple, list] = {}
-        for alias, build, additive, context, kind in plan.leaves.values():
-            base = replace(context, filters=(), running=None, rolling=None)
-            groups.setdefault((base, kind == "NESTED" and alias), []).append((alias, build, additive, context, kind))
-        plain = (Context(), False)
-        if not groups or plain not in groups and dims:
+        signs = {}
+        for (signature, *_), (alias, build, additive, context, kind) in plan.leaves.items():
+            signs[alias] = (signature, kind, context.filters)
+            special = alias if kind.startswith("NESTED") or kind == "RANKX" else False
+            groups.setdefault((replace(context, filters=()), special), []).append((alias, build, additive, context, kind))
+        plain = (anchor, False)
+        if not groups or plain not in groups and [*dims, *keys]:
             groups = {plain: groups.get(plain, [])} | groups
+        kept = {c: [d for d in dims if not self.ignores(d, c)] + [k for k in keys if not self.ignores_key(k, c, anchor)] for c, _ in groups}
+        shared = self.finest(groups, kept, where, signs)
         out = None
-        for (context, nested), leaves in sorted(groups.items(), key=lambda g: g[0] != plain):
-            keep_dims = [d for d in dims if not self.ignores(d, context)]
-            part = self.nest(dims, keep_dims, leaves[0], where, context) if nested else self.group(keep_dims, leaves, where, context)
-            out = part if out is None else self.attach(out, part, keep_dims)
-        windows = {}
-        for alias, _, additive, context, kind in plan.leaves.values():
-            if context.running or context.rolling:
-                if not additive and kind not in ("MIN", "MAX", "MINX", "MAXX"):
-                    raise DaxError("a running total needs an additive aggregate")
-                total = {"MIN": F.min, "MINX": F.min, "MAX": F.max, "MAXX": F.max}.get(kind, F.sum)
-                windows[alias] = total(F.col(alias)).over(self.period_window(dims, context))
-        return out.withColumns(windows) if windows else out
+        for (context, special), leaves in sorted(groups.items(), key=lambda g: g[0] != plain):
+            own = kept[context]
+            if special:
+                part = self.rank_part(own, leaves[0], where) if leaves[0][4] == "RANKX" else self.nest(own, leaves[0], where)
+            elif shared is not None:
+                part = self.derived(shared, own, leaves, where, context)
+            else:
+                part = self.group(own, leaves, where, context)
+            out = part if out is None else self.attach(out, part, own)
+        return out
 
     def ignores(self, d: Dimension, c: Context) -> bool:
         own = {"*", d.table.lower(), f"{d.table}[{d.column}]".lower()}
         return bool(own & c.removed) or c.kept is not None and f"{d.table}[{d.column}]".lower() not in c.kept
 
-    def period(self, d: Dimension, used: set[str]) -> Column:
+    def ignores_key(self, d: Dimension, c: Context, anchor: Context) -> bool:
+        """An inner key is ignored only by what the inner expression removes."""
+        return self.ignores(d, replace(c, removed=c.removed - anchor.removed, kept=c.kept if anchor.kept is None else None))
+
+    def period(self, d: Dimension, used: set) -> Column:
         used.add(d.table.lower())
         c = F.col(qualified(d.table, d.column))
         return {None: c, "date": c.cast("date"), "month": F.trunc(c, "month"), "quarter": F.trunc(c, "quarter"), "year": F.year(c)}[d.grain]
 
-    def shifted(self, d: Dimension, value: Column, months: int) -> Column:
-        """The period that shows a value of ``months`` away: the value's own, moved back."""
-        if d.grain in ("date", "month") or d.grain == "quarter" and months % 3 == 0:
-            return F.add_months(value, -months)
-        if d.grain == "year" and months % 12 == 0:
-            return value - months // 12
-        raise DaxError(f"dimension {d.name} can't be shifted by {months} months")
-
-    def filtered(self, where, context: Context, used: set[str]) -> list[Column]:
-        out = [self.row(self.base_filter, used)] if self.base_filter else []
-        if where is not None and not context.removed and context.kept is None:
-            out.append(self.row(where, used))
-        elif where is not None:
-            for part in conjuncts(where):
-                columns = [n for n in walk(part) if isinstance(n, Ref)]
-                ignored = [self.ignores(Dimension("", self.resolve(c)[1][0], c.name), context) for c in columns]
-                if not all(ignored):
-                    out.append(self.row(part, used))
-        return out
+    # --- filters
+
+    def filtered(self, where, context: Context) -> tuple[list, list]:
+        """The predicates that hold for the rows, and those that choose the visible days of a time context."""
+        rows, days = [self.base_filter] if self.base_filter else [], []
+        for part in conjuncts(where) if where is not None else []:
+            columns = [self.resolve(n)[1] for n in walk(part) if isinstance(n, Ref)]
+            if columns and all(self.ignores(Dimension("", *c), context) for c in columns):
+                continue
+            on_axis = [self.on_axis(Dimension("", *c), context) for c in columns]
+            if context.time and any(on_axis):
+                if not all(on_axis):
+                    raise DaxError("a filter over dates and other columns at once, under a time function")
+                days.append(part)
+            else:
+                rows.append(part)
+        return rows, days
+
+    def on_axis(self, d: Dimension, context: Context) -> bool:
+        """Whether a dimension follows from the day that the context's time functions go over."""
+        table, column = (x.lower() for x in context.axis or ("", ""))
+        return d.table.lower() == table and (table != self.fact.name.lower() or d.column.lower() == column)
+
+    # --- rows, by context
 
     def group(self, dims: list[Dimension], leaves: list, where, context: Context) -> DataFrame:
-        used: set[str] = set()
-        keys = []
-        for d in dims:
-            value = self.period(d, used)
-            keys.append((self.shifted(d, value, context.shift) if context.shift and d.grain else value).alias(d.name))
-        if context.shift and not any(d.grain for d in dims):
-            raise DaxError("a shifted period needs a date dimension")
-        predicates = [] if context.shift else self.filtered(where, context, used)
-        if context.shift and where is not None:
-            predicates = [self.row(p, used) for p in conjuncts(where) if not any(isinstance(n, Ref) and self.is_date(n) for n in walk(p))]
+        used: set = set()
+        predicates, day_predicates = self.filtered(where, context)
+        found = [self.row(p, used) for p in predicates]
+        moving = [d for d in dims if context.time and self.on_axis(d, context)]
+        values = [self.period(d, used).alias(d.name) for d in dims if d not in moving]
         aggregates = [build(used).alias(alias) for alias, build, *_ in leaves]
+        day = self.day(context, used) if context.time else None
         rows = self.frame(used, context.role, context.semi)
-        for p in predicates:
+        for p in found:
             rows = rows.where(p)
+        if context.time:
+            days = self.visible(moving, day_predicates, context)
+            if all(kind in MERGE for *_, kind in leaves):
+                names = [d.name for d in dims if d not in moving]
+                return self.over_days(rows.groupBy(day.alias("_fact_day"), *values).agg(*aggregates), dims, names, leaves, days)
+            rows = rows.withColumn("_fact_day", day).join(days, F.col("_fact_day").eqNullSafe(F.col("_day")))
+            values = [F.col(f"`{d.name}`") if d in moving else self.period(d, set()).alias(d.name) for d in dims]
         if not aggregates:
-            return rows.select(*keys).distinct()
-        return rows.groupBy(*keys).agg(*aggregates) if keys else rows.agg(*aggregates)
+            return rows.select(*values).distinct()
+        return rows.groupBy(*values).agg(*aggregates) if values else rows.agg(*aggregates)
+
+    def over_days(self, daily: DataFrame, dims: list[Dimension], names: list[str], leaves: list, days: DataFrame) -> DataFrame:
+        """Leaves by day put together over each group's days. No row is lost to the null-safe join; the days hold no null."""
+        slim = daily.select("_fact_day", *[F.col(f"`{n}`") for n in names], *[alias for alias, *_ in leaves])
+        met = slim.join(days, F.col("_fact_day").eqNullSafe(F.col("_day")))
+        keys = [F.col(f"`{d.name}`") for d in dims]
+        merged = [MERGE[kind](F.col(alias)).alias(alias) for alias, *_, kind in leaves]
+        if not merged:
+            return met.select(*keys).distinct()
+        return met.groupBy(*keys).agg(*merged) if keys else met.agg(*merged)
+
+    def finest(self, groups: dict, kept: dict, where, signs: dict) -> tuple | None:
+        """One aggregate for all contexts, at the finest grain that they need, or None.
+
+        Only where it saves a scan: the same mergeable leaves (``signs`` tells by alias) in several contexts over the same rows.
+        """
+        plain = {c: leaves for (c, special), leaves in groups.items() if not special}
+        every = [leaf for leaves in plain.values() for leaf in leaves]
+        if len(plain) < 2 or not every or any(kind not in MERGE for *_, kind in every):
+            return None
+        filters = {c: self.filtered(where, c) for c in plain}
+        leaves_of = {frozenset(signs[alias] for alias, *_ in leaves) for leaves in plain.values()}
+        scopes = {(tuple(map(repr, filters[c][0])), c.role, c.semi) for c in plain}
+        axes = {c.axis for c in plain if c.time}
+        # other visible days than the rows' own need rows that the others leave out
+        if len(leaves_of) > 1 or len(scopes) > 1 or len(axes) > 1 or any(days for _, days in filters.values()):
+            return None
+        used: set = set()
+        first = next(iter(plain))
+        found = [self.row(p, used) for p in filters[first][0]]
+        dims = list(dict.fromkeys(d for c in plain for d in kept[c]))
+        timed = next((c for c in plain if c.time), None)
+        keys = [self.period(d, used).alias(d.name) for d in dims]
+        day = [self.day(timed, used).alias("_fact_day")] if timed else []
+        names = {signs[leaf[0]]: f"_shared{k}" for k, leaf in enumerate(plain[first])}
+        aggregates = [leaf[1](used).alias(names[signs[leaf[0]]]) for leaf in plain[first]]
+        rows = self.frame(used, first.role, first.semi)
+        for p in found:
+            rows = rows.where(p)
+        frame = rows.groupBy(*day, *keys).agg(*aggregates) if day or keys else rows.agg(*aggregates)
+        return frame, {leaf[0]: names[signs[leaf[0]]] for leaf in every}, {d.name for d in dims}, bool(day)
+
+    def derived(self, shared: tuple, dims: list[Dimension], leaves: list, where, context: Context) -> DataFrame:
+        """A context's part of the finest aggregate."""
+        frame, names, every, by_day = shared
+        if context.time:
+            moving = [d for d in dims if self.on_axis(d, context)]
+            own = frame.select("_fact_day", *[F.col(f"`{d.name}`") for d in dims if d not in moving], *[F.col(names[alias]).alias(alias) for alias, *_ in leaves])
+            return self.over_days(own, dims, [d.name for d in dims if d not in moving], leaves, self.visible(moving, [], context))
+        keys = [F.col(f"`{d.name}`") for d in dims]
+        if not by_day and {d.name for d in dims} == every:
+            return frame.select(*keys, *[F.col(names[alias]).alias(alias) for alias, *_ in leaves])
+        merged = [MERGE[kind](F.col(names[alias])).alias(alias) for alias, *_, kind in leaves]
+        return frame.groupBy(*keys).agg(*merged) if keys else frame.agg(*merged)
+
+    # --- days
+
+    def day(self, context: Context, used: set) -> Column:
+        used.add(context.axis[0].lower())
+        return F.col(qualified(*context.axis)).cast("date")
+
+    def calendar(self, axis: tuple) -> DataFrame:
+        """The days of a date table; for a date column of the fact, all days of the years that it spans."""
+        if axis[0] != self.fact.name:
+            return self.load(axis[0])
+        name = qualified(*axis)
+        span = self.load(axis[0]).agg(F.trunc(F.min(name), "year").alias("a"), F.trunc(F.max(name), "year").alias("b"))
+        return span.select(F.explode(F.sequence("a", F.date_sub(F.add_months("b", 12), 1))).alias(name))
+
+    def visible(self, dims: list[Dimension], predicates: list, context: Context) -> DataFrame:
+        """``_day`` of each group of the date dimensions, after the context's steps."""
+        if not dims and not predicates:
+            raise DaxError("another period needs a date dimension or a filter on dates")
+        rows = self.calendar(context.axis)
+        for p in predicates:
+            rows = rows.where(self.row(p, set()))
+        day = F.col(qualified(*context.axis)).cast("date")
+        days = rows.select(*[self.period(d, set()).alias(d.name) for d in dims], day.alias("_day")).where("_day is not null")
+        for step in context.time:
+            days = moved(days, [d.name for d in dims], step, self.row)
+        return days
+
+    # --- iterators and ranks
+
+    def nest(self, dims: list[Dimension], leaf: tuple, where) -> DataFrame:
+        alias, (function, table, expression, given), _, own, _ = leaf
+        keys = [Dimension(f"_key{k}", *c) for k, c in enumerate(table.keys)]
+        columns = {c: f"_key{k}" for k, c in enumerate(table.keys)}
+        plan, named = Plan(), dict(table.names)
+        compiled = lambda e: self.measure(self.bound(e, columns, named), own, plan)
+        value, filters = compiled(expression), [compiled(p) for p in table.filters]
+        tops = [(n, compiled(e), rising) for n, e, rising in table.tops]
+        held = compiled(given) if given is not None else F.lit(None)
+        inner = self.evaluate(dims, plan, where, own, keys).withColumns({"_value": value, "_given": held})
+        for p in filters:
+            inner = inner.where(p)
+        outer = [F.col(f"`{d.name}`") for d in dims]
+        for n, by, rising in tops:
+            order = by.asc() if rising else by.desc_nulls_last()
+            inner = inner.withColumn("_rank", F.rank().over(Window.partitionBy(*outer).orderBy(order))).where(F.col("_rank") <= n)
+        out = function(F.col("_value")).alias(alias)
+        return inner.groupBy(*outer).agg(out) if dims else inner.agg(out)
 
-    def is_date(self, ref: Ref) -> bool:
-        kind, at = self.resolve(ref)
-        column = next((c for c in self.model.table(at[0]).columns if c.name.lower() == at[1].lower()), None)
-        return column is not None and (column.data_type or "").lower() in ("date", "datetime")
+    def bound(self, node, columns: dict, named: dict):
+        """The tree with references to inner keys and added columns replaced."""
+        go = lambda n: self.bound(n, columns, named)
+        if isinstance(node, Ref):
+            if node.table is None and node.name.lower() in named:
+                return go(named[node.name.lower()])
+            if self.is_column(node):
+                at = self.resolve(node)[1]
+                return Bound(columns[at]) if at in columns else node
+            return node
+        if isinstance(node, Call):
+            if node.name in AGGREGATES | ITERATORS or node.name in ("DISTINCTCOUNT", "DISTINCTCOUNTNOBLANK", "COUNTROWS", "COUNTBLANK", "CALCULATE") or node.name in VIRTUAL:
+                return node  # columns in there are not the row's own
+            return Call(node.name, tuple(map(go, node.args)))
+        if isinstance(node, Bin):
+            return Bin(node.op, go(node.left), go(node.right))
+        return Neg(go(node.value)) if isinstance(node, Neg) else node
 
-    def nest(self, all_dims: list[Dimension], dims: list[Dimension], leaf: tuple, where, context: Context) -> DataFrame:
-        alias, (function, keys, expression), _, own, _ = leaf
-        inner_dims = [Dimension(f"_key{k}", self.resolve(key)[1][0], key.name) for k, key in enumerate(keys)]
+    def rank_part(self, dims: list[Dimension], leaf: tuple, where) -> DataFrame:
+        alias, (over, expression, rising, dense, every), _, own, _ = leaf
+        ranked = [d for d in dims if {d.table.lower(), f"{d.table}[{d.column}]".lower()} & over]
         plan = Plan()
-        value = self.measure(expression, replace(own, removed=frozenset(), kept=None), plan)
-        inner = self.evaluate([*dims, *inner_dims], plan, where).withColumn("_value", value)
-        out = function(F.col("_value")).alias(alias)
-        return inner.groupBy(*[F.col(f"`{d.name}`") for d in dims]).agg(out) if dims else inner.agg(out)
+        value = self.measure(expression, own, plan)
+        if every and where is not None:  # all values take part, whatever the filter shows
+            left = [p for p in conjuncts(where) if not all(self.ignores(Dimension("", *self.resolve(n)[1]), Context(removed=over)) for n in walk(p) if isinstance(n, Ref))]
+            where = None
+            for p in left:
+                where = p if where is None else Bin("&&", where, p)
+        rows = self.evaluate(dims, plan, where, own).withColumn("_value", value)
+        within = [d.name for d in dims if d not in ranked]
+        return with_rank(rows, "_value", within, dense, alias, rising).select(*[F.col(f"`{d.name}`") for d in dims], alias)
 
     def attach(self, out: DataFrame, part: DataFrame, dims: list[Dimension]) -> DataFrame:
         if not dims:
@@ -460,32 +766,37 @@ class MetricView:
             on = same if on is None else on & same
         return out.join(renamed, on, "left").drop(*[f"_right_{k}" for k in range(len(dims))])
 
-    def period_window(self, dims: list[Dimension], context: Context):
-        at = next((d for d in dims if d.grain in ("date", "month", "quarter")), None)
-        if at is None:
-            raise DaxError("running and rolling periods need a date dimension at date, month or quarter grain")
-        others = [F.col(f"`{d.name}`") for d in dims if d is not at and d.grain is None]
-        day = F.col(f"`{at.name}`")
-        if context.running:
-            scope = {"year": [F.year(day)], "quarter": [F.year(day), F.quarter(day)], "month": [F.year(day), F.month(day)]}[context.running]
-            return Window.partitionBy(*others, *scope).orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
-        # by months, not by rows: gaps don't stretch the period
-        index = F.year(day) * 12 + F.month(day)
-        window = Window.partitionBy(*others) if others else Window.partitionBy(F.lit(0))
-        return window.orderBy(index).rangeBetween(1 - context.rolling, 0)
-
     # --- windows over a queried frame, and views
 
     def ranked(self, dims: Sequence[str], measure: str, within: Sequence[str] = (), dense: bool = True, name: str = "rank", where: str | None = None) -> DataFrame:
-        rank = F.dense_rank() if dense else F.rank()
-        window = Window.partitionBy(*[F.col(f"`{w}`") for w in within]) if within else Window.partitionBy(F.lit(0))
-        return self.query(dims, [measure], where).withColumn(name, rank.over(window.orderBy(F.desc(f"`{measure}`"))))
+        return with_rank(self.query(dims, [measure], where), measure, within, dense, name)
 
     def top(self, dims: Sequence[str], measure: str, n: int, where: str | None = None) -> DataFrame:
-        """The first ``n`` by the measure with all that tie with the last."""
-        out = self.query(dims, [measure], where)
-        cutoff = out.where(F.col(f"`{measure}`").isNotNull()).orderBy(F.desc(f"`{measure}`")).limit(n).agg(F.min(f"`{measure}`").alias("_least"))
-        return out.join(F.broadcast(cutoff), F.col(f"`{measure}`") >= F.col("_least")).drop("_least")
+        """The first ``n`` by the measure with all that tie with the last; each task keeps its own first ``n`` before they meet."""
+        rank = F.rank().over(Window.partitionBy().orderBy(F.desc_nulls_last(f"`{measure}`")))
+        return self.query(dims, [measure], where).withColumn("_rank", rank).where((F.col("_rank") <= n) & F.col(f"`{measure}`").isNotNull()).drop("_rank")
+
+    def table(self, text: str, where: str | None = None) -> DataFrame:
+        """A table expression as a frame: SUMMARIZECOLUMNS, SUMMARIZE, ADDCOLUMNS, CROSSJOIN, GENERATE, FILTER, TOPN over columns' values.
+
+        Rows are the combinations that facts have; key columns bear the columns' names.
+        """
+        table = self.virtual(parse(text))
+        keys = [Dimension(f"_key{k}", *c) for k, c in enumerate(table.keys)]
+        columns, named, plan = {c: d.name for c, d in zip(table.keys, keys, strict=True)}, dict(table.names), Plan()
+        compiled = lambda e: self.measure(self.bound(e, columns, named), Context(), plan)
+        added = {n: compiled(e) for n, e in table.names}
+        filters, tops = [compiled(p) for p in table.filters], [(n, compiled(e), rising) for n, e, rising in table.tops]
+        rows = self.evaluate([], plan, parse(where) if where else None, keys=keys)
+        for p in filters:
+            rows = rows.where(p)
+        for n, by, rising in tops:
+            rows = rows.withColumn("_rank", F.rank().over(Window.partitionBy().orderBy(by.asc() if rising else by.desc_nulls_last()))).where(F.col("_rank") <= n)
+        return rows.select(*[F.col(d.name).alias(d.column) for d in keys], *[c.alias(n) for n, c in added.items()])
+
+    def register(self, spark, name: str, tables: Sequence[str] = ()) -> None:
+        """Pass-through views for SQL users: the fact's own columns, or those of a wide view."""
+        self.wide(tables).createOrReplaceTempView(name)
 
     def wide(self, tables: Sequence[str], prefix: bool = False) -> DataFrame:
         """Fact rows with all columns of the dimension tables; names that repeat are prefixed."""
@@ -501,7 +812,8 @@ class MetricView:
 
     def calculation_item(self, item: str, measure: str) -> str:
         """The expression of a calculation item applied to a measure."""
-        return self.items[item].replace("SELECTEDMEASURE()", f"[{measure}]")
+        named = "[" + measure.replace("]", "]]") + "]"
+        return re.sub(r"SELECTEDMEASURE\s*\(\s*\)", lambda _: named, self.items[item], flags=re.I)
 
 
 def qualified(table: str, column: str) -> str:
@@ -520,3 +832,78 @@ def constant(node) -> object:
 
 def conjuncts(node) -> list:
     return [*conjuncts(node.left), *conjuncts(node.right)] if isinstance(node, Bin) and node.op == "&&" else [node]
+
+
+def lookup_name(node: Call) -> str:
+    return f"_lookup_{identifier(repr(node))}"
+
+
+def stepped(day: Column, n: int, unit: str) -> Column:
+    return F.date_add(day, n) if unit == "DAY" else F.add_months(day, n * MONTHS[unit])
+
+
+def first_of(day: Column, unit: str) -> Column:
+    return day if unit == "DAY" else F.trunc(day, unit)
+
+
+def last_of(day: Column, unit: str) -> Column:
+    return day if unit == "DAY" else F.date_sub(stepped(F.trunc(day, unit), 1, unit), 1)
+
+
+def moved(days: DataFrame, names: list[str], step: tuple, row: Callable) -> DataFrame:
+    """The days of each group after one step of a time function. A month's last day stands for the rest of its month."""
+    kind, how, unit = step
+    keys, day = [F.col(f"`{n}`") for n in names], F.col("_day")
+    if kind == "shift":
+        to = stepped(day, how, unit)
+        if unit == "DAY":
+            return days.select(*keys, to.alias("_day"))
+        till = F.when(day == F.last_day(day), F.last_day(to)).otherwise(to)
+        return days.select(*keys, F.explode(F.sequence(to, till)).alias("_day")).distinct()
+    if kind == "parallel":
+        begins = days.select(*keys, stepped(first_of(day, unit), how, unit).alias("_from")).distinct()
+        return begins.select(*keys, F.explode(F.sequence("_from", last_of(F.col("_from"), unit))).alias("_day"))
+    low, high = F.min("_day"), F.max("_day")
+    if kind == "neighbour":
+        at = stepped(first_of(low if how < 0 else high, unit), how, unit)
+        low, high = at, last_of(at, unit)
+    elif kind == "to_date":
+        low = first_of(high, unit)
+    elif kind == "edge":
+        low = high = last_of(high, unit) if how else first_of(low, unit)
+    else:
+        at, n = how
+        ends = {"MAX": high, "LASTDATE": high, "MIN": low, "FIRSTDATE": low}
+        anchor = ends[at.name] if isinstance(at, Call) and at.name in ends else row(at, set())
+        away = stepped(anchor, n, unit)
+        if unit != "DAY":
+            away = F.when(anchor == F.last_day(anchor), F.last_day(away)).otherwise(away) if n < 0 else away
+        low, high = (F.date_add(away, 1), anchor) if n < 0 else (anchor, F.date_sub(away, 1))
+    span = days.groupBy(*keys).agg(low.alias("_low"), high.alias("_high")) if keys else days.agg(low.alias("_low"), high.alias("_high"))
+    return span.where("_low <= _high").select(*keys, F.explode(F.sequence("_low", "_high")).alias("_day"))
+
+
+def with_rank(rows: DataFrame, value: str, within: Sequence[str], dense: bool, name: str, rising: bool = False) -> DataFrame:
+    """Ranks by a value, the largest first unless ``rising``; nulls come last.
+
+    Without columns to rank within, all rows would meet in one task. So the different values are counted, dealt out by their
+    quantiles, and ranked inside of these; what comes before each part is added.
+    """
+    v = F.col(f"`{value}`")
+    order = v.asc_nulls_last() if rising else v.desc_nulls_last()
+    if within:
+        rank = F.dense_rank() if dense else F.rank()
+        return rows.withColumn(name, rank.over(Window.partitionBy(*[F.col(f"`{w}`") for w in within]).orderBy(order)))
+    values = rows.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    marks = values.agg(F.percentile_approx(F.col("_v").cast("double"), [k / 200 for k in range(1, 200)], 2000).alias("_marks"))
+    below = F.size(F.filter(F.coalesce("_marks", F.array().cast("array<double>")), lambda m: m < F.col("_v").cast("double")))
+    part = F.when(F.col("_v").isNull(), 1000).otherwise(below if rising else -below)
+    dealt = values.crossJoin(F.broadcast(marks)).withColumn("_part", part).drop("_marks")  # one row of 199 marks
+    size = F.count(F.lit(1)) if dense else F.sum("_n")
+    before = dealt.groupBy("_part").agg(size.alias("_size"))  # 201 rows at most
+    before = before.select("_part", F.coalesce(F.sum("_size").over(Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    step = F.lit(1) if dense else F.col("_n")
+    local = Window.partitionBy("_part").orderBy(F.col("_v").asc_nulls_last() if rising else F.col("_v").desc_nulls_last())
+    ranks = dealt.withColumn("_inside", F.coalesce(F.sum(step).over(local.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ranks = ranks.join(F.broadcast(before), "_part").select("_v", (F.col("_inside") + F.col("_before") + 1).cast("int").alias(name))
+    return rows.join(ranks, v.eqNullSafe(F.col("_v"))).drop("_v")

@@ -52,7 +52,7 @@ MEASURES = {
     "Supplier Nation Revenue": "CALCULATE([Total Revenue], TREATAS(VALUES(supplier[s_suppkey]), lineitem[l_suppkey]))",
     "First Order": "FIRSTDATE(orders[order_date])",
     "Last Order": "LASTDATE(orders[order_date])",
-    "Flags": 'CONCATENATEX(lineitem, lineitem[l_returnflag], "|")',
+    "Flags": 'CONCATENATEX(VALUES(lineitem[l_returnflag]), lineitem[l_returnflag], "|")',
 }
 EVENT_MEASURES = {
     "Events": "COUNTROWS(events)",

@@ -26,7 +26,7 @@ def windowed(view: MetricView, rows: DataFrame, time: str, measures: list[str],
     used: set[str] = set()
     leaves = []
     for alias, build, _, context, kind in plan.leaves.values():
-        if kind == "NESTED" or context != Context(filters=context.filters) or kind.startswith("DISTINCT"):
+        if kind.startswith("NESTED") or kind == "RANKX" or context != Context(filters=context.filters) or kind.startswith("DISTINCT"):
             raise DaxError(f"{kind} can't run over a stream")
         leaves.append(build(used).alias(alias))
     if used - {fact.lower()}:
