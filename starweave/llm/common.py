@@ -44,16 +44,28 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     )
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names of columns of our own that the input has none of, whatever its columns are called."""
+    taken, prefix = {c.lower() for c in df.columns}, "_own_"
+    while any(f"{prefix}{w}".lower() in taken for w in wanted):
+        prefix = "_" + prefix
+    return [f"{prefix}{w}" for w in wanted]
+
+
 def doc_id(of: str = "_id") -> Column:
     return F.when(F.col(of) != NULL_ID, F.col(of)).alias("doc_id")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder, on a local master only: on a cluster other executors couldn't read it.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="starweave-")
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="starweave-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
@@ -81,16 +93,33 @@ def _released_shuffles(spark: SparkSession):
         spark.conf.set(name, before)
 
 
-def keep(df: DataFrame, label: str) -> DataFrame:
+#: Tables written inside of ``scratch``, innermost last.
+_scratch: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables that ``keep`` writes inside are deleted at the end; what is to stay is read into a table of its own before."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
+def keep(df: DataFrame, label: str, stays: bool = False) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: later steps survive lost executors.
 
-    The finished steps' shuffle files are released, so the disk holds one step's at a time.
+    The finished steps' shuffle files are released, so the disk holds one step's at a time. ``stays``: beyond ``scratch`` too.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/starweave/{label}-{uuid.uuid4().hex}"
     with _released_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
+    if _scratch and not stays:
+        _scratch[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._starweave_path = path
     gc.collect()

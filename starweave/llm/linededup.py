@@ -11,7 +11,8 @@ every size: what a corpus needs grows with it, and no size has a plan of its own
 
 * null text is empty; chunks of white space alone stay. A null doc_id comes after all others.
 * rows that agree in id and text are one document: all its copies keep the same chunks.
-* extra columns pass through; an empty table gives no rows.
+* very long texts are chunked whole; a text of one line is one chunk, and stays.
+* extra columns pass through, whatever their names (those of the added columns can be chosen); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starweave.llm.common import NULL_ID, bind, keep, table
+from starweave.llm.common import NULL_ID, bind, free_names, keep, table
 
 LEAST_LINES = 2
 
@@ -73,22 +74,29 @@ def repeats(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     return texts.where("not first").join(first, "hash").where(F.col("text").cast("binary") == F.col("same").cast("binary")).select("_id", "_tag", "pos")
 
 
-def dedup_lines(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
-    """The input with ``text`` cut, and ``_gone`` (positions of the removed chunks), ``_lines``, ``_chunks`` and ``_gone_lines``."""
-    gone = keep(repeats(docs, least_lines), "gone").groupBy(F.col("_id").alias("_gone_id"), F.col("_tag").alias("_gone_tag")).agg(F.collect_set("pos").alias("_gone"))
+def dedup_lines(docs: DataFrame, least_lines: int = LEAST_LINES, names: tuple[str, str, str, str] = ("_gone", "_lines", "_chunks", "_gone_lines")) -> DataFrame:
+    """The input with ``text`` cut, and columns ``names``: positions of the removed chunks, and numbers of lines, chunks and removed lines.
+
+    Names that the input has already must be given others.
+    """
+    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the input has columns {sorted(clash)}: give others as names")
+    positions, lines, chunks, lost_lines = names
+    one, other, whole = free_names(docs, "id", "tag", "rest")
+    gone = keep(repeats(docs, least_lines), "gone").groupBy(F.col("_id").alias(one), F.col("_tag").alias(other)).agg(F.collect_set("pos").alias(positions))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone["_gone_id"]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone["_gone_tag"])
-    left = docs.join(gone.hint("merge"), same, "left").drop("_gone_id", "_gone_tag")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == gone[one]) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == gone[other])
+    left = docs.join(gone.hint("merge"), same, "left").drop(one, other)
 
     def rest(c: Column) -> Column:
-        kept = F.filter(c, lambda x, i: ~F.coalesce(F.array_contains("_gone", i), F.lit(False)))
-        lost = F.filter(c, lambda x, i: F.coalesce(F.array_contains("_gone", i), F.lit(False)))
+        goes = lambda i: F.coalesce(F.array_contains(positions, i), F.lit(False))
+        kept, lost = F.filter(c, lambda x, i: ~goes(i)), F.filter(c, lambda x, i: goes(i))
         total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x["lines"])
         return F.struct(F.array_join(F.transform(kept, lambda x: x["text"]), "\n").alias("text"), total(c).alias("lines"), F.size(c).alias("chunks"), total(lost).alias("lost"))
 
-    done = left.withColumn("_rest", bind(line_chunks(text), rest))
-    whole = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_rest.text"))
-    return done.withColumns({"text": whole, "_lines": F.col("_rest.lines"), "_chunks": F.col("_rest.chunks"), "_gone_lines": F.col("_rest.lost")}).drop("_rest")
+    done = left.withColumn(whole, bind(line_chunks(text), rest))
+    cut = F.when(F.col(positions).isNull(), F.col("text")).otherwise(F.col(f"{whole}.text"))
+    return done.withColumns({"text": cut, lines: F.col(f"{whole}.lines"), chunks: F.col(f"{whole}.chunks"), lost_lines: F.col(f"{whole}.lost")}).drop(whole)
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starweave.llm.common import NULL_ID, discard, doc_id, keep, keyed, table
+from starweave.llm.common import NULL_ID, discard, doc_id, free_names, keep, keyed, table
 from starweave.llm.graph import components
 
 BLOCKS, WIDTH = 4, 16
@@ -41,6 +41,8 @@ MASKS = 12
 RADIUS = 2
 #: Cells with more fingerprints than this form no pairs and go by shared neighbours instead.
 CROWDED = 48
+#: Pairs for each member that a cell of the similarity search forms in its first round; four times as many in each further one.
+FIRST_PAIRS = 48
 #: Shingle hashes that a worker holds at a time.
 HASHES_AT_ONCE = 400_000
 
@@ -272,7 +274,8 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     Pairs that share a cell are verified, except those whose components are joined already. A cell with few such pairs
     for its members forms all of them. Any other compares one member, that with the most links so far, with all the rest;
     this member's pairs are then settled here and it leaves this cell, no other does. Then components are taken anew, so a
-    family of copies becomes one component in a few rounds, and the number of pairs a member may form grows fourfold each round.
+    family of copies becomes one component in a few rounds, of links in proportion to its members. What is left are pairs of
+    different components; the number of these that a cell may form for each member grows fourfold each round, until all are settled.
     """
     cells = keep(prefix_cells(sets, similarity), "cells")
     shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cell")
@@ -281,7 +284,7 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     sized = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-6
     ordered = lambda x, y: (F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
     every: DataFrame | None = None
-    crowded = CROWDED
+    crowded = FIRST_PAIRS
     while True:
         first = F.struct("links", F.xxhash64("node").alias("r"), "node", "n", "label")
         by_label = member.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k"), F.max(first).alias("lead"))
@@ -334,12 +337,18 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
 
 def keep_first(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The input without its near duplicates: of each group the row with the smallest (doc_id, hash of text) stays."""
+    """The input without its near duplicates: of each group the row with the smallest (doc_id, hash of text) stays.
+
+    Null text is empty, and all texts without words are one group; a null doc_id comes after all others. Rows that agree in both
+    are copies of which one stays. Texts of fewer words than a shingle have one shingle, all their words. Very long texts are
+    shingled whole. All columns pass through, whatever their names; an empty table gives no rows.
+    """
     groups = similar_groups(docs, words, similarity)
-    stay = keep(groups.groupBy("group").agg(F.min(F.struct("_id", "_tag")).alias("best")).select(F.col("best._id").alias("_stay_id"), F.col("best._tag").alias("_stay_tag")), "stay")
+    one, other = free_names(docs, "id", "tag")
+    stay = keep(groups.groupBy("group").agg(F.min(F.struct("_id", "_tag")).alias("best")).select(F.col("best._id").alias(one), F.col("best._tag").alias(other)), "stay")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == stay["_stay_id"]) & (F.xxhash64(text) == stay["_stay_tag"])
-    return docs.join(stay.hint("merge"), same).dropDuplicates(["_stay_id", "_stay_tag"]).drop("_stay_id", "_stay_tag")
+    same = (F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == stay[one]) & (F.xxhash64(text) == stay[other])
+    return docs.join(stay.hint("merge"), same).dropDuplicates([one, other]).drop(one, other)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
