@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def test_edges(tricky, empty):
     assert len(rows) == tricky.count()
     texts = [(r.doc_id, r.text) for r in tricky.collect()]
     expected = sorted(str((d, *scan(t)[:2], scan(t)[4])) for d, t in texts)
-    assert sorted(str((r.doc_id, len(r.words), len(r.base_places), ",".join(r.base_labels))) for r in rows) == expected
+    assert sorted(str((r.doc_id, r.n_words, len(r.base_places), ",".join(r.base_labels))) for r in rows) == expected
     assert licenses.scan(empty).count() == 0
 
 
@@ -42,3 +43,16 @@ def test_templates(spark):
     ]
     rows = licenses.scan(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string")).withColumn("l", F.array_join("labels", ",")).collect()
     assert {r.doc_id: r.l for r in rows} == {t[0]: t[2] for t in texts}
+
+
+def test_every_place_of_every_phrase(spark):
+    """The index against a scan of all positions, on texts dense with licence words, whatever the frequencies are."""
+    rng = random.Random(4)
+    docs = [(k, " ".join(rng.choice([rng.choice(licenses.VOCABULARY), rng.choice(licenses.phrases()), "other"]) for _ in range(rng.randrange(40)))) for k in range(60)]
+    found = licenses.hits(spark.createDataFrame(docs, "doc_id long, text string"))
+    for frequency in (licenses.document_frequencies(found), {w: -k for k, w in enumerate(licenses.VOCABULARY)}):
+        rows = found.select("doc_id", "places", licenses.verified(frequency).alias("v")).collect()
+        for r in rows:
+            w = docs[r.doc_id][1].split()
+            want = sorted((k, i) for k, p in enumerate(licenses.phrases()) for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
+            assert sorted((x.phrase, r.places[x.hit]) for x in r.v) == want
