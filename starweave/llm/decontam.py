@@ -3,17 +3,22 @@
 Documents are searched for passages whose word shingles agree with those of a benchmark item, by weighted Jaccard
 similarity (weights are the shingles' numbers of occurrences):
 
-1. shingles of all documents meet those of the benchmark. A window within the similarity holds a number of the item's
-   shingles that follows from it, so places with fewer are left out: an exact bound;
-2. around these places every window of an item's size gets a SimHash fingerprint;
-3. fingerprints are cut into ``radius + 1`` blocks. Two within the radius agree in at least one of these, so equal blocks
-   guarantee that every item within the radius is found;
+1. a window within the similarity holds a number of the item's shingles that follows from it; windows with fewer are left
+   out: an exact bound;
+2. every other window of an item's size gets a SimHash fingerprint;
+3. fingerprints are cut into ``radius + 1`` blocks. Two within the radius agree in at least one of these, so the index of the
+   items' blocks guarantees that every item of this size within the radius is found;
 4. candidates are verified by the exact weighted shingle similarity.
 
+At similarity 0.8 fingerprints differ in about 10 of 64 bits (deviation 2.9), so the radius is 24, which loses one window in a
+million. Blocks for such a radius are narrow: they guarantee, but of the items of one size they leave out few. What selects is the
+bound of step 1, then the size, then the distance itself.
+
 * null text and null items are empty; items without words match nothing; items of fewer than five words have shingles
   of all their words. Words are lower-cased (A-Z) and punctuation is left out.
-* repeated rows and repeated items are each reported; null ids are kept; extra columns are ignored;
-  an empty table on either side gives no rows.
+* repeated rows, and repeated items of one id, are reported once; null ids are kept; of windows that tie the first is named.
+* very long texts are read whole; a row holds one document's shingles and one window at a time.
+* extra columns are ignored; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -28,11 +33,19 @@ from starweave.llm.licenses import words_of
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 20
-#: Shingles of the benchmark that are broadcast at most; a larger benchmark is joined by an exchange.
-MOST_BROADCAST = 500_000
+RADIUS = 24
+#: Bytes of the benchmark's rows that are broadcast at most; those of a larger benchmark are joined by an exchange.
+BROADCAST_BYTES = 32_000_000
+
+
+def simhash(hashes: Column) -> Column:
+    """A bit is 1 if it is in over half of the hashes."""
+
+    def bit(b: Column) -> Column:
+        ones = F.size(F.filter(hashes, lambda h: F.getbit(h, b) == 1))
+        return F.when(2 * ones > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
-SIMHASH = "aggregate(sequence(0, 63), 0L, (f, b) -> f | if(2 * size(filter({0}, h -> getbit(h, b) = 1)) > size({0}), shiftleft(1L, b), 0L))"
+    return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda f, b: f.bitwiseOR(bit(b)))
 
 
 def shingle_hashes(words: Column, k: int) -> Column:
@@ -68,8 +81,8 @@ def benchmark_items(items: DataFrame, k: int = WORDS) -> DataFrame:
         fits = F.size("w") >= k if size == k else F.size("w") == size
         part = words.where(fits).select("item_id", F.lit(size).alias("k"), shingle_hashes(F.col("w"), size).alias("shingles"))
         found = part if found is None else found.unionByName(part)
-    hashed = keep(found.withColumn("n", F.size("shingles")), "items")
-    return keep(hashed.withColumn("fp", F.expr(SIMHASH.format("shingles"))), "items")
+    hashed = keep(found.dropDuplicates().withColumn("n", F.size("shingles")).withColumn("item", F.xxhash64("item_id", "k", "shingles")), "items")
+    return keep(hashed.withColumn("fp", simhash(F.col("shingles"))), "items")
 
 
 def windows_of(places: Column, n: Column, total: Column, similarity: float) -> Column:
@@ -92,38 +105,33 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     """(_id, _tag, item_id, similarity, start_word, windows): verified pairs of document and item, the best window's data."""
     rows = keyed(docs)
     bench = benchmark_items(items, k)
-    every = bench.select("k", "item_id", "n", F.explode(F.array_distinct("shingles")).alias("h"))
-    small = every.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    sizes = sorted(r[0] for r in bench.select("k").distinct().collect())  # at most ``k`` numbers
+    sizes = bench.groupBy("k").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("shingles")).orderBy("k").collect()  # at most ``k`` rows
     if not sizes:
         return rows.where("false").select("_id", "_tag", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"), F.lit(0.0).alias("similarity"), F.lit(0).alias("start_word"), F.lit(0).cast("long").alias("windows"))
-    verified = []
-    for size in sizes:
-        own = every.where(F.col("k") == size).select("h", "item_id", "n")
-        met = rows.select("_id", "_tag", F.posexplode(shingle_hashes(words_of(F.col("_text")), size)).alias("pos", "h")).join(F.broadcast(own) if small else own, "h")
+    light = lambda df, n_bytes: F.broadcast(df) if n_bytes <= BROADCAST_BYTES else df
+    every_hit: DataFrame | None = None
+    for size, n_items, n_shingles in sizes:
+        mine = bench.where(F.col("k") == size)
+        own = mine.select("item", "n", F.explode(F.array_distinct("shingles")).alias("h"))
+        met = rows.select("_id", "_tag", F.posexplode(shingle_hashes(words_of(F.col("_text")), size)).alias("pos", "h")).join(light(own, 24 * n_shingles), "h")
         least = math.floor(1000 * similarity) / 1000  # of n shingles, also where the document is shorter than the item
-        met = met.groupBy("_id", "_tag", "item_id", "n").agg(F.collect_set("pos").alias("p")).where(F.size("p") >= F.ceil(F.col("n") * least - 1e-9))
-        wanted = keep(met.select("_id", "_tag", "n", F.sort_array("p").alias("p")).distinct(), "places").groupBy("_id", "_tag").agg(F.collect_list(F.struct("n", "p")).alias("places"))
-
-        def cut(h: Column) -> Column:
-            def each(x: Column) -> Column:
-                return F.transform(windows_of(x["p"], x["n"], F.size(h), similarity), lambda s: F.struct(x["n"].alias("n"), s.alias("start"), F.slice(h, s + 1, F.least(x["n"], F.size(h))).alias("window")))
-
-            return F.array_distinct(F.flatten(F.transform("places", each)))
-
-        held = rows.dropDuplicates(["_id", "_tag"]).join(wanted.hint("merge"), ["_id", "_tag"])  # at every size: no plan of its own for few places
-        found = held.select("_id", "_tag", F.explode(bind(shingle_hashes(words_of(F.col("_text")), size), cut)).alias("x")).select("_id", "_tag", "x.*")
-        found = keep(found, "windows").withColumn("fp", F.expr(SIMHASH.format("window")))
-        found = keep(found, "windows")
-        mine = bench.where(F.col("k") == size).select("item_id", "n", "shingles", F.col("fp").alias("item_fp"))
-        index = mine.select("item_id", "n", "shingles", "item_fp", F.inline(blocks(F.col("item_fp"), radius)))
-        probe = found.select("*", F.inline(blocks(F.col("fp"), radius)))
-        pairs = probe.join(F.broadcast(index) if small else index, ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-        pairs = pairs.dropDuplicates(["_id", "_tag", "start", "n", "item_id"])
-        verified.append(pairs.withColumn("similarity", weighted_similarity(F.col("window"), F.col("shingles"))).where(F.col("similarity") >= similarity))
-    every_hit = verified[0]
-    for more in verified[1:]:
-        every_hit = every_hit.unionByName(more)
+        met = met.groupBy("_id", "_tag", "item", "n").agg(F.collect_set("pos").alias("p")).where(F.size("p") >= F.ceil(F.col("n") * least - 1e-9))
+        places = keep(met.select("_id", "_tag", "n", F.sort_array("p").alias("p")).distinct(), "places").groupBy("_id", "_tag").agg(F.collect_list(F.struct("n", "p")).alias("places"))
+        # at every size: no plan of its own for few places
+        near = rows.dropDuplicates(["_id", "_tag"]).join(places.hint("merge"), ["_id", "_tag"])
+        held = keep(near.select("_id", "_tag", shingle_hashes(words_of(F.col("_text")), size).alias("h"), "places"), "held")
+        starts = F.array_distinct(F.flatten(F.transform("places", lambda x: F.transform(windows_of(x["p"], x["n"], F.size("h"), similarity), lambda s: F.struct(x["n"].alias("n"), s.alias("start"))))))
+        window = lambda x: F.slice(F.col("h"), x["start"] + 1, F.least(x["n"], F.size("h")))
+        windows = held.select("_id", "_tag", F.inline(F.transform(starts, lambda x: F.struct(x["n"].alias("n"), x["start"].alias("start"), simhash(window(x)).alias("fp")))))
+        probe = keep(windows, "windows").select("*", F.inline(blocks(F.col("fp"), radius)))
+        index = mine.select("item", "n", F.col("fp").alias("item_fp"), F.inline(blocks(F.col("fp"), radius)))
+        found = probe.join(light(index, 48 * (radius + 1) * n_items), ["n", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+        pairs = keep(found.select("_id", "_tag", "n", "start", "item").distinct(), "candidates")
+        both = held.select("_id", "_tag", "h").join(pairs, ["_id", "_tag"]).join(light(mine.select("item", "item_id", "shingles"), 64 * n_items + 8 * n_shingles), "item")
+        at = F.struct("n", "start")
+        close = both.select("_id", "_tag", "item_id", "start", weighted_similarity(window(at), F.col("shingles")).alias("similarity")).where(F.col("similarity") >= similarity)
+        every_hit = close if every_hit is None else every_hit.unionByName(close)
+    # items of one id may be of several sizes: a window counts once for each
     best = F.max(F.struct("similarity", (-F.col("start")).alias("back"))).alias("best")
     return every_hit.groupBy("_id", "_tag", "item_id").agg(best, F.count(F.lit(1)).alias("windows")).select("_id", "_tag", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).alias("start_word"), "windows")
 
