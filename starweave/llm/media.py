@@ -1,16 +1,18 @@
 """Telephony audio columns: 8-bit mu-law or A-law samples, ADPCM blocks, resampled PCM.
 
-Stored audio is a WAV file in memory. Reading it back parses the container, expands companded samples by a lookup
-table (or decodes the blocks of a file step by step for all blocks at once), and resamples the PCM.
+Stored audio is a WAV file in memory, of a codec that a hash of the payload chooses (or the caller). Reading it back parses the
+container, expands companded samples by a lookup table (or decodes the blocks of a file step by step for all blocks at
+once), and resamples the PCM, which is stored as a column.
 
-* null text is empty (one padding unit); repeated rows get equal values; a null doc_id is kept;
+* null text is empty (one padding unit); repeated rows and equal texts get equal values; a null doc_id is kept;
   extra columns are ignored; an empty table gives no rows.
-* memory is bounded by an Arrow batch of texts, and rows are encoded one after the other.
+* very long texts are one file each; a task holds a few megabytes of texts and their media, and at least one row, at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Iterator
@@ -135,38 +137,50 @@ def features(pcm: np.ndarray) -> str:
     """Samples, RMS, peak and sign changes of PCM, as text."""
     if not len(pcm):
         return "n=0;rms=0;peak=0;crossings=0"
-    wide = pcm.astype(np.int32)
-    power = int(np.dot(pcm.astype(np.float64), pcm.astype(np.float64)))  # exact below 2**53
+    wide = pcm.astype(np.int64)
+    power = int(np.dot(wide, wide))  # exact: whole numbers
     crossings = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
-    return f"n={len(pcm)};rms={int((power / len(pcm)) ** 0.5)};peak={int(np.abs(wide).max())};crossings={crossings}"
+    return f"n={len(pcm)};rms={math.isqrt(power // len(pcm))};peak={int(np.abs(wide).max())};crossings={crossings}"
 
 
-def media_columns(docs: DataFrame, codec: str = "mulaw", to_rate: int = 16000, with_media: bool = True) -> DataFrame:
-    """Each text as telephony audio: ``doc_id``, sizes, digests of what is read back, features, and on request
-    ``media`` (the stored file) and ``pcm`` (resampled, little-endian 16-bit)."""
-    block = UNIT if codec == "ima_adpcm" else 1
+def codec_of(payload: bytes) -> str:
+    """The codec of a payload: one of the three by its checksum, so equal texts have equal media."""
+    return sorted(TAGS)[zlib.crc32(payload) % len(TAGS)]
+
+
+#: Bytes of payload whose rows leave a task together.
+BYTES_AT_ONCE = 2_000_000
+
+
+def media_columns(docs: DataFrame, codec: str | None = None, to_rate: int = 16000) -> DataFrame:
+    """Each text as telephony audio: ``doc_id``, the ``codec``, ``media`` (the stored file), ``pcm`` (what it sounds as, resampled,
+    little-endian 16-bit), and of what is read back from the file: sizes, digests and features."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                rows = []
-                for text in part.column(1).to_pylist():
-                    n = len(text)
-                    media = store(text + b" " * ((-n) % UNIT if n else UNIT), codec, block=block if codec == "ima_adpcm" else 256)
-                    back = load(media)[3]
-                    pcm = resample(*pcm_of(media), to_rate)
-                    row = (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(pcm))
-                    rows.append((*row, media, pcm.astype("<i2").tobytes()) if with_media else row)
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names)
-
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    schema += ", media binary, pcm binary" * with_media
+            begin, size, rows = 0, 0, []
+            for k, raw in enumerate(batch.column(1)):
+                text = raw.as_py()
+                n = len(text)
+                payload = text + b" " * ((-n) % UNIT if n else UNIT)
+                own = codec or codec_of(payload)
+                media = store(payload, own, UNIT)
+                back = load(media)[3]
+                pcm = resample(*pcm_of(media), to_rate)
+                rows.append((own, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(pcm), media, pcm.astype("<i2").tobytes()))
+                size += len(payload)
+                if size >= BYTES_AT_ONCE or k + 1 == batch.num_rows:
+                    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(rows)), *columns], names)
+                    begin, size, rows = k + 1, 0, []
+
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
+    schema = "doc_id long, codec string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, pcm binary"
     names = [x.split()[0] for x in schema.split(", ")]
     return docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("b")).mapInArrow(run, schema)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_columns(table(spark, sf_dir, "documents"), with_media=False)
+    found = media_columns(table(spark, sf_dir, "documents"))
+    digests = [F.octet_length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256")]
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", *digests)
