@@ -5,12 +5,14 @@ fitted on a sample of at most ``MOST_LABELLED`` labelled documents (by a hash of
 rates of their host (``source``) and path (``lang`` within the host): known labels count as such, others by their
 predicted probability. A sparse path is shrunk toward its host and a sparse host toward the global rate; the strengths
 of the priors are estimated from the spread of the rates themselves (method of moments). The posterior of a document
-adds to its own log-odds the log-odds of its path against the global rate.
+adds to its own log-odds those of its path against the global rate, where the path's and the host's rates leave the document
+itself out: its evidence counts once.
 
 * null text is empty and has the evidence of an empty document; null host and path are a host and a path of their own.
 * null labels are no labels; of repeated labels the largest counts. Repeated documents are scored and counted each.
 * without any labels, or with one class only, the evidence is zero and probabilities are the smoothed rates.
-* an empty table gives no rows; extra columns are ignored.
+* ties in the order of the sample go by doc_id; documents that repeat a labelled id count in the sample up to ``MOST_ROWS`` rows.
+* very long texts are read whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starweave.llm.common import doc_id, keep, keyed, partitions, table
+from starweave.llm.common import doc_id, keep, keyed, table
 
 MOST_LABELLED = 20_000
 MOST_WORDS = 4000
 LEAST_DOCUMENTS, LEAST_Z = 8, 6.0
-#: Rows of the rate tables that are broadcast at most.
-MOST_BROADCAST = 100_000
+#: Rows that the regressions are fitted on at most: the sample's documents, should their ids repeat.
+MOST_ROWS = 4 * MOST_LABELLED
 TARGETS = ("quality", "toxic")
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 UPPER = bytes(range(65, 91))
@@ -107,7 +109,7 @@ def fit(x: np.ndarray, y: np.ndarray, shrink: float = 1.0) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict:
+def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, most_rows: int = MOST_ROWS) -> dict:
     """The document classifier: lexicon, and for each target (mean, scale, weights), or None without two classes."""
     sample = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(t).cast("int").alias(t) for t in TARGETS])
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(most)  # the bound of the sample
@@ -117,11 +119,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> dict
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [evidence(t, lexicon) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), batch.column(1), batch.column(2)], ["x", *TARGETS])
+            x = [evidence(t, lexicon) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x, pa.list_(pa.float64())), *batch.columns[3:]], ["_id", "_tag", "x", *TARGETS])
 
-    order = labelled.orderBy("_id", F.xxhash64("_text")).limit(4 * most).select("_text", *TARGETS)
-    got = order.mapInArrow(rows, "x array<double>, quality int, toxic int").toPandas()  # bounded by the sample
+    numbers = labelled.select("_id", F.xxhash64("_text").alias("_tag"), "_text", *TARGETS).mapInArrow(rows, "_id long, _tag long, x array<double>, quality int, toxic int")
+    got = numbers.orderBy("_id", "_tag").limit(most_rows).select("x", *TARGETS).toPandas()  # numbers alone, as many as the bound says
     model: dict = {"lexicon": lexicon}
     for t in TARGETS:
         own = got[got[t].notna()]
@@ -172,31 +174,31 @@ def logit(p):
 
 
 def posteriors(scored: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds p_quality and p_toxic to the rows of ``document_evidence`` (kept as a table)."""
-    spark = scored.sparkSession
+    """Adds p_quality and p_toxic to the rows of ``document_evidence`` (kept as a table).
+
+    The rates join the rows on host and path: by a broadcast where Spark finds them small, else by an exchange, in which it
+    splits the rows of a frequent host.
+    """
     known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(*[F.max(t).cast("double").alias(f"y_{t}") for t in TARGETS])
     rows = scored.join(known, "_id", "left")
     own = {t: F.coalesce(F.col(f"y_{t}"), 1 / (1 + F.exp(-F.col(f"z_{t}")))) for t in TARGETS}
-    paths = keep(rows.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(own[t]).alias(f"s_{t}") for t in TARGETS]), "paths")
+    rows = keep(rows.select("_id", "_tag", "host", "path", *[f"z_{t}" for t in TARGETS], *[own[t].alias(f"own_{t}") for t in TARGETS]), "owns")
+    paths = keep(rows.groupBy("host", "path").agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(f"own_{t}").alias(f"s_{t}") for t in TARGETS]), "paths")
     hosts = keep(paths.groupBy("host").agg(F.sum("n").alias("m"), *[F.sum(f"s_{t}").alias(f"h_{t}") for t in TARGETS]), "hosts")
     total = hosts.agg(F.sum("m").alias("m"), *[F.sum(f"h_{t}").alias(t) for t in TARGETS]).first()
-    rates = paths.join(hosts, "host")
+    rates = keep(paths.join(hosts, "host"), "rates")
+    both = rows.join(rates, ["host", "path"])
     columns = []
     for t in TARGETS:
         mu = ((total[t] or 0.0) + 1) / ((total["m"] or 0.0) + 2)
         strong = prior_strength(hosts.withColumn("r", F.col(f"h_{t}") / F.col("m")), "r", "m")
         strong_path = prior_strength(paths.withColumn("r", F.col(f"s_{t}") / F.col("n")), "r", "n")
-        host = (F.col(f"h_{t}") + strong * mu) / (F.col("m") + strong)
-        path = (F.col(f"s_{t}") + strong_path * host) / (F.col("n") + strong_path)
-        columns.append((logit(path) - math.log(mu / (1 - mu))).alias(f"shift_{t}"))
-    shifts = keep(rates.select("host", "path", *columns), "shifts")
-    if shifts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        both = scored.join(F.broadcast(shifts), ["host", "path"])
-    else:  # a table that grows with the hosts is dealt out; a frequent host is salted
-        salts = partitions(spark)
-        salted = shifts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        both = scored.withColumn("_salt", F.pmod(F.xxhash64("_id", "_tag"), F.lit(salts)).cast("int")).join(salted, ["host", "path", "_salt"])
-    return both.select("_id", "_tag", *[(1 / (1 + F.exp(-(F.col(f"z_{t}") + F.col(f"shift_{t}"))))).alias(f"p_{t}") for t in TARGETS])
+        one = F.col(f"own_{t}")
+        host = (F.col(f"h_{t}") - one + strong * mu) / (F.col("m") - 1 + strong)
+        path = (F.col(f"s_{t}") - one + strong_path * host) / (F.col("n") - 1 + strong_path)
+        shift = logit(F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), path))) - math.log(mu / (1 - mu))
+        columns.append((1 / (1 + F.exp(-(F.col(f"z_{t}") + shift)))).alias(f"p_{t}"))
+    return both.select("_id", "_tag", *columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
