@@ -1,13 +1,13 @@
 """Best-fit packing of tokenised documents into fixed-length training sequences.
 
 The instance is its histogram of piece lengths: at most ``capacity`` numbers, whatever the corpus size. A
-Martello-Toth dominance reduction runs on it first, in part: an item that is provably best alone or with one certain
-partner is fixed with it for good and leaves the instance. Bins of two partners are not tested: the reduction ends at an
-item beside which the two smallest others fit, unless one partner fills its bin. What remains is packed best-fit over the histogram. The plan is a list of bin patterns with multiplicities; pieces find
+Martello-Toth dominance reduction runs on it first: a set of the largest item with up to two partners that provably dominates
+all alternatives is fixed for good and leaves the instance. What remains is packed best-fit over the histogram. The plan is a list of bin patterns with multiplicities; pieces find
 their place by their rank among the pieces of their length, counted in hashed blocks so that no length lands in
 one task.
 
-* null text is an empty document: it has the end token only. Repeated rows are packed once each.
+* null text is an empty document: it has the end token only. Repeated rows are packed once each, and tie in their length's order.
+* very long texts are encoded whole, then cut; a null doc_id is kept.
 * an empty table gives no rows; extra columns are ignored.
 """
 
@@ -164,44 +164,84 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     return fixed + best_fit(left, capacity)
 
 
-def _largest(left: Counter, most: int, but: int = 0) -> int:
-    """The largest length of at most ``most`` still in the instance, one copy of ``but`` being taken; else 0."""
-    return next((n for n in range(most, 0, -1) if left[n] > (n == but)), 0)
+def _largest(left: Counter, most: int) -> int:
+    """The largest length of at most ``most`` in the instance; else 0."""
+    return next((n for n in range(most, 0, -1) if left[n] > 0), 0)
+
+
+def _smallest(left: Counter, count: int, over: int = 0) -> list[int]:
+    """The ``count`` smallest items longer than ``over``, with repeats; fewer if there are no more."""
+    out: list[int] = []
+    for n in sorted(x for x, c in left.items() if c > 0 and x > over):
+        out += [n] * min(count - len(out), left[n])
+        if len(out) == count:
+            break
+    return out
+
+
+def _best_pair(left: Counter, room: int) -> tuple[int, int]:
+    """Two items (longer first) of the largest sum that fits the room; of equal sums the pair with the longest item."""
+    best = (0, 0)
+    for a in range(room - 1, 0, -1):
+        if left[a] <= 0:
+            continue
+        if 2 * a <= sum(best):
+            break
+        b = _largest(left, min(a, room - a))
+        if b == a and left[a] < 2:
+            b = _largest(left, a - 1)
+        if b and a + b > sum(best):
+            best = (a, b)
+    return best
+
+
+def _dominant(left: Counter, room: int) -> tuple[int, ...] | None:
+    """The partners that dominate all others beside the largest item (taken out of ``left``), or None if that isn't proven."""
+    one = _largest(left, room)
+    if not one or one == room:
+        return (one,) if one else ()
+    small = _smallest(left, 3)
+    if len(small) < 2 or small[0] + small[1] > room:
+        return (one,)  # one partner at most: the largest dominates every other
+    if len(small) == 3 and sum(small) <= room:
+        return None  # four or more items may share the bin: left to best-fit
+    a, b = _best_pair(left, room)
+    if one >= a + b:
+        return (one,)  # any pair fits where this partner was
+    if a == one:
+        beyond = _smallest(left, 2, over=b)
+        if len(beyond) < 2 or sum(beyond) > room:
+            return (a, b)  # of any other pair the longer is no longer than ``a`` and the shorter no longer than ``b``
+    return None
 
 
 def reduce_dominated(left: Counter, capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Fix bins that dominate every alternative for their largest item; ``left`` shrinks in place.
 
-    For a largest item ``n`` with room ``r = capacity - n``:
+    For a largest item ``n`` with room ``r = capacity - n``, sets of at most two partners are tested:
 
     * nothing fits beside it: the bin {n} is forced;
     * an item of exactly ``r`` exists: {n, r} dominates, since whatever else shares a bin with ``n`` fits where ``r`` was;
-    * not even the two smallest items fit together beside it: at most one partner is possible, and the largest
-      one that fits dominates every other partner.
+    * not even the two smallest items fit together beside it: the largest partner that fits dominates every other one;
+    * not even the three smallest fit: the largest partner alone dominates if no fitting pair is longer than it; else the pair with
+      the largest sum dominates, if it holds the largest partner and no fitting pair has two items longer than its shorter one.
+
+    The tests depend on which lengths there are (and on the few smallest items), so they hold for as many bins as leave
+    some of each length; these are fixed at once.
     """
     fixed: list[tuple[tuple[int, ...], int]] = []
     for n in range(capacity, 0, -1):
         while left[n]:
-            room = capacity - n
-            partner = _largest(left, room, n)
-            if not partner:
-                bins, times = (n,), left[n]
-            else:
-                smallest: list[int] = []
-                for k in sorted(x for x in left if left[x] > 0):
-                    smallest += [k] * min(2, left[k] - (k == n))
-                    if len(smallest) >= 2:
-                        break
-                if partner != room and (len(smallest) >= 2 and smallest[0] + smallest[1] <= room):
-                    break  # three or more items may share the bin: left to best-fit
-                bins, times = (n, partner), left[n] // 2 if partner == n else min(left[n], left[partner])
-                times = max(times, 1)
-            if partner and partner != room and len(set(bins)) == 2:
-                # the two smallest stay the two smallest only while copies remain, so fix step by step near the end
-                times = max(1, min(times, left[partner] - 2)) if left[partner] > 2 else 1
-            for x in bins:
-                left[x] -= times
-            fixed.append((bins, times))
+            left[n] -= 1
+            partners = _dominant(left, capacity - n)
+            left[n] += 1
+            if partners is None:
+                break
+            used = Counter((n, *partners))
+            times = max(1, min((left[x] - 4) // k for x, k in used.items())) if partners else left[n]
+            for x, k in used.items():
+                left[x] -= k * times
+            fixed.append(((n, *partners), times))
     return fixed
 
 

@@ -73,22 +73,37 @@ def test_plan_holds_every_item_once(seed):
     assert used == items
 
 
-@pytest.mark.parametrize("seed", range(25))
-def test_reduction_keeps_the_optimum(seed):
+@pytest.mark.parametrize(("capacity", "least", "most", "seed"), [(12, 1, 12, k) for k in range(25)] + [(40, 8, 24, k) for k in range(40)])
+def test_reduction_keeps_the_optimum(capacity, least, most, seed):
     """The fixed bins belong to some optimal solution: exhaustive search on small instances."""
     rng = random.Random(seed)
-    items = sorted((rng.randint(1, 12) for _ in range(8)), reverse=True)
+    items = sorted((rng.randint(least, most) for _ in range(8)), reverse=True)
 
     def best(items, bins=()):
         if not items:
             return len(bins)
         tried, found = set(), best(items[1:], (*bins, items[0]))
         for k, b in enumerate(bins):
-            if b + items[0] <= 12 and b not in tried:
+            if b + items[0] <= capacity and b not in tried:
                 tried.add(b)
                 found = min(found, best(items[1:], (*bins[:k], b + items[0], *bins[k + 1 :])))
         return found
 
     left = Counter(items)
-    fixed = packing.reduce_dominated(left, 12)
+    fixed = packing.reduce_dominated(left, capacity)
     assert sum(t for _, t in fixed) + best(sorted(left.elements(), reverse=True)) == best(items)
+
+
+def test_two_partners_are_fixed():
+    """20 with 12 and 8 dominates: no pair of items longer than 8 fits beside it. 20 with 13 doesn't dominate 20 with 11 and 9."""
+    assert packing.reduce_dominated(Counter([20, 12, 8, 11, 30]), 40)[:2] == [((30, 8), 1), ((20, 12), 1)]
+    assert ((20, 12, 7), 1) in packing.reduce_dominated(Counter([20, 12, 7, 11, 10]), 40)
+    many = Counter({400: 5000, 380: 3000, 244: 9000, 500: 100, 524: 70})
+    items = Counter(many)
+    plan = packing.plan_bins(dict(many), 1024)
+    used = Counter()
+    for bins, times in plan:
+        for n in bins:
+            used[n] += times
+    assert used == items
+    assert len(plan) < 200
