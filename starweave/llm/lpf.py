@@ -135,12 +135,16 @@ def unpacked(column: pa.Array) -> list[bytes]:
 
 
 def sketch(docs: DataFrame, span: int) -> DataFrame:
-    """(h, _id, _tag, sure) for each document and hash of its runs; ``sure``: this worker knows that several ids have the hash."""
+    """(h, _id, _tag, sure) for each document and hash of its runs; ``sure``: this worker knows that several ids have the hash.
+
+    The tag is 0 but for null ids: rows of one id may share a list of hashes, rows without an id may be too many for that.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared_here = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            ids, tags = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ids = batch.column(0).to_numpy()
+            tags = np.where(ids == NULL_ID, batch.column(1).to_numpy(), 0)
             for _, h, row, *_ in runs_of(batch.column(2).to_pylist(), span):
                 order = np.lexsort((row, ids[row], h))
                 h, row = h[order], row[order]
@@ -199,14 +203,15 @@ CONTEXT = "h long, _id long, _tag long, a long, b long, bytes binary"
 
 
 def context_rows(h: np.ndarray, ids: np.ndarray, tags: np.ndarray, a: np.ndarray, blob: pa.Array) -> pa.RecordBatch:
-    """Contexts that travel (bytes) or, where an equal context of a smaller id is at hand, ranges covered whole (no bytes)."""
+    """Contexts that travel (bytes, no end) or, where an equal context of a smaller id is at hand, ranges covered whole (no bytes)."""
     coded = blob.dictionary_encode()
     which = coded.indices.to_numpy()
     least = np.full(len(coded.dictionary), NULL_ID, dtype=np.int64)
     np.minimum.at(least, which, ids)
-    size = pa.compute.binary_length(blob).to_numpy().astype(np.int64)
-    bytes_ = blob.take(pa.array(np.arange(len(ids)), mask=ids > least[which]))
-    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(tags), pa.array(a), pa.array(a + size), bytes_], ["h", "_id", "_tag", "a", "b", "bytes"])
+    later = ids > least[which]
+    b = pa.array(a + pa.compute.binary_length(blob).to_numpy(), mask=~later)
+    bytes_ = blob.take(pa.array(np.arange(len(ids)), mask=later))
+    return pa.RecordBatch.from_arrays([pa.array(h), pa.array(ids), pa.array(tags), pa.array(a), b, bytes_], ["h", "_id", "_tag", "a", "b", "bytes"])
 
 
 def cut_out(data: bytes, place: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -217,8 +222,8 @@ def cut_out(data: bytes, place: np.ndarray, size: np.ndarray) -> pa.Array:
 
 
 def contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
-    """(h, _id, _tag, a, b, bytes): the bytes from a to b that cover each run of a wanted hash; without bytes: covered whole."""
-    lists = wanted.groupBy("_id", "_tag").agg(F.collect_list("h").alias("hs"))
+    """(h, _id, _tag, a, b, bytes): the bytes from ``a`` on that cover each run of a wanted hash; without bytes: covered whole, up to ``b``."""
+    lists = wanted.groupBy("_id", F.col("_tag").alias("_null_tag")).agg(F.collect_list("h").alias("hs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +239,8 @@ def contexts(docs: DataFrame, wanted: DataFrame, span: int) -> DataFrame:
                     row = row[ok]
                     yield context_rows(h[ok], ids[row], tags[row], inside[ok], cut_out(data, place[ok], count[ok] + span - 1))
 
-    both = packed(docs).join(lists.hint("merge"), ["_id", "_tag"]).select("_id", "_tag", "z", "hs")
-    return both.mapInArrow(run, CONTEXT)
+    rows = packed(docs).withColumn("_null_tag", F.when(F.col("_id") == NULL_ID, F.col("_tag")).otherwise(0))
+    return rows.join(lists.hint("merge"), ["_id", "_null_tag"]).select("_id", "_tag", "z", "hs").mapInArrow(run, CONTEXT)
 
 
 def finer_contexts(rows: DataFrame, span: int, gram: int) -> DataFrame:
@@ -365,7 +370,7 @@ def matched(rows: DataFrame, span: int) -> DataFrame:
             return (*(t.column(i).to_numpy() for i in range(4)), t.column(5).chunk(0))
 
         def left(part: pa.RecordBatch) -> pa.RecordBatch:
-            return ranges(*(part.column(i).to_numpy() for i in (1, 2, 3, 4)), part.column(5))
+            return ranges(*(part.column(i).to_numpy() for i in (1, 2, 3, 3)), part.column(5))
 
         def weight(parts: list[pa.RecordBatch]) -> int:
             return sum(pa.compute.sum(pa.compute.binary_length(p.column(5))).as_py() or 0 for p in parts)
