@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starweave.model import SemanticModel, frames
-from starweave.operators.scoring import classify, closure, fact_groups, resolved
+from starweave.operators.scoring import classify, fact_groups, resolved, settled
 from starweave.sources.models import HINT, hint_parts
 
 
@@ -51,20 +51,23 @@ def lineage(spark: SparkSession, *models: SemanticModel) -> tuple[DataFrame, Dat
 
 
 def reachable(edges: DataFrame, start: str, direction: str = "downstream") -> DataFrame:
-    """(id, distance) of all nodes that ``start`` leads to (downstream), that lead to it (upstream), or both."""
-    forward = edges.select("src", "dst")
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    forward.createOrReplaceTempView("_reach_f")
-    back.createOrReplaceTempView("_reach_b")
-    out = None
-    for view in {"downstream": ["_reach_f"], "upstream": ["_reach_b"], "both": ["_reach_f", "_reach_b"]}[direction]:
-        # UNION ALL with a path guard; distances are the shortest
-        part = edges.sparkSession.sql(f"""
-            WITH RECURSIVE r(id, distance, way) AS (
-                SELECT '{start}', 0, array('{start}') UNION ALL
-                SELECT e.dst, r.distance + 1, array_append(r.way, e.dst) FROM r JOIN {view} e ON e.src = r.id WHERE NOT array_contains(r.way, e.dst)
-            ) SELECT id, min(distance) AS distance FROM r GROUP BY id""")
-        out = part if out is None else out.unionByName(part).groupBy("id").agg(F.min("distance").alias("distance"))
+    """(id, distance) of all nodes that ``start`` leads to (downstream), that lead to it (upstream), or both.
+
+    Breadth first: a round joins the front with the edges and drops nodes that are known.
+    """
+    ways = {"downstream": [("src", "dst")], "upstream": [("dst", "src")], "both": [("src", "dst"), ("dst", "src")]}[direction]
+    spark, out = edges.sparkSession, None
+    edges = settled(edges.select("src", "dst").distinct())
+    for a, b in ways:
+        on = edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
+        found = front = spark.range(1).select(F.lit(start).alias("id"), F.lit(0).alias("distance"))
+        while True:
+            further = front.join(on, "id").select(F.col("next").alias("id"), (F.col("distance") + 1).alias("distance")).distinct()
+            front = settled(further.join(found.select("id"), "id", "left_anti"))
+            if front.isEmpty():
+                break
+            found = found.unionByName(front)
+        out = found if out is None else out.unionByName(found).groupBy("id").agg(F.min("distance").alias("distance"))
     return out
 
 
@@ -148,43 +151,103 @@ def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
 
 
-def model_score(rows: DataFrame, usage: DataFrame | None = None, penalty: int = 0) -> DataFrame:
-    """The mean score of each model's measures, weighted by usage (1 where unknown), less a penalty."""
+def open_features(relationships: DataFrame) -> DataFrame:
+    """(model, penalty): 5 points for each model trait that needs a decision, 20 at most."""
+    one = relationships.groupBy("model").agg((F.max((F.col("cross_filter") == "BOTH").cast("int")) + F.max((F.col("cardinality") == "MANY_TO_MANY").cast("int")) + F.max((~F.col("is_active")).cast("int"))).alias("traits"))
+    return one.select("model", F.least(5 * F.col("traits"), F.lit(20)).alias("penalty"))
+
+
+def model_score(rows: DataFrame, usage: DataFrame | None = None, penalty: int | DataFrame = 0) -> DataFrame:
+    """The mean score of each model's measures, weighted by usage (1 where unknown), less a penalty: a number, or one for each model."""
     if usage is not None:
         rows = rows.join(usage, ["model", "name"], "left").withColumn("w", F.coalesce("usage", F.lit(1)).cast("double"))
     else:
         rows = rows.withColumn("w", F.lit(1.0))
-    return rows.groupBy("model").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w") - penalty).alias("model_score"))
+    mean = rows.groupBy("model").agg((F.sum(F.col("score") * F.col("w")) / F.sum("w")).alias("mean"))
+    if isinstance(penalty, DataFrame):
+        return mean.join(penalty.select("model", "penalty"), "model", "left").select("model", (F.col("mean") - F.coalesce("penalty", F.lit(0))).alias("model_score"))
+    return mean.select("model", (F.col("mean") - penalty).alias("model_score"))
+
+
+# The phases of a migration (key, tasks), and what the later ones wait for.
+PHASES = {
+    "discovery": ["inventory", "model extraction", "source dependencies", "missing metadata"],
+    "source_assessment": ["resolve views", "base tables", "transformations", "incremental strategies"],
+    "bronze": ["ingest", "create tables", "incremental processing"],
+    "silver": ["clean", "normalise", "deduplicate", "conform", "transform"],
+    "gold": ["facts", "dimensions", "bridges", "aggregates"],
+    "report_migration": ["replace connections", "connect to the target", "keep semantic logic"],
+    "validation": ["data", "relationships", "measures", "reports", "performance"],
+    "parallel_run": ["run both", "compare"],
+    "cutover": ["deploy", "monitor", "retire"],
+}
 
 
-PHASES = ("Discovery", "Assessment", "Design", "Source mapping", "Build", "Validation", "Consumer testing", "Cutover", "Operation")
+def phase_plan(spark: SparkSession, *models: SemanticModel) -> DataFrame:
+    """(phase, key, status, tasks, blocked, items): phases with what is open in each, counted from the models.
+
+    Discovery is confirmed once there are models. The source's assessment has an item for each upstream object, gold for each
+    fact, validation for each measure; a phase without its input says what it waits for.
+    """
+    phases = spark.createDataFrame([(k + 1, key, tasks) for k, (key, tasks) in enumerate(PHASES.items())], "phase int, key string, tasks array<string>")
+    counted = None
+    if models:
+        meta = frames(spark, *models)
+        facts = None
+        for m in models:
+            part = fact_groups(spark, m)[0].select(F.concat_ws(".", F.lit(m.name), "fact").alias("item"))
+            facts = part if facts is None else facts.unionByName(part)
+        parts = {
+            "discovery": meta["tables"].select(F.concat_ws(".", "model", "name").alias("item")), "source_assessment": referenced_objects(meta).select(F.concat_ws(".", "database", "schema", "object").alias("item")),
+            "gold": facts, "validation": meta["measures"].select(F.concat_ws(".", "model", "name").alias("item")),
+        }
+        for key, rows in parts.items():
+            one = rows.distinct().agg(F.array_sort(F.collect_list("item")).alias("items")).select(F.lit(key).alias("key"), "items")
+            counted = one if counted is None else counted.unionByName(one)
+    else:
+        counted = spark.createDataFrame([], "key string, items array<string>")
+    done = F.lit(bool(models)) & (F.col("key") == "discovery")
+    blocked = F.when(~done, F.when(F.col("key") == "discovery", "no model has been read yet").otherwise("its input isn't there yet"))
+    out = phases.join(F.broadcast(counted), "key", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return out.select("phase", "key", F.when(done, "CONFIRMED").otherwise("REQUIRES_INPUT").alias("status"), "tasks", blocked.alias("blocked"), "items")
 
 
-def phase_plan(spark: SparkSession, *models: SemanticModel) -> DataFrame:
-    done = bool(models)
-    return spark.createDataFrame([(k + 1, p, "COMPLETE" if k == 0 and done else "NOT_STARTED") for k, p in enumerate(PHASES)], "phase int, name string, status string")
+# Sections of the report that need more than metadata, with what they need.
+DEFERRED = {
+    "power_query_analysis": "queries", "source_inventory": "the source's DDL", "source_dependency_analysis": "the source's DDL", "source_to_target_mapping": "source and target",
+    "target_architecture": "a target", "bronze_design": "base tables", "silver_design": "base tables", "fact_grain_definitions": "a source key", "report_migration_strategy": "classified measures",
+    "data_quality_strategy": "quality rules", "validation_strategy": "parity figures", "performance_strategy": "query plans", "security_strategy": "roles", "cicd_strategy": "a scope",
+    "migration_complexity": "a target", "dependency_aware_sequence": "dependencies of both sides", "parallel_run": "a target", "cutover_plan": "a finished migration",
+    "rollback_plan": "a finished migration", "risks": "the project's context", "assumptions": "the project's context",
+}
 
 
 def report(spark: SparkSession, *models: SemanticModel) -> DataFrame:
-    """Sections of an assessment: key, summary, details."""
+    """(section, status, n, details) of an assessment: ten sections from the models, and those that need more, with what they need."""
     meta = frames(spark, *models)
+    nodes, edges = lineage(spark, *models)
+    gaps = gap_inventory(spark, *models)
     facts = None
     for m in models:
         part = fact_groups(spark, m)[0].withColumn("model", F.lit(m.name))
         facts = part if facts is None else facts.unionByName(part)
+    board = dashboard(spark, *models)
+    every = classify(spark, *models)
     sections = [
+        ("scope", meta["tables"].select("model").distinct().select(F.col("model").alias("d"))),
+        ("current_state", board.select(F.inline(F.array(*[F.struct(F.concat(F.lit(f"{c}: "), F.col(c).cast("string")).alias("d")) for c in board.columns])))),
         ("tables", table_inventory(meta, True).select(F.concat_ws(": ", "model", "name").alias("d"))),
-        ("measures", classify(spark, *models).select(F.concat_ws(": ", "name", "band").alias("d"))),
-        ("relationships", meta["relationships"].select(F.concat_ws(" -> ", "from_table", "to_table").alias("d"))),
-        ("gaps", gap_inventory(spark, *models).select(F.concat_ws(": ", "object_ref", "reason").alias("d"))),
+        ("measures", every.select(F.concat_ws(": ", "name", "band").alias("d"))),
         ("shared_tables", shared_tables(meta).select(F.col("name").alias("d"))),
-        ("sources", referenced_objects(meta).select(F.concat_ws(".", "database", "schema", "object").alias("d"))),
-        ("unresolved", unresolved_tables(meta).select(F.concat_ws(": ", "model", "table").alias("d"))),
+        ("lineage", histogram(edges, "kind").select(F.concat_ws(": ", "kind", F.col("n").cast("string")).alias("d")).unionByName(histogram(nodes, "kind").select(F.concat_ws(": ", "kind", F.col("n").cast("string")).alias("d")))),
+        ("gaps", gaps.select(F.concat_ws(": ", "object_ref", "reason").alias("d")).unionByName(unresolved_tables(meta).select(F.concat_ws(": ", "model", F.concat("table", F.lit(" has no source"))).alias("d")))),
+        ("facts", facts.groupBy("model", "fact").agg(F.count("*").alias("n")).select(F.concat_ws(": ", "model", "fact", F.col("n").cast("string")).alias("d")) if facts is not None else None),
+        ("conversion", histogram(every, "band").select(F.concat_ws(": ", "band", F.col("n").cast("string")).alias("d"))),
+        ("open_questions", gaps.where(F.col("object_ref").startswith("Relationship:")).select(F.concat_ws(": ", "object_ref", "reason").alias("d"))),
     ]
-    if facts is not None:
-        sections.append(("facts", facts.groupBy("model", "fact").agg(F.count("*").alias("n")).select(F.concat_ws(": ", "model", "fact", F.col("n").cast("string")).alias("d"))))
-    out = None
+    out = spark.createDataFrame([(k, "REQUIRES_INPUT", 0, [f"needs {v}"]) for k, v in DEFERRED.items()], "section string, status string, n int, details array<string>")
     for key, rows in sections:
-        one = rows.agg(F.array_sort(F.collect_list("d")).alias("details")).select(F.lit(key).alias("section"), F.size("details").alias("n"), "details")
-        out = one if out is None else out.unionByName(one)
+        if rows is not None:
+            one = rows.agg(F.array_sort(F.collect_list("d")).alias("details")).select(F.lit(key).alias("section"), F.lit("CONFIRMED").alias("status"), F.size("details").alias("n"), "details")
+            out = out.unionByName(one)
     return out

@@ -6,6 +6,7 @@ histograms are DataFrame expressions over these rows.
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,19 +17,30 @@ from starweave.model import SemanticModel
 from starweave.plans.dax import Bin, Call, DaxError, Lit, Ref, TableRef, functions_used, parse, references, tokens, walk
 
 # The classes of function names that scoring distinguishes.
-DIRECT = """SUM AVERAGE MIN MAX COUNTROWS COUNT COUNTA DISTINCTCOUNT DISTINCTCOUNTNOBLANK DIVIDE BLANK ABS ROUND INT MOD SQRT EXP LN LOG POWER
-CONCATENATE LEFT RIGHT MID LEN UPPER LOWER TRIM SUBSTITUTE SEARCH FIND YEAR MONTH DAY HOUR MINUTE WEEKDAY EOMONTH TODAY NOW FORMAT TRUE FALSE
-AND OR NOT""".split()
-REWRITTEN = "IF SWITCH ISBLANK COALESCE SELECTEDVALUE COUNTBLANK SUMX AVERAGEX MINX MAXX COUNTX VALUES HASONEVALUE CALCULATE".split()
-TIME = """SAMEPERIODLASTYEAR DATESYTD DATESQTD DATESMTD DATEADD PARALLELPERIOD TOTALYTD TOTALQTD TOTALMTD DATESINPERIOD DATESBETWEEN PREVIOUSMONTH
-PREVIOUSQUARTER PREVIOUSYEAR PREVIOUSDAY NEXTMONTH NEXTQUARTER NEXTYEAR NEXTDAY FIRSTDATE LASTDATE STARTOFMONTH STARTOFQUARTER STARTOFYEAR
-ENDOFMONTH ENDOFQUARTER ENDOFYEAR""".split()
-SEMI_ADDITIVE = """LASTNONBLANK LASTNONBLANKVALUE FIRSTNONBLANK FIRSTNONBLANKVALUE OPENINGBALANCEMONTH OPENINGBALANCEQUARTER OPENINGBALANCEYEAR
-CLOSINGBALANCEMONTH CLOSINGBALANCEQUARTER CLOSINGBALANCEYEAR""".split()
+DIRECT = [
+    "SUM", "AVERAGE", "MIN", "MAX", "COUNTROWS", "COUNT", "COUNTA", "DISTINCTCOUNT", "DISTINCTCOUNTNOBLANK", "DIVIDE", "BLANK", "ABS", "ROUND", "INT",
+    "MOD", "SQRT", "EXP", "LN", "LOG", "POWER", "CONCATENATE", "LEFT", "RIGHT", "MID", "LEN", "UPPER", "LOWER", "TRIM", "SUBSTITUTE", "SEARCH",
+    "FIND", "YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "WEEKDAY", "EOMONTH", "TODAY", "NOW", "FORMAT", "TRUE", "FALSE", "AND", "OR", "NOT",
+]
+REWRITTEN = [
+    "IF", "SWITCH", "ISBLANK", "COALESCE", "SELECTEDVALUE", "COUNTBLANK", "SUMX", "AVERAGEX", "MINX", "MAXX", "COUNTX", "VALUES", "HASONEVALUE",
+    "CALCULATE",
+]
+TIME = [
+    "SAMEPERIODLASTYEAR", "DATESYTD", "DATESQTD", "DATESMTD", "DATEADD", "PARALLELPERIOD", "TOTALYTD", "TOTALQTD", "TOTALMTD", "DATESINPERIOD",
+    "DATESBETWEEN", "PREVIOUSMONTH", "PREVIOUSQUARTER", "PREVIOUSYEAR", "PREVIOUSDAY", "NEXTMONTH", "NEXTQUARTER", "NEXTYEAR", "NEXTDAY", "FIRSTDATE",
+    "LASTDATE", "STARTOFMONTH", "STARTOFQUARTER", "STARTOFYEAR", "ENDOFMONTH", "ENDOFQUARTER", "ENDOFYEAR",
+]
+SEMI_ADDITIVE = [
+    "LASTNONBLANK", "LASTNONBLANKVALUE", "FIRSTNONBLANK", "FIRSTNONBLANKVALUE", "OPENINGBALANCEMONTH", "OPENINGBALANCEQUARTER", "OPENINGBALANCEYEAR",
+    "CLOSINGBALANCEMONTH", "CLOSINGBALANCEQUARTER", "CLOSINGBALANCEYEAR",
+]
 VIRTUAL, SECURITY, RANKING, NESTED = ["TREATAS", "CROSSFILTER"], ["USERNAME", "USERPRINCIPALNAME", "CUSTOMDATA"], ["RANKX", "TOPN"], ["EARLIER", "EARLIEST"]
 ALL_FAMILY = ["ALL", "ALLEXCEPT", "REMOVEFILTERS", "ALLSELECTED"]
-OTHERS = """KEEPFILTERS FILTER RELATED RELATEDTABLE LOOKUPVALUE VAR RETURN ADDCOLUMNS SUMMARIZE SUMMARIZECOLUMNS CROSSJOIN GENERATE DISTINCT
-CONCATENATEX ISFILTERED ISCROSSFILTERED SELECTEDMEASURE IN USERELATIONSHIP""".split()
+OTHERS = [
+    "KEEPFILTERS", "FILTER", "RELATED", "RELATEDTABLE", "LOOKUPVALUE", "VAR", "RETURN", "ADDCOLUMNS", "SUMMARIZE", "SUMMARIZECOLUMNS", "CROSSJOIN",
+    "GENERATE", "DISTINCT", "CONCATENATEX", "ISFILTERED", "ISCROSSFILTERED", "SELECTEDMEASURE", "IN", "USERELATIONSHIP",
+]
 KNOWN = [*DIRECT, *REWRITTEN, *TIME, *SEMI_ADDITIVE, *VIRTUAL, *SECURITY, *RANKING, *NESTED, *ALL_FAMILY, *OTHERS]
 VIRTUAL_TABLES = ["FILTER", "VALUES", "ALL", "ADDCOLUMNS", "SUMMARIZE", "CROSSJOIN", "GENERATE", "TOPN", "DISTINCT"]
 ITERATORS = ["SUMX", "AVERAGEX", "MINX", "MAXX", "COUNTX", "CONCATENATEX", "RANKX"]
@@ -126,21 +138,59 @@ def bucket(band_: Column) -> Column:
     return F.when(band_.isin("AUTO", "AUTO_SPOT_CHECK"), "LOW").when(band_ == "NEEDS_REVIEW", "MEDIUM").otherwise("HIGH")
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """The rows as a checkpoint: a loop's next round doesn't plan the rounds before it again.
+
+    In the shared folder that the session names; where it names none, on a local master only, in a temporary one.
+    """
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="starweave-"))
+    return rows.coalesce(1).checkpoint()  # metadata: a model has thousands of edges at most
+
+
 def closure(edges: DataFrame) -> DataFrame:
-    """(src, dst, depth): all that a node reaches and the longest way without a cycle; a recursive query.
+    """(src, dst, steps): all that a node reaches, and the shortest way there. A node on a cycle reaches itself.
 
-    A node on a cycle reaches itself. Edges are metadata: a model has thousands at most.
+    A round follows one edge from the pairs that the round before has found, and drops pairs that are known. So the number of rows
+    is that of pairs, however many ways there are between them.
     """
-    spark = edges.sparkSession
-    edges.select("src", "dst").distinct().createOrReplaceTempView("_closure_edges")
-    out = spark.sql("""
-        WITH RECURSIVE reach(src, dst, depth, way) AS (
-            SELECT src, dst, 1, array(src, dst) FROM _closure_edges
-            UNION ALL
-            SELECT r.src, e.dst, r.depth + 1, array_append(r.way, e.dst) FROM reach r JOIN _closure_edges e ON r.dst = e.src
-            WHERE r.src != r.dst AND (NOT array_contains(r.way, e.dst) OR e.dst = r.src)
-        ) SELECT src, dst, max(depth) AS depth FROM reach GROUP BY src, dst""")
-    return out
+    edges = settled(edges.select("src", "dst").distinct())
+    found = front = edges.select("src", "dst", F.lit(1).alias("steps"))
+    on = edges.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
+    while True:
+        further = front.join(on, "dst").select("src", F.col("next").alias("dst"), (F.col("steps") + 1).alias("steps")).distinct()
+        front = settled(further.join(found.select("src", "dst"), ["src", "dst"], "left_anti"))
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+
+
+def depths(edges: DataFrame, reach: DataFrame) -> DataFrame:
+    """(node, depth): the longest chain of edges below each node; leaves have none.
+
+    The members of a cycle count as one chain of all of them, whichever of them is entered.
+    """
+    pairs = reach.select("src", "dst")
+    both = pairs.join(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"])
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    mates = both.groupBy(F.col("src").alias("node")).agg(F.array_sort(F.collect_set("dst")).alias("mates"))
+    chains = nodes.join(mates, "node", "left").select("node", F.coalesce("mates", F.array("node")).alias("mates"))
+    chains = settled(chains)
+    ends = chains.select("node", F.element_at("mates", 1).alias("first"), F.element_at("mates", -1).alias("last"))
+    inner = chains.where(F.size("mates") > 1).select(F.explode(F.arrays_zip(F.slice("mates", F.lit(1), F.size("mates") - 1).alias("a"), F.slice("mates", F.lit(2), F.size("mates")).alias("b"))).alias("e"))
+    inner = inner.select("e.a", "e.b").distinct()
+    from_, to = ends.select(F.col("node").alias("src"), F.col("first").alias("sf"), F.col("last").alias("sl")), ends.select(F.col("node").alias("dst"), F.col("first").alias("df"))
+    outer = edges.join(from_, "src").join(to, "dst").where("sf != df").select(F.col("sl").alias("a"), F.col("df").alias("b"))
+    links = inner.unionByName(outer).distinct()
+    # without cycles now; nodes that have a chain of each length, once for a length however many chains there are
+    long = edges.sparkSession.sql(
+        "WITH RECURSIVE r(at, depth) AS (SELECT DISTINCT a, 1 FROM {links} UNION ALL SELECT DISTINCT l.a, r.depth + 1 FROM r JOIN {links} l ON l.b = r.at) SELECT at AS first, max(depth) AS depth FROM r GROUP BY at", links=links
+    )
+    return ends.join(long, "first", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def classify(spark: SparkSession, *models: SemanticModel) -> DataFrame:
@@ -155,7 +205,7 @@ def classify(spark: SparkSession, *models: SemanticModel) -> DataFrame:
     edges = rows.select(key.alias("src"), F.explode("measures").alias("m"), "model").select("src", F.concat_ws("\x1f", "model", "m").alias("dst"))
     reach = closure(edges)
     cycle = reach.where("src = dst").select(F.col("src").alias("key"), F.lit(True).alias("cyclic"))
-    depth = reach.where("src != dst").groupBy(F.col("src").alias("key")).agg(F.max("depth").alias("depth"))
+    depth = depths(edges, reach).withColumnRenamed("node", "key")
     rows = rows.withColumn("key", key).join(cycle, "key", "left").join(depth, "key", "left")
     rows = rows.withColumn("own_score", F.when(F.col("cyclic"), F.least("own_score", F.lit(20))).otherwise(F.col("own_score")))
     least = reach.join(rows.select(F.col("key").alias("dst"), F.col("own_score").alias("s")), "dst").groupBy(F.col("src").alias("key")).agg(F.min("s").alias("below"))
@@ -220,6 +270,49 @@ def resolved(spark: SparkSession, *models: SemanticModel) -> tuple[DataFrame, Da
     return spark.createDataFrame(edges, "model string, measure string, kind string, target string"), spark.createDataFrame(gaps, "model string, object_ref string, reference string, reason string")
 
 
+# Why a reference that another tool calls unresolved does resolve.
+FALSE_GAPS = {
+    "case": "the name differs in letter case only", "column_other_table": "a column of an iterated table", "virtual_column": "a column that the expression adds",
+    "qualified_measure": "a measure that lives in another table", "phantom": "text in a comment or a string", "confirmed": "it is unresolved", "other": "it resolves",
+}
+
+
+def classified_gaps(spark: SparkSession, model: SemanticModel, gaps: DataFrame) -> DataFrame:
+    """Adds ``verdict`` and ``why`` to gaps (measure, reference) that another tool reports: confirmed, or why they are none.
+
+    The references that expressions really have come as one frame; the verdict is a join.
+    """
+    known, rows = model.measures(), []
+    for t in model.tables:
+        for m in t.measures:
+            qualified, bare = references(m.expression)
+            try:
+                added = {a.value.lower() for n in walk(parse(m.expression)) if isinstance(n, Call) and n.name in ("ADDCOLUMNS", "SUMMARIZE", "SELECTCOLUMNS") for a in n.args if isinstance(a, Lit) and isinstance(a.value, str)}
+            except DaxError:
+                added = set()
+            open_ = {g[1].lower() for g in resolve(model)[1] if g[0] == m.name}
+            for table, name in [*qualified, *[(None, n) for n in bare]]:
+                shown = f"{table or ''}[{name}]"
+                exact = any(m_.name == name for _, m_ in known.values()) or any(c.name == name for x in model.tables for c in x.columns)
+                owner = known.get(name.lower())
+                if name.lower() in added and table is None:
+                    verdict = "virtual_column"
+                elif shown.lower() in open_ and not (table is not None and owner is not None):
+                    verdict = "confirmed"
+                elif not exact:
+                    verdict = "case"
+                elif owner is not None and table is not None and owner[0].lower() != table.lower() and not has_column(model, table, name):
+                    verdict = "qualified_measure"
+                elif table is None and owner is None and not has_column(model, t.name, name):
+                    verdict = "column_other_table"
+                else:
+                    verdict = "other"
+                rows.append((m.name, shown, verdict))
+    found = spark.createDataFrame(rows, "measure string, reference string, verdict string").distinct()
+    why = F.coalesce(*[F.when(F.col("verdict") == k, v) for k, v in FALSE_GAPS.items()])
+    return gaps.join(found, ["measure", "reference"], "left").withColumn("verdict", F.coalesce("verdict", F.lit("phantom"))).withColumn("why", why)
+
+
 # --- facts and dimensions
 
 
@@ -262,7 +355,7 @@ def fact_groups(spark: SparkSession, model: SemanticModel) -> tuple[DataFrame, D
     own = home.unionByName(vote).unionByName(ref).withColumn("k", F.row_number().over(best)).where("k = 1").select("measure", "fact", "evidence")
     reach = closure(frame(deps, "dst").select(F.col("measure").alias("src"), "dst"))
     taken = reach.join(own.select(F.col("measure").alias("dst"), "fact"), "dst").join(own.select(F.col("measure").alias("src")), "src", "left_anti")
-    first = Window.partitionBy("src").orderBy("depth", "dst")
+    first = Window.partitionBy("src").orderBy("steps", "dst")
     inherited = taken.withColumn("k", F.row_number().over(first)).where("k = 1").select(F.col("src").alias("measure"), "fact", F.lit("inherited").alias("evidence"))
     facts = own.unionByName(inherited)
     keys = spark.createDataFrame([(r.from_table, r.to_table) for r in model.relationships if r.is_active], "fact string, dimension string")

@@ -11,7 +11,8 @@ from starweave.model import SemanticModel, spark_type
 from starweave.plans.dax import snake
 
 # Shapes of numbers and dates in text, the share of values that must have it, parity tolerances.
-NUMERIC, DATELIKE, SHARE = r"^\s*-?[\d,]+(\.\d+)?\s*$", r"^\s*(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4})", 0.8
+NUMERIC = r"^\s*-?\$?\s*\d{1,3}(,\d{3})*(\.\d+)?\s*%?\s*$|^\s*-?\d+(\.\d+)?\s*$"
+DATELIKE, SHARE = r"^\s*\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?\s*$|^\s*\d{1,2}/\d{1,2}/\d{2,4}\s*$", 0.8
 ABSOLUTE, RELATIVE = 0.01, 1e-4
 
 
@@ -83,10 +84,11 @@ def matched_tables(model: DataFrame, catalog: DataFrame, seeds: dict[str, str] |
     seeded = F.lit(None).cast("string")
     for name, physical in (seeds or {}).items():
         seeded = F.when(F.col("name") == name, physical).otherwise(seeded)
-    # names share a word when one contains the other, so candidates come from an equi-join on words
-    words = lambda df, c, n: df.withColumn("w", F.explode(F.split(c, "_"))).select(*n, "w")
-    pairs = words(left, "k", ["name", "k"]).join(words(right, "p", ["physical", "p"]), "w").dropDuplicates(["name", "physical"])
-    pairs = pairs.where(F.contains("k", F.col("p")) | F.contains("p", F.col("k")))
+    # one name contains another if it has the other among its substrings: an equi-join on these (names are short)
+    parts = lambda c: F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.transform(F.sequence(F.lit(1), F.length(c) - i + 1), lambda n: F.substr(c, i, n)))))
+    inside = left.select("name", "k", F.explode(parts(F.col("k"))).alias("p")).join(right, "p")
+    around = right.select("physical", "p", F.explode(parts(F.col("p"))).alias("k")).join(left, "k")
+    pairs = inside.select("name", "k", "physical", "p").unionByName(around.select("name", "k", "physical", "p")).dropDuplicates(["name", "physical"]).where("k != '' and p != ''")
     ranked = pairs.withColumn("rank", F.when(F.col("k") == F.col("p"), 1).otherwise(2))
     best = Window.partitionBy("name").orderBy("rank", F.abs(F.length("k") - F.length("p")), "physical")
     best_rows = ranked.withColumn("i", F.row_number().over(best)).where("i = 1").select("name", "physical", "rank")

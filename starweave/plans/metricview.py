@@ -728,8 +728,8 @@ class MetricView:
         """The tree with references to inner keys and added columns replaced."""
         go = lambda n: self.bound(n, columns, named)
         if isinstance(node, Ref):
-            if node.table is None and node.name.lower() in named:
-                return go(named[node.name.lower()])
+            if node.table is None and (name := node.name.lower()) in named:
+                return self.bound(named[name], columns, {k: v for k, v in named.items() if k != name})  # by that name a measure is meant
             if self.is_column(node):
                 at = self.resolve(node)[1]
                 return Bound(columns[at]) if at in columns else node
@@ -752,7 +752,7 @@ class MetricView:
             where = None
             for p in left:
                 where = p if where is None else Bin("&&", where, p)
-        rows = self.evaluate(dims, plan, where, own).withColumn("_value", value)
+        rows = self.evaluate(dims, plan, where, own).select(*[F.col(f"`{d.name}`") for d in dims], value.alias("_value"))
         within = [d.name for d in dims if d not in ranked]
         return with_rank(rows, "_value", within, dense, alias, rising).select(*[F.col(f"`{d.name}`") for d in dims], alias)
 

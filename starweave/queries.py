@@ -100,6 +100,69 @@ view_query("second_fact_orders", {"Segment": "segment"}, {"Order Total": "total"
 view_query("third_fact_events", {"event_type": "kind"}, {"Events": "events", "Event Value": "total", "Blank Values": "blank", "Users": "users"}, "SELECT event_type AS kind, count(*) AS events, round(sum(value), 2) AS total, count(*) FILTER (WHERE value IS NULL) AS blank, count(DISTINCT user_id) AS users FROM events GROUP BY 1", fact="events")
 
 
+PRIOR = "SELECT a.m AS month, round(a.v, 2) AS revenue, round(b.v, 2) AS prior FROM x a LEFT JOIN x b ON b.m = CAST(a.m - INTERVAL 12 MONTH AS DATE)"
+DAYS = f"SELECT CAST(o.o_orderdate AS DATE) AS d, sum(l.l_extendedprice) AS v FROM {STAR} GROUP BY 1"
+view_query("prior_year_under_base_filter", {"Order Month": "month"}, {"Total Revenue": "revenue", "Revenue Prior Year": "prior"}, f"WITH x AS ({MONTHS.replace('GROUP BY', chr(32) + 'WHERE l.l_returnflag = ' + chr(39) + 'R' + chr(39) + ' GROUP BY')}) {PRIOR}", base_filter='lineitem[l_returnflag] = "R"')
+view_query("prior_year_under_date_filter", {"Order Month": "month"}, {"Total Revenue": "revenue", "Revenue Prior Year": "prior"}, f"WITH x AS ({MONTHS}) {PRIOR} WHERE year(a.m) = 1997", where="'Date'[Year] = 1997")
+view_query(
+    "prior_year_of_half_years", {"Order Year": "year"}, {"Total Revenue": "revenue", "Revenue Prior Year": "prior"},
+    f"WITH x AS (SELECT CAST(year(d) AS INTEGER) AS y, sum(v) AS v FROM ({DAYS}) WHERE month(d) >= 7 GROUP BY 1) SELECT a.y AS year, round(a.v, 2) AS revenue, round(b.v, 2) AS prior FROM x a LEFT JOIN x b ON b.y = a.y - 1", where="'Date'[Month] >= 7",
+)
+view_query("year_to_date_under_date_filter", {"Order Month": "month"}, {"Revenue YTD": "ytd"}, f"WITH x AS ({MONTHS}) SELECT month, ytd FROM (SELECT m AS month, round(sum(v) OVER (PARTITION BY year(m) ORDER BY m), 2) AS ytd FROM x) WHERE month(month) >= 6", where="'Date'[Month] >= 6")
+view_query("average_over_filtered_values", {"Segment": "segment"}, {"Large Order Average": "per_order"}, f"SELECT segment, round(avg(v) FILTER (WHERE v > 100000), 4) AS per_order FROM (SELECT c.c_mktsegment AS segment, l_orderkey, sum(l_extendedprice) AS v FROM {STAR} GROUP BY 1, 2) GROUP BY 1", digits={"per_order": 4})
+view_query("revenue_of_big_orders", {"Segment": "segment"}, {"Revenue of Big Orders": "revenue"}, f"SELECT segment, round(sum(v) FILTER (WHERE n >= 6), 2) AS revenue FROM (SELECT c.c_mktsegment AS segment, l_orderkey, sum(l_extendedprice) AS v, count(*) AS n FROM {STAR} GROUP BY 1, 2) GROUP BY 1")
+view_query("rolling_30_days", {"Order Month": "month"}, {"Revenue Last 30 Days": "last_30"}, f"WITH d AS ({DAYS}), x AS ({MONTHS}) SELECT m AS month, (SELECT round(sum(d.v), 2) FROM d WHERE d.d > last_day(m) - 30 AND d.d <= last_day(m)) AS last_30 FROM x")
+view_query(
+    "whole_periods", {"Order Month": "month"}, {"Revenue Whole Prior Year": "prior_year", "Revenue Quarter Before": "quarter_before", "Revenue Next Quarter": "next_quarter"},
+    f"""WITH x AS ({MONTHS}), y AS (SELECT year(m) AS y, sum(v) AS v FROM x GROUP BY 1), q AS (SELECT date_trunc('quarter', m) AS q, sum(v) AS v FROM x GROUP BY 1)
+    SELECT x.m AS month, round(y.v, 2) AS prior_year, round(a.v, 2) AS quarter_before, round(b.v, 2) AS next_quarter FROM x LEFT JOIN y ON y.y = year(x.m) - 1 LEFT JOIN q a ON a.q = date_trunc('quarter', x.m) - INTERVAL 3 MONTH LEFT JOIN q b ON b.q = date_trunc('quarter', x.m) + INTERVAL 3 MONTH""",
+)
+view_query(
+    "day_shifts", {"Order Day": "day"}, {"Revenue Day Before": "before", "Revenue Next Day": "after", "Revenue Week Before": "week"},
+    f"WITH d AS ({DAYS}) SELECT a.d AS day, round(b.v, 2) AS before, round(c.v, 2) AS after, round(w.v, 2) AS week FROM d a LEFT JOIN d b ON b.d = a.d - 1 LEFT JOIN d c ON c.d = a.d + 1 LEFT JOIN d w ON w.d = a.d - 7",
+)
+view_query(
+    "opening_and_closing", {"Order Month": "month"}, {"Opening Revenue": "opening", "Closing Revenue": "closing"},
+    f"WITH d AS ({DAYS}), x AS ({MONTHS}) SELECT x.m AS month, round(a.v, 2) AS opening, round(b.v, 2) AS closing FROM x LEFT JOIN d a ON a.d = x.m - 1 LEFT JOIN d b ON b.d = last_day(x.m)",
+)
+view_query(
+    "suppliers_to_date", {"Order Month": "month"}, {"Suppliers YTD": "suppliers"},
+    f"WITH s AS (SELECT DISTINCT CAST(date_trunc('month', o.o_orderdate) AS DATE) AS m, l_suppkey AS s FROM {STAR}) SELECT x.m AS month, count(DISTINCT s.s) AS suppliers FROM (SELECT DISTINCT m FROM s) x JOIN s ON year(s.m) = year(x.m) AND s.m <= x.m GROUP BY 1",
+)
+view_query(
+    "rank_in_a_measure", {"Brand": "brand"}, {"Brand Position": "position", "Total Revenue": "revenue"},
+    f"SELECT * FROM (SELECT brand, CAST(dense_rank() OVER (ORDER BY v DESC) AS INTEGER) AS position, round(v, 2) AS revenue FROM (SELECT p_brand AS brand, sum(l_extendedprice) AS v FROM {STAR} GROUP BY 1)) WHERE brand IN ('Brand#11', 'Brand#23', 'Brand#5')", where='part[p_brand] IN {"Brand#11", "Brand#23", "Brand#5"}',
+)
+view_query(
+    "top_customers_by_region", {"Region": "region"}, {"Top Customers Revenue": "revenue"},
+    f"SELECT region, round(sum(v), 2) AS revenue FROM (SELECT region, v, rank() OVER (PARTITION BY region ORDER BY v DESC) AS k FROM (SELECT r.r_name AS region, c.c_custkey, sum(l_extendedprice) AS v FROM {STAR} GROUP BY 1, 2)) WHERE k <= 3 GROUP BY 1",
+)
+view_query(
+    "values_on_last_days", {"Region": "region"}, {"Last Order Value": "last_order", "Revenue on Last Return": "last_return"},
+    f"""WITH x AS (SELECT r.r_name AS g, CAST(o.o_orderdate AS DATE) AS d, sum(l_extendedprice) AS v, count(*) FILTER (WHERE l_returnflag = 'R') AS n FROM {STAR} GROUP BY 1, 2)
+    SELECT g AS region, round(arg_max(v, d), 2) AS last_order, round(arg_max(v, d) FILTER (WHERE n > 0), 2) AS last_return FROM x GROUP BY 1""",
+)
+view_query("pairs_of_values", {"Segment": "segment"}, {"Flag Pairs": "pairs"}, f"SELECT c.c_mktsegment AS segment, count(DISTINCT (l_returnflag, l_linestatus)) AS pairs FROM {STAR} GROUP BY 1")
+view_query("lookup_value", {"l_returnflag": "flag"}, {"Asian Revenue": "revenue"}, f"SELECT l_returnflag AS flag, round(sum(l_extendedprice) FILTER (WHERE r.r_name = 'ASIA'), 2) AS revenue FROM {STAR} GROUP BY 1")
+view_query(
+    "last_value_filtered", {"event_type": "kind"}, {"Last Value": "last_value", "Last Purchase Value": "last_purchase"},
+    "WITH x AS (SELECT event_type AS kind, ts, max(value) AS v FROM events GROUP BY 1, 2) SELECT kind, arg_max(v, ts) FILTER (WHERE v IS NOT NULL) AS last_value, arg_max(v, ts) FILTER (WHERE v IS NOT NULL AND kind = 'purchase') AS last_purchase FROM x GROUP BY 1", fact="events",
+)
+view_query("joined_in_order", {"n_name": "nation"}, {"Names by Balance": "names"}, "SELECT n_name AS nation, coalesce(string_agg(s_name, ';' ORDER BY s_acctbal DESC, s_name DESC) FILTER (WHERE s_acctbal > 0), '') AS names FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey GROUP BY 1", fact="supplier")
+
+
+def table_query(name: str, expression: str, names: dict[str, str], sql: str) -> None:
+    """A table expression of the measure language."""
+    QUERIES[name], SQL[name] = lambda spark, sf_dir: tidy(samples.view(spark, sf_dir).table(expression), names), sql
+
+
+table_query("summarized_columns", 'SUMMARIZECOLUMNS(region[r_name], customer[c_mktsegment], "Revenue", [Total Revenue], "Lines", [Lines])', {"r_name": "region", "c_mktsegment": "segment", "revenue": "revenue", "lines": "n_lines"}, f"SELECT r.r_name AS region, c.c_mktsegment AS segment, round(sum(l_extendedprice), 2) AS revenue, count(*) AS n_lines FROM {STAR} GROUP BY 1, 2")
+table_query("added_columns", 'ADDCOLUMNS(SUMMARIZE(lineitem, nation[n_name]), "Revenue", [Total Revenue], "Per Line", DIVIDE([Revenue], [Lines]))', {"n_name": "nation", "revenue": "revenue", "per line": "per_line"}, f"SELECT n.n_name AS nation, round(sum(l_extendedprice), 2) AS revenue, round(sum(l_extendedprice) / count(*), 2) AS per_line FROM {STAR} GROUP BY 1")
+table_query("filtered_table", 'FILTER(ADDCOLUMNS(VALUES(nation[n_name]), "Orders", DISTINCTCOUNTNOBLANK(lineitem[l_orderkey])), [Orders] > 60)', {"n_name": "nation", "orders": "orders"}, f"SELECT n.n_name AS nation, count(DISTINCT l_orderkey) AS orders FROM {STAR} GROUP BY 1 HAVING count(DISTINCT l_orderkey) > 60")
+table_query("first_of_a_table", 'TOPN(5, ADDCOLUMNS(VALUES(nation[n_name]), "Revenue", [Total Revenue]), [Total Revenue])', {"n_name": "nation", "revenue": "revenue"}, f"SELECT nation, round(v, 2) AS revenue FROM (SELECT nation, v, rank() OVER (ORDER BY v DESC) AS k FROM (SELECT n.n_name AS nation, sum(l_extendedprice) AS v FROM {STAR} GROUP BY 1)) WHERE k <= 5")
+table_query("crossed_values", 'ADDCOLUMNS(CROSSJOIN(VALUES(lineitem[l_returnflag]), VALUES(customer[c_mktsegment])), "Lines", [Lines])', {"l_returnflag": "flag", "c_mktsegment": "segment", "lines": "n_lines"}, f"SELECT l_returnflag AS flag, c.c_mktsegment AS segment, count(*) AS n_lines FROM {STAR} GROUP BY 1, 2")
+
+
 @query(f"SELECT p_brand AS brand, round(v, 2) AS revenue, CAST(dense_rank() OVER (ORDER BY v DESC) AS INTEGER) AS rank FROM (SELECT p_brand, sum(l_extendedprice) AS v FROM {STAR} GROUP BY 1)")
 def brand_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(samples.view(spark, sf_dir).ranked(["Brand"], "Total Revenue"), {"Brand": "brand", "Total Revenue": "revenue", "rank": "rank"})
@@ -344,6 +407,8 @@ def translation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 DATES = {
     "revenue_prior_year": ["month"], "revenue_prior_and_next_month": ["month"], "revenue_to_date": ["month"], "revenue_yoy": ["month"], "revenue_rolling_3m": ["month"], "ratio_to_date": ["quarter"],
     "concatenated_values": ["first_order", "last_order"], "calendar_table": ["date_key", "date_key_ly"], "closing_balance": ["period"], "declared_trailing_window": ["month"],
+    "prior_year_under_base_filter": ["month"], "prior_year_under_date_filter": ["month"], "year_to_date_under_date_filter": ["month"], "rolling_30_days": ["month"], "whole_periods": ["month"], "day_shifts": ["day"],
+    "opening_and_closing": ["month"], "suppliers_to_date": ["month"],
     "date_coverage": ["first_fact", "last_fact"], "scalar_dates": ["d", "i", "l"],
 }
 

@@ -50,6 +50,24 @@ MEASURES = {
     "Revenue Shipped": "CALCULATE([Total Revenue], USERELATIONSHIP(lineitem[ship_date], 'Date'[Date]))",
     "Revenue 1996": "CALCULATE([Total Revenue], DATESBETWEEN('Date'[Date], DATE(1996, 1, 1), DATE(1996, 12, 31)))",
     "Supplier Nation Revenue": "CALCULATE([Total Revenue], TREATAS(VALUES(supplier[s_suppkey]), lineitem[l_suppkey]))",
+    "Large Order Average": "AVERAGEX(FILTER(VALUES(lineitem[l_orderkey]), [Total Revenue] > 100000), [Total Revenue])",
+    "Revenue of Big Orders": "CALCULATE([Total Revenue], FILTER(VALUES(lineitem[l_orderkey]), [Lines] >= 6))",
+    "Revenue Last 30 Days": "CALCULATE([Total Revenue], DATESINPERIOD('Date'[Date], MAX('Date'[Date]), -30, DAY))",
+    "Revenue Whole Prior Year": "CALCULATE([Total Revenue], PREVIOUSYEAR('Date'[Date]))",
+    "Revenue Quarter Before": "CALCULATE([Total Revenue], PARALLELPERIOD('Date'[Date], -1, QUARTER))",
+    "Revenue Next Quarter": "CALCULATE([Total Revenue], NEXTQUARTER('Date'[Date]))",
+    "Revenue Day Before": "CALCULATE([Total Revenue], PREVIOUSDAY('Date'[Date]))",
+    "Revenue Next Day": "CALCULATE([Total Revenue], NEXTDAY('Date'[Date]))",
+    "Revenue Week Before": "CALCULATE([Total Revenue], DATEADD('Date'[Date], -7, DAY))",
+    "Opening Revenue": "OPENINGBALANCEMONTH([Total Revenue], 'Date'[Date])",
+    "Closing Revenue": "CLOSINGBALANCEMONTH([Total Revenue], 'Date'[Date])",
+    "Suppliers YTD": "TOTALYTD([Suppliers], 'Date'[Date])",
+    "Brand Position": "RANKX(ALL(part[p_brand]), [Total Revenue], , DESC, DENSE)",
+    "Top Customers Revenue": "SUMX(TOPN(3, VALUES(customer[c_custkey]), [Total Revenue]), [Total Revenue])",
+    "Last Order Value": "LASTNONBLANKVALUE('Date'[Date], [Total Revenue])",
+    "Revenue on Last Return": "CALCULATE([Total Revenue], LASTNONBLANK('Date'[Date], [Returned Revenue]))",
+    "Flag Pairs": "COUNTROWS(CROSSJOIN(VALUES(lineitem[l_returnflag]), VALUES(lineitem[l_linestatus])))",
+    "Asian Revenue": 'CALCULATE([Total Revenue], LOOKUPVALUE(region[r_name], region[r_regionkey], nation[n_regionkey]) = "ASIA")',
     "First Order": "FIRSTDATE(orders[order_date])",
     "Last Order": "LASTDATE(orders[order_date])",
     "Flags": 'CONCATENATEX(VALUES(lineitem[l_returnflag]), lineitem[l_returnflag], "|")',
@@ -60,6 +78,7 @@ EVENT_MEASURES = {
     "Blank Values": "COUNTBLANK(events[value])",
     "Users": "DISTINCTCOUNTNOBLANK(events[user_id])",
     "Last Value": "LASTNONBLANKVALUE(events[ts], MAX(events[value]))",
+    "Last Purchase Value": 'CALCULATE([Last Value], events[event_type] = "purchase")',
 }
 
 
@@ -76,7 +95,7 @@ def model() -> SemanticModel:
         Table("nation", "nation", _columns(geography[1]), hierarchies=(("Geography", ("n_regionkey", "n_name")),)),
         Table("region", "region", _columns("r_regionkey:int64 r_name:string")),
         Table("part", "part", _columns("p_partkey:int64 p_name:string p_brand:string p_type:string p_size:int64 p_retailprice:double")),
-        Table("supplier", "supplier", _columns("s_suppkey:int64 s_name:string s_nationkey:int64 s_acctbal:double")),
+        Table("supplier", "supplier", _columns("s_suppkey:int64 s_name:string s_nationkey:int64 s_acctbal:double"), (Measure("Names by Balance", 'CONCATENATEX(FILTER(supplier, supplier[s_acctbal] > 0), supplier[s_name], ";", supplier[s_acctbal], DESC)'),)),
         Table("SupplierNation", "nation", _columns(geography[1])),
         Table("Date", "calendar", _columns("Date:date Year:int64 Quarter:int64 Month:int64")),
         Table("events", "events", _columns("event_id:int64 ts:dateTime user_id:int64 event_type:string value:double props:string"), _measures(EVENT_MEASURES)),
@@ -103,8 +122,8 @@ def view(spark: SparkSession, sf_dir: str, fact: str = "lineitem", **options):
     from starweave.plans.metricview import MetricView
 
     v = MetricView(model(), fact, source(spark, sf_dir), **options)
-    if fact != "events":
+    if fact in ("lineitem", "orders"):
         v.with_dimension("Region", "region", "r_name").with_dimension("Nation", "nation", "n_name").with_dimension("Segment", "customer", "c_mktsegment")
-        v.with_dimension("Order Year", "Date", "Date", "year").with_dimension("Order Month", "Date", "Date", "month").with_dimension("Order Quarter", "Date", "Date", "quarter")
+        v.with_dimension("Order Year", "Date", "Date", "year").with_dimension("Order Month", "Date", "Date", "month").with_dimension("Order Quarter", "Date", "Date", "quarter").with_dimension("Order Day", "Date", "Date", "date")
         v.with_dimension("Brand", "part", "p_brand").with_dimension("Supplier Nation", "SupplierNation", "n_name")
     return v

@@ -6,8 +6,10 @@ found and classified by Spark.
 
 from __future__ import annotations
 
+import io
 import json
 import re
+import zipfile
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
@@ -19,7 +21,7 @@ from starweave.model import CONFIRMED, REQUIRES_INPUT, Column, Measure, Relation
 
 # Names of detected shapes, the hint's prefix, the prefix of a view's name.
 POWER_BI_MODEL, TMDL_MODEL, TERADATA_EXPORT, DATABRICKS_EXPORT, UNKNOWN = "POWER_BI_MODEL", "TMDL_MODEL", "TERADATA_METADATA", "DATABRICKS_METADATA", "UNKNOWN_GENERIC"
-HINT, VIEW_PREFIX = "Teradata: ", "V_"
+HINT, VIEW_PREFIX, SOURCE_CALL = "Teradata: ", "V_", "Teradata.Database"
 AUTO_DATE = ("__PBI_LocalDateTable", "__PBI_TemplateDateTable")
 
 
@@ -65,13 +67,27 @@ def detected(text: SparkColumn) -> SparkColumn:
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """Model files below a folder: path, kind, shape; what is skipped says why."""
+    """Model files below a folder: path, kind, shape, the model's folder (of a project); what is skipped says why.
+
+    A project keeps one model as many text files below the folder that holds ``model.tmdl``: they are one model, and a
+    ``model.bim`` beside it is an old copy. Folders of reports hold no models.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "content")
     kind = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
     text = F.when(kind.isin("json", "bim", "tmdl"), F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", ""))
-    shape = detected(text)
-    skipped = F.when(kind == "pbix", "binary report files aren't read").when(~kind.isin("json", "bim", "tmdl"), "not a model file").when(shape.isNull(), "no valid JSON")
-    return files.select("path", kind.alias("kind"), "length", shape.alias("shape"), skipped.alias("skipped"))
+    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    rows = files.select("path", kind.alias("kind"), "length", detected(text).alias("shape"), parent.alias("parent"))
+    roots = rows.where(F.col("path").endswith("/model.tmdl")).select(F.col("parent").alias("root"))
+    # a file belongs to the root among its own parent folders: an equi-join on all of these
+    up = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/")) - 1), lambda n: F.array_join(F.slice(F.split("path", "/"), F.lit(1), n), "/"))
+    owned = rows.select("path", F.explode(up).alias("root")).join(roots, "root").groupBy("path").agg(F.max("root").alias("root"))
+    stale = roots.select(F.concat(F.regexp_extract("root", r"^(.*)/[^/]*$", 1), F.lit("/model.bim")).alias("path"), F.lit(True).alias("stale"))
+    rows = rows.join(owned, "path", "left").join(stale, "path", "left")
+    skipped = (
+        F.when(F.contains("path", F.lit(".Report/")), "part of a report").when(F.col("kind") == "pbix", "binary report files aren't read; a template can be").when(F.coalesce("stale", F.lit(False)), "an old copy of the text form beside it")
+        .when(~F.col("kind").isin("json", "bim", "tmdl", "pbit"), "not a model file").when(F.col("shape").isNull() & (F.col("kind") != "pbit") & F.col("root").isNull(), "no valid JSON")
+    )
+    return rows.select("path", F.when(F.col("root").isNotNull(), "project").otherwise(F.col("kind")).alias("kind"), "length", F.when(F.col("kind") == "pbit", POWER_BI_MODEL).otherwise(F.col("shape")).alias("shape"), "root", skipped.alias("skipped"))
 
 
 # --- upstream sources
@@ -84,19 +100,40 @@ def parameter_value(expression: str | None) -> str | None:
 
 
 def source_hint(query: str, parameters: dict[str, str]) -> str | None:
-    """``Teradata: database.schema.object`` of an import query, parameters resolved."""
-    m = re.search(r'Teradata\.Database\(\s*(?:"(?P<text>[^"]+)"|#"(?P<quoted>[^"]+)"|(?P<bare>[A-Za-z_]\w*))', query)
-    if not m:
+    """``Teradata: database.schema.object`` of an import query; the database may be named by a parameter."""
+    argument, options = _call_of(query, SOURCE_CALL)
+    if argument is None:
         return None
-    named = m["quoted"] or m["bare"]
-    parts = [m["text"] or parameters.get(named, named)]
-    parts += [found.group(1) for key in ("Schema", "Name") if (found := re.search(rf'{key}\s*=\s*"([^"]+)"', query))]
-    return HINT + ".".join(parts)
+    named = argument.strip('#"')
+    database = named if argument.startswith('"') else parameters.get(named, named)
+    return HINT + ".".join(x for x in (database, options.get("Schema"), options.get("Name") or options.get("Item")) if x)
+
+
+def _call_of(query: str, name: str) -> tuple[str | None, dict[str, str]]:
+    """A function's first argument as it stands, and the first ``key = "text"`` of each key from there on."""
+    _, found, rest = query.partition(f"{name}(")
+    rest = rest.lstrip()
+    if not found or not rest:
+        return None, {}
+    end = rest.find('"', rest.find('"') + 1) + 1 if rest.startswith(('"', '#"')) else min((rest + ",)").find(c) for c in ",)")
+    pairs = re.findall(r'(\w+)\s*=\s*"([^"]+)"', rest)
+    return rest[:end].strip() or None, dict(reversed(pairs))
+
+
+def source_hints(queries: DataFrame, parameters: DataFrame) -> DataFrame:
+    """(table, hint) of many import queries (table, query), their parameters (name, value) joined in."""
+    call = SOURCE_CALL.replace(".", r"\.") + r"\(\s*"
+    text = F.regexp_extract("query", call + '"([^"]+)"', 1)
+    named = F.coalesce(F.nullif(F.regexp_extract("query", call + '#"([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract("query", call + r"([A-Za-z_]\w*)", 1), F.lit("")))
+    option = lambda key: F.nullif(F.regexp_extract("query", key + r'\s*=\s*"([^"]+)"', 1), F.lit(""))
+    rows = queries.where(F.contains("query", F.lit(f"{SOURCE_CALL}("))).select("table", F.nullif(text, F.lit("")).alias("text"), named.alias("name"), option("Schema").alias("schema"), option("(?:Name|Item)").alias("object"))
+    both = rows.join(parameters.select("name", "value"), "name", "left").withColumn("database", F.coalesce("text", "value", "name"))
+    return both.select("table", F.concat(F.lit(HINT), F.concat_ws(".", "database", "schema", "object")).alias("hint"))
 
 
 def hint_parts(hint: SparkColumn) -> SparkColumn:
     """A hint as struct(database, schema, object, object_type); hosts may hold dots."""
-    p = F.split(F.substring(hint, len(HINT) + 1, 10_000), "\\.")
+    p = F.split(F.substr(hint, F.lit(len(HINT) + 1)), "\\.")
     n = F.size(p)
     database = F.array_join(F.slice(p, F.lit(1), F.greatest(n - 2, F.lit(1))), ".")
     schema, name = F.when(n >= 3, F.get(p, n - 2)).when(n == 2, F.get(p, F.lit(1))), F.when(n >= 3, F.get(p, n - 1))
@@ -167,8 +204,15 @@ def features(body: dict, relationships: Iterable[Relationship]) -> dict:
         "hierarchies": sum(len(t.get("hierarchies") or []) for t in tables),
         "perspectives": len(body.get("perspectives") or []),
         "cultures": len(body.get("cultures") or []),
-        "bidirectional": sum(r.cross_filter == "BOTH" for r in relationships),
-        "inactive": sum(not r.is_active for r in relationships),
+        "calculated_columns": sum(bool(c.get("expression")) for t in tables for c in t.get("columns") or []),
+        "kpis": sum(bool(m.get("kpi")) for t in tables for m in t.get("measures") or []),
+        "calculation_items": sum(len((t.get("calculationGroup") or {}).get("calculationItems") or []) for t in tables),
+    } | of_relationships(relationships)
+
+
+def of_relationships(relationships: list[Relationship]) -> dict:
+    return {
+        "bidirectional": sum(r.cross_filter == "BOTH" for r in relationships), "inactive": sum(not r.is_active for r in relationships),
         "many_to_many": sum(r.cardinality == "MANY_TO_MANY" for r in relationships),
     }
 
@@ -303,7 +347,12 @@ def from_tmdl(text: str, name: str | None = None, source_file: str | None = None
         relationships.append(Relationship(*a, *b, cardinality(p.get("fromCardinality"), p.get("toCardinality")), direction(p.get("crossFilteringBehavior")), p.get("isActive", "true") != "false"))
     found = every(roots, "model")
     title = name or (name_and_expression(found[0].rest)[0] if found else "model")
-    return labelled(SemanticModel(title, tuple(tables), tuple(relationships), {"roles": len(every(roots, "role")), "calculation_groups": len(every(roots, "calculationGroup"))}, source_file))
+    counted = {
+        "roles": len(every(roots, "role")), "rls_filters": len(every(roots, "tablePermission")), "calculation_groups": len(every(roots, "calculationGroup")), "calculated_tables": sum(t.table_type == "CALCULATED" for t in tables),
+        "hierarchies": len(every(roots, "hierarchy")), "perspectives": sum(n.depth <= 1 for n in every(roots, "perspective")), "cultures": len(every(roots, "cultureInfo")) + len(every(roots, "culture")),
+        "calculated_columns": sum(c.expression is not None for t in tables for c in t.columns), "kpis": len(every(roots, "kpi")), "calculation_items": len(every(roots, "calculationItem")),
+    }
+    return labelled(SemanticModel(title, tuple(tables), tuple(relationships), counted | of_relationships(relationships), source_file))
 
 
 def load(text: str, name: str | None = None, source_file: str | None = None) -> SemanticModel:
@@ -316,27 +365,40 @@ def load(text: str, name: str | None = None, source_file: str | None = None) ->
     raise InvalidModel(f"a file of shape {shape} holds no model")
 
 
+def from_template(content: bytes, source_file: str | None = None) -> SemanticModel:
+    """The model inside a report template (a ZIP file with the JSON form)."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        return from_json(z.read("DataModelSchema").decode("utf-16-le").lstrip("﻿"), source_file=source_file)
+
+
 def load_folder(spark: SparkSession, folder: str) -> list[SemanticModel]:
-    """Each JSON model below a folder, and all text files of one folder tree as one model."""
-    rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), "value").orderBy("path").collect()
-    out, parts = [], []
-    for r in rows:
-        if r.path.endswith(".tmdl"):
-            parts.append(r.value)
-        elif r.path.endswith((".json", ".bim")) and detect(r.value) == POWER_BI_MODEL:
-            out.append(from_json(r.value, source_file=r.path))
-    return [*out, from_tmdl("\n".join(parts), source_file=folder)] if parts else out
+    """The models below a folder: one for each JSON file, template and project folder, and one of all other text files together."""
+    found = discover(spark, folder).where("skipped is null")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    rows = files.join(found, "path").select("path", "kind", "shape", "root", "content").collect()  # model files
+    text = lambda r: bytes(r.content).decode("utf-8-sig")
+    out, projects = [], {}
+    for r in sorted(rows, key=lambda r: (not r.path.endswith("/model.tmdl"), not r.path.endswith("/database.tmdl"), r.path)):
+        if r.kind == "project" or r.path.endswith(".tmdl"):
+            projects.setdefault(r.root or folder, []).append(text(r))
+        elif r.kind == "pbit":
+            out.append(from_template(bytes(r.content), r.path))
+        elif r.shape == POWER_BI_MODEL:
+            out.append(from_json(text(r), source_file=r.path))
+    return [*out, *[from_tmdl("\n".join(parts), source_file=root) for root, parts in projects.items()]]
 
 
 # Words in import queries that tell the kind of a data source.
 SOURCE_KINDS = {
-    "Sql.Database": "sql_server", "Teradata.Database": "teradata", "Databricks.Catalogs": "databricks", "Snowflake.Databases": "snowflake", "Oracle.Database": "oracle",
-    "PostgreSQL.Database": "postgresql", "MySQL.Database": "mysql", "Odbc.DataSource": "odbc", "OleDb.DataSource": "oledb", "Excel.Workbook": "excel", "Csv.Document": "csv",
-    "Json.Document": "json", "Web.Contents": "web", "SharePoint.Files": "sharepoint", "AnalysisServices.Database": "analysis_services", "GoogleBigQuery.Database": "bigquery",
-    "AmazonRedshift.Database": "redshift", "AzureStorage.Blobs": "azure_blobs", "AzureStorage.DataLake": "azure_lake", "PowerPlatform.Dataflows": "dataflow", "OData.Feed": "odata",
-    "SapHana.Database": "sap_hana", "Table.FromRows": "inline",
+    "Teradata.Database": "Teradata", "Sql.Database": "SQL Server / Azure SQL", "Sql.Databases": "SQL Server / Azure SQL", "Snowflake.Databases": "Snowflake", "Databricks.Catalogs": "Databricks",
+    "DatabricksMultiCloud.Catalogs": "Databricks", "Oracle.Database": "Oracle", "PostgreSQL.Database": "PostgreSQL", "GoogleBigQuery.": "BigQuery", "AmazonRedshift.": "Redshift", "Odbc.": "ODBC", "OleDb.": "OLE DB",
+    "AnalysisServices.": "Analysis Services", "PowerPlatform.Dataflows": "Dataflow", "PowerBI.Dataflows": "Dataflow", "Excel.Workbook": "Excel", "Csv.Document": "CSV", "SharePoint.": "SharePoint", "Web.Contents": "Web",
+    "AzureStorage.": "Azure Storage", "Folder.Files": "Folder", "Json.Document": "JSON", "Binary.Decompress": "Entered data",
 }
+NO_SOURCE = "Other / none detected"
 
 
 def source_kinds(query: SparkColumn) -> SparkColumn:
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(query, F.lit(k)), v) for k, v in SOURCE_KINDS.items()]))))
+    """The kinds of sources that a query reads, sorted; one entry says so if none is known."""
+    found = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(F.contains(query, F.lit(k)), v) for k, v in SOURCE_KINDS.items()]))))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(NO_SOURCE)))

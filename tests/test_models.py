@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from starweave import model, samples
 from starweave.operators import catalog, scoring
+from starweave.operators import review
 from starweave.operators.review import lint, translation_risks
 from starweave.sources import models, store
 
@@ -209,3 +210,83 @@ def test_reports(spark):
     assert 0 < catalog.model_score(rows).first().model_score <= 100
     names = {r.name for r in catalog.shared_tables(model.frames(spark, m, model.SemanticModel("other", (model.Table("Orders"),)))).collect()}
     assert names == {"orders"}
+
+
+def test_layered_graphs_and_cycles(spark):
+    """More ways than rows: a graph of layers, and a cycle with nodes above and below it."""
+    layers = [(f"n{k}_{a}", f"n{k + 1}_{b}") for k in range(14) for a in range(3) for b in range(3)]
+    edges = spark.createDataFrame([*layers, ("top", "x"), ("x", "y"), ("y", "z"), ("z", "x"), ("z", "leaf"), ("It's", "top")], "src string, dst string")
+    assert len(layers) == 126
+    reach = scoring.closure(edges)
+    found = {(r.src, r.dst): r.steps for r in reach.collect()}
+    assert found["n0_0", "n14_2"] == 14
+    assert found["x", "x"] == 3
+    depth = {r.node: r.depth for r in scoring.depths(edges, reach).collect()}
+    assert (depth["n0_1"], depth["n14_0"], depth["leaf"], depth["x"], depth["y"], depth["top"], depth["It's"]) == (14, 0, 0, 3, 3, 4, 5)
+    assert {r.id: r.distance for r in catalog.reachable(edges, "It's").collect()} == {"It's": 0, "top": 1, "x": 2, "y": 3, "z": 4, "leaf": 5}
+    assert {r.id for r in catalog.reachable(edges, "top", "both").collect()} == {"It's", "top", "x", "y", "z", "leaf"}
+
+
+def test_lint_of_outside_evidence(spark):
+    spec = {"version": "1.1", "source": "s", "joins": [{"name": "d", "source": "c.s.dim", "on": "a = b"}], "measures": []}
+    rules = lambda e: {(r.finding, r.severity, r.object) for r in lint(spark, spec, evidence=e).collect()}
+    assert rules(None) == set()
+    assert rules({}) == {("A5", "CRITICAL", "joins"), ("A8", "HIGH", "view"), ("A9", "CRITICAL", "profile")}
+    good = {"joined": {"Dim": "c.s.dim"}, "grain": {"d": 0}, "syntax": True, "profile": {"Dim": "c.s.dim"}, "scanned": True}
+    assert rules(good) == set()
+    assert rules(good | {"joined": {"Dim": "c.s.other"}, "grain": {"d": 7}, "profile": {"Dim": None}, "scanned": False}) == {("A2", "MEDIUM", "Dim"), ("A5", "HIGH", "d"), ("A9", "CRITICAL", "Dim"), ("A9", "HIGH", "profile")}
+
+
+def test_risks_of_translations(spark):
+    rows = [("ok", "SUM(T[a])", "sum(a)"), ("left", "CALCULATE(SUM(T[a]))", "CALCULATE(sum([a]))"), ("and", 'T[a] = "x && y" && T[b]', "a = 'x && y' && b"), ("or", "a || b", "a || b"), ("join", "a & b", "a || b"), ("bit", "a & b", "a & b"), ("int", "INT(a)", "int(a)"), ("two", "MIN(a, b)", "min(a, b)")]
+    found = {}
+    for r in review.sql_risks(spark, spark.createDataFrame(rows, "name string, dax string, sql string")).collect():
+        found.setdefault(r.name, set()).add(r.risk)
+    assert found == {"left": {"dax_residue"}, "and": {"operator"}, "or": {"operator"}, "bit": {"operator"}, "int": {"meaning"}, "two": {"meaning"}}
+
+
+def test_gaps_of_another_tool(spark):
+    t = model.Table("F", None, (model.Column("V"),), (model.Measure("S", "SUM(F[V]) // [Comment]"), model.Measure("A", "[s] + D[S] + [K] + [Nope] + F[None]"), model.Measure("B", 'SUMX(ADDCOLUMNS(D, "n", 1), [n])')))
+    m = model.SemanticModel("m", (t, model.Table("D", None, (model.Column("K"),))))
+    told = [("S", "[Comment]"), ("A", "[s]"), ("A", "D[S]"), ("A", "[K]"), ("A", "[Nope]"), ("A", "F[None]"), ("B", "[n]")]
+    got = scoring.classified_gaps(spark, m, spark.createDataFrame(told, "measure string, reference string")).collect()
+    assert {r.reference: r.verdict for r in got} == {"[Comment]": "phantom", "[s]": "case", "D[S]": "qualified_measure", "[K]": "column_other_table", "[Nope]": "confirmed", "F[None]": "confirmed", "[n]": "virtual_column"}
+
+
+def test_projects_templates_and_sources(spark, tmp_path):
+    import io
+    import zipfile
+
+    for name in ("Shop", "Other"):
+        d = tmp_path / f"{name}.SemanticModel" / "definition"
+        (d / "tables").mkdir(parents=True)
+        (d / "model.tmdl").write_text(f"model {name}\n")
+        (d / "tables" / "T.tmdl").write_text(f"table {name}Table\n\tcolumn K\n\t\tdataType: int64\n")
+        (d.parent / "model.bim").write_text('{"model": {"tables": []}}')
+    (tmp_path / "x.Report").mkdir()
+    (tmp_path / "x.Report" / "r.json").write_text("{}")
+    body = io.BytesIO()
+    with zipfile.ZipFile(body, "w") as z:
+        z.writestr("DataModelSchema", '{"name": "Templ", "model": {"tables": [{"name": "P"}]}}'.encode("utf-16-le"))
+    (tmp_path / "t.pbit").write_bytes(body.getvalue())
+    rows = models.discover(spark, str(tmp_path)).collect()
+    assert sorted(r.kind for r in rows if r.skipped is None) == ["pbit"] + ["project"] * 4
+    assert {r.path.rsplit("/", 1)[1] for r in rows if r.skipped} == {"model.bim", "r.json"}
+    assert sorted((m.name, [t.name for t in m.tables]) for m in models.load_folder(spark, str(tmp_path))) == [("Other", ["OtherTable"]), ("Shop", ["ShopTable"]), ("Templ", ["P"])]
+    queries = [("a", 'Teradata.Database("td.example.com"), x{[Schema="S"]}, y{[Name="N"]}'), ("b", 'Teradata.Database(#"Host Name", [H=true])[Item="I"]'), ("c", "Teradata.Database(Server)"), ("d", "Sql.Database(1)"), ("e", "Teradata.Database(Unknown)")]
+    values = {"Host Name": "host", "Server": "srv"}
+    want = {"a": "Teradata: td.example.com.S.N", "b": "Teradata: host.I", "c": "Teradata: srv", "e": "Teradata: Unknown"}
+    assert {t: h for t, q in queries if (h := models.source_hint(q, values))} == want
+    frame = models.source_hints(spark.createDataFrame(queries, "table string, query string"), spark.createDataFrame(list(values.items()), "name string, value string"))
+    assert {r.table: r.hint for r in frame.collect()} == want
+    kinds = spark.createDataFrame([("Folder.Files(1) SharePoint.Tables()",), ("nothing",)], "q string").select(models.source_kinds(F.col("q")).alias("k")).collect()
+    assert [r.k for r in kinds] == [["Folder", "SharePoint"], [models.NO_SOURCE]]
+
+
+def test_plan_counts_what_is_open(spark):
+    plan = {r.key: r for r in catalog.phase_plan(spark, samples.model()).collect()}
+    assert plan["discovery"].status == "CONFIRMED"
+    assert plan["gold"].status == "REQUIRES_INPUT"
+    assert plan["gold"].blocked
+    assert len(plan["validation"]["items"]) == len(samples.model().measures())
+    assert catalog.phase_plan(spark).where("status = 'CONFIRMED'").count() == 0
