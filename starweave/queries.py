@@ -403,12 +403,126 @@ def translation_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.histogram(translations(spark, MetricView(finance(), "FactSales", no_rows)), "status")
 
 
+# --- checks and reviews over rows of the tables
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+@query("""SELECT 'price' AS "column", 'varchar_numeric' AS issue UNION ALL SELECT 'day', 'string_date' WHERE (SELECT avg(CASE WHEN regexp_matches(CAST(CAST(o_orderdate AS DATE) AS VARCHAR), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') THEN 1 ELSE 0 END) FROM orders) >= 0.8""")
+def text_columns_flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read(spark, sf_dir, "orders")
+    rows = orders.select(F.concat(F.lit("$"), F.format_number("o_totalprice", 2)).alias("price"), F.col("o_orderdate").cast("date").cast("string").alias("day"), "o_orderpriority")
+    return validation.text_flags(rows).select("column", "issue")
+
+
+@query("SELECT CASE WHEN regexp_matches(v, '^[0-9]+$') THEN 'number' WHEN regexp_matches(v, '^[0-9]{4}-') THEN 'date' ELSE 'text' END AS kind, count(*) AS n FROM (SELECT CASE o_orderstatus WHEN 'F' THEN CAST(o_orderkey AS VARCHAR) WHEN 'O' THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) ELSE o_orderpriority END AS v FROM orders) GROUP BY 1")
+def kinds_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey").cast("string")).when(F.col("o_orderstatus") == "O", F.col("o_orderdate").cast("date").cast("string")).otherwise(F.col("o_orderpriority"))
+    return validation.type_mix(read(spark, sf_dir, "orders").select(v.alias("v")), "v")
+
+
+@query("""WITH c AS (SELECT CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE 'dim_' || lower(n_name) || '_v2' END AS leaf FROM nation WHERE n_regionkey <> 0),
+    p AS (SELECT n_name AS name, leaf, row_number() OVER (PARTITION BY n_name ORDER BY lower(n_name) <> leaf, abs(length(n_name) - length(leaf)), leaf) AS k FROM nation JOIN c ON contains(lower(n_name), leaf) OR contains(leaf, lower(n_name)))
+    SELECT n_name AS name, 'lake.dim.' || leaf AS physical, CASE WHEN leaf IS NULL THEN 'none' WHEN leaf = lower(n_name) THEN 'exact' ELSE 'contains' END AS how FROM nation LEFT JOIN p ON p.name = n_name AND k = 1""")
+def tables_matched_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = read(spark, sf_dir, "nation")
+    leaf = F.when(F.col("n_regionkey") == 1, F.lower("n_name")).otherwise(F.concat(F.lit("dim_"), F.lower("n_name"), F.lit("_v2")))
+    return validation.matched_tables(nation.select(F.col("n_name").alias("name")), nation.where("n_regionkey != 0").select(F.concat(F.lit("lake.dim."), leaf).alias("physical")))
+
+
+@query("""SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'dropped' WHEN a.name IS NULL THEN 'extra' WHEN a.e = b.e THEN 'same' ELSE 'altered' END AS state
+    FROM (SELECT CAST(p_partkey AS VARCHAR) AS name, 'SUM( ' || p_name || ' )' AS e FROM part WHERE p_size > 5) a FULL JOIN (SELECT CAST(p_partkey AS VARCHAR) AS name, 'SUM( ' || CASE WHEN p_size > 40 THEN p_brand ELSE p_name END || ' )' AS e FROM part WHERE p_size < 45) b ON a.name = b.name""")
+def expressions_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").withColumn("name", F.col("p_partkey").cast("string"))
+    truth = part.where("p_size > 5").select("name", F.concat(F.lit("SUM(  "), "p_name", F.lit(" )")).alias("expression"))
+    found = part.where("p_size < 45").select("name", F.concat(F.lit("SUM( "), F.when(F.col("p_size") > 40, F.col("p_brand")).otherwise(F.col("p_name")), F.lit("  )")).alias("expression"))
+    return validation.fidelity(truth, found)
+
+
+@query("""WITH t AS (SELECT DISTINCT lower(p_brand) AS a, lower(p_type) AS b FROM part), f AS (SELECT DISTINCT lower(p_brand) AS a, lower(p_type) AS b FROM part WHERE p_size > 25 UNION SELECT 'extra', lower(p_type) FROM part)
+    SELECT (SELECT count(*) FROM t) AS n_truth, (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM f)) AS n_found, (SELECT count(*) FROM (SELECT * FROM f EXCEPT SELECT * FROM t)) AS n_extra""")
+def edges_recalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = read(spark, sf_dir, "part").select(F.col("p_brand").alias("src"), F.col("p_type").alias("dst"), "p_size")
+    found = edges.where("p_size > 25").select(F.upper("src").alias("src"), "dst").unionByName(edges.select(F.lit("extra").alias("src"), "dst"))
+    return validation.edge_recall(edges.select("src", "dst"), found).select("n_truth", "n_found", "n_extra")
+
+
+@query("""SELECT c_name AS from_table, CASE WHEN c_acctbal < 0 AND c_nationkey < 5 THEN 'cardinality,is_active' WHEN c_acctbal < 0 THEN 'cardinality' ELSE 'is_active' END AS differs FROM customer WHERE c_acctbal < 0 OR c_nationkey < 5""")
+def properties_that_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select(F.col("c_name").alias("from_table"), F.lit("k").alias("from_column"), F.lit("t").alias("to_table"), F.lit("k").alias("to_column"), F.lit("MANY_TO_ONE").alias("cardinality"), F.lit("SINGLE").alias("cross_filter"), F.lit(True).alias("is_active"), "c_acctbal", "c_nationkey")
+    other = rows.withColumns({"cardinality": F.when(F.col("c_acctbal") < 0, "MANY_TO_MANY").otherwise(F.col("cardinality")), "is_active": F.col("c_nationkey") >= 5})
+    return validation.property_agreement(rows, other).select("from_table", F.array_join("differs", ",").alias("differs"))
+
+
+@query("SELECT substr(sha256('salt' || c_name), 1, 12) AS name, c_mktsegment AS segment FROM customer")
+def names_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.redacted(read(spark, sf_dir, "customer").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")), "salt", "name")
+
+
+@query("SELECT p_name AS name, p_partkey AS k, CASE WHEN p_size > 40 THEN 'dropped' WHEN p_size > 30 THEN 'reviewed' ELSE 'auto' END AS status, CASE WHEN p_size BETWEEN 31 AND 40 THEN p_type ELSE p_brand END AS sql FROM part")
+def edits_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = read(spark, sf_dir, "part").withColumn("name", F.col("p_partkey").cast("string"))
+    edits = part.where("p_size > 30").select("name", F.when(F.col("p_size") <= 40, F.col("p_type")).alias("new_sql"), (F.col("p_size") > 40).alias("drop"))
+    done = validation.change_request(part.select("name", F.col("p_brand").alias("sql"), F.lit("auto").alias("status")), edits)
+    return done.join(part.select("name", "p_name", "p_partkey"), "name").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("k"), "status", "sql")
+
+
+@query("""WITH f AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'HIGH' WHEN '2-HIGH' THEN 'MEDIUM' ELSE 'LOW' END AS s FROM orders WHERE o_totalprice > 450000)
+    SELECT CAST(greatest(0, 100 - coalesce(sum(CASE s WHEN 'HIGH' THEN 10 WHEN 'MEDIUM' THEN 4 ELSE 1 END), 0)) AS INTEGER) AS score, count(*) AS n FROM f""")
+def findings_weighed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    severity = F.when(F.col("o_orderpriority") == "1-URGENT", "HIGH").when(F.col("o_orderpriority") == "2-HIGH", "MEDIUM").otherwise("LOW")
+    found = read(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.lit("A1").alias("finding"), severity.alias("severity"), F.col("o_orderkey").cast("string").alias("object"))
+    return validation.review(found).select("score", "n")
+
+
+@query("""WITH v AS (SELECT o_custkey AS k, min(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END) AS ok FROM orders GROUP BY 1), s AS (SELECT c_custkey AS k, CAST(abs(CAST(floor(c_acctbal) AS BIGINT)) % 101 AS INTEGER) AS score FROM customer)
+    SELECT s.k AS k, CAST(CASE WHEN ok = 1 THEN greatest(score, CASE WHEN score >= 40 THEN 95 ELSE 80 END) WHEN ok = 0 THEN least(score, 40) ELSE score END AS INTEGER) AS score FROM s LEFT JOIN v ON s.k = v.k""")
+def scores_after_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.pmod(F.abs(F.floor("c_acctbal")), F.lit(101)).cast("int").alias("score"))
+    seen = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("name"), (F.col("o_orderstatus") != "F").alias("matches"))
+    return validation.rescored(scores, seen).select(F.col("name").alias("k"), F.col("score").cast("int").alias("score"))
+
+
+@query("SELECT c_mktsegment AS counter, count(*) AS expected, count(*) FILTER (WHERE c_acctbal > 0) AS found, round(count(*) FILTER (WHERE c_acctbal > 0) / count(*), 6) AS ratio FROM customer GROUP BY 1")
+def counters_by_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("counter"), F.lit(1).cast("long").alias("expected"), (F.col("c_acctbal") > 0).cast("long").alias("found"))
+    return validation.scorecard(rows).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("""SELECT s_name AS name, CASE s_nationkey % 3 WHEN 0 THEN 'SQL Server / Azure SQL' WHEN 1 THEN 'CSV,Web' ELSE 'Other / none detected' END AS kinds FROM supplier""")
+def kinds_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starweave.sources.models import source_kinds
+
+    kind = F.col("s_nationkey") % 3
+    text = F.concat(F.when(kind == 0, 'Sql.Database("').when(kind == 1, 'Csv.Document(Web.Contents("').otherwise('let x = ("'), F.col("s_name"), F.lit('"))'))
+    return read(spark, sf_dir, "supplier").select(F.col("s_name").alias("name"), F.array_join(source_kinds(text), ",").alias("kinds"))
+
+
+@query("SELECT s_name AS name, 'host.example' AS database, 'DB' AS schema, 'V_' || s_suppkey AS object, 'VIEW' AS object_type FROM supplier")
+def hints_of_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from starweave.sources.models import hint_parts, source_hints
+
+    query_text = F.concat(F.lit('Teradata.Database(Host){[Schema="DB"]}[Data]{[Name="V_'), F.col("s_suppkey").cast("string"), F.lit('"]}'))
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_name").alias("table"), query_text.alias("query"))
+    return source_hints(rows, spark.createDataFrame([("Host", "host.example")], "name string, value string")).select(F.col("table").alias("name"), hint_parts(F.col("hint")).alias("h")).select("name", "h.*")
+
+
+@query(f"WITH x AS ({MONTHS}) SELECT a.m AS month, round(a.v / sum(a.v) OVER (), 8) AS share, round(b.v, 2) AS before, round(sum(a.v) OVER (PARTITION BY year(a.m) ORDER BY a.m), 2) AS running FROM x a LEFT JOIN x b ON b.m = CAST(a.m - INTERVAL 1 MONTH AS DATE)")
+def months_compared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares, shifts and running totals of a frame."""
+    rows = samples.view(spark, sf_dir).query(["Order Month"], ["Total Revenue"]).toDF("month", "v")
+    rows = timeintel.running(timeintel.shifted(timeintel.share_of(rows, "v"), "month", ["v"], -1), "month", "v")
+    return rows.select("month", F.round("share", 8).alias("share"), F.round("v_prior", 2).alias("before"), F.round("running", 2).alias("running"))
+
+
 #: Result columns that hold dates; they leave as text, so that any engine's date type compares equal.
 DATES = {
     "revenue_prior_year": ["month"], "revenue_prior_and_next_month": ["month"], "revenue_to_date": ["month"], "revenue_yoy": ["month"], "revenue_rolling_3m": ["month"], "ratio_to_date": ["quarter"],
     "concatenated_values": ["first_order", "last_order"], "calendar_table": ["date_key", "date_key_ly"], "closing_balance": ["period"], "declared_trailing_window": ["month"],
     "prior_year_under_base_filter": ["month"], "prior_year_under_date_filter": ["month"], "year_to_date_under_date_filter": ["month"], "rolling_30_days": ["month"], "whole_periods": ["month"], "day_shifts": ["day"],
-    "opening_and_closing": ["month"], "suppliers_to_date": ["month"],
+    "months_compared": ["month"], "opening_and_closing": ["month"], "suppliers_to_date": ["month"],
     "date_coverage": ["first_fact", "last_fact"], "scalar_dates": ["d", "i", "l"],
 }
 
