@@ -243,27 +243,27 @@ def date_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.date_coverage(spark.read.parquet(f"{sf_dir}/orders.parquet"), "o_orderdate", days, "Date").select("first_fact", "last_fact", "n_outside")
 
 
-@query("""WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1), b AS (SELECT o_custkey AS k, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 1.5 ELSE o_totalprice END) AS v FROM orders WHERE o_custkey % 7 <> 0 GROUP BY 1)
+@query("""WITH a AS (SELECT o_custkey AS k, sum(o_totalprice) AS v FROM orders GROUP BY 1), b AS (SELECT o_custkey AS k, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 1.5 ELSE o_totalprice END) AS v FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1)
     SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_ours, b.k IS NOT NULL AS in_theirs, coalesce(a.k IS NOT NULL AND b.k IS NOT NULL AND (abs(a.v - b.v) <= 0.01 OR abs(a.v - b.v) <= 1e-4 * greatest(abs(a.v), abs(b.v))), false) AS matches FROM a FULL JOIN b ON a.k = b.k""")
 def parity_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_custkey", "k")
     ours = orders.groupBy("k").agg(F.sum("o_totalprice").alias("v"))
-    theirs = orders.where("k % 7 != 0").groupBy("k").agg(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") * 1.5).otherwise(F.col("o_totalprice"))).alias("v"))
+    theirs = orders.where("o_orderpriority != '1-URGENT'").groupBy("k").agg(F.sum(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") * 1.5).otherwise(F.col("o_totalprice"))).alias("v"))
     return validation.parity(ours, theirs, ["k"], "v").select("k", "in_ours", "in_theirs", "matches")
 
 
-@query("""WITH t AS (SELECT o_orderstatus AS name FROM orders), u AS (SELECT l_linestatus AS name FROM lineitem LIMIT 0), a AS (SELECT o_orderpriority AS name FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_orderpriority AS name FROM orders WHERE o_orderkey % 3 = 0)
+@query("""WITH t AS (SELECT o_orderstatus AS name FROM orders), u AS (SELECT l_linestatus AS name FROM lineitem LIMIT 0), a AS (SELECT o_orderpriority AS name FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_orderpriority AS name FROM orders WHERE o_totalprice > 200000)
     SELECT name, change, count(*) AS n FROM (SELECT name, 'dropped' AS change FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT name, 'extra' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) GROUP BY 1, 2""")
 def coverage_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_orderpriority", "name")
-    found = validation.coverage(orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 3 = 0"))
+    found = validation.coverage(orders.where("o_orderstatus = 'F'"), orders.where("o_totalprice > 200000"))
     return found.groupBy("name", "change").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT o_orderpriority AS name, count(*) AS n FROM (SELECT o_orderpriority FROM orders WHERE o_orderkey % 2 = 0 INTERSECT ALL SELECT o_orderpriority FROM orders WHERE o_orderkey % 3 = 0) GROUP BY 1")
+@query("SELECT o_orderpriority AS name, count(*) AS n FROM (SELECT o_orderpriority FROM orders WHERE o_orderstatus = 'F' INTERSECT ALL SELECT o_orderpriority FROM orders WHERE o_totalprice > 200000) GROUP BY 1")
 def multiset_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", F.col("o_orderpriority").alias("name"))
-    return orders.where("o_orderkey % 2 = 0").select("name").intersectAll(orders.where("o_orderkey % 3 = 0").select("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumnRenamed("o_orderpriority", "name")
+    return orders.where("o_orderstatus = 'F'").select("name").intersectAll(orders.where("o_totalprice > 200000").select("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_suppkey FROM lineitem WHERE l_partkey IN (SELECT b.l_partkey FROM lineitem b JOIN supplier s ON b.l_suppkey = s.s_suppkey WHERE s.s_acctbal > 5000)")
