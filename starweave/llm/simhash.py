@@ -17,6 +17,7 @@ fingerprints with rows in proportion to the members. Components are then the con
 * null text is empty; texts without words have the fingerprint zero and are linked like any other.
 * repeated rows and ties: each row is returned with its component; a null doc_id is a document after all others,
   and names a component (as null) only if all its documents have null ids.
+* very long texts are shingled whole; a worker holds a bounded number of hashes, and one text's, at a time.
 * an empty table gives no rows; extra columns are ignored.
 """
 
@@ -42,7 +43,7 @@ RADIUS = 2
 #: Cells with more fingerprints than this form no pairs and go by shared neighbours instead.
 CROWDED = 48
 #: Pairs for each member that a cell of the similarity search forms in its first round; four times as many in each further one.
-FIRST_PAIRS = 48
+FIRST_PAIRS = 1
 #: Shingle hashes that a worker holds at a time.
 HASHES_AT_ONCE = 400_000
 
@@ -247,16 +248,28 @@ def possible_nodes(found: DataFrame, similarity: float) -> DataFrame:
 
 
 def prefix_cells(sets: DataFrame, similarity: float) -> DataFrame:
-    """``cell``, ``node``, ``n``: each set under its n - least + 1 rarest shingles; similar sets share one of them.
+    """``cell``, ``node``, ``n``, ``before``: each set under its n - least + 1 rarest shingles; similar sets share one of them.
 
-    Shingles of one set alone are the rarest; they take their places but open no cell.
+    Shingles of one set alone are the rarest; they take their places but open no cell. ``before`` is the number of the set's
+    shingles that come before the cell's, in the order that all sets have.
     """
     each = sets.select("node", "n", F.explode("s").alias("h"))
     often = keep(each.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select(F.col("h").alias("shared"), "df"), "often")
     ranked = each.join(often, F.col("h") == F.col("shared")).groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("c"))
     take = F.size("c") - least_shared(F.col("n"), similarity) + 1
-    rare = ranked.where(take > 0).select("node", "n", F.explode(F.slice("c", F.lit(1), F.greatest(take, F.lit(1)))).alias("c"))
-    return rare.select(F.col("c.h").alias("cell"), "node", "n")
+    # take counts from the last place that a shingle may have, so what no other set has is left out of it
+    rare = ranked.where(take > 0).select("node", "n", (F.col("n") - F.size("c")).alias("own"), F.posexplode(F.slice("c", F.lit(1), F.greatest(take, F.lit(1)))).alias("k", "c"))
+    return rare.select(F.col("c.h").alias("cell"), "node", "n", (F.col("own") + F.col("k")).alias("before"))
+
+
+def may_share(a: str, b: str, similarity: float) -> Column:
+    """Whether two members of a cell that have no earlier shingle in common can still share enough.
+
+    In the first cell that two similar sets share, all that they share comes from here on, so the pair passes there; in later ones
+    it needn't.
+    """
+    most = F.least(F.col(f"{a}.n") - F.col(f"{a}.before"), F.col(f"{b}.n") - F.col(f"{b}.before"))
+    return most >= F.ceil((F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(similarity / (1 + similarity)) - 1e-6)
 
 
 def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -273,34 +286,40 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
 
     Pairs that share a cell are verified, except those whose components are joined already. A cell with few such pairs
     for its members forms all of them. Any other compares one member, that with the most links so far, with all the rest;
-    this member's pairs are then settled here and it leaves this cell, no other does. Then components are taken anew, so a
-    family of copies becomes one component in a few rounds, of links in proportion to its members. What is left are pairs of
-    different components; the number of these that a cell may form for each member grows fourfold each round, until all are settled.
+    this member's pairs are then settled here and it leaves this cell, no other does. The members of such a cell are also dealt
+    out at random into parts, and form the pairs inside these. Then components are taken anew, so a family of copies becomes one
+    component in a few rounds, of links in proportion to its members, be they similar to one original or to each other. What is left
+    are pairs of different components; the number of these that a cell may form for each member grows fourfold each round, until
+    all are settled.
     """
     cells = keep(prefix_cells(sets, similarity), "cells")
     shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cell")
-    fresh = cells.join(shared, "cell").select("cell", "node", "n", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
+    fresh = cells.join(shared, "cell").select("cell", "node", "n", "before", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
     member = keep(fresh, "members")
-    sized = F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-6
+    sized = (F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-6) & may_share("a", "b", similarity)
     ordered = lambda x, y: (F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
     every: DataFrame | None = None
     crowded = FIRST_PAIRS
     while True:
-        first = F.struct("links", F.xxhash64("node").alias("r"), "node", "n", "label")
+        first = F.struct("links", F.xxhash64("node").alias("r"), "node", "n", "before", "label")
         by_label = member.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k"), F.max(first).alias("lead"))
         by_cell = by_label.groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max("lead").alias("lead"), F.max(F.struct("k", "label"))["label"].alias("most"))
         open_ = by_cell.where("same < k * k").withColumn("many", (F.col("k") * F.col("k") - F.col("same")) / 2 > F.col("k") * crowded)
-        sizes = keep(open_.select("cell", "lead", "most", "many"), "sizes")
+        sizes = keep(open_.select("cell", "k", "lead", "most", "many"), "sizes")
         few = sizes.where("not many").select("cell", "most")
-        a = member.join(few, "cell").where("label != most").select("cell", "node", "n", "label", "most").alias("a")
-        b = member.join(few.select("cell"), "cell").select("cell", "node", "n", "label").alias("b")
+        a = member.join(few, "cell").where("label != most").select("cell", "node", "n", "before", "label", "most").alias("a")
+        b = member.join(few.select("cell"), "cell").select("cell", "node", "n", "before", "label").alias("b")
         # both outside the largest component of the cell: such a pair is met from both sides and taken once
         once = (F.col("b.label") == F.col("a.most")) | (F.col("a.node") < F.col("b.node"))
         pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.label") != F.col("b.label")) & once & sized).select(*ordered("a.node", "b.node"))
-        crowd = keep(member.join(sizes.where("many").select("cell", "lead"), "cell"), "crowd")
-        fits = F.least("n", "lead.n") >= F.lit(similarity) * F.greatest("n", "lead.n") - 1e-6
-        stars = crowd.where((F.col("label") != F.col("lead.label")) & fits).select(*ordered(F.col("node"), F.col("lead.node")))
-        todo = keep(pairs.union(stars).distinct(), "pairs")
+        part = F.pmod(F.xxhash64("node", F.lit(crowded)), F.ceil(F.col("k") / (2 * crowded))).alias("part")
+        crowd = keep(member.join(sizes.where("many").select("cell", "k", "lead"), "cell").select("cell", part, F.struct("node", "n", "before", "label").alias("own"), "lead"), "crowd")
+        fits = (F.least("own.n", "lead.n") >= F.lit(similarity) * F.greatest("own.n", "lead.n") - 1e-6) & may_share("own", "lead", similarity)
+        stars = crowd.where((F.col("own.label") != F.col("lead.label")) & fits).select(*ordered(F.col("own.node"), F.col("lead.node")))
+        a, b = (crowd.select("cell", "part", "own.*").alias(x) for x in "ab")
+        inside = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.node") < F.col("b.node"))
+        some = a.join(b, inside & sized).select(*ordered("a.node", "b.node"))
+        todo = keep(pairs.union(stars).union(some).distinct(), "pairs")
         linked = keep(verified_links(todo, sets, similarity), "linked")
         every = linked if every is None else every.union(linked)
         for old in (todo, sizes, member):
@@ -310,9 +329,9 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
         roots = components(every, sets.sparkSession)
         ends = every.select(F.col("src").alias("end")).union(every.select("dst")).groupBy("end").agg(F.count(F.lit(1)).alias("more"))
         state = keep(roots.join(ends, F.col("node") == F.col("end")).select(F.col("node").alias("end"), "root", "more"), "state")
-        rest = crowd.where(F.col("node") != F.col("lead.node")).select("cell", "node", "n")
+        rest = crowd.where(F.col("own.node") != F.col("lead.node")).select("cell", "own.node", "own.n", "own.before")
         labelled = rest.join(state, F.col("node") == F.col("end"), "left")
-        member = keep(labelled.select("cell", "node", "n", F.coalesce("root", "node").alias("label"), F.coalesce("more", F.lit(0)).cast("long").alias("links")), "members")
+        member = keep(labelled.select("cell", "node", "n", "before", F.coalesce("root", "node").alias("label"), F.coalesce("more", F.lit(0)).cast("long").alias("links")), "members")
         discard(crowd)
         crowded *= 4
 

@@ -131,6 +131,17 @@ def test_large_family_around_one_original(spark):
     assert sorted(sorted(order[k] for k in g) for g in found) == [list(range(2001)), *[[k] for k in range(2001, 2051)]]
 
 
+def test_links_grow_with_the_members_of_a_family(spark):
+    """Copies of which nearly all pairs are similar, without their original: one group, and few links for each member."""
+    rng = random.Random(24)
+    base = [f"word{rng.randrange(5000)}" for _ in range(250)]
+    texts = [edited(rng, base, 0.9) for _ in range(500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = simhash.keep(simhash.shingle_sets(simhash.keyed(docs), 5).select("node", "n", "s"), "sets")
+    assert simhash.similar_links(sets, 0.8).count() <= 40 * len(texts)
+    assert len(groups_of(spark, texts)) == 1
+
+
 def test_no_pair_above_the_similarity_is_lost(spark):
     """Pairs of 0.80 to 0.90, with scattered edits or an appended block, and pairs right below 0.8 that stay apart."""
     rng = random.Random(22)
