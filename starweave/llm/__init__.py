@@ -1,6 +1,6 @@
 """Training-data operators for large text corpora.
 
-Ten operators, one module each; nothing else in the package imports them.
+One module for each operator; nothing else in the package imports them.
 
 =====================  ==========================================================
 ``chat``               reply trees and chat formatting (native)
@@ -13,5 +13,8 @@ Ten operators, one module each; nothing else in the package imports them.
 ``quality``            hierarchical empirical-Bayes quality classifier
 ``simhash``            SimHash near-duplicates over pivot distance tables
 ``lpf``                longest-previous-factor removal of repeated byte strings
+``secrets``            secret patterns and a token-efficiency test
+``clusters``           exact k-means with Yinyang bounds
+``negatives``          hard negatives by distributed radix selection
 =====================  ==========================================================
 """

@@ -1,8 +1,8 @@
-"""The ten queries of this subpackage, and the SQL of those that SQL can express."""
+"""The queries of this subpackage, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-from starweave.llm import chat, decontam, licenses, linededup, lpf, media, packing, quality, simhash, urls
+from starweave.llm import chat, clusters, decontam, licenses, linededup, lpf, media, negatives, packing, quality, secrets, simhash, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         quality.op8_quality_classifier,
         simhash.op9_simhash_near_dedup,
         lpf.op10_longest_previous_factors,
+        secrets.op11_secret_scan,
+        clusters.op12_centroid_clustering,
+        negatives.op13_hard_negatives,
     ]
     return {f.__name__: f for f in found}
 
@@ -67,5 +70,45 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(len({every}) AS BIGINT) AS n_b
 FROM placed"""
 
 
+#: Vectors without a null or non-finite component, as whole numbers.
+WHOLE = """SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({factor} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+
+def clustering_sql() -> str:
+    """Plain rounds: all distances, the least, the means."""
+    distance = "CAST(list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    steps = [
+        f"kept AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, v FROM ({WHOLE.format(factor=clusters.SCALE)} AND len(embedding) = {clusters.COMPONENTS}))",
+        f"c0 AS (SELECT CAST(row_number() OVER (ORDER BY h, v) - 1 AS INTEGER) AS c, v FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {clusters.CLUSTERS}))",
+    ]
+    for k in range(clusters.ROUNDS + 1):
+        steps.append(f"d{k} AS (SELECT k.r, k.vec_id, k.v, c.c, {distance} AS d FROM kept k, c{k} c)")
+        steps.append(f"a{k} AS (SELECT * FROM d{k} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if k < clusters.ROUNDS:
+            steps.append(f"e{k} AS (SELECT c, unnest(v) AS x, unnest(range(len(v))) AS j FROM a{k})")
+            steps.append(f"s{k} AS (SELECT c, j, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM e{k} GROUP BY c, j)")
+            steps.append(f"m{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM s{k} GROUP BY c)")
+            steps.append(f"c{k + 1} AS (SELECT c{k}.c, coalesce(m{k}.v, c{k}.v) AS v FROM c{k} LEFT JOIN m{k} USING (c))")
+    last = clusters.ROUNDS
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, c AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+    sha256(array_to_string(c{last}.v, ',')) AS centroid_sha256
+FROM a{last} JOIN c{last} USING (c)"""
+
+
+def negatives_sql() -> str:
+    """All scores of the anchors, ranked."""
+    n = negatives
+    return f"""
+WITH v AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % {n.SHIFTED} = 0 THEN (label + 1) % {n.LABELS} ELSE label END AS label, v FROM ({WHOLE.format(factor=n.SCALE)} AND vec_id IS NOT NULL AND label IS NOT NULL)),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS alike, CAST(coalesce(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % {n.ANCHORS} = 0),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= {n.POSITIVES})
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT alike AND {n.LEAST_SHARE} * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) <= {n.NEGATIVES}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": CHAT, "op4_license_scan": licence_sql()}
+    return {"op1_chat_formatting": CHAT, "op4_license_scan": licence_sql(), "op12_centroid_clustering": clustering_sql(), "op13_hard_negatives": negatives_sql()}
