@@ -33,6 +33,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from starweave.llm.common import NULL_ID, discard, doc_id, free_names, keep, keyed, table
 from starweave.llm.graph import components
@@ -42,6 +43,8 @@ MASKS = 12
 RADIUS = 2
 #: Cells with more fingerprints than this form no pairs and go by shared neighbours instead.
 CROWDED = 48
+#: Sizes of sets within this factor meet in one step.
+SIZE_STEP = 1.02
 #: Pairs for each member that a cell of the similarity search forms in its first round; four times as many in each further one.
 FIRST_PAIRS = 1
 #: Shingle hashes that a worker holds at a time.
@@ -262,14 +265,61 @@ def prefix_cells(sets: DataFrame, similarity: float) -> DataFrame:
     return rare.select(F.col("c.h").alias("cell"), "node", "n", (F.col("own") + F.col("k")).alias("before"))
 
 
-def may_share(a: str, b: str, similarity: float) -> Column:
-    """Whether two members of a cell that have no earlier shingle in common can still share enough.
+def with_reach(cells: DataFrame, similarity: float) -> DataFrame:
+    """``cells`` with ``reach``: the size of the largest set that a member can be similar to, if the cell is the first they share.
 
-    In the first cell that two similar sets share, all that they share comes from here on, so the pair passes there; in later ones
-    it needn't.
+    In the first cell that two similar sets share, all that they share comes from here on. So a pair can only be similar there
+    if each one's size is within the other's reach; in later cells it needn't be. The smaller one of such a pair reaches its own size.
     """
-    most = F.least(F.col(f"{a}.n") - F.col(f"{a}.before"), F.col(f"{b}.n") - F.col(f"{b}.before"))
-    return most >= F.ceil((F.col(f"{a}.n") + F.col(f"{b}.n")) * F.lit(similarity / (1 + similarity)) - 1e-6)
+    rest = (F.col("n") - F.col("before") + F.lit(1e-6)) * F.lit((1 + similarity) / similarity)
+    return cells.select("cell", "node", "n", (F.floor(rest) - F.col("n")).cast("int").alias("reach"))
+
+
+def may_share(a: str, b: str) -> Column:
+    return (F.col(f"{a}.n") <= F.col(f"{b}.reach")) & (F.col(f"{b}.n") <= F.col(f"{a}.reach"))
+
+
+def size_step(n: Column) -> Column:
+    """Sizes in steps of 2 per cent: what lies within a member's reach is in a dozen of them."""
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(SIZE_STEP))).cast("int")
+
+
+def possible_members(cells: DataFrame) -> DataFrame:
+    """Members (cell, node, n, reach) that may have a partner in their cell, with ``pairs``: how many pairs the cell has at most.
+
+    Counted by classes of equal (n, reach). A cell in which no class reaches another one's size, as that of a text that many
+    documents share between words of their own, is left out here, however many members it has.
+    """
+    classes = keep(cells.groupBy("cell", "n", "reach").agg(F.count(F.lit(1)).alias("k")), "classes")
+    able = F.col("reach") >= F.col("n")
+    none = F.lit(0).cast("long")
+    # how many members are of a size up to some place: from just before a class's own size to its reach
+    marks = classes.select("cell", F.col("n").alias("at"), F.col("k").alias("add"), none.alias("k"), none.alias("sign"), none.alias("n"), none.alias("reach"))
+    for at, sign in ((F.col("n") - 1, -1), (F.col("reach"), 1)):
+        marks = marks.union(classes.where(able).select("cell", at.alias("at"), none, "k", F.lit(sign).cast("long"), "n", "reach"))
+    upto = F.sum("add").over(Window.partitionBy("cell").orderBy("at").rangeBetween(Window.unboundedPreceding, 0))
+    counted = marks.withColumn("upto", upto).where("sign != 0").groupBy("cell", "n", "reach").agg(F.max("k").alias("k"), F.sum(F.col("sign") * F.col("upto")).alias("met"))
+    open_ = counted.where("met > 1").groupBy("cell").agg(F.sum(F.col("k") * (F.col("met") - 1)).alias("pairs"), F.min("n").alias("least"), F.max("reach").alias("most"))
+    open_ = keep(open_.withColumnRenamed("cell", "open"), "open")
+    found = cells.join(open_, F.col("cell") == F.col("open")).where((F.col("reach") >= F.col("least")) & (F.col("n") <= F.col("most")))
+    return found.select("cell", "node", "n", "reach", "pairs")
+
+
+def pairs_within(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of two sides' members of one cell that are of different labels and may share enough; ``a`` has the smaller sets.
+
+    Sides meet by steps of size within reach, so no more pairs are looked at than may share enough, but for a step's width.
+    """
+    steps = F.sequence(size_step(F.col("n")), size_step(F.col("reach")))
+    a = a.where("reach >= n").select("cell", "node", "n", "reach", "label", F.explode(steps).alias("step")).alias("a")
+    b = b.select("cell", "node", "n", "reach", "label", size_step(F.col("n")).alias("step")).alias("b")
+    ordered = (F.col("a.n") < F.col("b.n")) | (F.col("a.n") == F.col("b.n")) & (F.col("a.node") < F.col("b.node"))
+    met = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.label") != F.col("b.label"))
+    return a.join(b, met & ordered & may_share("a", "b")).select(*between("a.node", "b.node"))
+
+
+def between(x: str, y: str) -> tuple[Column, Column]:
+    return F.least(x, y).alias("src"), F.greatest(x, y).alias("dst")
 
 
 def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -284,56 +334,55 @@ def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
 def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (src, dst) whose components are those of all pairs of similar ``sets`` (``node``, ``n``, ``s``).
 
-    Pairs that share a cell are verified, except those whose components are joined already. A cell with few such pairs
-    for its members forms all of them. Any other compares one member, that with the most links so far, with all the rest;
+    Pairs that share a cell, and may share enough from there on, are verified once, except those whose components are joined already. A
+    cell with few such pairs for its members forms all of them. Any other compares one member, that with the most links so far, with all the rest;
     this member's pairs are then settled here and it leaves this cell, no other does. The members of such a cell are also dealt
     out at random into parts, and form the pairs inside these. Then components are taken anew, so a family of copies becomes one
     component in a few rounds, of links in proportion to its members, be they similar to one original or to each other. What is left
     are pairs of different components; the number of these that a cell may form for each member grows fourfold each round, until
     all are settled.
     """
-    cells = keep(prefix_cells(sets, similarity), "cells")
-    shared = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("cell")
-    fresh = cells.join(shared, "cell").select("cell", "node", "n", "before", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
+    cells = keep(with_reach(prefix_cells(sets, similarity), similarity), "cells")
+    fresh = possible_members(cells).select("cell", "node", "n", "reach", "pairs", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
     member = keep(fresh, "members")
-    sized = (F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n") - 1e-6) & may_share("a", "b", similarity)
-    ordered = lambda x, y: (F.least(x, y).alias("src"), F.greatest(x, y).alias("dst"))
     every: DataFrame | None = None
-    crowded = FIRST_PAIRS
+    seen: DataFrame | None = None  # pairs that earlier rounds verified
+    allowed = FIRST_PAIRS
     while True:
-        first = F.struct("links", F.xxhash64("node").alias("r"), "node", "n", "before", "label")
-        by_label = member.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k"), F.max(first).alias("lead"))
-        by_cell = by_label.groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max("lead").alias("lead"), F.max(F.struct("k", "label"))["label"].alias("most"))
-        open_ = by_cell.where("same < k * k").withColumn("many", (F.col("k") * F.col("k") - F.col("same")) / 2 > F.col("k") * crowded)
-        sizes = keep(open_.select("cell", "k", "lead", "most", "many"), "sizes")
-        few = sizes.where("not many").select("cell", "most")
-        a = member.join(few, "cell").where("label != most").select("cell", "node", "n", "before", "label", "most").alias("a")
-        b = member.join(few.select("cell"), "cell").select("cell", "node", "n", "before", "label").alias("b")
-        # both outside the largest component of the cell: such a pair is met from both sides and taken once
-        once = (F.col("b.label") == F.col("a.most")) | (F.col("a.node") < F.col("b.node"))
-        pairs = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.label") != F.col("b.label")) & once & sized).select(*ordered("a.node", "b.node"))
-        part = F.pmod(F.xxhash64("node", F.lit(crowded)), F.ceil(F.col("k") / (2 * crowded))).alias("part")
-        crowd = keep(member.join(sizes.where("many").select("cell", "k", "lead"), "cell").select("cell", part, F.struct("node", "n", "before", "label").alias("own"), "lead"), "crowd")
-        fits = (F.least("own.n", "lead.n") >= F.lit(similarity) * F.greatest("own.n", "lead.n") - 1e-6) & may_share("own", "lead", similarity)
-        stars = crowd.where((F.col("own.label") != F.col("lead.label")) & fits).select(*ordered(F.col("own.node"), F.col("lead.node")))
+        first = F.struct("links", F.xxhash64("node").alias("r"), "node", "n", "reach", "label")
+        by_label = member.groupBy("cell", "label").agg(F.count(F.lit(1)).alias("k"), F.max(first).alias("lead"), F.max("pairs").alias("pairs"))
+        by_cell = by_label.groupBy("cell").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.max("lead").alias("lead"), F.max(F.struct("k", "label"))["label"].alias("most"), F.max("pairs").alias("pairs"))
+        left = F.least(F.col("pairs"), (F.col("k") * F.col("k") - F.col("same")) / 2)
+        sizes = keep(by_cell.where("same < k * k").withColumn("many", left > F.col("k") * allowed), "sizes")
+        few = member.join(sizes.where("not many").select("cell", "most"), "cell")
+        outside = few.where("label != most")
+        # of a pair one lies outside the largest component of the cell: the smaller set, or else the larger one alone
+        pairs = pairs_within(outside, few).union(pairs_within(few.where("label = most"), outside))
+        part = F.pmod(F.xxhash64("node", F.lit(allowed)), F.ceil(F.col("k") / (2 * allowed))).alias("part")
+        crowd = keep(member.join(sizes.where("many").select("cell", "k", "lead"), "cell").select("cell", "pairs", part, F.struct("node", "n", "reach", "label").alias("own"), "lead"), "crowd")
+        stars = crowd.where((F.col("own.label") != F.col("lead.label")) & may_share("own", "lead")).select(*between("own.node", "lead.node"))
         a, b = (crowd.select("cell", "part", "own.*").alias(x) for x in "ab")
         inside = (F.col("a.cell") == F.col("b.cell")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.label") != F.col("b.label")) & (F.col("a.node") < F.col("b.node"))
-        some = a.join(b, inside & sized).select(*ordered("a.node", "b.node"))
-        todo = keep(pairs.union(stars).union(some).distinct(), "pairs")
+        some = a.join(b, inside & may_share("a", "b")).select(*between("a.node", "b.node"))
+        todo = pairs.union(stars).union(some).distinct()
+        if seen is not None:
+            todo = todo.join(seen, ["src", "dst"], "left_anti")
+        todo = keep(todo, "pairs")
         linked = keep(verified_links(todo, sets, similarity), "linked")
         every = linked if every is None else every.union(linked)
-        for old in (todo, sizes, member):
+        for old in (sizes, member):
             discard(old)
         if not crowd.limit(1).count():
             return every
+        seen = todo if seen is None else seen.union(todo)
         roots = components(every, sets.sparkSession)
         ends = every.select(F.col("src").alias("end")).union(every.select("dst")).groupBy("end").agg(F.count(F.lit(1)).alias("more"))
         state = keep(roots.join(ends, F.col("node") == F.col("end")).select(F.col("node").alias("end"), "root", "more"), "state")
-        rest = crowd.where(F.col("own.node") != F.col("lead.node")).select("cell", "own.node", "own.n", "own.before")
+        rest = crowd.where(F.col("own.node") != F.col("lead.node")).select("cell", "pairs", "own.node", "own.n", "own.reach")
         labelled = rest.join(state, F.col("node") == F.col("end"), "left")
-        member = keep(labelled.select("cell", "node", "n", "before", F.coalesce("root", "node").alias("label"), F.coalesce("more", F.lit(0)).cast("long").alias("links")), "members")
+        member = keep(labelled.select("cell", "node", "n", "reach", "pairs", F.coalesce("root", "node").alias("label"), F.coalesce("more", F.lit(0)).cast("long").alias("links")), "members")
         discard(crowd)
-        crowded *= 4
+        allowed *= 4
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -164,3 +164,45 @@ def test_equal_fingerprints_are_no_proof(spark):
     texts += [texts[0].upper(), "  ".join(texts[1].split(" "))]
     found = groups_of(spark, texts)
     assert found == [{0, 40}, {1, 41}, *[{k} for k in range(2, 40)]]
+
+
+def test_template_pages_form_no_pairs(spark, monkeypatch):
+    """20,000 documents of one template, each with words of its own: no link is possible, so none is looked for."""
+    rounds = []
+    plain = simhash.verified_links
+    monkeypatch.setattr(simhash, "verified_links", lambda pairs, sets, s: rounds.append(pairs.count()) or plain(pairs, sets, s))
+    template = " ".join(f"t{k}" for k in range(21))
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit(template), *[F.concat(F.lit(x), F.col("id").cast("string")) for x in "abc"]).alias("text"))
+    sets = simhash.keep(simhash.shingle_sets(simhash.keyed(docs), 5).select("node", "n", "s"), "sets")
+    assert simhash.similar_links(sets, 0.8).count() == 0
+    assert rounds == [0]
+
+
+def test_template_pages_with_near_copies_among_them(spark):
+    """The template's cell has a few sets that reach others and many that don't; the few are found."""
+    rng = random.Random(25)
+    template = [f"t{k}" for k in range(21)]
+    texts = [" ".join([*template, *[f"own{rng.getrandbits(40)}" for _ in range(4)]]) for _ in range(300)]
+    texts += [" ".join([*template, "tail"]), " ".join([*template, "other"])]
+    assert similar(texts[-1], texts[-2])
+    assert all(not similar(texts[0], t) for t in texts[-2:])
+    assert groups_of(spark, texts) == [*[{k} for k in range(300)], {300, 301}]
+
+
+def test_possible_members_lose_no_pair(spark):
+    """Cells of random sizes and reaches against all pairs."""
+    rng = random.Random(26)
+    rows = [(rng.randrange(6), k, n := rng.randrange(1, 30), rng.randrange(0, int(1.25 * n) + 1)) for k in range(400)]
+    cells = spark.createDataFrame(rows, "cell long, node long, n int, reach int")
+    want, bound = set(), {}
+    for c, a, n, r in rows:
+        for d, b, m, q in rows:
+            if c == d and a != b and n <= q and m <= r:
+                want.add((min(a, b), max(a, b)))
+    kept = simhash.possible_members(cells).collect()
+    assert {x for p in want for x in p} <= {r.node for r in kept}
+    for c in range(6):
+        bound[c] = sum(1 for a, b in want if rows[a][0] == c)
+        assert all(r.pairs >= bound[c] for r in kept if r.cell == c)
+    member = simhash.possible_members(cells).withColumn("label", F.col("node"))
+    assert {(r.src, r.dst) for r in simhash.pairs_within(member, member).collect()} == want
