@@ -7,19 +7,28 @@ additive leaves are asked for in several contexts over the same rows, all contex
 grain, whose exchange Spark reuses. Only the dimension tables that the query touches are joined: relationships are
 many-to-one left joins on a unique key, so leaving one out changes no row.
 
+Every leaf has a home, the table whose rows it aggregates. A leaf of another table than the view's own is aggregated over that table, at
+its own grain, under the dimensions and filters that reach it (many-to-one from there); those that don't, leave it alone. The
+results of several homes are stitched together on the dimensions that they share, so one query may have measures of several facts.
+
 Time functions change the set of visible days, as they do in the language: the calendar's days are grouped by the date dimensions
 of the query and moved, widened or cut; facts, aggregated by day, then join these days. The sets are of the calendar's
 size, whatever the facts' number. Filters on the date table choose the visible days, and never the facts of other periods.
+Where all days up to the last visible one count (to date, or FILTER over ALL with MAX), running sums take the place of that join: a
+distinct count counts each value on its first day.
 """
 
 from __future__ import annotations
 
+import copy
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from starweave.functions.scalar import FUNCTIONS, switch
@@ -33,6 +42,7 @@ ADDITIVE = {"SUM", "SUMX", "COUNTBLANK", *COUNTS}
 #: How partial results of a leaf are put together; other leaves need the rows.
 MERGE: dict[str, Callable[[Column], Column]] = dict.fromkeys(ADDITIVE, F.sum) | {"MIN": F.min, "MINX": F.min, "FIRSTDATE": F.min, "MAX": F.max, "MAXX": F.max, "LASTDATE": F.max, "HASBLANK": F.max}
 MERGE |= {k: (lambda c: F.coalesce(F.sum(c), F.lit(0))) for k in COUNTS}
+DISTINCT = ("DISTINCTCOUNT", "DISTINCTCOUNTNOBLANK")
 MONTHS = {"MONTH": 1, "QUARTER": 3, "YEAR": 12}
 PERIODS = ("DAY", *MONTHS)
 TO_DATE = {"YTD": "YEAR", "QTD": "QUARTER", "MTD": "MONTH"}
@@ -55,6 +65,7 @@ class Context:
     kept: frozenset | None = None  # ALLEXCEPT: all but these are ignored
     time: tuple = ()  # steps from the visible days to those that count, outermost first
     axis: tuple | None = None  # (table, column) of these days
+    home: str | None = None  # lower-case name of the table whose rows are aggregated; None for the view's own
     role: tuple | None = None  # (from table, from column, to table, to column) of the inactive relationship in use
 
 
@@ -107,6 +118,7 @@ class MetricView:
         self.extra: dict[str, str] = {}
         self.dimensions: dict[str, Dimension] = {}
         self.items = calculation_items or {}
+        self.root, self.homes = self, {}
         self.measures_by_name = {k: m.expression for k, (_, m) in model.measures().items()}
 
     # --- definition
@@ -128,6 +140,41 @@ class MetricView:
         table, column = found[0]  # the first name wins, fact first
         return Dimension(name, table, column.name, "date" if (column.data_type or "") in ("date",) else None)
 
+    # --- homes
+
+    def at(self, home: str | None) -> MetricView:
+        """The view with another table as its own; filters and dimensions that don't reach it have no effect there."""
+        if home is None:
+            return self.root
+        if home not in self.root.homes:
+            other = copy.copy(self.root)
+            other.fact = self.model.table(home)
+            self.root.homes[home] = other
+        return self.root.homes[home]
+
+    def reaches(self, node, role: tuple | None = None) -> bool:
+        """Whether all columns of an expression are the own table's or reachable from it; not if only some of them are."""
+        tables = {self.resolve(n)[1][0].lower() for n in walk(node) if isinstance(n, Ref) and self.resolve(n)[0] == "column"}
+        inside = tables & set(self.paths(role))
+        if inside and inside != tables:
+            raise DaxError(f"a filter over {sorted(tables)} reaches {self.fact.name} only in part")
+        return not tables or bool(inside)
+
+    def homed(self, context: Context, table: str) -> Context:
+        """The context as rows of ``table`` see it."""
+        home = table.lower()
+        if home == self.root.fact.name.lower():
+            return replace(context, home=None)
+        view = self.at(home)
+        role = context.role if context.role and context.role[0] in view.paths() else None
+        known = set(view.paths(role))
+        seen = {"filters": tuple(p for p in context.filters if view.reaches(p, role)), "role": role, "semi": tuple(s for s in context.semi if s[0].startswith(f"{snake(table)}__"))}
+        if home in context.removed:
+            seen["removed"] = context.removed | {"*"}
+        if context.axis is not None and context.axis[0].lower() not in known:
+            seen |= {"time": (), "axis": None}
+        return replace(context, home=home, **seen)
+
     # --- joins
 
     def paths(self, role: tuple | None = None) -> dict[str, list[Relationship]]:
@@ -199,7 +246,7 @@ class MetricView:
         if ref.table is None:
             if ref.name.lower() in self.measures_by_name:
                 return "measure", self.measures_by_name[ref.name.lower()]
-            own = [(t.name, c.name) for t in [self.fact, *self.reachable()] for c in t.columns if c.name.lower() == ref.name.lower()]
+            own = [(t.name, c.name) for t in [self.root.fact, *self.root.reachable()] for c in t.columns if c.name.lower() == ref.name.lower()]
             if not own:
                 raise DaxError(f"unknown measure or column [{ref.name}]")
             return "column", own[0]
@@ -259,7 +306,11 @@ class MetricView:
                 return switch(value, [(go(w), go(t)) for w, t in zip(pairs[::2], pairs[1::2], strict=True)], rest)
             if node.name in FUNCTIONS:
                 f, literal = FUNCTIONS[node.name]
-                return f(*[constant(a) if k in literal else go(a) for k, a in enumerate(node.args)])
+                values = [constant(a) if k in literal else go(a) for k, a in enumerate(node.args)]
+                try:
+                    return f(*values)
+                except (TypeError, PySparkException) as e:
+                    raise DaxError(f"{node.name} with {len(values)} arguments in this place") from e
             raise DaxError(f"{node.name} is not known here")
         if isinstance(node, TableRef):
             raise DaxError(f"table {node.name} where a value is needed")
@@ -281,30 +332,29 @@ class MetricView:
             return self.operation(node, go)
         name, args = node.name, node.args
         if name in AGGREGATES and len(args) == 1 and isinstance(args[0], Ref):
-            return self.aggregate(AGGREGATES[name], args[0], context, plan, name)
+            return self.aggregate(AGGREGATES[name], args[0], context, plan, name, self.table_of(args[0]))
         if name in ITERATORS:
             table, extra = self.real_table(args[0])
             if table is not None:
-                return self.aggregate(ITERATORS[name], args[1], replace(context, filters=context.filters + extra), plan, name)
+                return self.aggregate(ITERATORS[name], args[1], replace(context, filters=context.filters + extra), plan, name, self.named(table))
             return self.nested(ITERATORS[name], self.virtual(args[0]), args[1], context, plan)
         if name == "COUNTROWS":
             table, extra = self.real_table(args[0])
             inner = replace(context, filters=context.filters + extra)
-            if table is not None and table.name.lower() == self.fact.name.lower():
-                return self.aggregate(F.count, Lit(1), inner, plan, name)
-            if table is not None:  # rows of a dimension that the facts reach
-                return self.aggregate(F.count_distinct, Ref(table.name, self.paths()[table.name.lower()][-1].to_column), inner, plan, "DISTINCTCOUNT")
+            if table is not None:
+                return self.aggregate(F.count, Lit(1), inner, plan, name, self.named(table))
             if args[0].name in ("VALUES", "DISTINCT") and isinstance(args[0].args[0], Ref):
                 return self.measure(Call("DISTINCTCOUNT", args[0].args), inner, plan, seen)
             return self.nested(lambda v: F.count_if(v > 0), self.virtual(args[0]), Call("COUNTROWS", (TableRef(self.fact.name),)), context, plan)
         if name == "DISTINCTCOUNTNOBLANK":
-            return self.aggregate(F.count_distinct, args[0], context, plan, name)
+            return self.aggregate(F.count_distinct, args[0], context, plan, name, self.table_of(args[0]))
         if name == "DISTINCTCOUNT":
-            return self.aggregate(F.count_distinct, args[0], context, plan, name) + self.aggregate(lambda c: F.max(c.isNull().cast("int")), args[0], context, plan, "HASBLANK")
+            blank = self.aggregate(lambda c: F.max(c.isNull().cast("int")), args[0], context, plan, "HASBLANK", self.table_of(args[0]))
+            return self.aggregate(F.count_distinct, args[0], context, plan, name, self.table_of(args[0])) + blank
         if name == "COUNTBLANK":
-            return self.aggregate(lambda c: F.count_if(c.isNull()), args[0], context, plan, name)
+            return self.aggregate(lambda c: F.count_if(c.isNull()), args[0], context, plan, name, self.table_of(args[0]))
         if name in ("FIRSTDATE", "LASTDATE"):
-            return self.aggregate(F.min if name == "FIRSTDATE" else F.max, args[0], context, plan, name)
+            return self.aggregate(F.min if name == "FIRSTDATE" else F.max, args[0], context, plan, name, self.table_of(args[0]))
         if name in ("LASTNONBLANKVALUE", "FIRSTNONBLANKVALUE", "LASTNONBLANK", "FIRSTNONBLANK"):
             pick = F.max_by if name.startswith("LAST") else F.min_by
             key = lambda v, at: F.when(v.isNotNull(), at)
@@ -346,6 +396,20 @@ class MetricView:
             node = node.args[0]
         return (node, extra) if isinstance(node, TableRef) else (None, ())
 
+    def named(self, table: TableRef) -> str:
+        if (t := self.model.table(table.name)) is None:
+            raise DaxError(f"unknown table {table.name}")
+        return t.name
+
+    def table_of(self, ref) -> str:
+        """The table of a column that is aggregated."""
+        if not isinstance(ref, Ref):
+            raise DaxError("an aggregate needs a column")
+        kind, at = self.resolve(ref)
+        if kind == "measure":
+            raise DaxError(f"measure [{ref.name}] in a row context")
+        return at[0]
+
     def virtual(self, node) -> Virtual:
         if not isinstance(node, Call) or node.name not in VIRTUAL:
             raise DaxError(f"an iterator over {getattr(node, 'name', node)}")
@@ -394,6 +458,11 @@ class MetricView:
 
     def modified(self, arg, context: Context) -> Context:
         """The context under one filter argument of CALCULATE."""
+        if (opened := self.open_condition(arg)) is not None:
+            step, axis = opened
+            if context.axis not in (None, axis):
+                raise DaxError("time functions over two date columns at once")
+            return replace(context, time=(*context.time, step), axis=axis)
         if isinstance(arg, (Bin, Items)) or isinstance(arg, Call) and arg.name in ("NOT", "AND", "OR", "ISBLANK"):
             return replace(context, filters=(*context.filters, arg))
         if not isinstance(arg, Call):
@@ -427,6 +496,51 @@ class MetricView:
             raise DaxError("time functions over two date columns at once")
         return replace(context, time=(*context.time, *steps), axis=axis)
 
+    def open_condition(self, arg) -> tuple | None:
+        """(step, axis) of a condition over a table's values that looks at the outer context's first or last one, else None.
+
+        FILTER(ALL(table or columns), condition), a condition alone, or DATESBETWEEN with such a bound.
+        """
+        if isinstance(arg, Call) and arg.name == "FILTER" and isinstance(arg.args[0], Call) and arg.args[0].name == "ALL":
+            parts = conjuncts(arg.args[1])
+        elif isinstance(arg, Call) and arg.name == "DATESBETWEEN":
+            parts = [Bin(op, arg.args[0], v) for op, v in ((">=", arg.args[1]), ("<=", arg.args[2])) if v not in (Lit(None), Call("BLANK"))]
+        elif isinstance(arg, Bin):
+            parts = conjuncts(arg)
+        else:
+            return None
+        ends = {"MAX": "_high", "LASTDATE": "_high", "MIN": "_low", "FIRSTDATE": "_low"}
+        looks = lambda n: isinstance(n, Call) and n.name in ends and len(n.args) == 1 and self.is_column(n.args[0])
+        if not any(looks(n) for p in parts for n in walk(p)):
+            return None
+        turned = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
+        parts = [Bin(turned[p.op], p.right, p.left) if isinstance(p, Bin) and p.op in turned and not self.is_column(p.left) and self.is_column(p.right) else p for p in parts]
+        ordered = [self.resolve(p.left)[1] for p in parts if isinstance(p, Bin) and p.op in ("<", "<=", ">", ">=") and self.is_column(p.left)]
+        table = next(self.resolve(n.args[0])[1][0] for p in parts for n in walk(p) if looks(n))
+        axis = ordered[0] if ordered else next(((table, r.to_column) for r in self.model.relationships if r.to_table.lower() == table.lower()), None)
+        if axis is None:
+            raise DaxError(f"no axis for a condition over {table}")
+        names: dict[tuple, str] = {}
+
+        def inside(node):
+            if looks(node):
+                at = self.resolve(node.args[0])[1]
+                end = ends[node.name]
+                return Bound(end) if at == axis else Bound(("_most" if end == "_high" else "_least") + names.setdefault(at, f"_attribute{len(names)}"))
+            if isinstance(node, Ref):
+                kind, at = self.resolve(node)
+                if kind == "measure" or at[0] != axis[0]:
+                    raise DaxError(f"[{node.name}] in a condition over {axis[0]}")
+                return Bound("_at") if at == axis else Bound(names.setdefault(at, f"_attribute{len(names)}"))
+            if isinstance(node, Call):
+                return Call(node.name, tuple(map(inside, node.args)))
+            if isinstance(node, Bin):
+                return Bin(node.op, inside(node.left), inside(node.right))
+            return Neg(inside(node.value)) if isinstance(node, Neg) else node
+
+        conditions = tuple(map(inside, parts))
+        return ("range", (conditions, tuple(names.items())), "DAY"), axis
+
     def time_steps(self, node) -> tuple[tuple, tuple]:
         """The steps of a time function, innermost first, and the column that they go over."""
         if isinstance(node, Ref):
@@ -461,19 +575,24 @@ class MetricView:
         steps, axis = self.time_steps(a[0])
         return (*steps, step), axis
 
-    def aggregate(self, function: Callable, expression, context: Context, plan: Plan, kind: str) -> Column:
+    def aggregate(self, function: Callable, expression, context: Context, plan: Plan, kind: str, table: str) -> Column:
+        """A leaf over the rows of ``table``."""
+        context = self.homed(context, table)
+        view = self.at(context.home)
+        if kind in ("AVERAGE", "AVERAGEX") and context.time:  # its parts can be put together, it can't
+            total, n = (self.aggregate(f, expression, context, plan, k, table) for f, k in ((F.sum, "SUMX"), (F.count, "COUNTX")))
+            return F.try_divide(total, n)
+
+        def value(used: set[str]) -> Column:
+            return F.when(view.holds(context, used), view.row(expression, used)) if context.filters else view.row(expression, used)
+
         def build(used: set[str]) -> Column:
-            value = self.row(expression, used)
-            if context.filters:
-                predicate = self.row(context.filters[0], used)
-                for p in context.filters[1:]:
-                    predicate = predicate & self.row(p, used)
-                if kind in ("COUNTBLANK", "HASBLANK"):
-                    inner = F.when(predicate, value.isNull().cast("int")).otherwise(0)
-                    return F.sum(inner) if kind == "COUNTBLANK" else F.max(inner)
-                value = F.when(predicate, value)
-            return function(value)
+            if context.filters and kind in ("COUNTBLANK", "HASBLANK"):
+                inner = F.when(view.holds(context, used), view.row(expression, used).isNull().cast("int")).otherwise(0)
+                return F.sum(inner) if kind == "COUNTBLANK" else F.max(inner)
+            return function(value(used))
 
+        build.value = value
         return F.col(plan.leaf(expression, context, build, kind in ADDITIVE, kind))
 
     def nested(self, function: Callable, table: Virtual, expression, context: Context, plan: Plan, given=None) -> Column:
@@ -494,12 +613,13 @@ class MetricView:
         if real is None:
             held = (lambda v: text(F.collect_list(F.when(v.isNotNull(), F.struct((v if order is None else F.col("_given")).alias("k"), v.alias("v"))))))
             return self.nested(held, self.virtual(args[0]), args[1], context, plan, given=order)
-        inner = replace(context, filters=context.filters + extra)
+        inner = self.homed(replace(context, filters=context.filters + extra), self.named(real))
+        view = self.at(inner.home)
 
         def build(used: set) -> Column:
-            v = self.row(args[1], used)
-            pair = F.struct((v if order is None else self.row(order, used)).alias("k"), v.alias("v"))
-            return text(F.collect_list(F.when(self.holds(inner, used) & v.isNotNull(), pair)))
+            v = view.row(args[1], used)
+            pair = F.struct((v if order is None else view.row(order, used)).alias("k"), v.alias("v"))
+            return text(F.collect_list(F.when(view.holds(inner, used) & v.isNotNull(), pair)))
 
         return F.col(plan.leaf(args, inner, build, False, "CONCATENATEX"))
 
@@ -545,21 +665,31 @@ class MetricView:
             signs[alias] = (signature, kind, context.filters)
             special = alias if kind.startswith("NESTED") or kind == "RANKX" else False
             groups.setdefault((replace(context, filters=()), special), []).append((alias, build, additive, context, kind))
-        plain = (anchor, False)
-        if not groups or plain not in groups and [*dims, *keys]:
-            groups = {plain: groups.get(plain, [])} | groups
-        kept = {c: [d for d in dims if not self.ignores(d, c)] + [k for k in keys if not self.ignores_key(k, c, anchor)] for c, _ in groups}
-        shared = self.finest(groups, kept, where, signs)
-        out = None
-        for (context, special), leaves in sorted(groups.items(), key=lambda g: g[0] != plain):
-            own = kept[context]
+        every = [*dims, *keys]
+        # the groups are those of the tables that have leaves and that all dimensions reach
+        homes = list(dict.fromkeys(None if special else c.home for c, special in groups)) or [None]
+        reached = {h: set(self.at(h).paths()) for h in homes}
+        full = [h for h in homes if all(d.table.lower() in reached[h] for d in every)] or [None]
+        anchors = [(anchor if h is None else self.homed(anchor, h), False) for h in full]
+        if every or not groups:
+            groups = {a: groups.get(a, []) for a in anchors} | groups
+        here = lambda d, c: c.home is None or d.table.lower() in set(self.at(c.home).paths(c.role))
+        kept = {c: [d for d in dims if here(d, c) and not self.ignores(d, c)] + [k for k in keys if here(k, c) and not self.ignores_key(k, c, anchor)] for c, _ in groups}
+        shared = {h: self.at(h).finest({g: leaves for g, leaves in groups.items() if g[0].home == h}, kept, where, signs) for h in {c.home for c, _ in groups}}
+
+        def part(context: Context, special: object, leaves: list) -> DataFrame:
+            own, view = kept[context], self.at(context.home)
             if special:
-                part = self.rank_part(own, leaves[0], where) if leaves[0][4] == "RANKX" else self.nest(own, leaves[0], where)
-            elif shared is not None:
-                part = self.derived(shared, own, leaves, where, context)
-            else:
-                part = self.group(own, leaves, where, context)
-            out = part if out is None else self.attach(out, part, own)
+                return self.rank_part(own, leaves[0], where) if leaves[0][4] == "RANKX" else self.nest(own, leaves[0], where)
+            if shared[context.home] is not None:
+                return view.derived(shared[context.home], own, leaves, where, context)
+            return view.group(own, leaves, where, context)
+
+        first = anchors if every else list(groups)[:1]
+        out = stitched([part(*g, groups[g]) for g in first], [d.name for d in kept[first[0][0]]])
+        for g, leaves in groups.items():
+            if g not in first:
+                out = self.attach(out, part(*g, leaves), kept[g[0]])
         return out
 
     def ignores(self, d: Dimension, c: Context) -> bool:
@@ -572,15 +702,17 @@ class MetricView:
 
     def period(self, d: Dimension, used: set) -> Column:
         used.add(d.table.lower())
-        c = F.col(qualified(d.table, d.column))
-        return {None: c, "date": c.cast("date"), "month": F.trunc(c, "month"), "quarter": F.trunc(c, "quarter"), "year": F.year(c)}[d.grain]
+        return grained(F.col(qualified(d.table, d.column)), d.grain)
 
     # --- filters
 
     def filtered(self, where, context: Context) -> tuple[list, list]:
         """The predicates that hold for the rows, and those that choose the visible days of a time context."""
-        rows, days = [self.base_filter] if self.base_filter else [], []
+        reach = lambda p: context.home is None or self.reaches(p, context.role)
+        rows, days = [p for p in conjuncts(self.base_filter) if reach(p)] if self.base_filter else [], []
         for part in conjuncts(where) if where is not None else []:
+            if not reach(part):
+                continue
             columns = [self.resolve(n)[1] for n in walk(part) if isinstance(n, Ref)]
             if columns and all(self.ignores(Dimension("", *c), context) for c in columns):
                 continue
@@ -608,9 +740,16 @@ class MetricView:
         values = [self.period(d, used).alias(d.name) for d in dims if d not in moving]
         aggregates = [build(used).alias(alias) for alias, build, *_ in leaves]
         day = self.day(context, used) if context.time else None
+        running = running_step(context) and all(kind in MERGE or kind in DISTINCT for *_, kind in leaves)
+        first = {alias: build.value(used) for alias, build, *_, kind in leaves if running and kind in DISTINCT}
         rows = self.frame(used, context.role, context.semi)
         for p in found:
             rows = rows.where(p)
+        if running:
+            names = [d.name for d in dims if d not in moving]
+            daily = rows.groupBy(day.alias("_fact_day"), *values).agg(*[a for a, leaf in zip(aggregates, leaves, strict=True) if leaf[0] not in first]) if len(first) < len(leaves) else rows.select(day.alias("_fact_day"), *values).distinct()
+            firsts = [first_days(rows, v.alias("_v"), day.alias("_fact_day"), values, names, context, alias) for alias, v in first.items()]
+            return self.upto(daily, firsts, dims, names, leaves, day_predicates, context)
         if context.time:
             days = self.visible(moving, day_predicates, context)
             if all(kind in MERGE for *_, kind in leaves):
@@ -622,6 +761,43 @@ class MetricView:
             return rows.select(*values).distinct()
         return rows.groupBy(*values).agg(*aggregates) if values else rows.agg(*aggregates)
 
+    def upto(self, daily: DataFrame, firsts: list[DataFrame], dims: list[Dimension], names: list[str], leaves: list, predicates: list, context: Context) -> DataFrame:
+        """Leaves over all days up to each group's last visible day, since the period's begin or ever, by running sums.
+
+        A combination of the other keys has as many rows in a window as it has days, whatever the facts' number; where the axis
+        isn't of days, the windows are cut into parts, and what comes before each part is added.
+        """
+        for f in firsts:
+            daily = daily.unionByName(f, allowMissingColumns=True)
+        keys, at = [F.col(f"`{n}`") for n in names], F.col("_fact_day")
+        kinds = {alias: kind for alias, *_, kind in leaves}
+        whole = {alias: F.min if MERGE.get(kind) is F.min else F.max if MERGE.get(kind) is F.max else F.sum for alias, kind in kinds.items()}
+        if firsts:
+            daily = daily.groupBy(at, *keys).agg(*[f(a).alias(a) for a, f in whole.items()])
+        daily = daily.where("_fact_day is not null")
+        period = period_of(context, at)
+        if self.is_date(context.axis):
+            inside = Window.partitionBy(*keys, *period).orderBy(at)
+            so_far = daily.withColumns({a: f(a).over(inside) for a, f in whole.items()})
+        else:
+            so_far = running_totals(daily, names, "_fact_day", whole)
+        zero = [a for a, kind in kinds.items() if kind in COUNTS or kind in DISTINCT]
+        so_far = so_far.withColumns({a: F.coalesce(F.col(a), F.lit(0)) for a in zero})
+        moving = [d for d in dims if d.name not in names]
+        direct = all((d.table, d.column) == context.axis and (d.grain or not self.is_date(context.axis)) for d in moving)
+        if direct and not predicates:
+            so_far = so_far.withColumns({d.name: grained(at, d.grain) for d in moving})
+        else:
+            seen = self.calendar(context.axis)
+            for p in predicates:
+                seen = seen.where(self.row(p, set()))
+            days = seen.select(*[self.period(d, set()).alias(d.name) for d in moving], self.axis_value(context.axis).alias("_day")).distinct()
+            so_far = so_far.join(days, at == F.col("_day"))
+        held = F.max_by(F.struct(*kinds), at).alias("_held") if kinds else F.first(at).alias("_held")
+        out = [F.col(f"`{d.name}`") for d in dims]
+        last = so_far.groupBy(*out).agg(held) if dims else so_far.agg(held)
+        return last.select(*out, *[F.col(f"_held.{a}").alias(a) for a in kinds])
+
     def over_days(self, daily: DataFrame, dims: list[Dimension], names: list[str], leaves: list, days: DataFrame) -> DataFrame:
         """Leaves by day put together over each group's days. No row is lost to the null-safe join; the days hold no null."""
         slim = daily.select("_fact_day", *[F.col(f"`{n}`") for n in names], *[alias for alias, *_ in leaves])
@@ -669,6 +845,11 @@ class MetricView:
         if context.time:
             moving = [d for d in dims if self.on_axis(d, context)]
             own = frame.select("_fact_day", *[F.col(f"`{d.name}`") for d in dims if d not in moving], *[F.col(names[alias]).alias(alias) for alias, *_ in leaves])
+            if running_step(context):
+                others = [d.name for d in dims if d not in moving]
+                day_keys = [F.col(f"`{n}`") for n in others]
+                merged = [MERGE[kind](F.col(alias)).alias(alias) for alias, *_, kind in leaves]
+                return self.upto(own.groupBy("_fact_day", *day_keys).agg(*merged), [], dims, others, leaves, [], context)
             return self.over_days(own, dims, [d.name for d in dims if d not in moving], leaves, self.visible(moving, [], context))
         keys = [F.col(f"`{d.name}`") for d in dims]
         if not by_day and {d.name for d in dims} == every:
@@ -680,11 +861,19 @@ class MetricView:
 
     def day(self, context: Context, used: set) -> Column:
         used.add(context.axis[0].lower())
-        return F.col(qualified(*context.axis)).cast("date")
+        return self.axis_value(context.axis)
+
+    def is_date(self, axis: tuple) -> bool:
+        """Whether an axis is of days: it is unless it holds numbers."""
+        return not isinstance(self.load(axis[0]).schema[qualified(*axis)].dataType, NumericType)
+
+    def axis_value(self, axis: tuple) -> Column:
+        c = F.col(qualified(*axis))
+        return c.cast("date") if self.is_date(axis) else c
 
     def calendar(self, axis: tuple) -> DataFrame:
         """The days of a date table; for a date column of the fact, all days of the years that it spans."""
-        if axis[0] != self.fact.name:
+        if axis[0] != self.fact.name or not self.is_date(axis):
             return self.load(axis[0])
         name = qualified(*axis)
         span = self.load(axis[0]).agg(F.trunc(F.min(name), "year").alias("a"), F.trunc(F.max(name), "year").alias("b"))
@@ -692,17 +881,50 @@ class MetricView:
 
     def visible(self, dims: list[Dimension], predicates: list, context: Context) -> DataFrame:
         """``_day`` of each group of the date dimensions, after the context's steps."""
-        if not dims and not predicates:
+        if not dims and not predicates and context.time[0][0] != "range":
             raise DaxError("another period needs a date dimension or a filter on dates")
         rows = self.calendar(context.axis)
         for p in predicates:
             rows = rows.where(self.row(p, set()))
-        day = F.col(qualified(*context.axis)).cast("date")
+        day = self.axis_value(context.axis)
         days = rows.select(*[self.period(d, set()).alias(d.name) for d in dims], day.alias("_day")).where("_day is not null")
         for step in context.time:
-            days = moved(days, [d.name for d in dims], step, self.row)
+            days = self.ranged(days, [d.name for d in dims], step, context) if step[0] == "range" else moved(days, [d.name for d in dims], step, self.row)
         return days
 
+    def ranged(self, days: DataFrame, names: list[str], step: tuple, context: Context) -> DataFrame:
+        """The calendar's days for which an open condition holds, given the first and last visible day of each group."""
+        _, (conditions, attributes), _ = step
+        if not self.is_date(context.axis):
+            raise DaxError("a condition over MAX and MIN of other values than dates can only be 'up to MAX'")
+        whole = self.calendar(context.axis).select(self.axis_value(context.axis).alias("_at"), *[F.col(qualified(*c)).alias(n) for c, n in attributes]).where("_at is not null").distinct()
+        keys = [F.col(f"`{n}`") for n in names]
+        ends = [F.min("_day").alias("_low"), F.max("_day").alias("_high")]
+        if attributes:
+            days = days.join(whole, F.col("_day") == F.col("_at"))
+            ends += [f(n).alias(f"{end}{n}") for _, n in attributes for f, end in ((F.min, "_least"), (F.max, "_most"))]
+        span = days.groupBy(*keys).agg(*ends) if keys else days.agg(*ends)
+        equal = None
+        for c, n in attributes:
+            for p in conditions:
+                if isinstance(p, Bin) and p.op == "=" and p.left == Bound(n) and isinstance(p.right, Bound):
+                    same = F.col(n) == F.col(p.right.name)
+                    equal = same if equal is None else equal & same
+        if equal is None:  # every day from the first to the last that the conditions allow
+            reach = whole.agg(F.min("_at").alias("_begin"), F.max("_at").alias("_end"))
+            bounds = lambda *ops: [self.row(p.right, set()).cast("date") for p in conditions if isinstance(p, Bin) and p.left == Bound("_at") and p.op in ops]
+            lows, highs = bounds(">", ">=", "="), bounds("<", "<=", "=")
+            span = span.crossJoin(F.broadcast(reach))  # one row
+            span = span.withColumns({"_from": F.greatest("_begin", *lows) if lows else F.col("_begin"), "_till": F.least("_end", *highs) if highs else F.col("_end")})
+            found = span.where("_from <= _till").withColumn("_at", F.explode(F.sequence("_from", "_till")))
+            if attributes:
+                found = found.join(whole, "_at")
+        else:
+            found = span.join(whole, equal)
+        for p in conditions:
+            found = found.where(self.row(p, set()))
+        return found.select(*keys, F.col("_at").alias("_day")).distinct()
+
     # --- iterators and ranks
 
     def nest(self, dims: list[Dimension], leaf: tuple, where) -> DataFrame:
@@ -820,6 +1042,17 @@ def qualified(table: str, column: str) -> str:
     return f"{snake(table)}__{snake(column)}"
 
 
+def stitched(parts: list[DataFrame], dims: list[str]) -> DataFrame:
+    """Results of several tables side by side: one row for each group that any of them has."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    if len(parts) == 1:
+        return out
+    leaves = [F.first(c, ignorenulls=True).alias(c) for c in out.columns if c not in dims]
+    return out.groupBy(*[F.col(f"`{d}`") for d in dims]).agg(*leaves) if leaves else out.distinct()
+
+
 def constant(node) -> object:
     if isinstance(node, Lit):
         return node.value
@@ -830,6 +1063,52 @@ def constant(node) -> object:
     raise DaxError("a constant is needed here")
 
 
+def grained(c: Column, grain: str | None) -> Column:
+    return {None: lambda: c, "date": lambda: c.cast("date"), "month": lambda: F.trunc(c, "month"), "quarter": lambda: F.trunc(c, "quarter"), "year": lambda: F.year(c)}[grain]()
+
+
+#: The open condition under which running sums do: everything up to the last visible value of the axis.
+UP_TO_LAST = ("range", ((Bin("<=", Bound("_at"), Bound("_high")),), ()), "DAY")
+
+
+def running_step(context: Context) -> bool:
+    """Whether the context's days are those up to the last visible one, of the same period or of all."""
+    return len(context.time) == 1 and (context.time[0][0] == "to_date" or context.time[0] == UP_TO_LAST)
+
+
+def period_of(context: Context, day: Column) -> list[Column]:
+    kind, _, unit = context.time[0]
+    return [first_of(day, unit).alias("_period")] if kind == "to_date" else []
+
+
+def first_days(rows: DataFrame, value: Column, day: Column, keys: list[Column], names: list[str], context: Context, alias: str) -> DataFrame:
+    """``alias``: how many values have their first day of the period, or ever, on each ``_fact_day`` of the keys."""
+    slim = rows.select(value, day, *keys).where("_v is not null and _fact_day is not null")
+    own = [F.col(f"`{n}`") for n in names]
+    first = slim.groupBy("_v", *own, *period_of(context, F.col("_fact_day"))).agg(F.min("_fact_day").alias("_fact_day"))
+    return first.groupBy("_fact_day", *own).agg(F.count(F.lit(1)).alias(alias))
+
+
+def running_totals(rows: DataFrame, keys: list[str], order: str, whole: dict[str, Callable]) -> DataFrame:
+    """Running aggregates of ``rows`` (one for each of the keys and ``order``) without a window over all of a key's rows.
+
+    The axis is cut at 200 quantiles; aggregates run inside the parts, and what the parts before hold is added.
+    """
+    marks = rows.agg(F.percentile_approx(F.col(order).cast("double"), [k / 200 for k in range(1, 200)], 2000).alias("_marks"))
+    dealt = rows.crossJoin(F.broadcast(marks)).withColumn("_part", F.size(F.filter(F.coalesce("_marks", F.array().cast("array<double>")), lambda m: m < F.col(order).cast("double")))).drop("_marks")  # one row of 199 marks
+    own = [F.col(f"`{k}`") for k in keys]
+    parts = dealt.groupBy(*own, "_part").agg(*[f(a).alias(f"_all{a}") for a, f in whole.items()])
+    before = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*[c.alias(f"_own{i}") for i, c in enumerate(own)], F.col("_part").alias("_of"), *[f(f"_all{a}").over(before).alias(f"_before{a}") for a, f in whole.items()])
+    on = F.col("_part") == F.col("_of")
+    for i, c in enumerate(own):
+        on = on & c.eqNullSafe(F.col(f"_own{i}"))
+    inside = Window.partitionBy(*own, "_part").orderBy(order)
+    both = {F.sum: lambda x, y: F.when(x.isNull(), y).when(y.isNull(), x).otherwise(x + y), F.min: F.least, F.max: F.greatest}
+    found = dealt.withColumns({a: f(a).over(inside) for a, f in whole.items()}).join(parts, on)
+    return found.select(order, *own, *[both[f](F.col(a), F.col(f"_before{a}")).alias(a) for a, f in whole.items()])
+
+
 def conjuncts(node) -> list:
     return [*conjuncts(node.left), *conjuncts(node.right)] if isinstance(node, Bin) and node.op == "&&" else [node]
 

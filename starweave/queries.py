@@ -102,6 +102,92 @@ view_query("third_fact_events", {"event_type": "kind"}, {"Events": "events", "Ev
 
 PRIOR = "SELECT a.m AS month, round(a.v, 2) AS revenue, round(b.v, 2) AS prior FROM x a LEFT JOIN x b ON b.m = CAST(a.m - INTERVAL 12 MONTH AS DATE)"
 DAYS = f"SELECT CAST(o.o_orderdate AS DATE) AS d, sum(l.l_extendedprice) AS v FROM {STAR} GROUP BY 1"
+# Leaves at their own table's grain, and several facts in one query.
+CUSTOMERS = "customer c LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey LEFT JOIN region r ON n.n_regionkey = r.r_regionkey"
+ORDERED = f"orders o LEFT JOIN {CUSTOMERS.replace('customer c', 'customer c ON o.o_custkey = c.c_custkey')}"
+
+
+def side_by_side(keys: list[str], names: list[str], parts: dict[str, str]) -> str:
+    """SQL that stitches subqueries with the same keys: one row for each key that any of them has."""
+    rows = " UNION ALL ".join(f"SELECT {', '.join([*keys, *[c if c in cols.split() else f'NULL AS {c}' for c in names]])} FROM ({part})" for part, cols in parts.items())
+    return f"SELECT {', '.join([*keys, *[f'max({c}) AS {c}' for c in names]])} FROM ({rows}) GROUP BY {', '.join(keys)}"
+
+
+view_query(
+    "balance_by_region", {"Region": "region"},
+    {"Balance": "balance", "Average Balance": "average", "Lowest Balance": "low", "Highest Balance": "high", "Customers on File": "customers", "Customers in Credit": "in_credit", "Balance by Nation Number": "weighed", "Segments on File": "segments"},
+    f"""SELECT r.r_name AS region, round(sum(c_acctbal), 2) AS balance, round(avg(c_acctbal), 4) AS average, round(min(c_acctbal), 2) AS low, round(max(c_acctbal), 2) AS high, count(*) AS customers,
+    count(*) FILTER (WHERE c_acctbal > 5000) AS in_credit, round(sum(c_acctbal * n_nationkey), 2) AS weighed, count(DISTINCT c_mktsegment) + max(CASE WHEN c_mktsegment IS NULL THEN 1 ELSE 0 END) AS segments FROM {CUSTOMERS} GROUP BY 1""", digits={"average": 4},
+)
+view_query(
+    "several_facts_by_region", {"Region": "region"},
+    {"Total Revenue": "revenue", "Order Total": "order_total", "Urgent Orders": "urgent", "Balance": "balance", "Supplier Balance": "supplier_balance", "Revenue per Balance": "ratio"},
+    f"""SELECT *, round(revenue / balance, 6) AS ratio, (SELECT round(sum(s_acctbal), 2) FROM supplier) AS supplier_balance FROM ({side_by_side(["region"], ["revenue", "order_total", "urgent", "balance"], {
+        f"SELECT r.r_name AS region, round(sum(l_extendedprice), 2) AS revenue FROM {STAR} GROUP BY 1": "revenue",
+        f"SELECT r.r_name AS region, round(sum(o_totalprice), 2) AS order_total, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS urgent FROM {ORDERED} GROUP BY 1": "order_total urgent",
+        f"SELECT r.r_name AS region, round(sum(c_acctbal), 2) AS balance FROM {CUSTOMERS} GROUP BY 1": "balance",
+    })})""", digits={"ratio": 6},
+)
+view_query(
+    "several_facts_by_year", {"Order Year": "year", "Segment": "segment"}, {"Lines": "n_lines", "Orders": "orders", "Order Total Prior Year": "prior", "Balance": "balance", "Balance Prior Year": "balance_prior"},
+    f"""WITH o AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, c_mktsegment AS segment, count(*) AS orders, round(sum(o_totalprice), 2) AS total FROM {ORDERED} GROUP BY 1, 2),
+    l AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, c_mktsegment AS segment, count(*) AS n_lines FROM {STAR} GROUP BY 1, 2), b AS (SELECT c_mktsegment AS segment, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY 1),
+    k AS (SELECT year, segment FROM o UNION SELECT year, segment FROM l)
+    SELECT k.year, k.segment, l.n_lines, o.orders, p.total AS prior, b.balance, b.balance AS balance_prior FROM k LEFT JOIN l ON l.year IS NOT DISTINCT FROM k.year AND l.segment IS NOT DISTINCT FROM k.segment
+    LEFT JOIN o ON o.year IS NOT DISTINCT FROM k.year AND o.segment IS NOT DISTINCT FROM k.segment LEFT JOIN o p ON p.year = k.year - 1 AND p.segment IS NOT DISTINCT FROM k.segment LEFT JOIN b ON b.segment IS NOT DISTINCT FROM k.segment""",
+)
+view_query(
+    "filters_that_reach", {"Nation": "nation"}, {"Balance": "balance", "Balance of Returners": "returners", "Balance Everywhere": "everywhere", "Balance of Everyone": "everyone", "Suppliers on File": "suppliers"},
+    f"""SELECT n.n_name AS nation, round(sum(c_acctbal), 2) AS balance, round(sum(c_acctbal), 2) AS returners, round(sum(c_acctbal), 2) AS everywhere,
+    (SELECT round(sum(c_acctbal), 2) FROM customer) AS everyone, (SELECT count(*) FROM supplier) AS suppliers FROM {CUSTOMERS} WHERE r_name = 'ASIA' AND c_acctbal > 0 GROUP BY 1""",
+    where='region[r_name] = "ASIA" && customer[c_acctbal] > 0 && part[p_size] > 10',
+)
+view_query("balance_by_brand", {"Brand": "brand"}, {"Lines": "n_lines", "Balance": "balance"}, f"SELECT p_brand AS brand, count(*) AS n_lines, (SELECT round(sum(c_acctbal), 2) FROM customer) AS balance FROM {STAR} GROUP BY 1")
+view_query("balance_of_segments", {"Region": "region"}, {"Balance of Segments": "balance"}, f"SELECT k.region, round(avg(v), 2) AS balance FROM (SELECT DISTINCT r.r_name AS region FROM {STAR}) k LEFT JOIN (SELECT r.r_name AS region, c_mktsegment, sum(c_acctbal) AS v FROM {CUSTOMERS} GROUP BY 1, 2) b ON b.region IS NOT DISTINCT FROM k.region GROUP BY 1")
+view_query("lines_seen_from_orders", {"Segment": "segment"}, {"Orders": "orders", "Total Revenue": "revenue"}, side_by_side(["segment"], ["orders", "revenue"], {
+    f"SELECT c_mktsegment AS segment, count(*) AS orders FROM {ORDERED} GROUP BY 1": "orders", f"SELECT c_mktsegment AS segment, round(sum(l_extendedprice), 2) AS revenue FROM {STAR} GROUP BY 1": "revenue"}), fact="orders")
+
+# Open-ended contexts: everything up to the last visible value.
+BY_MONTH = f"SELECT CAST(year(o_orderdate) * 100 + month(o_orderdate) AS INTEGER) AS ym, CAST(date_trunc('month', o.o_orderdate) AS DATE) AS m, sum(l.l_extendedprice) AS v, max(l_extendedprice) AS high, sum(l_discount) AS d, count(l_discount) AS n FROM {STAR} GROUP BY 1, 2"
+view_query(
+    "cumulative_by_filter", {"Order Month": "month"},
+    {"Revenue to Now": "by_filter", "Revenue to Now by Variable": "by_variable", "Revenue to Now by Bounds": "by_bounds", "Revenue before Now": "before", "Highest Price to Now": "high", "Average Discount YTD": "discount", "Revenue YTD by Filter": "ytd"},
+    f"""WITH x AS ({BY_MONTH}) SELECT m AS month, round(sum(v) OVER w, 2) AS by_filter, round(sum(v) OVER w, 2) AS by_variable, round(sum(v) OVER w, 2) AS by_bounds,
+    round(sum(v) OVER (ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 2) AS before, round(max(high) OVER w, 2) AS high,
+    round(sum(d) OVER y / sum(n) OVER y, 8) AS discount, round(sum(v) OVER y, 2) AS ytd FROM x WINDOW w AS (ORDER BY m), y AS (PARTITION BY year(m) ORDER BY m)""", digits={"discount": 8},
+)
+view_query(
+    "cumulative_by_region_and_year", {"Region": "region", "Order Year": "year"}, {"Revenue to Now": "revenue", "Orders to Now": "orders", "Revenue to Now a Year Ago": "year_ago"},
+    f"""WITH x AS (SELECT r.r_name AS region, CAST(year(o_orderdate) AS INTEGER) AS year, sum(l_extendedprice) AS v FROM {STAR} GROUP BY 1, 2), o AS (SELECT r.r_name AS region, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM {ORDERED} GROUP BY 1, 2),
+    k AS (SELECT region, year FROM x UNION SELECT region, year FROM o),
+    s AS (SELECT k.region, k.year, sum(v) OVER w AS v, sum(n) OVER w AS n FROM k LEFT JOIN x ON x.region IS NOT DISTINCT FROM k.region AND x.year = k.year LEFT JOIN o ON o.region IS NOT DISTINCT FROM k.region AND o.year = k.year WINDOW w AS (PARTITION BY k.region ORDER BY k.year))
+    SELECT a.region, a.year, round(a.v, 2) AS revenue, CAST(a.n AS BIGINT) AS orders, round(b.v, 2) AS year_ago FROM s a LEFT JOIN s b ON b.region IS NOT DISTINCT FROM a.region AND b.year = a.year - 1""",
+)
+view_query("cumulative_under_date_filter", {"Order Month": "month"}, {"Revenue to Now": "revenue"}, f"WITH x AS ({BY_MONTH}) SELECT month, revenue FROM (SELECT m AS month, round(sum(v) OVER (ORDER BY m), 2) AS revenue FROM x) WHERE year(month) >= 1996 AND month(month) <> 2", where="'Date'[Year] >= 1996 && 'Date'[Month] <> 2")
+view_query("trailing_days_by_filter", {"Order Day": "day"}, {"Revenue 90 Days by Filter": "revenue"}, f"WITH x AS ({DAYS}) SELECT d AS day, round(sum(v) OVER (ORDER BY d RANGE BETWEEN INTERVAL 89 DAY PRECEDING AND CURRENT ROW), 2) AS revenue FROM x")
+view_query(
+    "suppliers_by_day_to_date", {"Order Day": "day", "Region": "region"}, {"Suppliers YTD": "ytd", "Suppliers to Now": "ever"},
+    f"""WITH k AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, r.r_name AS g FROM {STAR}), f AS (SELECT r.r_name AS g, l_suppkey AS s, year(o_orderdate) AS y, min(CAST(o_orderdate AS DATE)) AS d FROM {STAR} GROUP BY 1, 2, 3),
+    e AS (SELECT g, s, min(d) AS d FROM f GROUP BY 1, 2), ny AS (SELECT d, g, count(*) AS n FROM f GROUP BY 1, 2), ne AS (SELECT d, g, count(*) AS n FROM e GROUP BY 1, 2)
+    SELECT k.d AS day, k.g AS region, CAST(sum(coalesce(ny.n, 0)) OVER (PARTITION BY k.g, year(k.d) ORDER BY k.d) AS BIGINT) AS ytd, CAST(sum(coalesce(ne.n, 0)) OVER (PARTITION BY k.g ORDER BY k.d) AS BIGINT) AS ever
+    FROM k LEFT JOIN ny ON ny.d = k.d AND ny.g IS NOT DISTINCT FROM k.g LEFT JOIN ne ON ne.d = k.d AND ne.g IS NOT DISTINCT FROM k.g""",
+)
+view_query(
+    "suppliers_by_customer_to_date", {"c_custkey": "customer", "Order Month": "month"}, {"Suppliers YTD": "ytd"},
+    f"""WITH x AS (SELECT c_custkey AS c, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, l_suppkey AS s FROM {STAR}), f AS (SELECT c, s, year(m) AS y, min(m) AS m FROM x GROUP BY 1, 2, 3), n AS (SELECT c, m, count(*) AS n FROM f GROUP BY 1, 2)
+    SELECT k.c AS customer, k.m AS month, CAST(sum(coalesce(n, 0)) OVER (PARTITION BY k.c, year(k.m) ORDER BY k.m) AS BIGINT) AS ytd FROM (SELECT DISTINCT c, m FROM x) k LEFT JOIN n ON n.c IS NOT DISTINCT FROM k.c AND n.m = k.m""",
+)
+view_query(
+    "customers_to_date", {"Order Month": "month"}, {"Customers to Date": "customers", "Order Total YTD": "total"},
+    """WITH x AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS m, o_custkey AS c, o_totalprice AS v FROM orders), f AS (SELECT c, year(m) AS y, min(m) AS m FROM x WHERE c IS NOT NULL GROUP BY 1, 2), n AS (SELECT m, count(*) AS n FROM f GROUP BY 1),
+    k AS (SELECT m, max(CASE WHEN c IS NULL THEN 1 ELSE 0 END) AS blank, sum(v) AS v FROM x GROUP BY 1)
+    SELECT k.m AS month, CAST(sum(coalesce(n, 0)) OVER w + max(blank) OVER w AS BIGINT) AS customers, round(sum(v) OVER w, 2) AS total FROM k LEFT JOIN n ON n.m = k.m WINDOW w AS (PARTITION BY year(k.m) ORDER BY k.m)""", fact="orders",
+)
+view_query("revenue_up_to_size", {"p_size": "size"}, {"Total Revenue": "revenue", "Revenue up to Size": "up_to"}, f"WITH x AS (SELECT p_size AS s, sum(l_extendedprice) AS v FROM {STAR} GROUP BY 1) SELECT s AS size, round(v, 2) AS revenue, CASE WHEN s IS NOT NULL THEN round(sum(v) FILTER (WHERE s IS NOT NULL) OVER (ORDER BY s), 2) END AS up_to FROM x")
+view_query("lines_up_to_price", {"Region": "region", "p_retailprice": "price"}, {"Lines up to Price": "n_lines"}, f"WITH x AS (SELECT r.r_name AS g, p_retailprice AS p, count(*) AS n FROM {STAR} GROUP BY 1, 2) SELECT g AS region, round(p, 2) AS price, CASE WHEN p IS NOT NULL THEN CAST(sum(n) FILTER (WHERE p IS NOT NULL) OVER (PARTITION BY g ORDER BY p) AS BIGINT) END AS n_lines FROM x")
+view_query("first_and_last_orders", {"Segment": "segment"}, {"First Order": "first_order", "Last Order": "last_order"}, f"SELECT c_mktsegment AS segment, min(CAST(o_orderdate AS DATE)) AS first_order, max(CAST(o_orderdate AS DATE)) AS last_order FROM {ORDERED} GROUP BY 1")
+
+
 view_query("prior_year_under_base_filter", {"Order Month": "month"}, {"Total Revenue": "revenue", "Revenue Prior Year": "prior"}, f"WITH x AS ({MONTHS.replace('GROUP BY', chr(32) + 'WHERE l.l_returnflag = ' + chr(39) + 'R' + chr(39) + ' GROUP BY')}) {PRIOR}", base_filter='lineitem[l_returnflag] = "R"')
 view_query("prior_year_under_date_filter", {"Order Month": "month"}, {"Total Revenue": "revenue", "Revenue Prior Year": "prior"}, f"WITH x AS ({MONTHS}) {PRIOR} WHERE year(a.m) = 1997", where="'Date'[Year] = 1997")
 view_query(
@@ -523,6 +609,7 @@ DATES = {
     "concatenated_values": ["first_order", "last_order"], "calendar_table": ["date_key", "date_key_ly"], "closing_balance": ["period"], "declared_trailing_window": ["month"],
     "prior_year_under_base_filter": ["month"], "prior_year_under_date_filter": ["month"], "year_to_date_under_date_filter": ["month"], "rolling_30_days": ["month"], "whole_periods": ["month"], "day_shifts": ["day"],
     "months_compared": ["month"], "opening_and_closing": ["month"], "suppliers_to_date": ["month"],
+    "cumulative_by_filter": ["month"], "cumulative_under_date_filter": ["month"], "trailing_days_by_filter": ["day"], "suppliers_by_day_to_date": ["day"], "suppliers_by_customer_to_date": ["month"], "customers_to_date": ["month"],
     "date_coverage": ["first_fact", "last_fact"], "scalar_dates": ["d", "i", "l"],
 }
 

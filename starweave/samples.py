@@ -71,6 +71,41 @@ MEASURES = {
     "First Order": "FIRSTDATE(orders[order_date])",
     "Last Order": "LASTDATE(orders[order_date])",
     "Flags": 'CONCATENATEX(VALUES(lineitem[l_returnflag]), lineitem[l_returnflag], "|")',
+    # over other tables than the view's own, at their own grain
+    "Balance": "SUM(customer[c_acctbal])",
+    "Average Balance": "AVERAGE(customer[c_acctbal])",
+    "Lowest Balance": "MIN(customer[c_acctbal])",
+    "Highest Balance": "MAX(customer[c_acctbal])",
+    "Customers on File": "COUNTROWS(customer)",
+    "Customers in Credit": "COUNTROWS(FILTER(customer, customer[c_acctbal] > 5000))",
+    "Balance by Nation Number": "SUMX(customer, customer[c_acctbal] * RELATED(nation[n_nationkey]))",
+    "Segments on File": "DISTINCTCOUNT(customer[c_mktsegment])",
+    "Supplier Balance": "SUM(supplier[s_acctbal])",
+    "Suppliers on File": "COUNTROWS(supplier)",
+    "Revenue per Balance": "DIVIDE([Total Revenue], [Balance])",
+    "Urgent Orders": 'CALCULATE([Orders], orders[o_orderpriority] = "1-URGENT")',
+    "Balance of Returners": 'CALCULATE([Balance], lineitem[l_returnflag] = "R")',
+    "Balance Everywhere": "CALCULATE([Balance], ALL(region))",
+    "Balance of Everyone": "CALCULATE([Balance], ALL(customer))",
+    "Order Total Prior Year": "CALCULATE([Order Total], SAMEPERIODLASTYEAR('Date'[Date]))",
+    "Balance Prior Year": "CALCULATE([Balance], SAMEPERIODLASTYEAR('Date'[Date]))",
+    "Balance of Segments": "AVERAGEX(VALUES(customer[c_mktsegment]), [Balance])",
+    "Order Total YTD": "TOTALYTD([Order Total], 'Date'[Date])",
+    # up to the last visible value
+    "Revenue to Now": "CALCULATE([Total Revenue], FILTER(ALL('Date'), 'Date'[Date] <= MAX('Date'[Date])))",
+    "Revenue to Now by Variable": "VAR last = MAX('Date'[Date]) RETURN CALCULATE([Total Revenue], FILTER(ALL('Date'[Date]), last >= 'Date'[Date]))",
+    "Revenue to Now by Bounds": "CALCULATE([Total Revenue], DATESBETWEEN('Date'[Date], BLANK(), MAX('Date'[Date])))",
+    "Revenue before Now": "CALCULATE([Total Revenue], 'Date'[Date] < MIN('Date'[Date]))",
+    "Revenue YTD by Filter": "CALCULATE([Total Revenue], FILTER(ALL('Date'), 'Date'[Year] = MAX('Date'[Year]) && 'Date'[Date] <= MAX('Date'[Date])))",
+    "Revenue 90 Days by Filter": "CALCULATE([Total Revenue], FILTER(ALL('Date'), 'Date'[Date] > MAX('Date'[Date]) - 90 && 'Date'[Date] <= MAX('Date'[Date])))",
+    "Revenue to Now a Year Ago": "CALCULATE([Revenue to Now], SAMEPERIODLASTYEAR('Date'[Date]))",
+    "Suppliers to Now": "CALCULATE([Suppliers], FILTER(ALL('Date'), 'Date'[Date] <= MAX('Date'[Date])))",
+    "Highest Price to Now": "CALCULATE([Highest Price], FILTER(ALL('Date'), 'Date'[Date] <= MAX('Date'[Date])))",
+    "Average Discount YTD": "TOTALYTD([Average Discount], 'Date'[Date])",
+    "Orders to Now": "CALCULATE([Orders], FILTER(ALL('Date'), 'Date'[Date] <= MAX('Date'[Date])))",
+    "Revenue up to Size": "CALCULATE([Total Revenue], FILTER(ALL(part[p_size]), part[p_size] <= MAX(part[p_size])))",
+    "Lines up to Price": "CALCULATE([Lines], FILTER(ALL(part[p_retailprice]), part[p_retailprice] <= MAX(part[p_retailprice])))",
+    "Customers to Date": "TOTALYTD(DISTINCTCOUNT(orders[o_custkey]), 'Date'[Date])",
 }
 EVENT_MEASURES = {
     "Events": "COUNTROWS(events)",

@@ -191,3 +191,82 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.where("event_type is not null").collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(DaxError):
         views.windowed(v, rows, "ts", ["Users"])
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_leaf_reads_its_own_table_alone(spark):
+    v = samples.view(spark, FOLDER)
+    text = plan_of(v.query(["Region"], ["Balance", "Customers on File"]))
+    assert "lineitem" not in text and "orders" not in text and text.count("Join ") == 2
+    assert "customer" not in plan_of(v.query(["l_returnflag"], ["Total Revenue"]))
+
+
+def test_dimension_rows_count_once(spark):
+    rows = [(1, "a", 1.0, day("2024-01-05")), (1, "a", 2.0, day("2024-01-06")), (2, "b", 4.0, day("2024-02-01")), (9, "b", 8.0, None)]
+    v = small(spark, rows, {"S": "SUM(F[v])", "K": "SUM(D[k])", "X": "SUMX(D, D[k] * 10)", "N": "COUNTROWS(D)", "A": 'CALCULATE(SUM(D[k]), D[name] = "two")', "R": "DIVIDE([S], [K])", "O": "CALCULATE(SUM(D[k]), F[v] > 3)"})
+    total = v.query([], ["S", "K", "X", "N", "A", "O"]).first()
+    assert (total.S, total.K, total.X, total.N, total.A, total.O) == (15.0, 3, 30, 2, 2, 3)
+    got = {r["name"]: r for r in v.query(["name"], ["S", "K", "R"]).collect()}
+    assert {k: (r.S, r.K) for k, r in got.items()} == {"one": (3.0, 1), "two": (4.0, 2), None: (8.0, None)}
+    by_g = {r.g: (r.K, r.S) for r in v.query(["g"], ["K", "S"]).collect()}  # no way from D to F's column
+    assert by_g == {"a": (3, 3.0), "b": (3, 12.0)}
+    assert {r["name"]: r.K for r in v.query(["name"], ["K"], where='F[g] = "a"').collect()} == {"one": 1, "two": 2}
+    with pytest.raises(DaxError, match="only in part"):
+        v.query(["name"], ["K"], where='F[g] = D[name]')
+
+
+def test_groups_of_all_facts_are_there(spark):
+    """A group that one table has and another doesn't."""
+    v = small(spark, [(1, "a", 1.0, None)], {"S": "SUM(F[v])", "N": "COUNTROWS(D)"})
+    assert sorted((r["name"], r.S, r.N) for r in v.query(["name"], ["S", "N"]).collect()) == [("one", 1.0, 1), ("two", None, 1)]
+    assert [r["name"] for r in v.query(["name"], ["S"]).collect()] == ["one"]
+
+
+OPEN = {
+    "S": "SUM(F[v])", "C": "CALCULATE([S], FILTER(ALL(F[d]), F[d] <= MAX(F[d])))", "N": "CALCULATE(DISTINCTCOUNTNOBLANK(F[g]), FILTER(ALL(F[d]), F[d] <= MAX(F[d])))",
+    "L": "CALCULATE(MIN(F[v]), FILTER(ALL(F[d]), F[d] <= MAX(F[d])))", "B": "CALCULATE([S], F[d] < MIN(F[d]))", "Q": "CALCULATE(COUNT(F[v]), FILTER(ALL(F[d]), F[d] <= MAX(F[d])))", "Z": "TOTALYTD(DISTINCTCOUNT(F[g]), F[d])",
+}
+
+
+def test_open_contexts_by_hand(spark):
+    rows = [(1, "a", 5.0, day("2023-12-31")), (1, "b", None, day("2024-01-05")), (1, "a", 2.0, day("2024-01-20")), (2, "c", -1.0, day("2024-03-02")), (2, None, 3.0, day("2024-03-03")), (2, "z", 100.0, None)]
+    v = small(spark, rows, OPEN)
+    got = {str(r.Month): (r.C, r.N, r.L, r.B, r.Q, r.Z) for r in v.query(["Month"], [*OPEN]).collect()}
+    assert got == {
+        "2023-12-01": (5.0, 1, 5.0, None, 1, 1), "2024-01-01": (7.0, 2, 2.0, 5.0, 2, 2), "2024-03-01": (9.0, 3, -1.0, 7.0, 4, 4), "None": (None, None, None, None, None, None),
+    }
+    by_k = {(r.k, str(r.Month)): (r.C, r.N) for r in v.query(["k", "Month"], ["C", "N"]).collect()}
+    assert by_k[(2, "2024-03-01")] == (2.0, 1) and by_k[(1, "2024-01-01")] == (7.0, 2)
+
+
+def test_running_sums_join_no_days(spark):
+    v = samples.view(spark, FOLDER)
+    joins = lambda m: plan_of(v.query(["Order Month"], [m])).count("Join ")
+    assert joins("Revenue to Now") <= joins("Total Revenue") * 2 + 1  # both contexts' joins, and one of their results
+    assert "sequence" not in plan_of(v.query(["Order Month"], ["Revenue to Now", "Suppliers YTD"]))
+
+
+def test_conditions_that_are_not_known(spark):
+    v = small(spark, [], {"M": "SUMX(F, MAX(F[v]))", "P": "CALCULATE(SUM(F[v]), FILTER(F, F[v] > MAX(F[v])))", "T": "CALCULATE(SUM(F[v]), FILTER(ALL(F[d]), F[d] <= MAX(F[d]) && D[name] = \"one\"))", "R": "CALCULATE(SUM(F[v]), F[v] < MAX(F[v]))"})
+    for name, why in {"M": "MAX with 1 arguments", "P": "MAX with 1 arguments", "T": "in a condition over F", "R": "up to MAX"}.items():
+        with pytest.raises(DaxError, match=why):
+            v.query(["Month"], [name])
+
+
+def test_running_totals_over_parts(spark):
+    import random
+
+    from starweave.plans.metricview import running_totals
+
+    rng = random.Random(3)
+    rows = [(k, x, rng.choice([None, rng.randrange(-50, 50)]), rng.randrange(100)) for k in ("a", None, "b") for x in rng.sample(range(3000), 700 if k == "a" else 40)]
+    df = spark.createDataFrame(rows, "k string, x int, s long, m int")
+    got = {(r.k, r.x): (r.s, r.m) for r in running_totals(df, ["k"], "x", {"s": F.sum, "m": F.min}).collect()}
+    for k, x, *_ in rows:
+        before = [r for r in rows if r[0] == k and r[1] <= x]
+        s = [r[2] for r in before if r[2] is not None]
+        assert got[(k, x)] == (sum(s) if s else None, min(r[3] for r in before))
+    assert running_totals(df.where("false"), ["k"], "x", {"s": F.sum}).count() == 0
