@@ -2,9 +2,9 @@
 
 ``MetricView.query(dims, measures, where)`` compiles each measure to leaf aggregates and an expression over them. All
 leaves of one filter context share one aggregation of one scan: a filtered measure is a conditional aggregate. Other contexts
-(totals that ignore a filter, other periods, another relationship) are joined on the dimensions that they keep. Where the same
-additive leaves are asked for in several contexts over the same rows, all contexts are derived from one aggregate at the finest
-grain, whose exchange Spark reuses. Only the dimension tables that the query touches are joined: relationships are
+(totals that ignore a filter, other periods, another relationship) are joined on the dimensions that they keep. Contexts over the same
+rows are derived from one aggregate at the finest grain that they need, whose exchange Spark reuses; distinct counts too, their
+values are among its keys. Only the dimension tables that the query touches are joined: relationships are
 many-to-one left joins on a unique key, so leaving one out changes no row.
 
 Every leaf has a home, the table whose rows it aggregates. A leaf of another table than the view's own is aggregated over that table, at
@@ -86,6 +86,16 @@ class Virtual:
     names: tuple = ()  # (name, expression) of added columns
 
 
+@dataclass(frozen=True)
+class Shared:
+    """An aggregate that several contexts are derived from."""
+
+    frame: DataFrame
+    names: dict  # of leaves, by what they aggregate
+    dims: frozenset
+    by_day: bool
+
+
 @dataclass(frozen=True)
 class Dimension:
     name: str
@@ -681,8 +691,8 @@ class MetricView:
             own, view = kept[context], self.at(context.home)
             if special:
                 return self.rank_part(own, leaves[0], where) if leaves[0][4] == "RANKX" else self.nest(own, leaves[0], where)
-            if shared[context.home] is not None:
-                return view.derived(shared[context.home], own, leaves, where, context)
+            if context in shared[context.home]:
+                return view.derived(shared[context.home][context], own, leaves, where, context, signs)
             return view.group(own, leaves, where, context)
 
         first = anchors if every else list(groups)[:1]
@@ -808,54 +818,74 @@ class MetricView:
             return met.select(*keys).distinct()
         return met.groupBy(*keys).agg(*merged) if keys else met.agg(*merged)
 
-    def finest(self, groups: dict, kept: dict, where, signs: dict) -> tuple | None:
-        """One aggregate for all contexts, at the finest grain that they need, or None.
+    def finest(self, groups: dict, kept: dict, where, signs: dict) -> dict:
+        """Context -> the aggregate that it is derived from: one for all contexts over the same rows, at the finest grain that they need.
 
-        Only where it saves a scan: the same mergeable leaves (``signs`` tells by alias) in several contexts over the same rows.
+        The aggregate has the leaves of all of them, and the values of a distinct count among its keys, so a total of such counts is
+        taken from it too. Contexts over other rows, alone, over two date columns or with several distinct counts read the rows themselves.
         """
-        plain = {c: leaves for (c, special), leaves in groups.items() if not special}
-        every = [leaf for leaves in plain.values() for leaf in leaves]
-        if len(plain) < 2 or not every or any(kind not in MERGE for *_, kind in every):
-            return None
-        filters = {c: self.filtered(where, c) for c in plain}
-        leaves_of = {frozenset(signs[alias] for alias, *_ in leaves) for leaves in plain.values()}
-        scopes = {(tuple(map(repr, filters[c][0])), c.role, c.semi) for c in plain}
-        axes = {c.axis for c in plain if c.time}
-        # other visible days than the rows' own need rows that the others leave out
-        if len(leaves_of) > 1 or len(scopes) > 1 or len(axes) > 1 or any(days for _, days in filters.values()):
-            return None
+        scopes: dict[tuple, list[Context]] = {}
+        for (c, special), leaves in groups.items():
+            apart = [kind for *_, kind in leaves if kind not in MERGE]
+            if not special and all(kind in DISTINCT for kind in apart) and not (apart and c.time and not running_step(c)):
+                scopes.setdefault((tuple(map(repr, self.filtered(where, c)[0])), c.role, c.semi), []).append(c)
+        out = {}
+        for contexts in scopes.values():
+            leaves = {signs[leaf[0]]: leaf for c in contexts for leaf in groups[(c, False)]}
+            counted = {sign for sign, leaf in leaves.items() if leaf[4] in DISTINCT}
+            if len(contexts) > 1 and leaves and len({c.axis for c in contexts if c.time}) < 2 and len({(sign[0], sign[2]) for sign in counted}) < 2:
+                alike = len({frozenset(signs[leaf[0]] for leaf in groups[(c, False)]) for c in contexts}) == 1
+                shared = self.shared(contexts, leaves, kept, where, alike)
+                out |= dict.fromkeys(contexts, shared)
+        return out
+
+    def shared(self, contexts: list[Context], leaves: dict, kept: dict, where, alike: bool) -> Shared:
         used: set = set()
-        first = next(iter(plain))
-        found = [self.row(p, used) for p in filters[first][0]]
-        dims = list(dict.fromkeys(d for c in plain for d in kept[c]))
-        timed = next((c for c in plain if c.time), None)
+        found = [self.row(p, used) for p in self.filtered(where, contexts[0])[0]]
+        dims = list(dict.fromkeys(d for c in contexts for d in kept[c]))
+        timed = next((c for c in contexts if c.time), None)
         keys = [self.period(d, used).alias(d.name) for d in dims]
-        day = [self.day(timed, used).alias("_fact_day")] if timed else []
-        names = {signs[leaf[0]]: f"_shared{k}" for k, leaf in enumerate(plain[first])}
-        aggregates = [leaf[1](used).alias(names[signs[leaf[0]]]) for leaf in plain[first]]
-        rows = self.frame(used, first.role, first.semi)
+        keys += [self.day(timed, used).alias("_fact_day")] if timed else []
+        keys += [next(leaf[1].value(used) for leaf in leaves.values() if leaf[4] in DISTINCT).alias("_v")] if any(leaf[4] in DISTINCT for leaf in leaves.values()) else []
+        names = {sign: f"_shared{k}" for k, (sign, leaf) in enumerate(leaves.items()) if leaf[4] in MERGE}
+        aggregates = [leaves[sign][1](used).alias(n) for sign, n in names.items()]
+        rows = self.frame(used, contexts[0].role, contexts[0].semi)
         for p in found:
             rows = rows.where(p)
-        frame = rows.groupBy(*day, *keys).agg(*aggregates) if day or keys else rows.agg(*aggregates)
-        return frame, {leaf[0]: names[signs[leaf[0]]] for leaf in every}, {d.name for d in dims}, bool(day)
-
-    def derived(self, shared: tuple, dims: list[Dimension], leaves: list, where, context: Context) -> DataFrame:
-        """A context's part of the finest aggregate."""
-        frame, names, every, by_day = shared
-        if context.time:
-            moving = [d for d in dims if self.on_axis(d, context)]
-            own = frame.select("_fact_day", *[F.col(f"`{d.name}`") for d in dims if d not in moving], *[F.col(names[alias]).alias(alias) for alias, *_ in leaves])
-            if running_step(context):
-                others = [d.name for d in dims if d not in moving]
-                day_keys = [F.col(f"`{n}`") for n in others]
-                merged = [MERGE[kind](F.col(alias)).alias(alias) for alias, *_, kind in leaves]
-                return self.upto(own.groupBy("_fact_day", *day_keys).agg(*merged), [], dims, others, leaves, [], context)
-            return self.over_days(own, dims, [d.name for d in dims if d not in moving], leaves, self.visible(moving, [], context))
-        keys = [F.col(f"`{d.name}`") for d in dims]
-        if not by_day and {d.name for d in dims} == every:
-            return frame.select(*keys, *[F.col(names[alias]).alias(alias) for alias, *_ in leaves])
-        merged = [MERGE[kind](F.col(names[alias])).alias(alias) for alias, *_, kind in leaves]
-        return frame.groupBy(*keys).agg(*merged) if keys else frame.agg(*merged)
+        aggregates += [F.count(F.lit(1)).alias("_rows")]
+        frame = rows.groupBy(*keys).agg(*aggregates) if keys else rows.agg(*aggregates)
+        if keys and not (alike and names and not any(map(running_step, contexts))):
+            # contexts read different columns, and filter days and values. A group has rows, which the optimizer can't know: what asks
+            # for that, or else for the leaves, keeps the plan up to the exchange the same for all contexts, so that it runs once
+            filled = F.col("_rows") > 0
+            kept_all = filled | (F.xxhash64(*names.values()) == 0) if names else filled
+            frame = frame.where(kept_all).withColumns({k: F.when(filled, F.col(k)) for k in ("_fact_day", "_v") if k in frame.columns}).drop("_rows")
+        return Shared(frame, names, frozenset(d.name for d in dims), timed is not None)
+
+    def derived(self, shared: Shared, dims: list[Dimension], leaves: list, where, context: Context, signs: dict) -> DataFrame:
+        """A context's part of a shared aggregate."""
+        frame = shared.frame
+        own = [(alias, kind, F.col(shared.names[signs[alias]])) for alias, *_, kind in leaves if kind in MERGE]
+        counted = [(alias, kind) for alias, *_, kind in leaves if kind in DISTINCT]
+        if not context.time:
+            keys = [F.col(f"`{d.name}`") for d in dims]
+            if not shared.by_day and {d.name for d in dims} == shared.dims and "_v" not in frame.columns:
+                return frame.select(*keys, *[c.alias(alias) for alias, _, c in own])
+            merged = [MERGE[kind](c).alias(alias) for alias, kind, c in own] + [F.count_distinct("_v").alias(alias) for alias, _ in counted]
+            if not merged:
+                return frame.select(*keys).distinct()
+            return frame.groupBy(*keys).agg(*merged) if keys else frame.agg(*merged)
+        moving = [d for d in dims if self.on_axis(d, context)]
+        others = [d.name for d in dims if d not in moving]
+        day_keys = [F.col("_fact_day"), *[F.col(f"`{n}`") for n in others]]
+        _, days = self.filtered(where, context)
+        if running_step(context):
+            merged = [MERGE[kind](c).alias(alias) for alias, kind, c in own]
+            daily = frame.groupBy(*day_keys).agg(*merged) if merged else frame.select(*day_keys).distinct()
+            firsts = [first_days(frame, F.col("_v"), day_keys[0], day_keys[1:], others, context, alias) for alias, _ in counted]
+            return self.upto(daily, firsts, dims, others, leaves, days, context)
+        slim = frame.select(*day_keys, *[c.alias(alias) for alias, _, c in own])
+        return self.over_days(slim, dims, others, leaves, self.visible(moving, days, context))
 
     # --- days
 

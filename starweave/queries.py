@@ -185,6 +185,18 @@ view_query(
 )
 view_query("revenue_up_to_size", {"p_size": "size"}, {"Total Revenue": "revenue", "Revenue up to Size": "up_to"}, f"WITH x AS (SELECT p_size AS s, sum(l_extendedprice) AS v FROM {STAR} GROUP BY 1) SELECT s AS size, round(v, 2) AS revenue, CASE WHEN s IS NOT NULL THEN round(sum(v) FILTER (WHERE s IS NOT NULL) OVER (ORDER BY s), 2) END AS up_to FROM x")
 view_query("lines_up_to_price", {"Region": "region", "p_retailprice": "price"}, {"Lines up to Price": "n_lines"}, f"WITH x AS (SELECT r.r_name AS g, p_retailprice AS p, count(*) AS n FROM {STAR} GROUP BY 1, 2) SELECT g AS region, round(p, 2) AS price, CASE WHEN p IS NOT NULL THEN CAST(sum(n) FILTER (WHERE p IS NOT NULL) OVER (PARTITION BY g ORDER BY p) AS BIGINT) END AS n_lines FROM x")
+# Several contexts, one scan of the facts.
+view_query(
+    "four_contexts", {"Order Month": "month"}, {"Total Revenue": "revenue", "Revenue YTD": "ytd", "Share of Everything": "share", "Revenue YoY": "change"},
+    f"WITH x AS ({MONTHS}) SELECT a.m AS month, round(a.v, 2) AS revenue, round(sum(a.v) OVER (PARTITION BY year(a.m) ORDER BY a.m), 2) AS ytd, round(a.v / sum(a.v) OVER (), 8) AS share, round(a.v - b.v, 2) AS change FROM x a LEFT JOIN x b ON b.m = CAST(a.m - INTERVAL 12 MONTH AS DATE)", digits={"share": 8},
+)
+view_query(
+    "distinct_contexts", {"Region": "region", "Order Year": "year"}, {"Lines": "n_lines", "Suppliers": "suppliers", "Suppliers YTD": "ytd", "Suppliers to Now": "ever", "Suppliers Everywhere": "everywhere", "Share within Region": "share"},
+    f"""WITH x AS (SELECT r.r_name AS g, CAST(year(o_orderdate) AS INTEGER) AS y, l_suppkey AS s, l_extendedprice AS v FROM {STAR}), a AS (SELECT g, y, count(*) AS n, count(DISTINCT s) AS suppliers, sum(v) AS v FROM x GROUP BY 1, 2),
+    e AS (SELECT y, count(DISTINCT s) AS everywhere FROM x GROUP BY 1), f AS (SELECT g, s, min(y) AS y FROM x GROUP BY 1, 2), n AS (SELECT g, y, count(*) AS n FROM f WHERE s IS NOT NULL GROUP BY 1, 2)
+    SELECT a.g AS region, a.y AS year, a.n AS n_lines, a.suppliers, a.suppliers AS ytd, CAST(sum(coalesce(n.n, 0)) OVER (PARTITION BY a.g ORDER BY a.y) AS BIGINT) AS ever, e.everywhere, round(a.v / sum(a.v) OVER (PARTITION BY a.g), 6) AS share
+    FROM a LEFT JOIN e USING (y) LEFT JOIN n ON n.g IS NOT DISTINCT FROM a.g AND n.y = a.y""", digits={"share": 6},
+)
 view_query("first_and_last_orders", {"Segment": "segment"}, {"First Order": "first_order", "Last Order": "last_order"}, f"SELECT c_mktsegment AS segment, min(CAST(o_orderdate AS DATE)) AS first_order, max(CAST(o_orderdate AS DATE)) AS last_order FROM {ORDERED} GROUP BY 1")
 
 
@@ -609,7 +621,7 @@ DATES = {
     "concatenated_values": ["first_order", "last_order"], "calendar_table": ["date_key", "date_key_ly"], "closing_balance": ["period"], "declared_trailing_window": ["month"],
     "prior_year_under_base_filter": ["month"], "prior_year_under_date_filter": ["month"], "year_to_date_under_date_filter": ["month"], "rolling_30_days": ["month"], "whole_periods": ["month"], "day_shifts": ["day"],
     "months_compared": ["month"], "opening_and_closing": ["month"], "suppliers_to_date": ["month"],
-    "cumulative_by_filter": ["month"], "cumulative_under_date_filter": ["month"], "trailing_days_by_filter": ["day"], "suppliers_by_day_to_date": ["day"], "suppliers_by_customer_to_date": ["month"], "customers_to_date": ["month"],
+    "cumulative_by_filter": ["month"], "cumulative_under_date_filter": ["month"], "trailing_days_by_filter": ["day"], "suppliers_by_day_to_date": ["day"], "suppliers_by_customer_to_date": ["month"], "customers_to_date": ["month"], "four_contexts": ["month"],
     "date_coverage": ["first_fact", "last_fact"], "scalar_dates": ["d", "i", "l"],
 }
 

@@ -270,3 +270,28 @@ def test_running_totals_over_parts(spark):
         s = [r[2] for r in before if r[2] is not None]
         assert got[(k, x)] == (sum(s) if s else None, min(r[3] for r in before))
     assert running_totals(df.where("false"), ["k"], "x", {"s": F.sum}).count() == 0
+
+
+def fact_scans(df):
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return sum("FileScan" in line and "lineitem.parquet" in line for line in final.splitlines())
+
+
+@pytest.mark.parametrize("dims, measures", [
+    (["Order Month"], ["Total Revenue", "Revenue YTD", "Share of Everything", "Revenue YoY"]),
+    (["Region"], ["Suppliers", "Suppliers Everywhere"]),
+    (["Order Month"], ["Revenue YTD", "Revenue QTD", "Revenue to Now"]),
+    (["Region", "Order Year"], ["Lines", "Suppliers", "Suppliers YTD", "Suppliers Everywhere", "Share within Region"]),
+])
+def test_contexts_share_one_scan(spark, dims, measures):
+    assert fact_scans(samples.view(spark, FOLDER).query(dims, measures)) == 1
+
+
+def test_totals_of_no_rows(spark):
+    """A filter that leaves nothing: totals are one row still, groups none."""
+    v = samples.view(spark, FOLDER)
+    names = ["Total Revenue", "Suppliers", "Suppliers Everywhere", "Share of Everything", "Lines"]
+    got = v.query([], names, where="lineitem[l_quantity] < 0").collect()
+    assert [tuple(r) for r in got] == [(None, 0, 0, None, 0)]
+    assert v.query(["Region"], names, where="lineitem[l_quantity] < 0").count() == 0
