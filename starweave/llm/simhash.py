@@ -45,8 +45,8 @@ RADIUS = 2
 CROWDED = 48
 #: Sizes of sets within this factor meet in one step.
 SIZE_STEP = 1.02
-#: Pairs for each member that a cell of the similarity search forms in its first round; four times as many in each further one.
-FIRST_PAIRS = 1
+#: Pairs for each member that a cell of the similarity search forms in its first round, and by how much they grow in each further one.
+FIRST_PAIRS, MORE_PAIRS = 8, 8
 #: Shingle hashes that a worker holds at a time.
 HASHES_AT_ONCE = 400_000
 
@@ -331,6 +331,23 @@ def verified_links(pairs: DataFrame, sets: DataFrame, similarity: float) -> Data
     return pairs.join(a.hint("merge"), "src").join(b.hint("merge"), "dst").where(close).select("src", "dst")
 
 
+def merged_roots(roots: DataFrame | None, linked: DataFrame) -> DataFrame:
+    """(node, root) after more links: only the components that they touch are looked at."""
+    if roots is None:
+        return components(linked, linked.sparkSession)
+    ends = linked
+    for end in ("src", "dst"):
+        ends = ends.join(roots.select(F.col("node").alias("_node"), F.col("root").alias(f"_{end}")), F.col(end) == F.col("_node"), "left").drop("_node")
+    between_roots = keep(ends.select(F.coalesce("_src", "src").alias("src"), F.coalesce("_dst", "dst").alias("dst")), "contracted")
+    over = keep(components(between_roots, linked.sparkSession).select(F.col("node").alias("_node"), F.col("root").alias("_root")), "over")
+    moved = roots.join(over, F.col("root") == F.col("_node"), "left").select("node", F.coalesce("_root", "root").alias("root"))
+    fresh = over.join(roots.select(F.col("node").alias("_known")), F.col("_node") == F.col("_known"), "left_anti").select(F.col("_node").alias("node"), F.col("_root").alias("root"))
+    after = keep(moved.unionByName(fresh), "roots")
+    for old in (roots, between_roots, over):
+        discard(old)
+    return after
+
+
 def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     """Edges (src, dst) whose components are those of all pairs of similar ``sets`` (``node``, ``n``, ``s``).
 
@@ -339,13 +356,14 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     this member's pairs are then settled here and it leaves this cell, no other does. The members of such a cell are also dealt
     out at random into parts, and form the pairs inside these. Then components are taken anew, so a family of copies becomes one
     component in a few rounds, of links in proportion to its members, be they similar to one original or to each other. What is left
-    are pairs of different components; the number of these that a cell may form for each member grows fourfold each round, until
-    all are settled.
+    are pairs of different components; the number of these that a cell may form for each member grows each round, until all are
+    settled.
     """
     cells = keep(with_reach(prefix_cells(sets, similarity), similarity), "cells")
     fresh = possible_members(cells).select("cell", "node", "n", "reach", "pairs", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
     member = keep(fresh, "members")
     every: DataFrame | None = None
+    roots: DataFrame | None = None  # of the nodes that have links so far
     seen: DataFrame | None = None  # pairs that earlier rounds verified
     allowed = FIRST_PAIRS
     while True:
@@ -358,7 +376,9 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
         outside = few.where("label != most")
         # of a pair one lies outside the largest component of the cell: the smaller set, or else the larger one alone
         pairs = pairs_within(outside, few).union(pairs_within(few.where("label = most"), outside))
-        part = F.pmod(F.xxhash64("node", F.lit(allowed)), F.ceil(F.col("k") / (2 * allowed))).alias("part")
+        # as many parts as a power of two, so that members meet the same others in most of their cells
+        parts = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("k") / (2 * allowed))))).cast("long")
+        part = F.pmod(F.xxhash64("node", F.lit(allowed)), parts).alias("part")
         crowd = keep(member.join(sizes.where("many").select("cell", "k", "lead"), "cell").select("cell", "pairs", part, F.struct("node", "n", "reach", "label").alias("own"), "lead"), "crowd")
         stars = crowd.where((F.col("own.label") != F.col("lead.label")) & may_share("own", "lead")).select(*between("own.node", "lead.node"))
         a, b = (crowd.select("cell", "part", "own.*").alias(x) for x in "ab")
@@ -375,14 +395,14 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
         if not crowd.limit(1).count():
             return every
         seen = todo if seen is None else seen.union(todo)
-        roots = components(every, sets.sparkSession)
+        roots = merged_roots(roots, linked)
         ends = every.select(F.col("src").alias("end")).union(every.select("dst")).groupBy("end").agg(F.count(F.lit(1)).alias("more"))
         state = keep(roots.join(ends, F.col("node") == F.col("end")).select(F.col("node").alias("end"), "root", "more"), "state")
         rest = crowd.where(F.col("own.node") != F.col("lead.node")).select("cell", "pairs", "own.node", "own.n", "own.reach")
         labelled = rest.join(state, F.col("node") == F.col("end"), "left")
         member = keep(labelled.select("cell", "node", "n", "reach", "pairs", F.coalesce("root", "node").alias("label"), F.coalesce("more", F.lit(0)).cast("long").alias("links")), "members")
         discard(crowd)
-        allowed *= 4
+        allowed *= MORE_PAIRS
 
 
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
