@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -58,9 +59,9 @@ def window_measure(rows: DataFrame, order: str, value: str, aggregate=F.sum, tra
 
 
 def last_per_entity(rows: DataFrame, entity: list[str], order: list[str]) -> DataFrame:
-    """The latest row of each entity. ``order`` must be total."""
-    w = Window.partitionBy(*entity).orderBy(*[F.desc(o) for o in order])
-    return rows.withColumn("_i", F.row_number().over(w)).where("_i = 1").drop("_i")
+    """The latest row of each entity. ``order`` must be total. A combining aggregate: a frequent entity doesn't gather in one task."""
+    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), F.struct(*[F.col(f"`{o}`") for o in order])).alias("_best")
+    return rows.groupBy(*[F.col(f"`{e}`") for e in entity]).agg(best).select("_best.*")
 
 
 def balance(rows: DataFrame, entity: str, day: str, value: str, period: str = "month", tie: str | None = None, opening: bool = False) -> DataFrame:
@@ -75,9 +76,28 @@ def balance(rows: DataFrame, entity: str, day: str, value: str, period: str = "m
 
 
 def carried(rows: DataFrame, entity: str, order: str, value: str, name: str = "carried") -> DataFrame:
-    """The last known value up to each row."""
-    w = Window.partitionBy(entity).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+    """The last known value up to each row.
+
+    In two steps, so that a frequent entity doesn't gather in one task: ``order`` (numbers, dates or times, or a struct that begins with one) is cut at 200
+    quantiles; values are carried inside each part, and into a part comes the last one of the entity's parts before.
+    """
+    inside = Window.partitionBy(entity, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    dealt = in_parts(rows, order).withColumn("_inside", F.last(value, ignorenulls=True).over(inside))
+    ends = dealt.groupBy(F.col(entity).alias("_entity"), F.col("_part").alias("_of")).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col(order))).alias("_end"))
+    before = Window.partitionBy("_entity").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    both = dealt.join(ends, dealt[entity].eqNullSafe(ends["_entity"]) & (F.col("_part") == F.col("_of")))
+    return both.select(*[dealt[c] for c in rows.columns], F.coalesce("_inside", "_before").alias(name))
+
+
+def in_parts(rows: DataFrame, order: str, n: int = 200) -> DataFrame:
+    """``rows`` with ``_part``, the number of quantiles of ``order`` (of a struct's first field) that lie below; nulls come first."""
+    kind, at = rows.schema[order].dataType, F.col(f"`{order}`")
+    if isinstance(kind, StructType):
+        at = at[kind.fieldNames()[0]]
+    marks = rows.agg(F.percentile_approx(at, [k / n for k in range(1, n)], 10 * n).alias("_marks"))  # one row
+    below = F.coalesce(F.size(F.filter("_marks", lambda m: m < at)), F.lit(0))
+    return rows.crossJoin(F.broadcast(marks)).withColumn("_part", F.when(at.isNull(), -1).otherwise(below)).drop("_marks")
 
 
 def share_of(rows: DataFrame, value: str, within: list[str] = (), name: str = "share") -> DataFrame:

@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 
 from starweave.functions.scalar import FUNCTIONS, switch
 from starweave.model import Relationship, SemanticModel, Table, identifier
+from starweave.operators.timeintel import in_parts
 from starweave.plans.dax import Bin, Call, DaxError, Items, Lit, Neg, Ref, TableRef, parse, snake, walk
 
 AGGREGATES: dict[str, Callable[[Column], Column]] = {"SUM": F.sum, "AVERAGE": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count, "COUNTA": F.count}
@@ -1124,8 +1125,7 @@ def running_totals(rows: DataFrame, keys: list[str], order: str, whole: dict[str
 
     The axis is cut at 200 quantiles; aggregates run inside the parts, and what the parts before hold is added.
     """
-    marks = rows.agg(F.percentile_approx(F.col(order).cast("double"), [k / 200 for k in range(1, 200)], 2000).alias("_marks"))
-    dealt = rows.crossJoin(F.broadcast(marks)).withColumn("_part", F.size(F.filter(F.coalesce("_marks", F.array().cast("array<double>")), lambda m: m < F.col(order).cast("double")))).drop("_marks")  # one row of 199 marks
+    dealt = in_parts(rows, order)
     own = [F.col(f"`{k}`") for k in keys]
     parts = dealt.groupBy(*own, "_part").agg(*[f(a).alias(f"_all{a}") for a, f in whole.items()])
     before = Window.partitionBy(*own).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -13,6 +13,7 @@ import zipfile
 from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 
+import pandas as pd
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,41 +94,65 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
 # --- upstream sources
 
 
-def parameter_value(expression: str | None) -> str | None:
-    """The literal of a query parameter, if the expression is one."""
-    m = re.match(r'\s*"([^"]*)"\s+meta\s*\[[^\]]*IsParameterQuery\s*=\s*true', expression or "", re.I)
-    return m and m.group(1)
+#: What a query is made of: texts and quoted names, words with dots, single signs.
+QUERY_TOKEN = re.compile(r'#?"(?:[^"]|"")*"|[\w.]+|\S')
 
 
-def source_hint(query: str, parameters: dict[str, str]) -> str | None:
-    """``Teradata: database.schema.object`` of an import query; the database may be named by a parameter."""
-    argument, options = _call_of(query, SOURCE_CALL)
-    if argument is None:
+def is_text(token: str) -> bool:
+    return token.startswith('"')
+
+
+def unquoted(token: str) -> str:
+    return token.removeprefix("#")[1:-1].replace('""', '"') if token.endswith('"') else token
+
+
+def settings(found: list[str]) -> dict[str, str]:
+    """Of each name that a sign of equality follows, the first token behind it."""
+    out: dict[str, str] = {}
+    for name, sign, value in zip(found, found[1:], found[2:], strict=False):
+        if sign == "=":
+            out.setdefault(name, value)
+    return out
+
+
+def parameter_value(expression: str | None) -> str | None:
+    """The literal of a query parameter: a text whose metadata record says that it is one."""
+    found = QUERY_TOKEN.findall(expression or "")
+    if len(found) < 3 or not is_text(found[0]) or found[1].lower() != "meta" or found[2] != "[":
         return None
-    named = argument.strip('#"')
-    database = named if argument.startswith('"') else parameters.get(named, named)
-    return HINT + ".".join(x for x in (database, options.get("Schema"), options.get("Name") or options.get("Item")) if x)
+    record = settings(found[3 : found.index("]") if "]" in found else None])
+    says = {name.lower(): value.lower() for name, value in record.items()}
+    return unquoted(found[0]) if says.get("isparameterquery") == "true" else None
+
+
+def source_parts(query: str | None) -> tuple[str | None, str | None, str | None, str | None]:
+    """(database as text, name of the parameter that holds it, schema, object) of an import query's call of the source."""
+    found = QUERY_TOKEN.findall(query or "")
+    at = next((i for i, (name, sign) in enumerate(zip(found, found[1:], strict=False)) if (name, sign) == (SOURCE_CALL, "(")), None)
+    first = found[at + 2] if at is not None and at + 2 < len(found) else ""
+    if not (len(unquoted(first)) if '"' in first else re.match(r"[^\W\d]", first)):
+        return None, None, None, None
+    texts = {name: unquoted(value) for name, value in settings(found[at:]).items() if is_text(value) and len(value) > 2}
+    database, named = (unquoted(first), None) if is_text(first) else (None, unquoted(first))
+    return database, named, texts.get("Schema"), texts.get("Name") or texts.get("Item")
 
 
-def _call_of(query: str, name: str) -> tuple[str | None, dict[str, str]]:
-    """A function's first argument as it stands, and the first ``key = "text"`` of each key from there on."""
-    _, found, rest = query.partition(f"{name}(")
-    rest = rest.lstrip()
-    if not found or not rest:
-        return None, {}
-    end = rest.find('"', rest.find('"') + 1) + 1 if rest.startswith(('"', '#"')) else min((rest + ",)").find(c) for c in ",)")
-    pairs = re.findall(r'(\w+)\s*=\s*"([^"]+)"', rest)
-    return rest[:end].strip() or None, dict(reversed(pairs))
+def source_hint(query: str, parameters: dict[str, str]) -> str | None:
+    """``Teradata: database.schema.object`` of an import query; the database may be named by a parameter."""
+    database, named, *rest = source_parts(query)
+    database = database or parameters.get(named, named)
+    return HINT + ".".join(x for x in (database, *rest) if x) if database else None
 
 
 def source_hints(queries: DataFrame, parameters: DataFrame) -> DataFrame:
     """(table, hint) of many import queries (table, query), their parameters (name, value) joined in."""
-    call = SOURCE_CALL.replace(".", r"\.") + r"\(\s*"
-    text = F.regexp_extract("query", call + '"([^"]+)"', 1)
-    named = F.coalesce(F.nullif(F.regexp_extract("query", call + '#"([^"]+)"', 1), F.lit("")), F.nullif(F.regexp_extract("query", call + r"([A-Za-z_]\w*)", 1), F.lit("")))
-    option = lambda key: F.nullif(F.regexp_extract("query", key + r'\s*=\s*"([^"]+)"', 1), F.lit(""))
-    rows = queries.where(F.contains("query", F.lit(f"{SOURCE_CALL}("))).select("table", F.nullif(text, F.lit("")).alias("text"), named.alias("name"), option("Schema").alias("schema"), option("(?:Name|Item)").alias("object"))
-    both = rows.join(parameters.select("name", "value"), "name", "left").withColumn("database", F.coalesce("text", "value", "name"))
+
+    @F.pandas_udf("database string, name string, schema string, object string")
+    def parts(query: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([source_parts(q) for q in query], columns=["database", "name", "schema", "object"])
+
+    rows = queries.select("table", parts("query").alias("p")).select("table", "p.*").where("database is not null or name is not null")
+    both = rows.join(parameters.select("name", "value"), "name", "left").withColumn("database", F.coalesce("database", "value", "name"))
     return both.select("table", F.concat(F.lit(HINT), F.concat_ws(".", "database", "schema", "object")).alias("hint"))
 
 

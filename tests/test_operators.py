@@ -295,3 +295,36 @@ def test_totals_of_no_rows(spark):
     got = v.query([], names, where="lineitem[l_quantity] < 0").collect()
     assert [tuple(r) for r in got] == [(None, 0, 0, None, 0)]
     assert v.query(["Region"], names, where="lineitem[l_quantity] < 0").count() == 0
+
+
+def test_carried_values_and_latest_rows_by_hand(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(e, t, rng.choice([None, None, rng.randrange(9)])) for e in ("hot", "cold", None) for t in rng.sample(range(10_000), 900 if e == "hot" else 30)]
+    df = spark.createDataFrame(rows, "e string, t int, v int")
+    got = {(r.e, r.t): r.carried for r in timeintel.carried(df, "e", "t", "v").collect()}
+    last = {(r.e, r.t, r.v) for r in timeintel.last_per_entity(df, ["e"], ["t"]).collect()}
+    for e in ("hot", "cold", None):
+        own, known = sorted((t, v) for x, t, v in rows if x == e), None
+        for t, v in own:
+            known = v if v is not None else known
+            assert got[(e, t)] == known
+        assert (e, *own[-1]) in last
+    assert len(last) == 3 and len(got) == len(rows)
+    assert timeintel.carried(df.where("false"), "e", "t", "v").count() == 0
+    assert timeintel.last_per_entity(df, ["e"], ["t"]).columns == df.columns
+
+
+def test_parameters_and_calls_of_queries():
+    from starweave.sources import models
+
+    assert models.parameter_value(' "td""prod" meta [IsParameterQuery=true, Type="Text"]') == 'td"prod'
+    assert models.parameter_value('"x" META [Type="Text", isparameterquery = TRUE]') == "x"
+    for other in ('"x"', '"x" meta [Type="Text"]', "let x = 1 in x", '"x" meta [IsParameterQuery=false]', None, "", '"x" meta'):
+        assert models.parameter_value(other) is None
+    text = 'let s = Teradata.Database( #"Host Name" , [HierarchicalNavigation=true]), t = s{[Schema = "EDW", Name="V_SALES"]}[Data] in t'
+    assert models.source_hint(text, {"Host Name": "td.example.com"}) == "Teradata: td.example.com.EDW.V_SALES"
+    assert models.source_hint(text, {}) == "Teradata: Host Name.EDW.V_SALES"
+    for none in ("Teradata.Database", "Teradata.Database(", 'Teradata.Database("")', "Teradata.Database(1)", 'x("Teradata.Database(")'):
+        assert models.source_hint(none, {}) is None
