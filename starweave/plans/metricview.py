@@ -52,7 +52,7 @@ REJECTED = {
     "SELECTEDVALUE": "depends on the consumer's selection", "HASONEVALUE": "depends on the consumer's selection", "ALLSELECTED": "depends on the consumer's selection",
     "ISFILTERED": "depends on the consumer's filters", "ISCROSSFILTERED": "depends on the consumer's filters", "EARLIER": "nested row context", "EARLIEST": "nested row context",
     "USERNAME": "row-level security is out of scope", "USERPRINCIPALNAME": "row-level security is out of scope", "CUSTOMDATA": "row-level security is out of scope",
-    "SELECTEDMEASURE": "only inside a calculation item", "CROSSFILTER": "rewires the filter direction of the model",
+    "SELECTEDMEASURE": "only inside a calculation item",
 }
 
 
@@ -67,6 +67,8 @@ class Context:
     time: tuple = ()  # steps from the visible days to those that count, outermost first
     axis: tuple | None = None  # (table, column) of these days
     home: str | None = None  # lower-case name of the table whose rows are aggregated; None for the view's own
+    cross: tuple = ()  # relationships that filters cross from the many side too
+    far: tuple = ()  # predicates that reach the home only that way
     role: tuple | None = None  # (from table, from column, to table, to column) of the inactive relationship in use
 
 
@@ -175,17 +177,84 @@ class MetricView:
         """The context as rows of ``table`` see it."""
         home = table.lower()
         if home == self.root.fact.name.lower():
-            return replace(context, home=None)
+            home = None
+            if not self.root.crossed_tables(context):
+                return replace(context, home=None)
         view = self.at(home)
         role = context.role if context.role and context.role[0] in view.paths() else None
         known = set(view.paths(role))
-        seen = {"filters": tuple(p for p in context.filters if view.reaches(p, role)), "role": role, "semi": tuple(s for s in context.semi if s[0].startswith(f"{snake(table)}__"))}
-        if home in context.removed:
+        near = tuple(p for p in context.filters if view.reaches(p, role))
+        far = tuple(p for p in context.filters if p not in near and any(self.at(t).reaches(p) for t in view.crossed_tables(context)))
+        seen = {"filters": near, "far": context.far + far, "role": role, "semi": tuple(s for s in context.semi if s[0].startswith(f"{snake(table)}__"))}
+        if home is not None and home in context.removed:
             seen["removed"] = context.removed | {"*"}
         if context.axis is not None and context.axis[0].lower() not in known:
             seen |= {"time": (), "axis": None}
         return replace(context, home=home, **seen)
 
+    # --- filters from the many side
+
+    def crossing(self, context: Context) -> list[Relationship]:
+        """Relationships that filters cross in both directions: those of the context and the model's own."""
+        return [r for r in self.model.relationships if r in context.cross or r.cross_filter == "BOTH" and r.is_active]
+
+    def crossed_tables(self, context: Context) -> list[str]:
+        """Lower-case tables whose filters reach this one over such relationships, one after another."""
+        found, here = [], set(self.paths(context.role))
+        while more := [r.from_table.lower() for r in self.crossing(context) if r.to_table.lower() in here and r.from_table.lower() not in (*found, *here)]:
+            found += more
+            for t in more:
+                here |= set(self.at(t).paths())
+        return found
+
+    def seen_tables(self, context: Context) -> set[str]:
+        """Tables whose columns can group or filter the own rows in a context."""
+        return set(self.paths(context.role)).union(*[self.at(t).paths() for t in self.crossed_tables(context)])
+
+    def restricted(self, rows: DataFrame, dims: list[Dimension], where, context: Context, left: list[Relationship]) -> DataFrame:
+        """The own rows once for each group of the dimensions that reach them from the many side, and where such filters hold.
+
+        Each relationship gives the different keys and groups of its many side, itself restricted in this way, so a table's rows are
+        never multiplied by those of another.
+        """
+        here = set(self.paths(context.role))
+        for r in [r for r in left if r.to_table.lower() in here and r.from_table.lower() not in here]:
+            view, rest = self.at(r.from_table.lower()), [x for x in left if x != r]
+            inner = replace(context, home=r.from_table.lower(), filters=(), role=None)
+            inside = view.reach_over(rest, inner)
+            own = [d for d in dims if d.table.lower() in inside]
+            predicates = [p for p in [*(conjuncts(where) if where is not None else []), *context.far] if self.tables_of(p) and self.tables_of(p) <= inside and not self.tables_of(p) <= here]
+            predicates = [p for p in predicates if not all(self.ignores(Dimension("", *c), context) for c in self.columns_of(p))]
+            if not own and not predicates:
+                continue
+            used = {r.from_table.lower()}
+            near = set(view.paths())
+            found = [view.row(p, used) for p in predicates if self.tables_of(p) <= near]
+            values = [view.period(d, used).alias(d.name) for d in own if d.table.lower() in near]
+            used |= {x.to_table.lower() for x in rest if x.to_table.lower() in near}
+            many = view.frame(used)
+            for p in found:
+                many = many.where(p)
+            beyond = [d for d in own if d.table.lower() not in near]
+            many = view.restricted(many, beyond, where, inner, rest)
+            keys = many.select(F.col(qualified(r.from_table, r.from_column)).alias("_key"), *values, *[F.col(f"`{d.name}`") for d in beyond]).where("_key is not null").distinct()
+            rows = rows.join(keys, F.col(qualified(r.to_table, r.to_column)) == F.col("_key"), "inner" if own else "left_semi").drop("_key")
+            dims = [d for d in dims if d not in own]
+        return rows
+
+    def reach_over(self, left: list[Relationship], context: Context) -> set[str]:
+        here = set(self.paths())
+        while more := [r for r in left if r.to_table.lower() in here and r.from_table.lower() not in here]:
+            for r in more:
+                here |= set(self.at(r.from_table.lower()).paths())
+        return here
+
+    def columns_of(self, node) -> list[tuple]:
+        return [self.resolve(n)[1] for n in walk(node) if isinstance(n, Ref) and self.resolve(n)[0] == "column"]
+
+    def tables_of(self, node) -> set[str]:
+        return {c[0].lower() for c in self.columns_of(node)}
+
     # --- joins
 
     def paths(self, role: tuple | None = None) -> dict[str, list[Relationship]]:
@@ -499,6 +568,13 @@ class MetricView:
             return replace(context, filters=(*context.filters, *bounds))
         if n == "USERELATIONSHIP":
             return replace(context, role=(a[0].table.lower(), a[0].name.lower(), a[1].table.lower(), a[1].name.lower()))
+        if n == "CROSSFILTER":
+            ends = {(x.table.lower(), x.name.lower()) for x in a[:2]}
+            found = next((r for r in self.model.relationships if {(r.from_table.lower(), r.from_column.lower()), (r.to_table.lower(), r.to_column.lower())} == ends), None)
+            way = constant(a[2])
+            if found is None or way not in ("BOTH", "ONEWAY"):
+                raise DaxError(f"CROSSFILTER by {way}: " + ("no such relationship" if found is None else "not known"))
+            return replace(context, cross=(*context.cross, found)) if way == "BOTH" else context
         if n == "TREATAS":
             table, column = a[0].args[0].table, a[0].args[0].name
             return replace(context, semi=(*context.semi, (qualified(a[1].table, a[1].name), table, column)))
@@ -678,13 +754,16 @@ class MetricView:
             groups.setdefault((replace(context, filters=()), special), []).append((alias, build, additive, context, kind))
         every = [*dims, *keys]
         # the groups are those of the tables that have leaves and that all dimensions reach
-        homes = list(dict.fromkeys(None if special else c.home for c, special in groups)) or [None]
-        reached = {h: set(self.at(h).paths()) for h in homes}
-        full = [h for h in homes if all(d.table.lower() in reached[h] for d in every)] or [None]
-        anchors = [(anchor if h is None else self.homed(anchor, h), False) for h in full]
+        homes = list(dict.fromkeys((None, ()) if special else (c.home, c.cross) for c, special in groups)) or [(None, ())]
+        seen = lambda c: self.at(c.home).seen_tables(c)
+        anchored = [(anchor if h is None else self.homed(replace(anchor, cross=cross), h)) if not cross else self.homed(replace(anchor, cross=cross), h or self.fact.name) for h, cross in homes]
+        anchors = [(c, False) for c in dict.fromkeys([*anchored, anchor]) if all(d.table.lower() in seen(c) for d in every)]
+        if not anchors:
+            raise DaxError(f"no measure's table is reached by all of {[d.name for d in every]}")
+        anchors = [a for a in anchors if a[0] in anchored] or anchors
         if every or not groups:
             groups = {a: groups.get(a, []) for a in anchors} | groups
-        here = lambda d, c: c.home is None or d.table.lower() in set(self.at(c.home).paths(c.role))
+        here = lambda d, c: d.table.lower() in seen(c)
         kept = {c: [d for d in dims if here(d, c) and not self.ignores(d, c)] + [k for k in keys if here(k, c) and not self.ignores_key(k, c, anchor)] for c, _ in groups}
         shared = {h: self.at(h).finest({g: leaves for g, leaves in groups.items() if g[0].home == h}, kept, where, signs) for h in {c.home for c, _ in groups}}
 
@@ -719,7 +798,7 @@ class MetricView:
 
     def filtered(self, where, context: Context) -> tuple[list, list]:
         """The predicates that hold for the rows, and those that choose the visible days of a time context."""
-        reach = lambda p: context.home is None or self.reaches(p, context.role)
+        reach = lambda p: context.home is None and not self.crossed_tables(context) or self.reaches(p, context.role)
         rows, days = [p for p in conjuncts(self.base_filter) if reach(p)] if self.base_filter else [], []
         for part in conjuncts(where) if where is not None else []:
             if not reach(part):
@@ -748,14 +827,20 @@ class MetricView:
         predicates, day_predicates = self.filtered(where, context)
         found = [self.row(p, used) for p in predicates]
         moving = [d for d in dims if context.time and self.on_axis(d, context)]
-        values = [self.period(d, used).alias(d.name) for d in dims if d not in moving]
+        crossed = self.crossing(context) if self.crossed_tables(context) else []
+        inside = set(self.paths(context.role))
+        beyond = [d for d in dims if crossed and d.table.lower() not in inside]
+        values = [self.period(d, used).alias(d.name) if d not in beyond else F.col(f"`{d.name}`") for d in dims if d not in moving]
         aggregates = [build(used).alias(alias) for alias, build, *_ in leaves]
+        used |= {r.to_table.lower() for r in crossed if r.to_table.lower() in inside}
         day = self.day(context, used) if context.time else None
         running = running_step(context) and all(kind in MERGE or kind in DISTINCT for *_, kind in leaves)
         first = {alias: build.value(used) for alias, build, *_, kind in leaves if running and kind in DISTINCT}
         rows = self.frame(used, context.role, context.semi)
         for p in found:
             rows = rows.where(p)
+        if crossed:
+            rows = self.restricted(rows, beyond, where, context, crossed)
         if running:
             names = [d.name for d in dims if d not in moving]
             daily = rows.groupBy(day.alias("_fact_day"), *values).agg(*[a for a, leaf in zip(aggregates, leaves, strict=True) if leaf[0] not in first]) if len(first) < len(leaves) else rows.select(day.alias("_fact_day"), *values).distinct()
@@ -828,7 +913,7 @@ class MetricView:
         scopes: dict[tuple, list[Context]] = {}
         for (c, special), leaves in groups.items():
             apart = [kind for *_, kind in leaves if kind not in MERGE]
-            if not special and all(kind in DISTINCT for kind in apart) and not (apart and c.time and not running_step(c)):
+            if not special and not self.crossed_tables(c) and all(kind in DISTINCT for kind in apart) and not (apart and c.time and not running_step(c)):
                 scopes.setdefault((tuple(map(repr, self.filtered(where, c)[0])), c.role, c.semi), []).append(c)
         out = {}
         for contexts in scopes.values():

@@ -197,6 +197,25 @@ view_query(
     SELECT a.g AS region, a.y AS year, a.n AS n_lines, a.suppliers, a.suppliers AS ytd, CAST(sum(coalesce(n.n, 0)) OVER (PARTITION BY a.g ORDER BY a.y) AS BIGINT) AS ever, e.everywhere, round(a.v / sum(a.v) OVER (PARTITION BY a.g), 6) AS share
     FROM a LEFT JOIN e USING (y) LEFT JOIN n ON n.g IS NOT DISTINCT FROM a.g AND n.y = a.y""", digits={"share": 6},
 )
+# Filters that cross a relationship from its many side.
+view_query(
+    "customers_who_ordered", {"Order Year": "year", "Segment": "segment"}, {"Customers Who Ordered": "customers", "Balance of the Urgent": "urgent"},
+    f"""WITH k AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey AS c FROM orders), u AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS year, o_custkey AS c FROM orders WHERE o_orderpriority = '1-URGENT'),
+    a AS (SELECT year, c_mktsegment AS segment, count(*) AS customers FROM k JOIN customer ON c = c_custkey GROUP BY 1, 2), b AS (SELECT year, c_mktsegment AS segment, round(sum(c_acctbal), 2) AS urgent FROM u JOIN customer ON c = c_custkey GROUP BY 1, 2)
+    SELECT a.year, a.segment, a.customers, b.urgent FROM a LEFT JOIN b ON b.year IS NOT DISTINCT FROM a.year AND b.segment IS NOT DISTINCT FROM a.segment""",
+)
+view_query(
+    "balance_of_buyers", {"Brand": "brand"}, {"Balance of Buyers": "balance", "Order Total over Lines": "total", "Orders over Lines": "orders", "Lines": "n_lines"},
+    f"""WITH b AS (SELECT brand, round(sum(c_acctbal), 2) AS balance FROM (SELECT DISTINCT p_brand AS brand, o_custkey AS c FROM {STAR}) JOIN customer ON c = c_custkey GROUP BY 1),
+    o AS (SELECT brand, round(sum(o_totalprice), 2) AS total, count(*) AS orders FROM (SELECT DISTINCT p_brand AS brand, l_orderkey AS k FROM {STAR}) JOIN orders ON k = o_orderkey GROUP BY 1), l AS (SELECT p_brand AS brand, count(*) AS n_lines FROM {STAR} GROUP BY 1)
+    SELECT l.brand, b.balance, o.total, o.orders, l.n_lines FROM l LEFT JOIN b ON b.brand IS NOT DISTINCT FROM l.brand LEFT JOIN o ON o.brand IS NOT DISTINCT FROM l.brand""",
+)
+view_query(
+    "filters_from_the_many_side", {"Segment": "segment"}, {"Balance of Buyers": "balance", "Customers Who Ordered": "customers", "Balance": "all_balance"},
+    f"""WITH b AS (SELECT DISTINCT o_custkey AS c FROM {STAR} WHERE p_size > 45 AND o_orderdate >= TIMESTAMP '1997-01-01'), k AS (SELECT DISTINCT o_custkey AS c FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01')
+    SELECT c_mktsegment AS segment, round(sum(c_acctbal) FILTER (WHERE c_custkey IN (SELECT c FROM b)), 2) AS balance, count(*) FILTER (WHERE c_custkey IN (SELECT c FROM k)) AS customers, round(sum(c_acctbal), 2) AS all_balance FROM customer GROUP BY 1""",
+    where="part[p_size] > 45 && 'Date'[Year] >= 1997",
+)
 view_query("first_and_last_orders", {"Segment": "segment"}, {"First Order": "first_order", "Last Order": "last_order"}, f"SELECT c_mktsegment AS segment, min(CAST(o_orderdate AS DATE)) AS first_order, max(CAST(o_orderdate AS DATE)) AS last_order FROM {ORDERED} GROUP BY 1")
 
 

@@ -91,6 +91,12 @@ MEASURES = {
     "Balance Prior Year": "CALCULATE([Balance], SAMEPERIODLASTYEAR('Date'[Date]))",
     "Balance of Segments": "AVERAGEX(VALUES(customer[c_mktsegment]), [Balance])",
     "Order Total YTD": "TOTALYTD([Order Total], 'Date'[Date])",
+    # filters from the many side
+    "Customers Who Ordered": "CALCULATE([Customers on File], CROSSFILTER(orders[o_custkey], customer[c_custkey], BOTH))",
+    "Balance of Buyers": "CALCULATE([Balance], CROSSFILTER(orders[o_custkey], customer[c_custkey], BOTH), CROSSFILTER(lineitem[l_orderkey], orders[o_orderkey], BOTH))",
+    "Balance of the Urgent": 'CALCULATE([Balance], orders[o_orderpriority] = "1-URGENT", CROSSFILTER(orders[o_custkey], customer[c_custkey], BOTH))',
+    "Order Total over Lines": "CALCULATE([Order Total], CROSSFILTER(lineitem[l_orderkey], orders[o_orderkey], BOTH))",
+    "Orders over Lines": "CALCULATE([Orders], CROSSFILTER(lineitem[l_orderkey], orders[o_orderkey], BOTH))",
     # up to the last visible value
     "Revenue to Now": "CALCULATE([Total Revenue], FILTER(ALL('Date'), 'Date'[Date] <= MAX('Date'[Date])))",
     "Revenue to Now by Variable": "VAR last = MAX('Date'[Date]) RETURN CALCULATE([Total Revenue], FILTER(ALL('Date'[Date]), last >= 'Date'[Date]))",

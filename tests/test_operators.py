@@ -328,3 +328,36 @@ def test_parameters_and_calls_of_queries():
     assert models.source_hint(text, {}) == "Teradata: Host Name.EDW.V_SALES"
     for none in ("Teradata.Database", "Teradata.Database(", 'Teradata.Database("")', "Teradata.Database(1)", 'x("Teradata.Database(")'):
         assert models.source_hint(none, {}) is None
+
+
+def bridged(spark, cross_filter="SINGLE"):
+    """Accounts and owners, many to many: balances are of accounts, names of owners."""
+    tables = {
+        "f": ([(1, 10.0), (1, 5.0), (2, 7.0), (3, 1.0), (4, 100.0)], "k int, v double"), "d": ([(1, "x"), (2, "y"), (3, "z"), (4, "w")], "k int, kind string"),
+        "g": ([(1, 1), (1, 2), (1, 2), (2, 2), (3, None), (None, 1)], "k int, o int"), "o": ([(1, "ann"), (2, "bob"), (3, "cy")], "o int, name string"),
+    }
+    frames = {n: spark.createDataFrame(*t) for n, t in tables.items()}
+    named = {"f": "F", "d": "D", "g": "G", "o": "O"}
+    measures = {"S": "SUM(F[v])", "B": "CALCULATE(SUM(F[v]), CROSSFILTER(G[k], D[k], BOTH))", "N": "CALCULATE(COUNTROWS(D), CROSSFILTER(D[k], G[k], BOTH))", "A": 'CALCULATE(SUM(F[v]), O[name] = "ann", CROSSFILTER(G[k], D[k], BOTH))'}
+    found = tuple(model.Table(named[n], n, tuple(model.Column(c) for c in frames[n].columns), tuple(model.Measure(*m) for m in measures.items()) if n == "f" else ()) for n in named)
+    rels = (model.Relationship("F", "k", "D", "k"), model.Relationship("G", "k", "D", "k", cross_filter=cross_filter), model.Relationship("G", "o", "O", "o"))
+    return MetricView(model.SemanticModel("m", found, rels), "F", lambda t: frames[t.source]).with_dimension("Owner", "O", "name")
+
+
+def test_measures_over_a_bridge(spark):
+    v = bridged(spark)
+    got = {r.Owner: (r.B, r.N) for r in v.query(["Owner"], ["B", "N"]).collect()}
+    assert got == {"ann": (15.0, 1), "bob": (22.0, 2), None: (1.0, 1)}  # an account of two owners counts for each, once
+    assert v.query([], ["B", "N", "A"]).first() == (123.0, 4, 15.0)
+    assert {r.kind: (r.B, r.A) for r in v.query(["kind"], ["B", "A"]).collect()} == {"x": (15.0, 15.0), "y": (7.0, None), "z": (1.0, None), "w": (100.0, None)}
+    assert v.query([], ["B"], where='O[name] = "bob"').first().B == 22.0
+    total = {r.Owner: (r.B, r.S) for r in v.query(["Owner"], ["B", "S"]).collect()}
+    assert total == {"ann": (15.0, 123.0), "bob": (22.0, 123.0), None: (1.0, 123.0)}
+    with pytest.raises(DaxError, match="reached by all"):
+        v.query(["Owner"], ["S"])
+    with pytest.raises(DaxError, match="no such relationship"):
+        v.with_measure("Q", "CALCULATE([S], CROSSFILTER(F[v], D[k], BOTH))").query([], ["Q"])
+
+
+def test_relationships_in_both_directions(spark):
+    assert {r.Owner: r.S for r in bridged(spark, "BOTH").query(["Owner"], ["S"]).collect()} == {"ann": 15.0, "bob": 22.0, None: 1.0}
