@@ -59,7 +59,7 @@ def repeats(docs: DataFrame, least_lines: int = LEAST_LINES) -> DataFrame:
     """(_id, _tag, pos): chunks that go."""
     rows = _rows(docs)
     chunk = rows.select("_id", "_tag", F.posexplode(line_chunks(F.col("_text"))).alias("pos", "c"))
-    chunk = chunk.where((F.col("c.lines") >= least_lines) & (F.trim(F.col("c.text")) != "")).select("_id", "_tag", "pos", F.xxhash64("c.text").alias("hash"))
+    chunk = chunk.where((F.col("c.lines") >= least_lines) & F.col("c.text").rlike(r"\S")).select("_id", "_tag", "pos", F.xxhash64("c.text").alias("hash"))
     chunk = keep(chunk, "chunks")
     place = F.struct("_id", "_tag", "pos")
     again = keep(chunk.groupBy("hash").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last").select("hash", "first"), "again")

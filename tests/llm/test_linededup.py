@@ -28,11 +28,11 @@ def brute(rows):
     first = {}
     for d, tag, text in rows:
         for k, (n, c) in enumerate(chunks(text)):
-            if n >= 2 and c.strip(" "):
+            if n >= 2 and c.strip(" \t\n\x0b\f\r"):
                 first[c] = min(first.get(c, (d, tag, k)), (d, tag, k))
     out = []
     for d, tag, text in rows:
-        keep = [(n, c) for k, (n, c) in enumerate(chunks(text)) if not (n >= 2 and c.strip(" ") and first[c] != (d, tag, k))]
+        keep = [(n, c) for k, (n, c) in enumerate(chunks(text)) if not (n >= 2 and c.strip(" \t\n\x0b\f\r") and first[c] != (d, tag, k))]
         kept = "\n".join(c for _, c in keep)
         total, lost = len(chunks(text)), len(chunks(text)) - len(keep)
         lines = sum(n for n, _ in chunks(text))
@@ -52,7 +52,7 @@ def test_edges(spark, tricky, empty, tmp_path):
     rng = random.Random(2)
     block = "\n".join(f"line {rng.random()}" for _ in range(12))
     rows = [(r.doc_id, r.text) for r in tricky.collect()]
-    rows += [(100 + k, f"own {k}\n{block}\n" + "\n".join(f"tail {k} {i}" for i in range(rng.randrange(5)))) for k in range(8)] + [(90, "\n\n\n\n"), (91, "same\n" * 9), (92, "same\n" * 9)]
+    rows += [(100 + k, f"own {k}\n{block}\n" + "\n".join(f"tail {k} {i}" for i in range(rng.randrange(5)))) for k in range(8)] + [(90, "\n\n\n\n"), (93, "\n\n\n\n"), (94, "\t\n\t\n\t\n"), (95, "\t\n\t\n\t\n"), (91, "same\n" * 9), (92, "same\n" * 9)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert got(linededup.op7_line_dedup(spark, str(tmp_path)).collect()) == brute(rows)
     kept = linededup.dedup_lines(tricky)
