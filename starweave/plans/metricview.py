@@ -889,10 +889,11 @@ class MetricView:
                 seen = seen.where(self.row(p, set()))
             days = seen.select(*[self.period(d, set()).alias(d.name) for d in moving], self.axis_value(context.axis).alias("_day")).distinct()
             so_far = so_far.join(days, at == F.col("_day"))
-        held = F.max_by(F.struct(*kinds), at).alias("_held") if kinds else F.first(at).alias("_held")
         out = [F.col(f"`{d.name}`") for d in dims]
-        last = so_far.groupBy(*out).agg(held) if dims else so_far.agg(held)
-        return last.select(*out, *[F.col(f"_held.{a}").alias(a) for a in kinds])
+        if not kinds:
+            return so_far.select(*out).distinct()
+        last = [F.max_by(a, at).alias(a) for a in kinds]
+        return so_far.groupBy(*out).agg(*last) if dims else so_far.agg(*last)
 
     def over_days(self, daily: DataFrame, dims: list[Dimension], names: list[str], leaves: list, days: DataFrame) -> DataFrame:
         """Leaves by day put together over each group's days. No row is lost to the null-safe join; the days hold no null."""
