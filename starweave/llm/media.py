@@ -116,6 +116,19 @@ def pcm_of(media: bytes) -> tuple[np.ndarray, int]:
     return EXPAND[codec][np.frombuffer(data, dtype=np.uint8)], rate
 
 
+def pcm_of_all(files: list[bytes]) -> list[tuple[np.ndarray, int]]:
+    """``pcm_of`` of each file; the ADPCM blocks of all files with one block size are decoded side by side."""
+    loaded = [load(f) for f in files]
+    out = [(np.zeros(0, dtype=np.int16) if codec == "ima_adpcm" else EXPAND[codec][np.frombuffer(data, dtype=np.uint8)], rate) for codec, rate, _, data in loaded]
+    for block in {block for codec, _, block, _ in loaded if codec == "ima_adpcm"}:
+        own = [i for i, x in enumerate(loaded) if x[0] == "ima_adpcm" and x[2] == block]
+        blocks = [len(loaded[i][3]) // block for i in own]
+        pcm = decode_adpcm(b"".join(loaded[i][3][: n * block] for i, n in zip(own, blocks, strict=True)), block)
+        for i, part in zip(own, np.split(pcm, np.cumsum(blocks)[:-1] * ((block - 4) * 2 + 1)), strict=True):
+            out[i] = part, loaded[i][1]
+    return out
+
+
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     """Linear resampling in whole numbers: equal inputs give equal outputs on any machine."""
     if rate == to or not len(pcm):
@@ -158,21 +171,24 @@ def media_columns(docs: DataFrame, codec: str | None = None, to_rate: int = 1600
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            begin, size, rows = 0, 0, []
+            begin, size, texts = 0, 0, []
             for k, raw in enumerate(batch.column(1)):
-                text = raw.as_py()
-                n = len(text)
-                payload = text + b" " * ((-n) % UNIT if n else UNIT)
-                own = codec or codec_of(payload)
-                media = store(payload, own, UNIT)
-                back = load(media)[3]
-                pcm = resample(*pcm_of(media), to_rate)
-                rows.append((own, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(pcm), media, pcm.astype("<i2").tobytes()))
-                size += len(payload)
+                texts.append(raw.as_py())
+                size += len(texts[-1])
                 if size >= BYTES_AT_ONCE or k + 1 == batch.num_rows:
-                    columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(rows)), *columns], names)
-                    begin, size, rows = k + 1, 0, []
+                    columns = [pa.array(x, t) for x, t in zip(zip(*stored(texts), strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), *columns], names)
+                    begin, size, texts = k + 1, 0, []
+
+    def stored(texts: list[bytes]) -> list[tuple]:
+        payloads = [t + b" " * ((-len(t)) % UNIT if t else UNIT) for t in texts]
+        codecs = [codec or codec_of(p) for p in payloads]
+        files = [store(p, own, UNIT) for p, own in zip(payloads, codecs, strict=True)]
+        rows = []
+        for text, own, media, (sound, rate) in zip(texts, codecs, files, pcm_of_all(files), strict=True):
+            back, pcm = load(media)[3], resample(sound, rate, to_rate)
+            rows.append((own, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(pcm), media, pcm.astype("<i2").tobytes()))
+        return rows
 
     kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary())
     schema = "doc_id long, codec string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, pcm binary"
