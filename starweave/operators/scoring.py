@@ -138,7 +138,7 @@ def bucket(band_: Column) -> Column:
     return F.when(band_.isin("AUTO", "AUTO_SPOT_CHECK"), "LOW").when(band_ == "NEEDS_REVIEW", "MEDIUM").otherwise("HIGH")
 
 
-def settled(rows: DataFrame) -> DataFrame:
+def settled(rows: DataFrame, parts: int | None = 1) -> DataFrame:
     """The rows as a checkpoint: a loop's next round doesn't plan the rounds before it again.
 
     In the shared folder that the session names; where it names none, on a local master only, in a temporary one.
@@ -149,7 +149,7 @@ def settled(rows: DataFrame) -> DataFrame:
         if not found and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="starweave-"))
-    return rows.coalesce(1).checkpoint()  # metadata: a model has thousands of edges at most
+    return (rows.coalesce(parts) if parts else rows).checkpoint()  # one part for a single model's metadata: thousands of edges at most
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -193,6 +193,14 @@ def depths(edges: DataFrame, reach: DataFrame) -> DataFrame:
     return ends.join(long, "first", "left").select("node", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
+def category() -> Column:
+    """Of scored rows that know whether they are cyclic."""
+    return (
+        F.when(_uses(SECURITY) | _uses(NESTED) | (F.col("score") < 11) | F.col("cyclic"), "F").when(_uses(SEMI_ADDITIVE), "E").when(_uses(TIME), "C").when(F.size("filter_kinds") > 0, "D")
+        .when((F.size("measures") > 0) | _uses(REWRITTEN), "B").otherwise("A")
+    )
+
+
 def classify(spark: SparkSession, *models: SemanticModel) -> DataFrame:
     """One row for each measure: score after its dependencies', band, bucket, category, depth and reasons.
 
@@ -211,11 +219,7 @@ def classify(spark: SparkSession, *models: SemanticModel) -> DataFrame:
     least = reach.join(rows.select(F.col("key").alias("dst"), F.col("own_score").alias("s")), "dst").groupBy(F.col("src").alias("key")).agg(F.min("s").alias("below"))
     rows = rows.join(least, "key", "left").withColumn("score", F.least("own_score", "below"))
     b = band(F.col("score"))
-    category = (
-        F.when(_uses(SECURITY) | _uses(NESTED) | (F.col("score") < 11) | F.col("cyclic"), "F").when(_uses(SEMI_ADDITIVE), "E").when(_uses(TIME), "C").when(F.size("filter_kinds") > 0, "D")
-        .when((F.size("measures") > 0) | _uses(REWRITTEN), "B").otherwise("A")
-    )
-    return rows.select("model", "table", "name", "score", b.alias("band"), bucket(b).alias("bucket"), category.alias("category"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"), "functions", "measures", "tables", "reasons")
+    return rows.select("model", "table", "name", "score", b.alias("band"), bucket(b).alias("bucket"), category().alias("category"), F.coalesce("depth", F.lit(0)).alias("depth"), F.coalesce("cyclic", F.lit(False)).alias("cyclic"), "functions", "measures", "tables", "reasons")
 
 
 # --- references and gaps

@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from starweave import samples
-from starweave.operators import catalog, scoring, timeintel, validation
+from starweave.operators import catalog, estate, lineage, scoring, timeintel, validation
 from starweave.operators.review import translations
 from starweave.plans.dax import parse
 from starweave.plans.metricview import MetricView, qualified
@@ -649,6 +650,89 @@ def _as_text(f: Query, names: list[str]) -> Query:
     return lambda spark, sf_dir: f(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in names})
 
 
+# --- models whose measures are made from rows: one model for each brand, one measure for each part
+
+PARTS = """p AS (SELECT p_brand AS model, p_partkey AS k, CAST(p_size AS INTEGER) AS size, CAST(p_size AS INTEGER) % 8 AS kind, CAST(floor(p_partkey / 75) AS BIGINT) AS grp FROM part),
+q AS (SELECT *, lag(k) OVER (PARTITION BY model, grp ORDER BY k) AS before, lead(k) OVER (PARTITION BY model, grp ORDER BY k) AS after FROM p),
+dep AS (SELECT *, CASE WHEN kind = 7 THEN coalesce(after, before) WHEN kind > 1 THEN before END AS other FROM q)"""
+REACH = f"""{PARTS}, reach AS (SELECT k AS src, other AS dst FROM dep WHERE other IS NOT NULL UNION SELECT reach.src, dep.other FROM reach JOIN dep ON dep.k = reach.dst WHERE dep.other IS NOT NULL),
+own AS (SELECT *, CASE kind WHEN 1 THEN 85 WHEN 3 THEN 76 WHEN 4 THEN 35 WHEN 5 THEN 90 WHEN 6 THEN 35 WHEN 7 THEN 70 ELSE 100 END AS base, k IN (SELECT src FROM reach WHERE src = dst) AS cyclic FROM dep),
+own2 AS (SELECT *, least(base, CASE WHEN model LIKE '%5' THEN 45 ELSE 100 END, CASE WHEN cyclic THEN 20 ELSE 100 END) AS own FROM own),
+below AS (SELECT reach.src, min(own2.own) AS least, count(CASE WHEN reach.dst <> reach.src THEN 1 END) AS depth FROM reach JOIN own2 ON own2.k = reach.dst GROUP BY 1),
+score AS (SELECT o.*, least(o.own, coalesce(b.least, 100)) AS score, coalesce(b.depth, 0) AS depth FROM own2 o LEFT JOIN below b ON b.src = o.k)"""
+BAND = "CASE WHEN score >= 90 THEN 'AUTO' WHEN score >= 70 THEN 'AUTO_SPOT_CHECK' WHEN score >= 40 THEN 'NEEDS_REVIEW' WHEN score >= 11 THEN 'MANUAL_PORT' ELSE 'UNSUPPORTED' END"
+
+
+def estate_of_parts(spark: SparkSession, sf_dir: str) -> estate.Estate:
+    parts = read(spark, sf_dir, "part").selectExpr("p_brand AS model", "p_partkey AS k", "cast(p_size AS int) AS size", "cast(p_size AS int) % 8 AS kind", "floor(p_partkey / 75) AS grp")
+    near = Window.partitionBy("model", "grp").orderBy("k")  # 75 rows at most
+    rows = parts.withColumns({"before": F.lag("k").over(near), "after": F.lead("k").over(near)})
+    other = F.when(F.col("kind") == 7, F.coalesce("after", "before")).when(F.col("kind") > 1, F.col("before"))
+    p = F.coalesce(F.concat(F.lit("[M"), other.cast("string"), F.lit("]")), F.lit("SUM(Sales[Amount])"))
+    forms = [
+        F.lit("SUM([Amount])"), F.concat(F.lit("CALCULATE(SUM(sales[Amount]), "), F.when(F.col("size") > 40, "Gone").otherwise("Sales"), F.lit("[Size] > "), F.col("size").cast("string"), F.lit(")")),
+        F.concat(F.lit("DIVIDE("), p, F.lit(", COUNTROWS(Sales))")), F.concat(F.lit("IF(ISBLANK("), p, F.lit("), 0, "), p, F.lit(")")), F.concat(F.lit("TOTALYTD("), p, F.lit(", 'Calendar'[Date])")),
+        F.concat(F.lit("VAR x = "), p, F.lit(" RETURN x * MAX([Key])")), F.concat(F.lit("RANKX(ALL(Sales[Size]), "), p, F.lit(")")), F.concat(F.lit("FOO("), p, F.lit(") + Sales[Missing]")),
+    ]
+    measures = rows.select("model", F.lit("Sales").alias("table"), F.concat(F.lit("M"), F.col("k").cast("string")).alias("name"), F.get(F.array(*forms), F.col("kind")).alias("expression"))
+    models = rows.select("model").distinct()
+    have = {"Sales": ("Amount", "Size"), "Calendar": ("Date", "Key"), "Product": ("Key",)}
+    columns = models.select("model", F.explode(F.array(*[F.struct(F.lit(t).alias("table"), F.lit(c).alias("name")) for t, cs in have.items() for c in cs])).alias("c")).select("model", "c.*")
+    tables = columns.select("model", F.col("table").alias("name")).distinct()
+    both = F.when(F.col("model").endswith("5"), "BOTH").otherwise("SINGLE").alias("cross_filter")
+    relationships = models.select("model", F.lit("Sales").alias("from_table"), F.lit("Calendar").alias("to_table"), F.lit("MANY_TO_ONE").alias("cardinality"), both, F.lit(True).alias("is_active"))
+    return estate.Estate(tables, columns, measures, relationships)
+
+
+@query(f"""WITH RECURSIVE {REACH} SELECT model, 'M' || k AS name, CAST(score AS INTEGER) AS score, {BAND} AS band, CAST(depth AS BIGINT) AS depth, cyclic,
+    CASE WHEN cyclic THEN 'F' WHEN kind = 4 THEN 'C' WHEN kind = 1 THEN 'D' WHEN other IS NOT NULL OR kind = 3 THEN 'B' ELSE 'A' END AS category FROM score""")
+def estate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estate.classify(estate_of_parts(spark, sf_dir)).select("model", "name", F.col("score").cast("int"), "band", F.col("depth").cast("long"), "cyclic", "category")
+
+
+@query(f"WITH RECURSIVE {REACH}, b AS (SELECT model, {BAND} AS band FROM score) SELECT model, CASE WHEN band IN ('AUTO', 'AUTO_SPOT_CHECK') THEN 'LOW' WHEN band = 'NEEDS_REVIEW' THEN 'MEDIUM' ELSE 'HIGH' END AS bucket, count(*) AS n FROM b GROUP BY 1, 2")
+def estate_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return estate.classify(estate_of_parts(spark, sf_dir)).groupBy("model", "bucket").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {PARTS} SELECT model, 'M' || k AS measure, 'Sales[Missing]' AS reference, 'unknown column' AS reason FROM dep WHERE kind = 7
+    UNION ALL SELECT model, 'M' || k, 'Gone[Size]', 'unknown table' FROM dep WHERE kind = 1 AND size > 40 UNION ALL SELECT model, 'M' || k, '[Key]', 'ambiguous: columns of Calendar, Product' FROM dep WHERE kind = 5""")
+def estate_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = estate_of_parts(spark, sf_dir)
+    return estate.references_of(e, estate.traits(e.measures)).where("reason is not null").select("model", "measure", "reference", "reason")
+
+
+@query(f"""WITH {PARTS}, e AS (SELECT model, 'MEASURE' AS kind, 'M' || other AS target FROM dep WHERE other IS NOT NULL UNION ALL SELECT model, 'COLUMN', 'Sales[Amount]' FROM dep WHERE other IS NULL
+    UNION ALL SELECT model, 'COLUMN', 'Sales[Size]' FROM dep WHERE kind = 6 OR kind = 1 AND size <= 40 UNION ALL SELECT model, 'COLUMN', 'Calendar[Date]' FROM dep WHERE kind = 4) SELECT model, kind, target, count(*) AS n FROM e GROUP BY 1, 2, 3""")
+def estate_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = estate_of_parts(spark, sf_dir)
+    return estate.references_of(e, estate.traits(e.measures)).where("kind is not null").groupBy("model", "kind", "target").agg(F.count("*").alias("n"))
+
+
+# Each order leads to the one before of its customer and year, and to its priority; in one segment the first leads back to the last.
+ORDER_CHAINS = """o AS (SELECT o_orderkey AS k, o_orderpriority AS p, c_mktsegment AS seg, row_number() OVER w AS rn, count(*) OVER (PARTITION BY o_custkey, year(o_orderdate)) AS n, min(o_orderkey) OVER (PARTITION BY o_custkey, year(o_orderdate)) AS least
+    FROM orders LEFT JOIN customer ON c_custkey = o_custkey WINDOW w AS (PARTITION BY o_custkey, year(o_orderdate) ORDER BY o_orderkey))"""
+
+
+def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.year("o_orderdate").alias("y"), "o_orderpriority")
+    own = Window.partitionBy("o_custkey", "y")
+    rows = rows.join(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey", "left")
+    back = F.when((F.col("c_mktsegment") == "MACHINERY") & (F.max("o_orderkey").over(own) != F.col("o_orderkey")), F.max("o_orderkey").over(own))
+    rows = rows.select(F.col("o_orderkey").cast("string").alias("src"), F.coalesce(F.lag("o_orderkey").over(own.orderBy("o_orderkey")), back).cast("string").alias("near"), "o_orderpriority")
+    return rows.select("src", F.explode(F.array("near", "o_orderpriority")).alias("dst")).where("dst is not null")
+
+
+@query(f"WITH {ORDER_CHAINS} SELECT CAST(k AS VARCHAR) AS node, CAST(CASE WHEN seg = 'MACHINERY' AND n > 1 THEN n ELSE rn END AS BIGINT) AS depth, CAST(CASE WHEN seg = 'MACHINERY' THEN n ELSE 1 END AS BIGINT) AS size FROM o UNION ALL SELECT DISTINCT p, 0, 1 FROM o WHERE p IS NOT NULL")
+def lineage_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.levels(order_edges(spark, sf_dir)).select("node", F.col("depth").cast("long"), F.col("size").cast("long"))
+
+
+@query(f"WITH {ORDER_CHAINS} SELECT min(CAST(k AS VARCHAR)) AS component, string_agg(CAST(k AS VARCHAR), ' ' ORDER BY CAST(k AS VARCHAR)) AS members FROM o WHERE seg = 'MACHINERY' AND n > 1 GROUP BY least")
+def lineage_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineage.cycles(order_edges(spark, sf_dir)).select("component", F.array_join("members", " ").alias("members"))
+
+
 def queries() -> dict[str, Query]:
     return {k: _as_text(f, DATES[k]) if k in DATES else f for k, f in QUERIES.items()}
 
