@@ -138,17 +138,20 @@ def bucket(band_: Column) -> Column:
     return F.when(band_.isin("AUTO", "AUTO_SPOT_CHECK"), "LOW").when(band_ == "NEEDS_REVIEW", "MEDIUM").otherwise("HIGH")
 
 
-def settled(rows: DataFrame, parts: int | None = 1) -> DataFrame:
-    """The rows as a checkpoint: a loop's next round doesn't plan the rounds before it again.
-
-    In the shared folder that the session names; where it names none, on a local master only, in a temporary one.
-    """
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, shared by all executors; where it names none, on a local master only, a temporary one."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         found = context.getConf().get("spark.checkpoint.dir")
         if not found and not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="starweave-"))
+    return context.getCheckpointDir()
+
+
+def settled(rows: DataFrame, parts: int | None = 1) -> DataFrame:
+    """The rows as a checkpoint: a loop's next round doesn't plan the rounds before it again."""
+    shared_folder(rows.sparkSession)
     return (rows.coalesce(parts) if parts else rows).checkpoint()  # one part for a single model's metadata: thousands of edges at most
 
 

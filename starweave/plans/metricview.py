@@ -132,6 +132,8 @@ class MetricView:
         self.dimensions: dict[str, Dimension] = {}
         self.items = calculation_items or {}
         self.root, self.homes = self, {}
+        self.stored: list = []  # aggregates of stored.py that queries may read
+        self.in_parts_only = False
         self.measures_by_name = {k: m.expression for k, (_, m) in model.measures().items()}
 
     # --- definition
@@ -144,6 +146,12 @@ class MetricView:
         self.dimensions[name.lower()] = Dimension(name, table, column, grain)
         return self
 
+    def with_stored(self, *stored) -> MetricView:
+        """Queries that ``stored`` aggregates (``stored.opened``) cover don't read the facts."""
+        self.stored = [*self.stored, *stored]
+        self.homes = {}
+        return self
+
     def dimension(self, name: str) -> Dimension:
         if (d := self.dimensions.get(name.lower())) is not None:
             return d
@@ -666,7 +674,7 @@ class MetricView:
         """A leaf over the rows of ``table``."""
         context = self.homed(context, table)
         view = self.at(context.home)
-        if kind in ("AVERAGE", "AVERAGEX") and context.time:  # its parts can be put together, it can't
+        if kind in ("AVERAGE", "AVERAGEX") and (context.time or self.root.stored or self.root.in_parts_only):  # its parts can be put together, it can't
             total, n = (self.aggregate(f, expression, context, plan, k, table) for f, k in ((F.sum, "SUMX"), (F.count, "COUNTX")))
             return F.try_divide(total, n)
 
@@ -679,7 +687,7 @@ class MetricView:
                 return F.sum(inner) if kind == "COUNTBLANK" else F.max(inner)
             return function(value(used))
 
-        build.value = value
+        build.value, build.expression = value, expression
         return F.col(plan.leaf(expression, context, build, kind in ADDITIVE, kind))
 
     def nested(self, function: Callable, table: Virtual, expression, context: Context, plan: Plan, given=None) -> Column:
@@ -920,13 +928,37 @@ class MetricView:
         for contexts in scopes.values():
             leaves = {signs[leaf[0]]: leaf for c in contexts for leaf in groups[(c, False)]}
             counted = {sign for sign, leaf in leaves.items() if leaf[4] in DISTINCT}
-            if len(contexts) > 1 and leaves and len({c.axis for c in contexts if c.time}) < 2 and len({(sign[0], sign[2]) for sign in counted}) < 2:
+            one_axis = len({c.axis for c in contexts if c.time}) < 2 and len({(sign[0], sign[2]) for sign in counted}) < 2
+            stored = self.covering(contexts, leaves, kept, where) if leaves and one_axis else None
+            if (len(contexts) > 1 or stored) and leaves and one_axis:
                 alike = len({frozenset(signs[leaf[0]] for leaf in groups[(c, False)]) for c in contexts}) == 1
-                shared = self.shared(contexts, leaves, kept, where, alike)
+                shared = self.shared(contexts, leaves, kept, where, alike, stored)
                 out |= dict.fromkeys(contexts, shared)
         return out
 
-    def shared(self, contexts: list[Context], leaves: dict, kept: dict, where, alike: bool) -> Shared:
+    def column_names(self, nodes: Sequence) -> set[str]:
+        return {qualified(*c) for n in nodes for c in self.columns_of(n)}
+
+    def covering(self, contexts: list[Context], leaves: dict, kept: dict, where):
+        """The smallest stored aggregate that has all that these contexts read, if there is one."""
+        c = contexts[0]
+        if not self.root.stored or c.role or c.semi or self.join != "left" or self.joins:
+            return None
+        predicates, used = self.filtered(where, c)[0], set()
+        for p in predicates:
+            self.row(p, used)
+        names = self.column_names(predicates) | {qualified(d.table, d.column) for c in contexts for d in kept[c]} | {qualified(*c.axis) for c in contexts if c.time}
+        for sign, leaf in leaves.items():
+            if leaf[4] in DISTINCT:
+                names |= self.column_names([leaf[1].expression, *sign[2]])
+                leaf[1].value(used)
+        if any(not isinstance(u, str) for u in used):  # looked up elsewhere
+            return None
+        fit = [s for s in self.root.stored if s.fact.lower() == self.fact.name.lower() and s.has(names)]
+        fit = [s for s in fit if all(leaf[4] in DISTINCT or s.leaf(self, sign, leaf[3]) is not None for sign, leaf in leaves.items())]
+        return min(fit, key=lambda s: s.rows, default=None)
+
+    def shared(self, contexts: list[Context], leaves: dict, kept: dict, where, alike: bool, stored=None) -> Shared:
         used: set = set()
         found = [self.row(p, used) for p in self.filtered(where, contexts[0])[0]]
         dims = list(dict.fromkeys(d for c in contexts for d in kept[c]))
@@ -935,11 +967,15 @@ class MetricView:
         keys += [self.day(timed, used).alias("_fact_day")] if timed else []
         keys += [next(leaf[1].value(used) for leaf in leaves.values() if leaf[4] in DISTINCT).alias("_v")] if any(leaf[4] in DISTINCT for leaf in leaves.values()) else []
         names = {sign: f"_shared{k}" for k, (sign, leaf) in enumerate(leaves.items()) if leaf[4] in MERGE}
-        aggregates = [leaves[sign][1](used).alias(n) for sign, n in names.items()]
-        rows = self.frame(used, contexts[0].role, contexts[0].semi)
+        if stored:
+            aggregates = [stored.leaf(self, sign, leaves[sign][3]).alias(n) for sign, n in names.items()]
+            rows = stored.frame
+        else:
+            aggregates = [leaves[sign][1](used).alias(n) for sign, n in names.items()]
+            rows = self.frame(used, contexts[0].role, contexts[0].semi)
         for p in found:
             rows = rows.where(p)
-        aggregates += [F.count(F.lit(1)).alias("_rows")]
+        aggregates += [(F.sum("_rows") if stored else F.count(F.lit(1))).alias("_rows")]
         frame = rows.groupBy(*keys).agg(*aggregates) if keys else rows.agg(*aggregates)
         if keys and not (alike and names and not any(map(running_step, contexts))):
             # contexts read different columns, and filter days and values. A group has rows, which the optimizer can't know: what asks
