@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from starweave import samples
 from starweave.operators import catalog, estate, lineage, scoring, timeintel, validation
 from starweave.operators.review import translations
-from starweave.plans import stored
+from starweave.plans import rowcontext, stored
 from starweave.plans.dax import parse
 from starweave.plans.metricview import MetricView, qualified
 
@@ -766,6 +766,31 @@ def stored_aggregate_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tidy(rows, {"Region": "region", "Order Year": "year", "Total Revenue": "revenue", "Lines": "n_lines"})
 
 
+# --- calculated columns with nested row contexts
+
+RANKED = {
+    "place": "COUNTROWS(FILTER(customer, customer[c_nationkey] = EARLIER(customer[c_nationkey]) && customer[c_acctbal] > EARLIER(customer[c_acctbal]))) + 1",
+    "peers": "COUNTROWS(FILTER(customer, customer[c_nationkey] = EARLIER(customer[c_nationkey])))",
+    "nearest_below": "MAXX(FILTER(customer, customer[c_mktsegment] = EARLIER(customer[c_mktsegment]) && EARLIER(customer[c_acctbal]) > customer[c_acctbal]), customer[c_acctbal])",
+    "richer_in_building": 'COUNTROWS(FILTER(customer, customer[c_mktsegment] = "BUILDING" && customer[c_acctbal] >= EARLIER(customer[c_acctbal])))',
+}
+
+
+@query("""SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS place, count(*) OVER (PARTITION BY c_nationkey) AS peers,
+    max(c_acctbal) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP) AS nearest_below,
+    CAST(coalesce(sum(CASE WHEN c_mktsegment = 'BUILDING' THEN 1 END) OVER (ORDER BY c_acctbal DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS BIGINT) AS richer_in_building FROM customer""")
+def rank_by_earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = rowcontext.calculated(samples.view(spark, sf_dir), "customer", RANKED)
+    return rows.select(F.col("customer__c_custkey").alias("c_custkey"), F.col("place").cast("long"), F.col("peers").cast("long"), "nearest_below", F.col("richer_in_building").cast("long"))
+
+
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS spent, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_custkey IS NOT NULL")
+def spent_by_earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "FILTER(orders, orders[o_custkey] = EARLIER(orders[o_custkey]) && orders[o_orderkey] <= EARLIER(orders[o_orderkey]))"
+    rows = rowcontext.calculated(samples.view(spark, sf_dir), "orders", {"spent": f"SUMX({own}, orders[o_totalprice])", "n": f"COUNTROWS({own})"}).where("orders__o_custkey is not null")
+    return rows.select(F.col("orders__o_orderkey").alias("o_orderkey"), F.round("spent", 2).alias("spent"), F.col("n").cast("long"))
+
+
 def queries() -> dict[str, Query]:
     return {k: _as_text(f, DATES[k]) if k in DATES else f for k, f in QUERIES.items()}
 

@@ -112,3 +112,27 @@ def test_a_refresh_drops_months_that_are_empty_now(spark, tmp_path):
 def test_only_left_joins_are_stored(spark, tmp_path):
     with pytest.raises(DaxError):
         stored.store(samples.view(spark, SF, join="inner"), f"{tmp_path}/a", *queries.STORED)
+
+
+def test_nested_row_contexts_by_hand(spark):
+    from starweave.model import Column, SemanticModel, Table
+    from starweave.plans.metricview import MetricView
+    from starweave.plans.rowcontext import calculated
+
+    rng = random.Random(5)
+    data = [(i, rng.choice(["a", "b", None]), rng.choice([1, 2, 3, 4, None]), rng.choice([1.5, 2.5, None])) for i in range(40)]
+    rows = spark.createDataFrame(data, "id int, k string, x int, v double")
+    view = MetricView(SemanticModel("m", (Table("T", None, tuple(Column(c, "int64") for c in ("id", "k", "x", "v"))),)), "T", lambda t: rows)
+    ops = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
+    for op, test in ops.items():
+        over = f"FILTER(T, T[k] = EARLIER(T[k]) && T[x] {op} EARLIER(T[x]) && T[id] < 35)"
+        out = calculated(view, "T", {"n": f"COUNTROWS({over}) * 2", "s": f"SUMX({over}, T[v])", "a": f"AVERAGEX({over}, T[v])", "lo": f"MINX({over}, T[v])"})
+        assert "CartesianProduct" not in out._jdf.queryExecution().toString()
+        for r in out.collect():
+            seen = [d[3] for d in data if None not in (d[1], d[2], r.t__k, r.t__x) and d[1] == r.t__k and test(d[2], r.t__x) and d[0] < 35]
+            full = [v for v in seen if v is not None]
+            assert (r.n, r.s, r.lo) == (2 * len(seen), sum(full) if full else None, min(full, default=None))
+            assert r.a == (pytest.approx(sum(full) / len(full)) if full else None)
+    for bad in ("EARLIER(T[x])", "COUNTROWS(FILTER(T, T[x] + EARLIER(T[x]) > 3))", "COUNTROWS(FILTER(T, T[x] < EARLIER(T[x]) && T[v] < EARLIER(T[v])))", "COUNTROWS(FILTER(T, T[x] <> EARLIER(T[x])))"):
+        with pytest.raises(DaxError):
+            calculated(view, "T", {"c": bad})
