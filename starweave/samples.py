@@ -23,7 +23,7 @@ MEASURES = {
     "Lowest Price": "MIN(lineitem[l_extendedprice])",
     "Highest Price": "MAX(lineitem[l_extendedprice])",
     "Suppliers": "DISTINCTCOUNTNOBLANK(lineitem[l_suppkey])",
-    "Customers": "DISTINCTCOUNT(orders[o_custkey])",
+    "Customers": "COUNTROWS(SUMMARIZE(lineitem, orders[o_custkey]))",  # of the lines, not of all orders
     "Revenue per Unit": "DIVIDE([Total Revenue], [Quantity], 0)",
     "Discount Given": "[Total Revenue] - [Net Revenue]",
     "Returned Revenue": 'CALCULATE([Total Revenue], lineitem[l_returnflag] = "R")',
