@@ -33,6 +33,7 @@ from pyspark.sql.window import Window
 
 from starweave.functions.scalar import FUNCTIONS, switch
 from starweave.model import Relationship, SemanticModel, Table, identifier
+from starweave.operators.scoring import settled
 from starweave.operators.timeintel import in_parts
 from starweave.plans.dax import Bin, Call, DaxError, Items, Lit, Neg, Ref, TableRef, parse, snake, walk
 
@@ -1318,13 +1319,15 @@ def with_rank(rows: DataFrame, value: str, within: Sequence[str], dense: bool, n
     """Ranks by a value, the largest first unless ``rising``; nulls come last.
 
     Without columns to rank within, all rows would meet in one task. So the different values are counted, dealt out by their
-    quantiles, and ranked inside of these; what comes before each part is added.
+    quantiles, and ranked inside of these; what comes before each part is added. The rows are settled first: sums of doubles taken twice
+    may differ in their last bits, and then neither meet their ranks nor lie in the same part.
     """
     v = F.col(f"`{value}`")
     order = v.asc_nulls_last() if rising else v.desc_nulls_last()
     if within:
         rank = F.dense_rank() if dense else F.rank()
         return rows.withColumn(name, rank.over(Window.partitionBy(*[F.col(f"`{w}`") for w in within]).orderBy(order)))
+    rows = settled(rows, parts=None)
     values = rows.groupBy(v.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     marks = values.agg(F.percentile_approx(F.col("_v").cast("double"), [k / 200 for k in range(1, 200)], 2000).alias("_marks"))
     below = F.size(F.filter(F.coalesce("_marks", F.array().cast("array<double>")), lambda m: m < F.col("_v").cast("double")))

@@ -1,9 +1,12 @@
 """What shows in larger tables only, on small ones that have it."""
 
+import random
+
 import duckdb
 from pyspark.sql import functions as F
 
-from starweave import queries
+from starweave import queries, samples
+from starweave.plans.metricview import with_rank
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +25,12 @@ def test_customers_of_lines_alone(spark, tmp_path):
     name = "basic_aggregates_by_segment"
     got = {(r.segment, r.n_lines, r.suppliers, r.customers) for r in queries.queries()[name](spark, str(tmp_path)).collect()}
     assert got == set(con.execute(f"SELECT segment, n_lines, suppliers, customers FROM ({queries.oracle_sql()[name]})").fetchall())
+
+
+def test_ranks_of_sums_that_differ_in_their_last_bits(spark):
+    """Sums whose parts arrive in another order each time: no row is lost, and ranks stay."""
+    noisy = F.udf(lambda x: x * (1 + random.random() * 1e-12), "double").asNondeterministic()
+    rows = spark.range(500).select(F.col("id").alias("k"), noisy(F.col("id").cast("double") + 1).alias("v"))
+    for dense in (True, False):
+        got = with_rank(rows, "v", [], dense, "rank").collect()
+        assert sorted((r.k, r["rank"]) for r in got) == [(k, 500 - k) for k in range(500)]
