@@ -6,7 +6,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from starweave import queries, samples
-from starweave.plans.metricview import with_rank
+from starweave.plans.metricview import MetricView, with_rank
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,3 +34,16 @@ def test_ranks_of_sums_that_differ_in_their_last_bits(spark):
     for dense in (True, False):
         got = with_rank(rows, "v", [], dense, "rank").collect()
         assert sorted((r.k, r["rank"]) for r in got) == [(k, 500 - k) for k in range(500)]
+
+
+def test_positions_of_sums_that_differ_in_their_last_bits(spark, monkeypatch):
+    noisy = F.udf(lambda x: x * (1 + random.random() * 1e-12), "double").asNondeterministic()
+    evaluate = MetricView.evaluate
+
+    def unsteady(*args, **options):
+        rows = evaluate(*args, **options)
+        return rows.withColumns({c: noisy(F.col(f"`{c}`")) for c, kind in rows.dtypes if kind == "double"})
+
+    monkeypatch.setattr(MetricView, "evaluate", unsteady)
+    rows = samples.view(spark, SF).query(["Brand"], ["Brand Position"]).collect()
+    assert sorted(r["Brand Position"] for r in rows) == list(range(1, len(rows) + 1))
