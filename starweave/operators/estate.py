@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from starweave.operators import scoring
 from starweave.operators.lineage import components, levels
-from starweave.plans.dax import Call, DaxError, TableRef, parse, references, walk
+from starweave.plans.dax import Call, DaxError, TableRef, parse, references, tokens, walk
 
 TRAITS = "model string, table string, name string, functions array<string>, filter_kinds array<string>, uses_var boolean, virtual_iterator boolean, blank_sensitive boolean, parses boolean, iterated array<string>, refs array<struct<table:string,name:string>>"
 
@@ -31,18 +32,25 @@ class Estate:
     relationships: DataFrame  # model, from_table, to_table, cardinality, cross_filter, is_active
 
 
-def traits_of(expression: str | None) -> dict:
+@lru_cache(maxsize=10_000)
+def _of_shape(found: tuple[tuple[str, str], ...]) -> dict:
+    """What no name in brackets changes: all but the references. Expressions of one shape are analysed once by a worker."""
     try:
-        out = scoring.analyse(expression or "")
-        qualified, bare = references(expression or "")
-    except DaxError:  # not even tokens
-        return {"functions": [], "filter_kinds": [], "uses_var": False, "virtual_iterator": False, "blank_sensitive": False, "parses": False, "iterated": [], "refs": []}
+        tree = parse("", list(found))
+    except DaxError:
+        tree = None
+    iterated = sorted({n.args[0].name.lower() for n in walk(tree) if isinstance(n, Call) and n.args and isinstance(n.args[0], TableRef)})
+    return scoring.analysis("", list(found), tree) | {"iterated": iterated}
+
+
+def traits_of(expression: str | None) -> dict:
     try:
-        iterated = sorted({n.args[0].name.lower() for n in walk(parse(expression or "")) if isinstance(n, Call) and n.args and isinstance(n.args[0], TableRef)})
+        found = tokens(expression or "")
     except DaxError:
-        iterated = []
+        return {"functions": [], "filter_kinds": [], "uses_var": False, "virtual_iterator": False, "blank_sensitive": False, "parses": False, "iterated": [], "refs": []}
+    qualified, bare = references("", found)
     refs = [{"table": t, "name": n} for t, n in qualified] + [{"table": None, "name": n} for n in bare]
-    return out | {"iterated": iterated, "refs": refs}
+    return _of_shape(tuple(("bracket", "[x]") if kind == "bracket" else (kind, value) for kind, value in found)) | {"refs": refs}
 
 
 def traits(measures: DataFrame) -> DataFrame:

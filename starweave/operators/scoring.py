@@ -57,10 +57,18 @@ def filter_kind(arg) -> str:
 
 def analyse(expression: str) -> dict:
     """Functions, filter kinds and traits of an expression; what doesn't parse has its functions only."""
-    out = {"functions": sorted(functions_used(expression)), "filter_kinds": [], "uses_var": any(k == "name" and v.upper() == "VAR" for k, v in tokens(expression)), "virtual_iterator": False, "blank_sensitive": False, "parses": True}
+    found = tokens(expression)
     try:
-        tree = parse(expression)
+        tree = parse(expression, found)
     except DaxError:
+        tree = None
+    return analysis(expression, found, tree)
+
+
+def analysis(expression: str, found: list[tuple[str, str]], tree) -> dict:
+    """As ``analyse``, of an expression that is read already: its tokens and tree (null: it doesn't parse)."""
+    out = {"functions": sorted(functions_used(expression, found)), "filter_kinds": [], "uses_var": any(k == "name" and v.upper() == "VAR" for k, v in found), "virtual_iterator": False, "blank_sensitive": False, "parses": True}
+    if tree is None:
         return out | {"parses": False}
     kinds: set[str] = set()
     for n in walk(tree):

@@ -6,6 +6,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from starweave import queries, samples
+from starweave.operators import estate, scoring
+from starweave.plans.dax import parse, references
 from starweave.plans.metricview import MetricView, with_rank
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +49,17 @@ def test_positions_of_sums_that_differ_in_their_last_bits(spark, monkeypatch):
     monkeypatch.setattr(MetricView, "evaluate", unsteady)
     rows = samples.view(spark, SF).query(["Brand"], ["Brand Position"]).collect()
     assert sorted(r["Brand Position"] for r in rows) == list(range(1, len(rows) + 1))
+
+
+def test_expressions_of_one_shape_are_read_once(monkeypatch):
+    forms = ["DIVIDE([{0}], COUNTROWS(Sales))", "VAR x = [{0}] RETURN x * SUMX(FILTER(Sales, Sales[{0}] = BLANK()), 1)", "CALCULATE(SUM([{0}]), 'A b'[{0}] > 3)", "IF(ISBLANK([{0}]), 0, [{0}]) = 0", "SUM((([{0}]"]
+    calls = []
+    monkeypatch.setattr(estate, "parse", lambda *a: calls.append(a) or parse(*a))
+    for form in forms:
+        for k in range(100):
+            text = form.format(f"M]]{k}")
+            got, (qualified, bare) = estate.traits_of(text), references(text)
+            want = scoring.analyse(text)
+            assert {c: got[c] for c in want} == want
+            assert [(r["table"], r["name"]) for r in got["refs"]] == qualified + [(None, n) for n in bare]
+    assert len(calls) <= len(forms)
