@@ -118,8 +118,9 @@ def scored(rows: DataFrame, relationships: DataFrame) -> DataFrame:
     touched = rows.select("model", "name", F.explode(F.array_union("tables", F.array("table"))).alias("t")).join(flagged, ["model", "t"]).groupBy("model", "name").agg(F.max("bidi").alias("bidi"), F.max("m2m").alias("m2m"))
     rows = rows.join(touched, ["model", "name"], "left")
     kind = lambda k: F.array_contains("filter_kinds", k)
-    n_rewritten = F.size(F.array_intersect("functions", F.lit([f for f in REWRITTEN if f != "CALCULATE"])))
-    n_unknown = F.size(F.array_except("functions", F.lit(KNOWN)))
+    # a row's names are distinct; isin looks them up in one set, array_except makes a set for each row
+    n_rewritten = F.size(F.filter("functions", lambda f: f.isin([x for x in REWRITTEN if x != "CALCULATE"])))
+    n_unknown = F.size(F.filter("functions", lambda f: ~f.isin(KNOWN)))
     # Deductions and caps with their reasons.
     deductions = [
         (F.least(12 * n_rewritten, F.lit(36)), "pattern rewrites"), (F.when(kind("boolean"), 15), "filtered aggregate"), (F.when(kind("filter_table"), 25), "FILTER over a table"),
@@ -132,10 +133,16 @@ def scored(rows: DataFrame, relationships: DataFrame) -> DataFrame:
         (_uses(TIME), 35, "time intelligence"), (_uses(SEMI_ADDITIVE), 35, "semi-additive"), (F.coalesce(F.col("bidi"), F.lit(False)), 45, "bidirectional path"),
         (F.coalesce(F.col("m2m"), F.lit(False)), 45, "many-to-many path"), (kind("all_family") | _uses(ALL_FAMILY), 55, "ALL family"),
     ]
-    base = F.greatest(F.lit(100) - reduce(lambda a, b: a + b, [F.coalesce(d, F.lit(0)) for d, _ in deductions]), F.lit(0))
-    cap = F.least(*[F.when(c, v).otherwise(100) for c, v, _ in caps])
-    reasons = F.array_compact(F.array(*[F.when(d > 0, F.concat(F.lit("-"), d.cast("string"), F.lit(f": {why}"))) for d, why in deductions], *[F.when(c & (base > v), f"cap {v}: {why}") for c, v, why in caps]))
-    return rows.withColumn("own_score", F.least(base, cap)).withColumn("reasons", reasons)
+    # columns, so that a row's deductions and caps are worked out once and not for each place that names them
+    given = rows.columns
+    rows = rows.select("*", *[F.coalesce(d, F.lit(0)).alias(f"_minus{k}") for k, (d, _) in enumerate(deductions)], *[F.coalesce(c, F.lit(False)).alias(f"_cap{k}") for k, (c, _, _) in enumerate(caps)])
+    less = [F.col(f"_minus{k}") for k in range(len(deductions))]
+    base = F.greatest(F.lit(100) - reduce(lambda a, b: a + b, less), F.lit(0))
+    cap = F.least(*[F.when(F.col(f"_cap{k}"), v).otherwise(100) for k, (_, v, _) in enumerate(caps)])
+    rows = rows.withColumn("_base", base)
+    texts = [F.when(d > 0, F.concat(F.lit("-"), d.cast("string"), F.lit(f": {why}"))) for d, (_, why) in zip(less, deductions, strict=True)]
+    texts += [F.when(F.col(f"_cap{k}") & (F.col("_base") > v), F.lit(f"cap {v}: {why}")) for k, (_, v, why) in enumerate(caps)]
+    return rows.select(*[F.col(f"`{c}`") for c in given], F.least("_base", cap).alias("own_score"), F.array_compact(F.array(*texts)).alias("reasons"))
 
 
 def band(score: Column) -> Column:

@@ -63,3 +63,14 @@ def test_expressions_of_one_shape_are_read_once(monkeypatch):
             assert {c: got[c] for c in want} == want
             assert [(r["table"], r["name"]) for r in got["refs"]] == qualified + [(None, n) for n in bare]
     assert len(calls) <= len(forms)
+
+
+def test_a_row_is_scored_once(spark):
+    """Deductions and caps are columns: none is worked out again for each reason that names it."""
+    rows = spark.createDataFrame([("m", "T", "a", ["FOO", "IF", "RANKX", "SUM"], ["boolean"], True, False, False, True, [], [])], scoring.SCHEMA)
+    none = spark.createDataFrame([], "model string, from_table string, to_table string, cardinality string, cross_filter string, is_active boolean")
+    done = scoring.scored(rows, none)
+    [r] = done.collect()
+    assert (r.own_score, r.reasons) == (3, ["-12: pattern rewrites", "-15: filtered aggregate", "-10: variables", "-30: ranking", "-30: unknown functions"])
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LOOKUPVALUE") == 2  # among the known names and as what a lookup takes off
