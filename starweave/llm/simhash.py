@@ -348,7 +348,32 @@ def merged_roots(roots: DataFrame | None, linked: DataFrame) -> DataFrame:
     return after
 
 
-def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
+def fingerprint_links(docs: DataFrame, best: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) of nodes whose documents have SimHash fingerprints within ``RADIUS`` bits and are similar enough.
+
+    ``best`` names a document (_id, _tag) for each node. Fingerprints and their pivot tables are those of op9; as equal
+    fingerprints are no proof, the sets of both ends are compared. Of nodes with one fingerprint the smallest stands for all.
+    """
+    prints = keep(fingerprints(docs), "fingerprints")
+    own = keep(best.join(prints, ["_id", "_tag"]).groupBy("node").agg(F.min("fp").alias("fp")), "prints")
+    first = keep(own.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    near = links(first.select("fp"))
+    for end in ("src", "dst"):
+        near = near.join(first.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}")), end)
+    equal = own.join(first, "fp").where("node != first")
+    pairs = near.select(*between("_src", "_dst")).union(equal.select(*between("node", "first"))).distinct()
+    return keep(verified_links(keep(pairs, "near-prints"), sets, similarity), "linked-prints")
+
+
+def with_labels(members: DataFrame, roots: DataFrame, linked: DataFrame) -> DataFrame:
+    """Members (cell, node, n, reach, pairs) with ``label``, their component, and ``links``, how many they have."""
+    ends = linked.select(F.col("src").alias("end")).union(linked.select("dst")).groupBy("end").agg(F.count(F.lit(1)).alias("more"))
+    state = keep(roots.join(ends, F.col("node") == F.col("end")).select(F.col("node").alias("end"), "root", "more"), "state")
+    both = members.join(state, F.col("node") == F.col("end"), "left")
+    return both.select("cell", "node", "n", "reach", "pairs", F.coalesce("root", "node").alias("label"), F.coalesce("more", F.lit(0)).cast("long").alias("links"))
+
+
+def similar_links(sets: DataFrame, similarity: float, known: DataFrame | None = None) -> DataFrame:
     """Edges (src, dst) whose components are those of all pairs of similar ``sets`` (``node``, ``n``, ``s``).
 
     Pairs that share a cell, and may share enough from there on, are verified once, except those whose components are joined already. A
@@ -357,13 +382,17 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
     out at random into parts, and form the pairs inside these. Then components are taken anew, so a family of copies becomes one
     component in a few rounds, of links in proportion to its members, be they similar to one original or to each other. What is left
     are pairs of different components; the number of these that a cell may form for each member grows each round, until all are
-    settled.
+    settled. ``known`` are links that were verified before; what they join isn't looked at again.
     """
     cells = keep(with_reach(prefix_cells(sets, similarity), similarity), "cells")
-    fresh = possible_members(cells).select("cell", "node", "n", "reach", "pairs", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
-    member = keep(fresh, "members")
-    every: DataFrame | None = None
-    roots: DataFrame | None = None  # of the nodes that have links so far
+    member = possible_members(cells)
+    every: DataFrame | None = known
+    roots = None if known is None else merged_roots(None, known)  # of the nodes that have links so far
+    if roots is None:
+        member = member.select("cell", "node", "n", "reach", "pairs", F.col("node").alias("label"), F.lit(0).cast("long").alias("links"))
+    else:
+        member = with_labels(member, roots, known)
+    member = keep(member, "members")
     seen: DataFrame | None = None  # pairs that earlier rounds verified
     allowed = FIRST_PAIRS
     while True:
@@ -396,11 +425,8 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
             return every
         seen = todo if seen is None else seen.union(todo)
         roots = merged_roots(roots, linked)
-        ends = every.select(F.col("src").alias("end")).union(every.select("dst")).groupBy("end").agg(F.count(F.lit(1)).alias("more"))
-        state = keep(roots.join(ends, F.col("node") == F.col("end")).select(F.col("node").alias("end"), "root", "more"), "state")
         rest = crowd.where(F.col("own.node") != F.col("lead.node")).select("cell", "pairs", "own.node", "own.n", "own.reach")
-        labelled = rest.join(state, F.col("node") == F.col("end"), "left")
-        member = keep(labelled.select("cell", "node", "n", "reach", "pairs", F.coalesce("root", "node").alias("label"), F.coalesce("more", F.lit(0)).cast("long").alias("links")), "members")
+        member = keep(with_labels(rest, roots, every), "members")
         discard(crowd)
         allowed *= MORE_PAIRS
 
@@ -408,18 +434,20 @@ def similar_links(sets: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Each row's ``_id``, ``_tag`` and ``group``, a number: documents linked by similarity of their shingle sets.
 
-    Exact: no pair of similar sets is lost. Nodes are the distinct shingle sets, so copies are one node. Two prefix filters
-    find candidates: the smallest hashes of all sets leave the sets that may have a partner, then the rarest shingles
-    of these sets are cells.
+    Nodes are the distinct shingle sets, so copies are one node. Near copies are linked by their SimHash fingerprints, as in op9,
+    and verified. What is similar but further than that apart is found by an exact search, so no pair of similar sets is lost:
+    two prefix filters find candidates, of which the smallest hashes of all sets leave the sets that may have a partner,
+    then the rarest shingles of these sets are cells.
     """
     rows = keyed(docs)
     found = keep(shingle_sets(rows, words, similarity), "parts")
     likely = keep(possible_nodes(found, similarity), "likely")
     best = found.groupBy("node").agg(F.min(F.struct("_id", "_tag")).alias("best"))
-    wanted = keep(best.join(likely, "node").select("best._id", "best._tag"), "wanted")
+    wanted = keep(best.join(likely, "node").select("node", "best._id", "best._tag"), "wanted")
     texts = rows.join(wanted.hint("merge"), ["_id", "_tag"], "left_semi").dropDuplicates(["_id", "_tag"])
     sets = keep(shingle_sets(texts, words).select("node", "n", "s"), "sets")
-    roots = components(similar_links(sets, similarity), docs.sparkSession).select(F.col("node").alias("linked"), "root")
+    known = fingerprint_links(docs, wanted, sets, similarity)
+    roots = components(similar_links(sets, similarity, known), docs.sparkSession).select(F.col("node").alias("linked"), "root")
     slim = found.select("_id", "_tag", "node")
     return slim.join(roots, F.col("node") == F.col("linked"), "left").select("_id", "_tag", F.coalesce("root", "node").alias("group"))
 

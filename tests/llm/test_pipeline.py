@@ -206,3 +206,26 @@ def test_possible_members_lose_no_pair(spark):
         assert all(r.pairs >= bound[c] for r in kept if r.cell == c)
     member = simhash.possible_members(cells).withColumn("label", F.col("node"))
     assert {(r.src, r.dst) for r in simhash.pairs_within(member, member).collect()} == want
+
+
+def test_near_copies_are_linked_by_their_fingerprints(spark, monkeypatch):
+    """SimHash joins copies within two bits, so that nothing is left to the search; it joins no texts that only share a fingerprint."""
+    from test_simhash import fingerprint
+
+    rng = random.Random(27)
+    base = [f"word{rng.randrange(5000)}" for _ in range(2000)]
+    texts, own = [" ".join(base)], fingerprint(" ".join(base))
+    while len(texts) < 12:
+        copy = list(base)
+        copy[rng.randrange(len(base))] = f"w{rng.getrandbits(40)}"
+        if (fingerprint(" ".join(copy)) ^ own).bit_count() <= 2:
+            texts.append(" ".join(copy))
+    phrase = " ".join(f"p{k}" for k in range(21))
+    texts += [" ".join([phrase] * 100 + [f"own{rng.getrandbits(40)}" for _ in range(300)]) for _ in range(3)]
+    searched, rounds = [], []
+    plain_links, plain = simhash.links, simhash.verified_links
+    monkeypatch.setattr(simhash, "links", lambda distinct: searched.append(distinct.count()) or plain_links(distinct))
+    monkeypatch.setattr(simhash, "verified_links", lambda pairs, sets, s: rounds.append(pairs.count()) or plain(pairs, sets, s))
+    assert groups_of(spark, texts) == [set(range(12)), {12}, {13}, {14}]
+    assert len(searched) == 1 and searched[0] > 1
+    assert rounds[0] >= 11 and set(rounds[1:]) == {0}
