@@ -1,8 +1,9 @@
 """Calculated columns with nested row contexts: ``SUMX(FILTER(T, T[k] = EARLIER(T[k]) && T[x] <= EARLIER(T[x])), T[v])``.
 
 The nested rows are never paired with the outer ones. Equalities with EARLIER become keys; one comparison becomes a running aggregate
-along its order, over different values, in parts by quantiles plus what comes before each part, so no window holds a whole key.
-Conditions over the nested row alone filter it. Other forms are rejected with their reason.
+along its order: the nested rows' values, aggregated by different places, and the outer rows pass through one window. Keys of more than
+``MANY`` rows are cut in parts by quantiles, plus what comes before each part, so no window holds such a key whole. Aggregates over the
+same rows share all this. Conditions over the nested row alone filter it. Other forms are rejected with their reason.
 
 Blanks: a comparison with null holds for no row. Where no nested row is left, counts are 0 and the other aggregates null.
 """
@@ -11,11 +12,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from starweave.operators.timeintel import in_parts
+from starweave.operators.scoring import settled
 from starweave.plans.dax import Bin, Call, DaxError, Lit, Neg, Ref, TableRef, parse, walk
 from starweave.plans.metricview import Bound, MetricView, conjuncts
 
@@ -23,6 +24,8 @@ TURNED = {"<": ">", "<=": ">=", ">": "<", ">=": "<=", "=": "="}
 PARTIAL = {
     "COUNTROWS": {"n": F.count}, "COUNTX": {"n": F.count}, "SUMX": {"s": F.sum}, "AVERAGEX": {"s": F.sum, "n": F.count}, "MINX": {"s": F.min}, "MAXX": {"s": F.max},
 }
+#: Keys with more rows than this are cut in as many parts as ``PARTS``.
+MANY, PARTS = 100_000, 200
 MERGED = {"COUNTROWS": F.sum, "COUNTX": F.sum, "SUMX": F.sum, "AVERAGEX": F.sum, "MINX": F.min, "MAXX": F.max}
 
 
@@ -62,31 +65,31 @@ def calculated(view: MetricView, table: str, columns: dict[str, str]) -> DataFra
     """The rows of a table, columns named ``table__column``, with calculated columns."""
     here = view.at(table.lower()) if table.lower() != view.root.fact.name.lower() else view.root
     rows = here.load(here.fact.name)
-    for name, text in columns.items():
+    found: dict = {}  # the aggregates of each set of nested rows
+
+    def put(node):
+        if isinstance(node, Call) and node.name in PARTIAL and is_nested(node):
+            of = found.setdefault(repr(node.args[0]), {})
+            return Bound(of.setdefault(repr(node), (f"_nested{sum(map(len, found.values()))}", node))[0])
+        return changed(node, put)
+
+    trees = {name: put(parse(text)) for name, text in columns.items()}
+    for of in found.values():
+        rows = nested(here, rows, dict(of.values()))
+    for name, tree in trees.items():
         used: set = set()
-        extra: list[str] = []
-
-        def put(node):
-            nonlocal rows
-            if isinstance(node, Call) and node.name in PARTIAL and is_nested(node):
-                extra.append(f"_nested{len(extra)}")
-                rows = nested(here, rows, node, extra[-1])
-                return Bound(extra[-1])
-            return changed(node, put)
-
-        tree = put(parse(text))
         if is_nested(tree):
             raise DaxError("EARLIER outside of an aggregate over FILTER of the own table")
         value = here.row(tree, used)
         if used - {here.fact.name.lower()}:
             raise DaxError(f"a calculated column reads other tables: {sorted(map(str, used))}")
-        rows = rows.withColumn(name, value).drop(*extra)
-    return rows
+        rows = rows.withColumn(name, value)
+    return rows.drop(*[name for of in found.values() for name, _ in of.values()])
 
 
-def nested(view: MetricView, rows: DataFrame, node: Call, name: str) -> DataFrame:
-    """Adds the aggregate of the nested rows that each row sees."""
-    source = node.args[0]
+def nested(view: MetricView, rows: DataFrame, nodes: dict[str, Call]) -> DataFrame:
+    """Adds aggregates, by their names, of the nested rows that each row sees. All of them are over the same FILTER."""
+    source = next(iter(nodes.values())).args[0]
     if not (isinstance(source, Call) and source.name == "FILTER" and isinstance(source.args[0], TableRef) and source.args[0].name.lower() == view.fact.name.lower()):
         raise DaxError("EARLIER needs an aggregate over FILTER of the own table")
     equal, ranges, plain = [], [], []
@@ -102,49 +105,77 @@ def nested(view: MetricView, rows: DataFrame, node: Call, name: str) -> DataFram
         (equal if op == "=" else ranges).append((op, inner, outer))
     if len(ranges) > 1:
         raise DaxError("more than one order with EARLIER")
-    if len(node.args) > 1 and is_nested(node.args[1]):
+    if any(len(node.args) > 1 and is_nested(node.args[1]) for node in nodes.values()):
         raise DaxError("EARLIER in what is aggregated")
     column = lambda n: view.row(n, set())
-    keys = [f"_key{i}" for i in range(len(equal))]
-    value = F.lit(1) if node.name == "COUNTROWS" else column(node.args[1])
+    groups = [*[f"_key{i}" for i in range(len(equal))], *(["_at"] if ranges else [])]
     inner = view.load(view.fact.name)
     for p in plain:
         inner = inner.where(column(p))
-    at = [column(i).alias("_at") for _, i, _ in ranges]
-    inner = inner.select(*[column(i).alias(k) for k, (_, i, _) in zip(keys, equal, strict=True)], *at, value.alias("_value")).dropna(subset=[*keys, *(["_at"] if at else [])])
-    merged, partial = MERGED[node.name], PARTIAL[node.name]
-    groups = [*keys, *(["_at"] if at else [])]
-    parts = inner.groupBy(*groups).agg(*[f("_value").alias(f"_{p}") for p, f in partial.items()])
-    marked = rows.withColumns({f"_outer{i}": column(o) for i, (_, _, o) in enumerate([*equal, *ranges])})
-    outer_keys = [f"_outer{i}" for i in range(len(equal) + len(ranges))]
-    if at:
-        asked = marked.select(*[F.col(o).alias(g) for o, g in zip(outer_keys, groups, strict=True)]).dropna().distinct()
-        parts = running(parts, asked, keys, ranges[0][0], list(partial), merged)
-    found = parts.select(*[F.col(g).alias(f"_found{i}") for i, g in enumerate(groups)], *[F.col(f"_{p}") for p in partial])
-    if groups:
+    values = {name: F.lit(1) if node.name == "COUNTROWS" else column(node.args[1]) for name, node in nodes.items()}
+    inner = inner.select(*[column(i).alias(g) for g, (_, i, _) in zip(groups, [*equal, *ranges], strict=True)], *[v.alias(f"{n}_value") for n, v in values.items()]).dropna(subset=groups)
+    partial = {f"{name}_{p}": f(f"{name}_value") for name, node in nodes.items() for p, f in PARTIAL[node.name].items()}
+    merged = {f"{name}_{p}": MERGED[node.name] for name, node in nodes.items() for p in PARTIAL[node.name]}
+    parts = inner.groupBy(*groups).agg(*[c.alias(p) for p, c in partial.items()])
+    outer = {g: column(o) for g, (_, _, o) in zip(groups, [*equal, *ranges], strict=True)}
+    if ranges:
+        asked = view.load(view.fact.name).select(*[o.alias(g) for g, o in outer.items()]).dropna()
+        found = running(rows.withColumns(outer), parts, inner.select(*groups).unionByName(asked), groups[:-1], ranges[0][0], merged)
+    elif groups:
         same = F.lit(True)
-        for i, o in enumerate(outer_keys):
-            same = same & (F.col(o) == F.col(f"_found{i}"))
-        marked = marked.join(found, same, "left")
+        for g, o in outer.items():
+            same = same & (o == F.col(g))
+        found = rows.join(parts, same, "left")
     else:
-        marked = marked.crossJoin(F.broadcast(found))  # one row
-    result = {"COUNTROWS": lambda: F.coalesce("_n", F.lit(0)), "COUNTX": lambda: F.coalesce("_n", F.lit(0)), "AVERAGEX": lambda: F.try_divide("_s", "_n")}.get(node.name, lambda: F.col("_s"))()
-    return marked.withColumn(name, result).select(*[F.col(f"`{c}`") for c in rows.columns], name)
+        found = rows.crossJoin(F.broadcast(parts))  # one row
+    result = {"COUNTROWS": lambda n: F.coalesce(f"{n}_n", F.lit(0)), "COUNTX": lambda n: F.coalesce(f"{n}_n", F.lit(0)), "AVERAGEX": lambda n: F.try_divide(f"{n}_s", f"{n}_n")}
+    own = [result.get(node.name, lambda n: F.col(f"{n}_s"))(n).alias(n) for n, node in nodes.items()]
+    return found.select(*[F.col(f"`{c}`") for c in rows.columns], *own)
 
 
-def running(parts: DataFrame, asked: DataFrame, keys: list[str], op: str, names: list[str], merged) -> DataFrame:
-    """For each asked (keys, _at): the merged parts of the same keys whose _at compares by ``op`` with it."""
-    falls = op in (">", ">=")
+def running(rows: DataFrame, parts: DataFrame, places: DataFrame, keys: list[str], op: str, merged: dict) -> DataFrame:
+    """``rows`` with the merged ``parts`` of the same keys whose _at compares by ``op`` with theirs; null keys or places see none.
+
+    ``places`` has the keys and _at of all nested and outer rows; it shows which keys have many.
+    """
+    way = F.desc if op in (">", ">=") else F.asc
     # among equals, what is asked comes after the parts if they count, else before
     first = 0 if op in ("<=", ">=") else 2
-    both = parts.withColumn("_kind", F.lit(first)).unionByName(asked.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
-    both = in_parts(both, "_at")
-    way = F.desc if falls else F.asc
+    many = settled(places.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > MANY), parts=None)  # few
+    cut = not many.isEmpty()
+    if cut:
+        wide = [F.col(k).alias(f"{k}_many") for k in keys]
+        large = lambda frame: frame.join(F.broadcast(many.select(*wide, F.lit(True).alias("_many"))), all_equal(keys, [f"{k}_many" for k in keys]), "left").drop(*[f"{k}_many" for k in keys])
+        quantiles = F.percentile_approx("_at", [k / PARTS for k in range(1, PARTS)], 10 * PARTS)
+        marks = settled(large(places).where("_many").agg(quantiles.alias("_marks")), parts=None)  # one row
+        part = F.when(F.col("_many"), 1 + F.coalesce(F.size(F.filter("_marks", lambda m: m < F.col("_at"))), F.lit(0))).otherwise(0)
+        dealt = lambda frame: large(frame).crossJoin(F.broadcast(marks)).withColumn("_part", part).drop("_many", "_marks")
+    else:
+        dealt = lambda frame: frame.withColumn("_part", F.lit(0))
+    blank = F.col("_at").isNull()
+    for k in keys:
+        blank = blank | F.col(k).isNull()
+    # rows that see nothing are dealt out by what they hold, so that they don't meet in one window
+    apart = -1 - F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(10_000)).cast("int")
+    asked = dealt(rows).withColumn("_part", F.when(blank, apart).otherwise(F.col("_part"))).withColumn("_kind", F.lit(1))
+    own = dealt(parts)
+    both = asked.unionByName(own.withColumn("_kind", F.lit(first)), allowMissingColumns=True)
     inside = Window.partitionBy(*keys, "_part").orderBy(way("_at"), "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = Window.partitionBy(*keys).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)  # 200 rows a key at most
-    sums = both.groupBy(*keys, "_part").agg(*[merged(f"_{n}").alias(f"_{n}") for n in names])
-    before = sums.select(*keys, "_part", *[merged(f"_{n}").over(earlier).alias(f"_before_{n}") for n in names])
-    own = both.select(*keys, "_part", "_at", "_kind", *[merged(f"_{n}").over(inside).alias(f"_{n}") for n in names]).where("_kind = 1")
-    rows = own.join(before, [*keys, "_part"])
-    both_of = (lambda n: F.coalesce(F.col(f"_{n}") + F.col(f"_before_{n}"), f"_{n}", f"_before_{n}")) if merged is F.sum else (lambda n: (F.least if merged is F.min else F.greatest)(f"_{n}", f"_before_{n}"))
-    return rows.select(*keys, "_at", *[both_of(n).alias(f"_{n}") for n in names])
+    seen = both.select(*[F.col(f"`{c}`") for c in rows.columns], "_part", "_kind", *[f(p).over(inside).alias(p) for p, f in merged.items()]).where("_kind = 1")
+    if not cut:
+        return seen
+    # what comes before each part of a key of many rows, also of parts without nested rows
+    earlier = Window.partitionBy(*keys).orderBy(way("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    spine = many.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(PARTS))).alias("_part"))
+    sums = own.where("_part > 0").select(*keys, "_part", *merged).unionByName(spine, allowMissingColumns=True).groupBy(*keys, "_part").agg(*[f(p).alias(p) for p, f in merged.items()])
+    before = sums.select(*[F.col(k).alias(f"{k}_of") for k in keys], F.col("_part").alias("_of"), *[f(p).over(earlier).alias(f"_before{p}") for p, f in merged.items()])
+    met = seen.join(before, all_equal([*keys, "_part"], [*[f"{k}_of" for k in keys], "_of"]), "left")
+    both_of = {F.sum: lambda p: F.coalesce(F.col(p) + F.col(f"_before{p}"), p, f"_before{p}"), F.min: lambda p: F.least(p, f"_before{p}"), F.max: lambda p: F.greatest(p, f"_before{p}")}
+    return met.select(*[F.col(f"`{c}`") for c in rows.columns], *[both_of[f](p).alias(p) for p, f in merged.items()])
+
+
+def all_equal(left: list[str], right: list[str]) -> Column:
+    same = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        same = same & (F.col(a) == F.col(b))
+    return same

@@ -6,7 +6,9 @@ import duckdb
 from pyspark.sql import functions as F
 
 from starweave import queries, samples
+from starweave.model import Column, SemanticModel, Table
 from starweave.operators import estate, scoring
+from starweave.plans import rowcontext
 from starweave.plans.dax import parse, references
 from starweave.plans.metricview import MetricView, with_rank
 
@@ -74,3 +76,25 @@ def test_a_row_is_scored_once(spark):
     assert (r.own_score, r.reasons) == (3, ["-12: pattern rewrites", "-15: filtered aggregate", "-10: variables", "-30: ranking", "-30: unknown functions"])
     plan = done._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LOOKUPVALUE") == 2  # among the known names and as what a lookup takes off
+
+
+def test_keys_of_many_rows_in_nested_rows(spark, monkeypatch):
+    """Keys that are cut in parts, all or some or none, give the same; columns over the same nested rows share one window."""
+    rng = random.Random(6)
+    data = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([*range(30), None]), rng.choice([1.5, 2.5, None])) for i in range(300)]
+    rows = spark.createDataFrame(data, "id int, k string, x int, v double")
+    view = MetricView(SemanticModel("m", (Table("T", None, tuple(Column(c, "int64") for c in ("id", "k", "x", "v"))),)), "T", lambda t: rows)
+    ops = {"<": lambda a, b: a < b, ">=": lambda a, b: a >= b}
+    for op, test in ops.items():
+        for key in ("T[k] = EARLIER(T[k]) && ", ""):
+            over = f"FILTER(T, {key}T[x] {op} EARLIER(T[x] + 5) && T[id] < 250)"
+            for many in (0, 200, 1000):
+                monkeypatch.setattr(rowcontext, "MANY", many)
+                out = rowcontext.calculated(view, "T", {"n": f"COUNTROWS({over})", "s": f"SUMX({over}, T[v])", "hi": f"MAXX({over}, T[id])"})
+                got = out.collect()
+                assert len(got) == len(data)
+                for r in got:
+                    seen = [d for d in data if d[2] is not None and r.t__x is not None and (not key or d[1] is not None and d[1] == r.t__k) and test(d[2], r.t__x + 5) and d[0] < 250]
+                    full = [d[3] for d in seen if d[3] is not None]
+                    assert (r.n, r.s, r.hi) == (len(seen), sum(full) if full else None, max((d[0] for d in seen), default=None))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
