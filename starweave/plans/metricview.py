@@ -296,10 +296,15 @@ class MetricView:
         names = [c.name for c in t.columns] or rows.columns
         return rows.select(*[F.col(f"`{lower[n.lower()]}`").alias(qualified(t.name, n)) for n in names if n.lower() in lower])
 
-    def frame(self, used: set, role: tuple | None = None, semi: tuple = ()) -> DataFrame:
-        """The fact with left joins to just the tables asked for and those on the way, then to the lookups."""
+    def frame(self, used: set, role: tuple | None = None, semi: tuple = (), inward: bool = False) -> DataFrame:
+        """The fact with left joins to just the tables asked for and those on the way, then to the lookups.
+
+        ``inward``, where all joins are left ones: tables are joined with those behind them first, so that the fact's rows are dealt out
+        once for each of its own relationships and not for each table on the way.
+        """
         paths = self.paths(role)
         joined, out = {self.fact.name.lower()}, self.load(self.fact.name)
+        behind: dict[str, list] = {}
         for key, table, column in semi:
             keys = self.load(table).select(F.col(qualified(table, column)).alias("_key")).where("_key is not null").distinct()
             out = out.join(keys, F.col(key) == F.col("_key"), "left_semi")
@@ -309,8 +314,17 @@ class MetricView:
             for r in paths[t]:
                 if r.to_table.lower() not in joined:
                     joined.add(r.to_table.lower())
-                    on = F.col(qualified(r.from_table, r.from_column)) == F.col(qualified(r.to_table, r.to_column))
-                    out = out.join(self.load(r.to_table), on, self.joins.get(r.to_table.lower(), self.join))
+                    behind.setdefault(r.from_table.lower(), []).append(r)
+                    if not inward:
+                        out = out.join(self.load(r.to_table), related(r), self.joins.get(r.to_table.lower(), self.join))
+
+        def with_behind(rows: DataFrame, table: str) -> DataFrame:
+            for r in behind.get(table, []):
+                rows = rows.join(with_behind(self.load(r.to_table), r.to_table.lower()), related(r), "left")
+            return rows
+
+        if inward:
+            out = with_behind(out, self.fact.name.lower())
         for node in sorted((u for u in used if isinstance(u, Call)), key=repr):
             out = self.looked_up(out, node)
         return out
@@ -1315,6 +1329,10 @@ def moved(days: DataFrame, names: list[str], step: tuple, row: Callable) -> Data
     return span.where("_low <= _high").select(*keys, F.explode(F.sequence("_low", "_high")).alias("_day"))
 
 
+def related(r: Relationship) -> Column:
+    return F.col(qualified(r.from_table, r.from_column)) == F.col(qualified(r.to_table, r.to_column))
+
+
 def with_rank(rows: DataFrame, value: str, within: Sequence[str], dense: bool, name: str, rising: bool = False) -> DataFrame:
     """Ranks by a value, the largest first unless ``rising``; nulls come last.
 

@@ -75,7 +75,7 @@ def _aggregated(view: MetricView, columns: Sequence[str], measures: Sequence[str
             found[leaf_name(view.fact.name, signature, kind, c.filters)] = build(used)
     keys = [_ref(c) for c in dict.fromkeys([*columns, *([by] if by else [])])]
     used |= {k.table.lower() for k in keys}
-    rows = view.frame(used)
+    rows = view.frame(used, inward=True)
     names = list(dict.fromkeys(qualified(k.table, k.name) for k in keys))
     part = F.trunc(F.col(qualified(_ref(by).table, _ref(by).name)).cast("date"), "month") if by else F.lit(None).cast("date")
     rows = rows.withColumn(PART, part)

@@ -98,3 +98,11 @@ def test_keys_of_many_rows_in_nested_rows(spark, monkeypatch):
                     full = [d[3] for d in seen if d[3] is not None]
                     assert (r.n, r.s, r.hi) == (len(seen), sum(full) if full else None, max((d[0] for d in seen), default=None))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
+
+
+def test_tables_behind_are_joined_first(spark):
+    """The same rows, the fact's joined with its own neighbours alone."""
+    view = samples.view(spark, SF)
+    inward, plain = view.frame({"region", "part"}, inward=True), view.frame({"region", "part"})
+    assert inward.select(plain.columns).exceptAll(plain).isEmpty() and plain.exceptAll(inward.select(plain.columns)).isEmpty()
+    assert inward.count() == plain.count()
